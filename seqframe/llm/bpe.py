@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -160,23 +161,30 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
     return df.withColumn(out, F.pandas_udf(run, "string")(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-def encode_digest(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, made by the same encoder in one pass.
+def encode_digest(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids, made in one pass.
 
-    Rows stream through in small Arrow batches; ids and decoded text are hashed piece by piece, so memory follows the
-    longest text of a batch.
+    Rows stream through in Arrow batches; memory follows the longest text of a batch.
     """
     from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
         for b in batches:
-            n, ids, back = [], [], []
+            n, one, back, lists = [], [], [], []
             for text in b.column(1):
                 parts = bpe.parts(text.as_py() or "")
+                joined = " ".join([p[1] for p in parts])
                 n.append(sum(p[0] for p in parts))
-                ids.append(sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                one.append(sha256(joined.encode()).hexdigest())
                 back.append(sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if ids:
+                    lists.append(np.array(joined.split(), np.int32))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(back, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if ids:
+                cols, names = [*cols, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -137,14 +137,18 @@ def links(fps: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``key``, fp (signed long), component_id (smallest key reachable by links of at most 3 bits)."""
-    fp = cut(with_fingerprint(docs.select(F.col(key).cast("long").alias(key), text), text).select(key, "fp"), "simhash-fp")
+    """One row per input row: ``key``, rid (hash of key and text), fp (signed long), component_id.
+
+    component_id is the smallest key reachable by links of at most 3 bits.
+    """
+    rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    fp = cut(with_fingerprint(rows).select(key, "rid", "fp"), "simhash-fp")
     reps = cut(fp.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-reps")
     groups = components(links(reps.select("fp")))
     member = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = member.join(lowest, "component").select("fp", "component_id")
-    return fp.join(of, "fp").select(key, "fp", "component_id")
+    return fp.join(of, "fp").select(key, "rid", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -152,8 +156,19 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key. Rows with a null key are kept: nothing names them."""
-    kept = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.join(kept, key, "left_semi").select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key. Rows with a null key are kept: nothing names them.
+
+    The names of the rows that go are fewer than the documents; they are broadcast up to ``broadcast_rows``, beyond that the
+    join shuffles. Equal rows are reduced to one only where there are any.
+    """
+    near = cut(near_duplicates(docs, key, text), "simhash-groups")
+    gone = near.where(F.col(key) != F.col("component_id")).select(F.col("rid").alias("_rid")).distinct()
+    twice = near.where(F.col(key) == F.col("component_id")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("_rid"))
+    sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    named = docs.withColumn("_rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
+    kept = named.join(sized(gone), "_rid", "left_anti")
+    if not twice.isEmpty():
+        again = kept.join(sized(twice), "_rid", "left_semi").dropDuplicates(["_rid"])
+        kept = kept.join(sized(twice), "_rid", "left_anti").unionByName(again)
+    return kept.select(docs.columns)
