@@ -106,7 +106,7 @@ def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool
     found = F.regexp_extract_all("chunk", F.lit(pattern), F.lit(0))
     pieces = chunks(seqs, size).where(F.col("chunk").rlike(pattern)).select("seq_id", "chunk_start", F.transform(found, lambda x: F.length(x)).alias("runs"), F.transform(F.split("chunk", pattern, -1), lambda x: F.length(x)).alias("rest"))
     rows = pieces.select("seq_id", "chunk_start", F.posexplode("runs").alias("i", "n"), "rest")
-    rows = rows.withColumn("skip", F.col("rest")[F.col("i")])
+    rows = rows.withColumn("skip", F.get("rest", F.col("i")))
     order = W.partitionBy("seq_id", "chunk_start").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     stop = F.col("chunk_start") - 1 + F.sum(F.col("skip") + F.col("n")).over(order)
     rows = rows.withColumn("stop", stop).select("seq_id", (F.col("stop") - F.col("n") + 1).alias("start"), "stop")
