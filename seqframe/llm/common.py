@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,13 +28,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` as a table written to the shared folder: its lineage ends there and lost executors cost no recomputation."""
+    """``df`` as a table written to the shared folder: its lineage ends there and lost executors cost no recomputation.
+
+    The shuffle files of the job that wrote it are removed when it is done.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -4,13 +4,14 @@ A window is ``LENGTH`` consecutive words of one document. ``COVER`` is a differe
 positions are compared, some shift below PERIOD takes both to positions whose remainders lie in COVER. So two equal windows
 share an equal anchor, a run of LENGTH - PERIOD + 1 words that starts at a cover position in both, and only the windows at
 cover positions (5 of 21) are hashed and dealt over the cluster. Where an anchor occurs again, it is extended: the windows
-that hold it are compared whole, by 128 bits of two independent rolling hashes.
+that hold it are compared whole, by 96 bits of two independent rolling hashes.
 
 No pairs are made. A task first marks the anchors (or windows) that occur again within what it holds, and only one of each
 goes on, marked or not; so a passage that a third of the documents share sends at most one row from each block of a task
 to the place where its occurrences meet, and every other row is already known to be repeated.
 
-A row is named by a hash of doc_id and text: equal rows share the name and, being equal, the result. Defined cases: null and
+A row is named by its doc_id where these are unique, else by a hash of doc_id and text: equal rows then share the name and,
+being equal, the result. Texts are shuffled once, by that name. Defined cases: null and
 empty texts have no words; documents shorter than a window lose nothing; copies and repeated rows of LENGTH words or more
 lose everything; a null doc_id is kept. Words are taken unchanged; texts are read whole.
 """
@@ -37,7 +38,7 @@ BASES, SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (1, 2)
 #: Rows that a task gathers before it marks repeats among them.
 GATHER = 1 << 20
 MEMO_SIZE = 300_000
-ROW_SCHEMA = "g long, g2 long, rid long, pos int, known boolean"
+ROW_SCHEMA = "g long, g2 int, rid long, pos int, known boolean"
 
 
 class Words(dict):
@@ -94,7 +95,7 @@ class Gatherer:
 
     def add(self, h: np.ndarray, h2: np.ndarray, rid: int, pos: np.ndarray) -> None:
         if len(h):
-            self.parts.append((h, h2, np.full(len(h), rid, np.int64), pos.astype(np.int32)))
+            self.parts.append((h, h2.astype(np.uint32), np.full(len(h), rid, np.int64), pos.astype(np.int32)))
             self.n += len(h)
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ class Gatherer:
         later = np.concatenate([[False], same])
         known = later | np.concatenate([same, [False]])
         own = mix(rid.view(np.uint64) * np.uint64(BASES[0]) + pos.astype(np.uint64))
-        g, g2 = np.where(later, own, h).view(np.int64), np.where(later, ~own, h2).view(np.int64)
+        g, g2 = np.where(later, own, h).view(np.int64), np.where(later, np.uint32(0), h2).view(np.int32)
         for k in range(0, len(g), 1 << 16):
             s = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(g2[s]), pa.array(rid[s]), pa.array(pos[s]), pa.array(known[s])], names=["g", "g2", "rid", "pos", "known"])
@@ -154,6 +155,8 @@ def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple
         memos, rolls = [Words(s) for s in SEEDS], [Rolling(b) for b in BASES]
         for b in batches:
             for rid, text, at in zip(b.column("rid").to_pylist(), b.column("text"), b.column("at"), strict=True):
+                if not at.is_valid:
+                    continue
                 words = split(text.as_py())
                 starts = np.asarray(at.values.to_numpy(zero_copy_only=False), np.int64)
                 # a window holds an anchor if it starts up to length - size words before it
@@ -178,16 +181,25 @@ def _meet(rows: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
+    """doc_id, rid, text; rid is doc_id itself where it names every row, and then no further column."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, some, distinct = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == some == distinct:
+        return rows.select(F.col("doc_id").alias("rid"), "text")
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+
 
+def _flagged(named: DataFrame, length: int) -> DataFrame:
+    """``named`` with ``at``: the starts of every window of ``length`` words whose word sequence also starts anywhere else.
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, at: the starts of every window of ``length`` words whose word sequence also starts anywhere else."""
+    Both joins deal texts out by rid in the same way, so Spark does it once and reads it twice; rows without an anchor leave
+    in the task that would cut them into windows, as a filter would make the two differ.
+    """
     if length < PERIOD + 4:
         raise ValueError(f"windows of at least {PERIOD + 4} words are needed")
-    named = _named(docs)
     anchors = cut(_meet(named.select("rid", "text").mapInArrow(_gathered(_anchors(length)), ROW_SCHEMA)), "substring-anchors")
-    return _meet(named.join(anchors, "rid").select("rid", "text", "at").mapInArrow(_gathered(_windows(length)), ROW_SCHEMA))
+    windows = _meet(named.join(anchors, "rid", "left").mapInArrow(_gathered(_windows(length)), ROW_SCHEMA))
+    return named.join(windows, "rid", "left")
 
 
 def kept_words(words: list[bytes], at: np.ndarray, length: int = LENGTH) -> list[bytes]:
@@ -201,8 +213,8 @@ def kept_words(words: list[bytes], at: np.ndarray, length: int = LENGTH) -> list
 
 def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    named = _named(docs)
-    flagged = named.join(repeated(docs, length), "rid", "left")
+    flagged = _flagged(_named(docs), length)
+    key = "doc_id" if "doc_id" in flagged.columns else "rid"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,7 +231,7 @@ def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFra
                 kept_text.append(joined.decode("utf-8", "surrogatepass") if texts else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return flagged.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return flagged.select(F.col(key).alias("doc_id"), "text", "at").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def report(docs: DataFrame) -> DataFrame:
