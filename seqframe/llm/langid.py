@@ -66,13 +66,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _grams(padded: F.Column, k: int) -> F.Column:
+    """The k-grams of a padded word; null for a shorter one."""
+    starts = F.when(F.length(padded) >= k, F.sequence(F.lit(1), F.length(padded) - k + 1))
+    return F.transform(starts, lambda i: padded.substr(i, F.lit(k)))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, dict[str, int]]:
     """Profiles (language -> n-gram -> rank) of all rows of ``docs`` with a language. Driver: languages x ``size`` rows."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    cutters = [F.transform(F.when(F.length(padded) >= k, F.sequence(F.lit(1), F.length(padded) - k + 1)), lambda i, k=k: padded.substr(i, F.lit(k))) for k in SIZES]
-    cut = F.filter(F.flatten(F.array_compact(F.array(*cutters))), lambda g: g != "_")
+    cut = F.filter(F.flatten(F.array_compact(F.array(*[_grams(padded, k) for k in SIZES]))), lambda g: g != "_")
     total = counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     profiles: dict[str, dict[str, int]] = {}
@@ -125,15 +130,15 @@ class Scorer:
         return self.langs[best], float(min(1.0, max(0.0, score)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score, from the text alone."""
+def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the language and the score, from the text alone."""
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(profiles)
         for s in it:
             yield pd.DataFrame([scorer.score(t) for t in s], columns=["lang", "score"], index=s.index).astype({"lang": object, "score": float})
 
     named = F.pandas_udf(run, "lang string, score double")
-    return docs.withColumn("_lang", named(F.col(text))).withColumn("lang_pred", F.col("_lang.lang")).withColumn("lang_score", F.col("_lang.score")).drop("_lang")
+    return docs.withColumn("__lang", named(F.col(text))).withColumn(out, F.col("__lang.lang")).withColumn(score, F.col("__lang.score")).drop("__lang")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -146,5 +151,5 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` whose text is in a language: rows that come out as ``und`` go, the others keep their columns."""
     profiles = fit(docs.where(~held_out()))
-    known = predict(docs, profiles).where(F.col("lang_pred") != UNKNOWN)
+    known = predict(docs, profiles, out="__known", score="__score").where(F.col("__known") != UNKNOWN)
     return known.select(docs.columns)
