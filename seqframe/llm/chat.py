@@ -37,7 +37,7 @@ NAMES = {
 }
 MARKER = rf"(?i)^\s*(?:#{{1,4}}\s*|\*{{1,2}}|\[|<\|(?:im_start\|>)?)?({'|'.join(sorted(NAMES, key=len, reverse=True))})(?:\|>|\]|\*{{1,2}}:?|:|\s*$)\s*"
 END = r"\s*<\|(?:im_end|end|eot_id)\|>\s*$"
-BLOCK, SMOOTHING = 4096, 0.5
+BLOCK, SMOOTHING, MISNAMED = 4096, 0.5, 1e-6
 FEATURES = ("marker", "first", "length", "shape", "row")
 
 
@@ -94,10 +94,12 @@ def fit(chats: DataFrame) -> dict:
     model = {"start": np.log(start / start.sum()), "move": np.log(move / move.sum(axis=1, keepdims=True)), "emit": {}}
     for f in FEATURES:
         got = {(r["role"], r["value"]): r["count"] for r in counts if r["feature"] == f}
-        values = sorted({v for _, v in got} | ({"none", *ROLES} if f == "marker" else set()))
-        table = np.array([[got.get((r, v), 0) + SMOOTHING + 50 * (f == "marker" and r == v) for r in ROLES] for v in values]).reshape(len(values), n)
+        values = sorted({v for _, v in got})
+        table = np.array([[got.get((r, v), 0) + SMOOTHING for r in ROLES] for v in values]).reshape(len(values), n)
         table = np.log(table / table.sum(axis=0)) if len(values) else table
         model["emit"][f] = dict(zip(values, table, strict=True))
+    # a marker names its role: a fixed chance, as chats without markers could not teach it
+    model["emit"]["marker"] = {"none": np.zeros(n)} | {r: np.log(np.where(np.arange(n) == k, 1 - 3 * MISNAMED, MISNAMED)) for k, r in enumerate(ROLES)}
     return model
 
 
