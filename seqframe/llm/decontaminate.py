@@ -103,9 +103,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold an item. Rows are named by doc_id and text, so a row with a null doc_id can go too."""
-    hits = contained(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), benchmark, threshold).select(F.col("doc_id").alias("_rid")).distinct()
+    hits = contained(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), benchmark, threshold).select(F.col("doc_id").alias("__rid")).distinct()
     hits = cut(hits, "benchmark-hits")
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(_sized(hits, hits.count()), "_rid", "left_anti").select(docs.columns)
+    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(_sized(hits, hits.count()), "__rid", "left_anti").select(docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

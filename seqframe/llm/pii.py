@@ -65,7 +65,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _scan(text: Column, kind: str) -> Column:
@@ -165,10 +165,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = cut(spans, "pii-spans")
     sized = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS // 10 else spans
     text = F.col("text")
-    kept = F.transform("cuts", lambda c: F.concat(F.substr(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), c["label"]))
-    tail = F.substr(text, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(text))
-    out = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(sized.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    out = out.withColumn("text", F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)))
+    kept = F.transform("__cuts", lambda c: F.concat(F.substr(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), c["label"]))
+    tail = F.substr(text, (F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length(text))
+    out = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(sized.toDF("__rid", "__cuts"), "__rid", "left")
+    out = out.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

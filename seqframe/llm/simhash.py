@@ -163,12 +163,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     join shuffles. Equal rows are reduced to one only where there are any.
     """
     near = cut(near_duplicates(docs, key, text), "simhash-groups")
-    gone = near.where(F.col(key) != F.col("component_id")).select(F.col("rid").alias("_rid")).distinct()
-    twice = near.where(F.col(key) == F.col("component_id")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("_rid"))
+    gone = near.where(F.col(key) != F.col("component_id")).select(F.col("rid").alias("__rid")).distinct()
+    twice = near.where(F.col(key) == F.col("component_id")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("__rid"))
     sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    named = docs.withColumn("_rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
-    kept = named.join(sized(gone), "_rid", "left_anti")
+    named = docs.withColumn("__rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
+    kept = named.join(sized(gone), "__rid", "left_anti")
     if not twice.isEmpty():
-        again = kept.join(sized(twice), "_rid", "left_semi").dropDuplicates(["_rid"])
-        kept = kept.join(sized(twice), "_rid", "left_anti").unionByName(again)
+        again = kept.join(sized(twice), "__rid", "left_semi").dropDuplicates(["__rid"])
+        kept = kept.join(sized(twice), "__rid", "left_anti").unionByName(again)
     return kept.select(docs.columns)
