@@ -166,4 +166,4 @@ def k2p(a: Column, b: Column) -> Column:
     ti = F.size(F.filter(seen, lambda p: p.isin("AG", "GA", "CT", "TC")))
     same = F.size(F.filter(seen, lambda p: F.substring(p, 1, 1) == F.substring(p, 2, 1)))
     p, q = F.try_divide(ti, n), F.try_divide(n - ti - same, n)
-    return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), -0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))
+    return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), 0.0 - 0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))

@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 
 #: Length of a bin of the overlap join, a power of two near the length of a long feature.
 BIN = 512
+#: Length of the stretches that intervals are merged in.
+SPAN = 1 << 20
 
 
-def merge(df: DataFrame, by: list[str]) -> DataFrame:
-    """Islands (by, start, stop) of overlapping or touching intervals."""
+def merge(df: DataFrame, by: list[str], span: int | None = SPAN) -> DataFrame:
+    """Islands (by, start, stop) of overlapping or touching intervals.
+
+    Intervals are cut at multiples of ``span`` and merged within each stretch; only islands that reach a stretch's edge meet
+    again, so a sequence that holds most of the rows is shared among tasks. Without ``span`` each key is merged at once.
+    """
+    rows = df.select(*by, "start", "stop")
+    if span is None:
+        return _islands(rows, by)
+    one = _islands(binned(rows, span), [*by, "bin"])
+    edge = (F.col("start") == F.col("bin") * span + 1) | (F.col("stop") == (F.col("bin") + 1) * span)
+    return _islands(one.withColumn("inner", F.when(edge, F.lit(None)).otherwise(F.col("start"))), [*by, "inner"]).drop("inner")
+
+
+def _islands(df: DataFrame, by: list[str]) -> DataFrame:
     order = W.partitionBy(*by).orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("start") <= reach + 1, 0).otherwise(1)
@@ -120,7 +135,7 @@ def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool
 def best_target_coverage(blocks: DataFrame) -> DataFrame:
     """query, target, covered, ratio: of each query's targets, the one whose blocks cover most of the query's bases."""
     spans = blocks.select("query", "qlen", "target", F.col("qstart").alias("start"), (F.col("qstart") + F.col("size") - 1).alias("stop"))
-    got = merge(spans, ["query", "qlen", "target"]).groupBy("query", "qlen", "target").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+    got = merge(spans, ["query", "qlen", "target"], span=None).groupBy("query", "qlen", "target").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
     top = F.max_by(F.struct("target", "covered"), F.struct("covered", "target"))
     return got.groupBy("query", "qlen").agg(top.alias("t")).select("query", "t.target", "t.covered", F.round(F.try_divide("t.covered", "qlen"), 6).alias("ratio"))
 

@@ -107,3 +107,13 @@ def a8_coverage_report(get):
 def j6_restrict(get):
     ids = get("part").where("p_size <= 10").select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query"))
     return N.restrict(get("blocks_v"), ids, "query").select("query", "target", "qstart", "size")
+
+
+@query("SELECT track, round(count(*) FILTER (WHERE score > 50) / count(*), 6) AS fraction FROM {features_v} GROUP BY track")
+def n9_fraction(get):
+    return get("features_v").groupBy("track").agg(I.fraction(F.count_if(F.col("score") > 50), F.count("*")).alias("fraction"))
+
+
+@query("SELECT event_id, track, seqname, start FROM {features_v} ORDER BY seqname, start, event_id")
+def t1_ordered(get):
+    return E.ordered(get("features_v"), ["seqname", "start", "event_id"]).select("event_id", "track", "seqname", "start")

@@ -146,7 +146,7 @@ WITH p AS (SELECT a.group_id, a.species AS s1, b.species AS s2, a.aln AS x, b.al
 c AS (SELECT group_id, s1, s2, substring(x, i, 1) AS u, substring(y, i, 1) AS v FROM p), d AS (SELECT group_id, s1, s2, count(*) AS n,
 count(*) FILTER (WHERE u || v IN ('AG', 'GA', 'CT', 'TC')) AS ti, count(*) FILTER (WHERE u <> v) AS df FROM c WHERE u IN ('A', 'C', 'G', 'T') AND v IN ('A', 'C', 'G', 'T') GROUP BY ALL),
 e AS (SELECT *, ti / n AS pp, (df - ti) / n AS qq FROM d)
-SELECT group_id, s1, s2, CASE WHEN 1 - 2 * pp - qq > 0 AND 1 - 2 * qq > 0 THEN round(-0.5 * ln(1 - 2 * pp - qq) - 0.25 * ln(1 - 2 * qq), 6) END AS distance FROM e
+SELECT group_id, s1, s2, CASE WHEN 1 - 2 * pp - qq > 0 AND 1 - 2 * qq > 0 THEN round(0.0 - 0.5 * ln(1 - 2 * pp - qq) - 0.25 * ln(1 - 2 * qq), 6) END AS distance FROM e
 """)
 def n8_k2p(get):
     a = get("codons_v")

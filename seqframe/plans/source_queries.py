@@ -322,3 +322,26 @@ def k3_paml(get):
 def k1_fasta(get):
     rows = K.fasta_records(get("seq_v").where("length(seq) > 0"), keep=("seq_id",))
     return rows.select("seq_id", (F.size(F.split("value", "\n")) - 1).cast("bigint").alias("n_lines"))
+
+
+@query("SELECT l_orderkey::VARCHAR AS cluster, greatest(max(l_discount), max(l_tax)) AS w FROM lineitem GROUP BY l_orderkey")
+def t3_max_w(get):
+    rows = get("lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("a"), F.max("l_tax").alias("b"))
+    block = text("lnL(ntime: 11  np: 16):  -1234.500000  +0.0\nforeground w     0.1  1.0  %.2f  %.2f", "a", "b")
+    fits = M.codeml_branchsite(reports(rows, text("d/%d/S1/nofix.mlc", "l_orderkey"), ["l_orderkey"], block))
+    return fits.select("cluster", "w")
+
+
+@query("SELECT seq_id, md5(seq) AS seq FROM {seq_v} WHERE length(seq) > 0")
+def u2_fasta_union(get):
+    rows = get("seq_v").where("length(seq) > 0")
+    record = K.fasta_records(rows, keep=("doc_id",)).select(F.concat(F.lit("part"), (F.col("doc_id") % 3).cast("string"), F.lit(".fa")).alias("source_file"), F.col("value").alias("record"))
+    files = [record.where(F.col("source_file") == f"part{k}.fa") for k in range(3)]
+    return T.parse_fasta(files[0].unionByName(files[1]).unionByName(files[2])).select("seq_id", F.md5("seq").alias("seq"))
+
+
+@query("SELECT CAST(group_id AS STRING) AS group_id, species, md5(aln) AS seq FROM {codons_v}")
+def k6_group_fasta(get):
+    rows = get("codons_v").select("group_id", F.lit("cds").alias("type"), "species", F.col("aln").alias("seq"))
+    records = K.group_records(rows).select(F.concat_ws("/", F.col("group_id").cast("string"), "type").alias("source_file"), F.col("value").alias("record"))
+    return T.parse_fasta(records).select(F.split_part("source_file", F.lit("/"), F.lit(1)).alias("group_id"), F.col("seq_id").alias("species"), F.md5("seq").alias("seq"))

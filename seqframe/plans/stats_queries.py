@@ -115,3 +115,10 @@ def p13_depth_bounds(get):
     from ..functions.seq import depth_bounds
 
     return depth_bounds(get("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("sample"), F.col("s_acctbal").alias("depth")))
+
+
+@query(f"SELECT cluster, model, round(stat, 6) AS stat FROM {PAIRS} WHERE ddf = 1")
+def n1_lrt(get):
+    fits = get("fits_v")
+    null = fits.where("model = 1").select("cluster", F.col("lnl").alias("lnl0"))
+    return fits.where("model = 2").join(null, "cluster").select("cluster", "model", F.round(N.lrt(F.col("lnl0"), F.col("lnl")), 6).alias("stat"))

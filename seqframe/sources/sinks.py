@@ -61,10 +61,14 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
     clusters.select(F.col("group_id").alias("#Fam_id"), F.col("genes").alias("Genes"), F.col("species").alias("Species"), "members").write.csv(path, sep="\t", header=True)
 
 
+def group_records(seqs: DataFrame) -> DataFrame:
+    """group_id, type, value: a FASTA record named by species for each sequence."""
+    return seqs.select("group_id", "type", F.concat(F.lit(">"), F.col("species"), F.lit("\n"), wrapped(F.col("seq"))).alias("value"))
+
+
 def write_group_fasta(seqs: DataFrame, path: str) -> None:
     """Records named by species, one folder for each group and type (cds, pep)."""
-    rows = seqs.select("group_id", "type", F.concat(F.lit(">"), F.col("species"), F.lit("\n"), wrapped(F.col("seq"))).alias("value"))
-    rows.write.partitionBy("group_id", "type").text(path)
+    group_records(seqs).write.partitionBy("group_id", "type").text(path)
 
 
 def write_ltr_pairs(records: DataFrame, path: str) -> None:
