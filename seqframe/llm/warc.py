@@ -18,6 +18,7 @@ table gives no archive. Only the columns named are read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from .common import cut
 MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_FROM = 1000
-ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES, LEVEL = 8 << 20, 32 << 10, 1 << 20, 3
+ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES, READ_BYTES, LEVEL = 4 << 20, 32 << 10, 1 << 20, 1 << 20, 3
 DATE = "1970-01-01T00:00:00Z"
 ROLE_SCHEMA = "page_id long, url string, payload binary, digest string, refers_to long"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -92,17 +93,32 @@ def pack(records: list[bytes]) -> bytes:
 
 
 def unpack(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one after another."""
+    """The records of an archive, one after another, from one pass over its frames."""
     magic, n = struct.unpack_from("<II", data)
     if magic != MAGIC:
         raise ValueError("the archive does not start with a dictionary frame")
     learned = zstandard.ZstdCompressionDict(data[8 : 8 + n]) if n else None
-    rest = memoryview(data)[8 + n :]
-    while len(rest):
-        frame = zstandard.ZstdDecompressor(dict_data=learned).decompressobj()
-        out = frame.decompress(rest)
-        rest = rest[len(rest) - len(frame.unused_data) :]
-        yield out
+    source = zstandard.ZstdDecompressor(dict_data=learned).stream_reader(memoryview(data)[8 + n :], read_across_frames=True)
+    held = b""
+    while part := source.read(READ_BYTES):
+        held += part
+        at = 0
+        while (record_end := _end(held, at)) is not None:
+            yield held[at:record_end]
+            at = record_end
+        held = held[at:]
+    if held:
+        raise ValueError("the archive ends within a record")
+
+
+def _end(held: bytes, at: int) -> int | None:
+    """Where the record that starts at ``at`` ends; None if the rest is not there yet."""
+    head = held.find(b"\r\n\r\n", at)
+    if head < 0:
+        return None
+    length = re.search(rb"\r\nContent-Length: (\d+)", held[at:head])
+    end = head + 4 + int(length[1]) + 4
+    return end if end <= len(held) else None
 
 
 def parse(raw: bytes) -> dict:
