@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-FILTERS, WIDTH, CHUNK = 16, 6, 512
-SAMPLE, LONGEST = 1200, 20_000
+FILTERS, WIDTH, CHUNK = 24, 6, 512
+SAMPLE, LONGEST = 4000, 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 16, 0.02, 7
 THRESHOLD = 0.3
 #: Positions that are convolved at once.
