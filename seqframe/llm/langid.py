@@ -3,8 +3,8 @@
 A language's profile is the list of its most frequent n-grams (1 to 4 letters, words padded with ``_``), counted over every
 training document; a document is given to the language whose profile is nearest by the out-of-place measure: the sum, over
 the document's own most frequent n-grams, of how far each one's rank is from its rank in the profile, or a fixed largest
-distance if the profile lacks it. Words are counted before they are cut into n-grams, in the training job by Spark and in a
-document by a counter, so the work follows distinct words. Only the profiles (languages x ``PROFILE`` rows) reach the driver.
+distance if the profile lacks it. In training, Spark counts words before they are cut into n-grams, so that work follows
+distinct words. Only the profiles (languages x ``PROFILE`` rows) reach the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts first;
 rows whose language is null teach nothing; if there is nothing to learn from, every text is ``und``. Texts are read whole.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,21 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
+#: Sizes of n-grams run from 1 to 4: the masks in ``Scorer.counts`` are written for these.
 SIZES, PROFILE, DOC_PROFILE = (1, 2, 3, 4), 400, 300
 UNKNOWN = "und"
-#: Words longer than this are cut into n-grams in overlapping pieces, so that a word list stays a list of short strings.
-LONGEST = 40
 _words = regex.compile(r"\p{L}+").findall
-MEMO_SIZE = 120_000
+#: Multipliers of the n-grams' hash and of the lookup tables.
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
+TABLE_BITS, PAD = 18, ord("_")
 
 
 def words(text: str) -> Counter:
-    counts = Counter(_words(text.lower()))
-    for w in [w for w in counts if len(w) > LONGEST]:
-        n = counts.pop(w)
-        for k in range(0, len(w), LONGEST):
-            counts[w[k : k + LONGEST]] += n
-    return counts
+    return Counter(_words(text.lower()))
 
 
 def grams(word: str) -> list[str]:
@@ -86,39 +83,89 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
     return dict(sorted(profiles.items()))
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    known = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(0x110000)))):
+        known[m.start() : m.end()] = True
+    return known
+
+
 class Scorer:
-    """Out-of-place distances of documents to fitted profiles."""
+    """Out-of-place distances of documents to fitted profiles.
+
+    A text's code points become one stream of words with a pad between; n-grams are hashes of windows over it, and those that
+    some profile has are found in lookup tables. N-grams that no profile has cost every language the same and are left out.
+    """
 
     def __init__(self, profiles: dict[str, dict[str, int]]):
         self.langs = sorted(profiles)
         known = sorted({g for p in profiles.values() for g in p})
-        self.number = {g: k for k, g in enumerate(known)}
-        #: Rank of every known n-gram in each profile; absent ones lie PROFILE away.
+        number = {g: k for k, g in enumerate(known)}
+        #: Rank of every known n-gram in each profile; -1 where it is absent.
         self.ranks = np.full((len(known), len(self.langs)), -1, np.int64)
         for k, name in enumerate(self.langs):
             for g, r in profiles[name].items():
-                self.ranks[self.number[g], k] = r
-        self.memo: dict[str, np.ndarray] = {}
-
-    def of_word(self, w: str) -> np.ndarray:
-        got = self.memo.get(w)
-        if got is None:
-            number = self.number
-            got = np.array([number[g] for g in grams(w) if g in number], np.int32)
-            if len(self.memo) < MEMO_SIZE:
-                self.memo[w] = got
-        return got
+                self.ranks[number[g], k] = r
+        hashes = np.array([self.windows(np.array(list(map(ord, g)), np.uint64))[len(g)][0] for g in known], np.uint64)
+        #: Of the known n-grams, and at the end one that no window has.
+        self.hash = np.append(hashes, np.uint64(0))
+        #: Tables of n-gram numbers; an n-gram whose slot is taken goes to the next table.
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        rest = np.arange(len(known))
+        while len(rest):
+            tries = [np.uint64((SPREAD * (2 * k + 1)) % (1 << 64)) for k in range(len(self.tables), len(self.tables) + 40)]
+            spread = max(tries, key=lambda m: len(np.unique(self.slot(hashes[rest], m))))
+            slots = np.full(1 << TABLE_BITS, len(known), np.int32)
+            at = self.slot(hashes[rest], spread)
+            _, first = np.unique(at, return_index=True)
+            slots[at[first]] = rest[first]
+            self.tables.append((spread, slots))
+            rest = np.delete(rest, first)
+
+    @staticmethod
+    def windows(x: np.ndarray) -> dict[int, np.ndarray]:
+        """Hashes of the windows of each size."""
+        out, h = {}, np.ones(len(x), np.uint64)
+        for n in SIZES:
+            if n > len(x):
+                break
+            h = (h[: len(x) - n + 1] * BASE) ^ x[n - 1 :]
+            out[n] = h
+        return out
+
+    @staticmethod
+    def slot(h: np.ndarray, spread: np.uint64) -> np.ndarray:
+        return (h * spread) >> np.uint64(64 - TABLE_BITS)
+
+    def counts(self, text: str) -> np.ndarray | None:
+        """How often each known n-gram stands in the text; None if it has no letter."""
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[points]
+        if not letter.any():
+            return None
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        x = np.full(int(keep.sum()) + 1 + bool(letter[-1]), PAD, np.uint64)
+        x[1 : len(x) - bool(letter[-1])] = np.where(letter, points, PAD)[keep]
+        pad = x == PAD
+        out = np.zeros(len(self.hash), np.int64)
+        inner = pad[1:-1]
+        for n, h in self.windows(x).items():
+            # a pad may stand at a window's ends, not within; a lone pad is no n-gram
+            wrong = pad if n == 1 else inner if n == 3 else inner[:-1] | inner[1:] if n == 4 else None
+            for spread, slots in self.tables:
+                at = slots[self.slot(h, spread)]
+                hit = self.hash[at] == h
+                out += np.bincount(at[hit if wrong is None else hit & ~wrong], minlength=len(out))
+        return out[:-1]
 
     def score(self, text: str | None) -> tuple[str, float]:
-        counts = words(text or "")
-        if not counts or not self.langs:
+        total = self.counts(text or "") if self.langs else None
+        if total is None or not total.any():
             return UNKNOWN, 0.0
-        parts = [self.of_word(w) for w in counts]
-        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(parts)), [len(p) for p in parts])
-        total = np.bincount(np.concatenate(parts), weights=weight, minlength=len(self.number)).astype(np.int64) if len(weight) else np.zeros(len(self.number), np.int64)
         seen = np.flatnonzero(total)
-        if not len(seen):
-            return UNKNOWN, 0.0
         top = seen[np.lexsort((seen, -total[seen]))][:DOC_PROFILE]
         ranks = self.ranks[top]
         place = np.arange(len(top))[:, None]
