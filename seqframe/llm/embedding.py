@@ -27,11 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
 THRESHOLD, MISS, Z, SEED = 0.93, 1e-4, 4.0, 11
 BLOCK = 2048
+#: Groups beyond BLOCK are broadcast up to this number, beyond it joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Groups up to this size are compared many at a time.
 SMALL = 64
 
@@ -77,29 +80,32 @@ def bound(factor: np.ndarray, dim: int) -> np.ndarray:
     return Z * np.sqrt((1 - square) / square / max(1, dim - 1))
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of length 1, in double precision, from bytes of ``kind`` (f4 or f8)."""
+    v = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _coded(bits: int, tables: int):
-    """(label, rep, n, vector) -> a row for each table, with the vector as bytes."""
+def _coded(bits: int, tables: int, kind: str, whole: bool):
+    """(label, rep, n, vector) -> a row for each table; with ``whole`` the vector goes along, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
         for b in batches:
-            vectors = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in b.column("vector")]
+            vectors = [np.asarray(v.values.to_numpy(zero_copy_only=False), kind) for v in b.column("vector")]
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 coder = coders.setdefault(dim, Coder(dim, bits, tables))
                 raw = [vectors[k].tobytes() for k in at]
-                keys = coder.keys(unit_rows(raw))
+                keys = coder.keys(unit_rows(raw, kind))
                 label, rep, n = (b.column(c).take(pa.array(at)) for c in ("label", "rep", "n"))
                 for t in range(tables):
-                    cols = [label, pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t]), rep, n, pa.array(raw, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "t", "key", "rep", "n", "raw"])
+                    cols, names = [label, pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t])], ["label", "dim", "t", "key"]
+                    if whole:
+                        cols, names = [*cols, rep, n, pa.array(raw, pa.binary())], [*names, "rep", "n", "raw"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -107,9 +113,9 @@ def _coded(bits: int, tables: int):
 class Group:
     """The vectors of one group and pair of blocks, ready to be compared."""
 
-    def __init__(self, coder: Coder, rows: pd.DataFrame, threshold: float):
+    def __init__(self, coder: Coder, rows: pd.DataFrame, threshold: float, kind: str):
         self.threshold, self.table = threshold, int(rows["t"].iloc[0])
-        self.unit = unit_rows(rows["raw"].tolist())
+        self.unit = unit_rows(rows["raw"].tolist(), kind)
         self.turned, self.signs, self.factor = coder.code(self.unit)
         self.keys = coder.keys(self.unit)[:, : self.table]
         self.rep, self.weight, self.side = (rows[c].to_numpy() for c in ("rep", "n", "side"))
@@ -161,12 +167,12 @@ class Group:
         return np.concatenate([self.rep[some], left]), np.concatenate([counts[some], np.zeros(len(left), np.int64)]), np.concatenate([np.full(len(some), -1), right])
 
 
-def _small(coders: dict[int, Coder], df: pd.DataFrame, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _small(coders: dict[int, Coder], df: pd.DataFrame, size: np.ndarray, threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links in groups of at most ``SMALL`` vectors, all groups of a batch at once: row k is compared with rows k+1, k+2, ..."""
     gid = np.repeat(np.arange(len(size)), size)
     out = []
     for (dim, t), rows in df.groupby(["dim", "t"], sort=False):
-        g = Group(coders[dim], rows, threshold)
+        g = Group(coders[dim], rows, threshold, kind)
         own, reach = gid[rows.index.to_numpy()], bound(g.factor, dim)
         for d in range(1, SMALL):
             a = np.flatnonzero(own[d:] == own[:-d])
@@ -182,7 +188,7 @@ def _small(coders: dict[int, Coder], df: pd.DataFrame, size: np.ndarray, thresho
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _search(bits: int, tables: int, threshold: float):
+def _search(bits: int, tables: int, threshold: float, kind: str):
     """Rows sorted by group and pair of blocks -> (rep, n_links, other)."""
 
     def done(coders: dict[int, Coder], df: pd.DataFrame) -> pd.DataFrame:
@@ -195,10 +201,10 @@ def _search(bits: int, tables: int, threshold: float):
         parts = []
         for k in large:
             rows = df.iloc[start[k] : start[k + 1]]
-            parts.append(Group(coders[int(rows["dim"].iloc[0])], rows, threshold).result())
+            parts.append(Group(coders[int(rows["dim"].iloc[0])], rows, threshold, kind).result())
         rest = df[np.repeat(size <= SMALL, size)].reset_index(drop=True)
         if len(rest):
-            parts.append(_small(coders, rest, size[size <= SMALL], threshold))
+            parts.append(_small(coders, rest, size[size <= SMALL], threshold, kind))
         rep, n, other = (np.concatenate(c) for c in zip(*parts, strict=True))
         return pd.DataFrame({"rep": rep, "n_links": n, "other": other})
 
@@ -243,19 +249,22 @@ def usable(vectors: DataFrame, vector: str, label: str) -> F.Column:
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``key``, n_links, component_id, kept for every row: links join vectors of equal label with a cosine of at least ``threshold``."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = "f4" if isinstance(vectors.schema[vector].dataType.elementType, T.FloatType) else "f8"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if kind == "f4" else "array<double>").alias("vector"))
     rows = rows.withColumn("ok", usable(rows, "vector", "label")).withColumn("hash", F.xxhash64("label", "vector"))
     reps = cut(rows.where("ok and id is not null").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("hash").alias("hash")), "embedding-reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = plan(largest, threshold)
-    coded = reps.select("label", "rep", "n", "vector").mapInArrow(_coded(bits, tables), "label string, dim int, t int, key long, rep long, n long, raw binary")
-    coded = cut(coded, "embedding-codes")
-    hot = coded.groupBy(*GROUP).agg(F.count("*").alias("size")).where(F.col("size") > block)
-    dealt = coded.join(hot, GROUP, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+    base, names = reps.select("label", "rep", "n", "vector"), "label string, dim int, t int, key long"
+    hot = base.mapInArrow(_coded(bits, tables, kind, False), names).groupBy(*GROUP).agg(F.count("*").alias("size")).where(F.col("size") > block)
+    hot = cut(hot, "embedding-hot")
+    sized = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    coded = base.mapInArrow(_coded(bits, tables, kind, True), names + ", rep long, n long, raw binary")
+    dealt = coded.join(sized, GROUP, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     dealt = dealt.select(*GROUP, "p", "q", F.when(F.col("p") == F.col("q"), 0).otherwise(F.when(F.col("own") == F.col("p"), 1).otherwise(2)).alias("side"), "rep", "n", "raw")
     # both sides of a pair of blocks are in one group; a block with itself has one side
-    found = dealt.repartition(*GROUP, "p", "q").sortWithinPartitions(*GROUP, "p", "q").mapInPandas(_search(bits, tables, threshold), "rep long, n_links long, other long")
+    found = dealt.repartition(*GROUP, "p", "q").sortWithinPartitions(*GROUP, "p", "q").mapInPandas(_search(bits, tables, threshold, kind), "rep long, n_links long, other long")
     found = cut(found, "embedding-links")
     counts = found.where("other < 0").groupBy("rep").agg(F.sum("n_links").alias("others"))
     groups = components(found.where("other >= 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))

@@ -383,14 +383,16 @@ def test_archive_layout(spark, tmp_path):
 # --- vectors
 
 
-@pytest.mark.parametrize(("block", "small"), [(2048, 64), (7, 4)])
-def test_vectors(spark, monkeypatch, block, small):
+@pytest.mark.parametrize(("block", "small", "kind"), [(2048, 64, "double"), (7, 4, "double"), (7, 4, "float")])
+def test_vectors(spark, monkeypatch, block, small, kind):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
     near = base[rng.integers(0, 8, 120)] + 0.12 * rng.standard_normal((120, 16))
     rows = [(k, v.tolist(), k % 2) for k, v in enumerate(np.concatenate([base, near]))]
     rows += [(500, rows[0][1], 0), (501, rows[0][1], 0), (502, rows[0][1], 1), (503, rows[0][1], None), (504, None, 0), (505, [0.0] * 16, 0), (506, [float("nan")] * 16, 0), (507, [1.0, None] * 8, 0), (508, [float("inf")] + [0.0] * 15, 0), (509, [1.0, 2.0], 0), (510, [2.0, 4.0], 0), (511, [], 0), (512, [1e200] * 16, 0), (513, [1e-200] * 16, 0), (None, rows[0][1], 0), (514, rows[0][1], 0), (514, rows[0][1], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("clash")).repartition(3)
+    if kind == "float":
+        rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v if x is None or not np.isfinite(x) or abs(x) < 1e30], k) for i, v, k in rows]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").withColumn("rep", F.lit("clash")).repartition(3)
     monkeypatch.setattr(embedding, "SMALL", small)
     got = embedding.near_duplicates(df, block=block).collect()
     assert len(got) == len(rows)
