@@ -26,16 +26,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: White space of Unicode, the pieces of the vocabulary's pre-tokenizer, the byte alphabet's printable ranges.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
-#: A worker keeps the results of pieces and words up to this length until its memo is full; frequent ones come early.
-MEMO_LENGTH, MEMO_SIZE = 64, 250_000
+#: A worker keeps the results of words and pieces up to this length, two generations of so many.
+MEMO_LENGTH, MEMO_WORDS, MEMO_PIECES = 64, 70_000, 40_000
 #: str.split() takes these four separators for white space, which the vocabulary's pre-tokenizer does not.
 NOT_SPACE, SPACES = regex.compile("[\x1c-\x1f]").search, regex.compile(f"[^{SPACE}]+").findall
 
 
+class Memo:
+    """The latest results: when the young generation is full it becomes the old one, from which what is asked for comes back."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def rest(self) -> None:
+        """Between tasks one generation is enough."""
+        self.old = {}
+
+    def put(self, key: str, value):
+        if len(key) <= MEMO_LENGTH:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file; one instance lives in each Python worker."""
 
@@ -56,8 +82,7 @@ class Bpe:
         self.last = [self.vocab[letters[b] + self.suffix] for b in range(256)]
         self.pieces = regex.compile(PIECE).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[tuple[int, str, str]]] = {}
+        self.memo, self.words = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
 
     def merged(self, piece: str) -> list[int]:
         """Ids of one piece: the lowest-ranked, leftmost pair first, until no pair can be merged."""
@@ -92,12 +117,11 @@ class Bpe:
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, ids and vocabulary strings of one piece, kept for the next time."""
-        if (known := self.memo.get(piece)) is None:
-            ids = self.merged(piece)
-            known = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(piece) <= MEMO_LENGTH and len(self.memo) < MEMO_SIZE:
-                self.memo[piece] = known
-        return known
+        return self.memo.get(piece) or self.memo.put(piece, self._piece(piece))
+
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        ids = self.merged(piece)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def word(self, word: str) -> list[tuple[int, str, str]]:
         """The pieces of a run without white space. No piece, composition or case rule reaches over white space."""
@@ -105,9 +129,7 @@ class Bpe:
         known = [self.piece(p) for p in self.pieces(part)]
         if len(known) > 1:
             known = [(sum(p[0] for p in known), " ".join([p[1] for p in known]), " ".join([p[2] for p in known]))]
-        if len(word) <= MEMO_LENGTH and len(self.words) < MEMO_SIZE:
-            self.words[word] = known
-        return known
+        return self.words.put(word, known)
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """(number of ids, ids, vocabulary strings) of stretches of the text, in order."""
@@ -116,10 +138,11 @@ class Bpe:
             if n % 2:
                 out.append((1, str(self.special[part]), part))
                 continue
-            known = self.words.get
+            young = self.words.young.get
             for w in SPACES(part) if NOT_SPACE(part) else part.split():
-                if (p := known(w)) is None:
+                if (p := young(w)) is None and (p := self.words.get(w)) is None:
                     p = self.word(w)
+                    young = self.words.young.get
                 out += p
         return out
 
@@ -139,7 +162,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
     """``docs`` with ``ids`` (array<int>), the encoded text, and ``n_tokens``. The vocabulary's path must be readable by every executor."""
 
     run = F.pandas_udf(_series_encoder(vocab_path), T.ArrayType(T.IntegerType()))
-    return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit("")))).withColumn("n_tokens", F.size(ids).cast("long"))
+    return small_batches(docs).withColumn(ids, run(F.coalesce(F.col(text), F.lit("")))).withColumn("n_tokens", F.size(ids).cast("long"))
 
 
 def _series_encoder(vocab_path: str):
@@ -185,6 +208,8 @@ def encode_digest(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFr
             if ids:
                 cols, names = [*cols, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.memo.rest()
+        bpe.words.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: A word is a run of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,6 +62,14 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session from now on hands rows to Python ``BATCH_ROWS`` at a time, as texts are long, or fewer if it does so already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """True for the fifth of the documents that nothing may be learned from."""
     return F.crc32(F.col(key).cast("string")) % 5 == 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Sizes of n-grams run from 1 to 4: the masks in ``Scorer.counts`` are written for these.
 SIZES, PROFILE, DOC_PROFILE = (1, 2, 3, 4), 400, 300
@@ -34,6 +34,8 @@ _words = regex.compile(r"\p{L}+").findall
 #: Multipliers of the n-grams' hash and of the lookup tables.
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 TABLE_BITS, PAD = 18, ord("_")
+#: Word counts that a training task holds before it gives them out.
+HELD_WORDS = 100_000
 
 
 def words(text: str) -> Counter:
@@ -58,7 +60,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, lang in zip(b.column(0), b.column(1), strict=True):
             held.setdefault(lang.as_py(), Counter()).update(words(text.as_py() or ""))
-        if sum(map(len, held.values())) > 200_000:
+        if sum(map(len, held.values())) > HELD_WORDS:
             yield out()
     yield out()
 
@@ -71,7 +73,7 @@ def _grams(padded: F.Column, k: int) -> F.Column:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, dict[str, int]]:
     """Profiles (language -> n-gram -> rank) of all rows of ``docs`` with a language. Driver: languages x ``size`` rows."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = small_batches(docs).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
     cut = F.filter(F.flatten(F.array_compact(F.array(*[_grams(padded, k) for k in SIZES]))), lambda g: g != "_")
@@ -185,7 +187,7 @@ def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text: str = "t
             yield pd.DataFrame([scorer.score(t) for t in s], columns=["lang", "score"], index=s.index).astype({"lang": object, "score": float})
 
     named = F.pandas_udf(run, "lang string, score double")
-    return docs.withColumn("__lang", named(F.col(text))).withColumn(out, F.col("__lang.lang")).withColumn(score, F.col("__lang.score")).drop("__lang")
+    return small_batches(docs).withColumn("__lang", named(F.col(text))).withColumn(out, F.col("__lang.lang")).withColumn(score, F.col("__lang.score")).drop("__lang")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 FILTERS, WIDTH, CHUNK = 24, 6, 512
 SAMPLE, LONGEST = 4000, 20_000
@@ -160,7 +160,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score")
         for s in it:
             yield pd.Series([net.score(t) for t in s], index=s.index, dtype=float)
 
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit(""))))
+    return small_batches(docs).withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit(""))))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small_batches
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 8
 #: More distinct fingerprints than this on one key are searched in blocks of BLOCK.
@@ -61,7 +61,7 @@ def _fingerprints(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with ``out``: the fingerprint as a signed long."""
-    return docs.withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
+    return small_batches(docs).withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
 
 
 def _byte(k: int, of: str = "fp") -> str:

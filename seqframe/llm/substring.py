@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 LENGTH = 35
 #: A perfect difference set modulo 21.
@@ -213,7 +213,7 @@ def kept_words(words: list[bytes], at: np.ndarray, length: int = LENGTH) -> list
 
 def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    flagged = _flagged(_named(docs), length)
+    flagged = _flagged(_named(small_batches(docs)), length)
     key = "doc_id" if "doc_id" in flagged.columns else "rid"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: The skippable frame's magic number, the profile that a revisit names.
 MAGIC = 0x184D2A5D
@@ -150,7 +150,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return cut(roles(pages).mapInArrow(run, "name string, n_records long, data binary"), "warc")
+    return cut(roles(small_batches(pages)).mapInArrow(run, "name string, n_records long, data binary"), "warc")
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
