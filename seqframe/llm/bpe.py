@@ -32,33 +32,21 @@ from .common import small_batches
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
-#: A worker keeps the results of words and pieces up to this length, two generations of so many.
-MEMO_LENGTH, MEMO_WORDS, MEMO_PIECES = 64, 70_000, 40_000
+#: A worker keeps the results of so many words and pieces up to this length.
+MEMO_LENGTH, MEMO_WORDS, MEMO_PIECES = 64, 250_000, 250_000
 #: str.split() takes these four separators for white space, which the vocabulary's pre-tokenizer does not.
 NOT_SPACE, SPACES = regex.compile("[\x1c-\x1f]").search, regex.compile(f"[^{SPACE}]+").findall
 
 
 class Memo:
-    """The latest results: when the young generation is full it becomes the old one, from which what is asked for comes back."""
+    """Results of short keys, kept until there are ``size`` of them; frequent ones come early."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key: str):
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def rest(self) -> None:
-        """Between tasks one generation is enough."""
-        self.old = {}
+        self.size, self.kept = size, {}
 
     def put(self, key: str, value):
-        if len(key) <= MEMO_LENGTH:
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+        if len(key) <= MEMO_LENGTH and len(self.kept) < self.size:
+            self.kept[key] = value
         return value
 
 
@@ -117,7 +105,7 @@ class Bpe:
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, ids and vocabulary strings of one piece, kept for the next time."""
-        return self.memo.get(piece) or self.memo.put(piece, self._piece(piece))
+        return self.memo.kept.get(piece) or self.memo.put(piece, self._piece(piece))
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
         ids = self.merged(piece)
@@ -138,11 +126,10 @@ class Bpe:
             if n % 2:
                 out.append((1, str(self.special[part]), part))
                 continue
-            young = self.words.young.get
+            known = self.words.kept.get
             for w in SPACES(part) if NOT_SPACE(part) else part.split():
-                if (p := young(w)) is None and (p := self.words.get(w)) is None:
+                if (p := known(w)) is None:
                     p = self.word(w)
-                    young = self.words.young.get
                 out += p
         return out
 
@@ -208,8 +195,6 @@ def encode_digest(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFr
             if ids:
                 cols, names = [*cols, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        bpe.memo.rest()
-        bpe.words.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
