@@ -1,14 +1,13 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination by shingle containment, with an exact candidate search.
 
-Texts become sets of five-word shingles (lower case, runs of letters and numbers). Documents are partitioned by the size of
-their set, in powers of two; a partition's sketch has ``2 ** bits`` hash bins, at least ``ROOM`` for each shingle of its
-documents, and keeps the least hash of each bin. The bins grow with the documents, so a short item inside a long document
-still meets about four of five of its shingles there, however long the document is. A test item has a sketch for each
-partition; a document is a candidate for an item when a bin's least hash agrees. Candidates alone are read again and
-verified: the share of the item's shingles, compared as strings, that the document holds must be ``THRESHOLD`` or more.
+Texts become sets of five-word shingles (lower case, runs of letters and numbers). A document that holds ``needed`` of an
+item's n shingles holds at least one of any n - needed + 1 of them, so each item is entered in an index under that many of its
+shingle hashes, and a document is a candidate when one of all its shingle hashes is there: none that holds an item is missed,
+whatever the sizes of item and document. Candidates alone are read again and verified: the share of the item's shingles,
+compared as strings, that the document holds must be ``THRESHOLD`` or more.
 
-Everything is DataFrame expressions. Documents are not shuffled to find candidates: item sketches are broadcast while they
-have at most ``BROADCAST_ROWS`` rows, beyond that the join shuffles; so it is with candidates when they are read again.
+Everything is DataFrame expressions. Documents are not shuffled to find candidates: the index is broadcast while it has at
+most ``BROADCAST_ROWS`` rows, beyond that the join shuffles; so it is with candidates when they are read again.
 
 Defined cases: null or empty texts and texts of fewer than five words have no shingles, so such items are never found and
 such documents never match; repeated rows and copies are each reported; a null doc_id or item_id is reported as null. A
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Bins for each shingle at least, and the exponents of the smallest and the largest number of bins.
-ROOM, LEAST_BITS, MOST_BITS = 2, 3, 30
 BROADCAST_ROWS = 1_000_000
 
 
@@ -52,46 +49,36 @@ def shingle_strings(text: F.Column) -> F.Column:
 
 
 def shingle_hashes(text: F.Column) -> F.Column:
-    """Sorted distinct 64-bit hashes of a text's shingles; null if there are none."""
-    return F.sort_array(F.array_distinct(_shingled(text, lambda w, i: F.xxhash64(*[w[i + k] for k in range(WIDTH)]))))
+    """Distinct 64-bit hashes of a text's shingles; null if there are none."""
+    return F.array_distinct(_shingled(text, lambda w, i: F.xxhash64(*[w[i + k] for k in range(WIDTH)])))
 
 
-def size_bits(n: F.Column) -> F.Column:
-    """The partition of a set of n shingles: the exponent of its number of bins."""
-    return F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(n * ROOM)).cast("int")))
+def entered(hashes: F.Column, threshold: float) -> F.Column:
+    """The hashes under which an item is entered: so many that a document with ``threshold`` of the item's shingles has one of them."""
+    def body(h: F.Column) -> F.Column:
+        n = F.size(h)
+        return F.slice(h, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * F.lit(float(threshold))).cast("int") + 1))
 
-
-def least_of_bins(hashes: F.Column, bits: F.Column) -> F.Column:
-    """Of sorted hashes, the first of each bin; the bin is the hash's leading ``bits`` bits."""
-    def body(s: F.Column) -> F.Column:
-        away = F.lit(64) - bits
-        bin_of = lambda h: F.call_function("shiftrightunsigned", h, away)
-        return F.filter(s, lambda h, i: (i == 0) | (bin_of(h) != bin_of(s[F.greatest(i - 1, F.lit(0))])))
-
-    return _let(hashes, body)
+    return _let(F.sort_array(hashes), body)
 
 
 def _sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """rid, item: documents (rid, text) that share a bin's least hash with an item (item, text)."""
+def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """rid, item: documents (rid, text) that hold a shingle under which an item (item, text) is entered."""
     held = items.select("item", shingle_hashes(F.col("text")).alias("hashes")).where("hashes is not null")
-    bits = F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS)))
-    sketch = held.select("item", "hashes", bits.alias("bits")).select("item", "bits", F.explode(least_of_bins(F.col("hashes"), F.col("bits"))).alias("h"))
-    sketch = cut(sketch, "benchmark-sketch")
-    sets = docs.select("rid", shingle_hashes(F.col("text")).alias("hashes")).where("hashes is not null")
-    sets = sets.withColumn("bits", size_bits(F.size("hashes")))
-    rows = sets.select("rid", "bits", F.explode(least_of_bins(F.col("hashes"), F.col("bits"))).alias("h"))
-    return rows.join(_sized(sketch, sketch.count()), ["bits", "h"]).select("rid", "item").distinct()
+    index = cut(held.select("item", F.explode(entered(F.col("hashes"), threshold)).alias("h")).distinct(), "benchmark-index")
+    rows = docs.select("rid", F.explode(shingle_hashes(F.col("text"))).alias("h"))
+    return rows.join(_sized(index, index.count()), "h").select("rid", "item").distinct()
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: the items whose shingles a document holds to ``threshold`` or more."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), "text")
-    found = cut(candidates(named.select("rid", "text"), items.select("item", "text")), "benchmark-candidates")
+    found = cut(candidates(named.select("rid", "text"), items.select("item", "text"), threshold), "benchmark-candidates")
     of_doc = found.groupBy("rid").agg(F.collect_set("item").alias("items"))
     read = named.join(_sized(of_doc, found.count()), "rid").select("doc_id", "items", shingle_strings(F.col("text")).alias("doc_shingles"))
     pairs = read.select("doc_id", "doc_shingles", F.explode("items").alias("item"))

@@ -206,6 +206,13 @@ def test_decontamination(spark):
     assert decontaminate.report(df, bench.limit(0)).count() == 0 and decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_short_items_in_long_documents(spark):
+    items = [(k, " ".join(f"{w}{k}" for w in prose(5 + k % 4, 3000 + k).split(" "))) for k in range(60)]
+    rows = [(k, prose(700, 4000 + k) + " " + t + " " + prose(700, 5000 + k), "x") for k, t in items]
+    got = Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontaminate.report(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == plain_contained([(r[0], r[1]) for r in rows], items) and len(got) == 60
+
+
 def test_decontamination_beyond_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "_sized", lambda df, rows, limit=0: df)
     item = prose(30, 11)
