@@ -57,9 +57,10 @@ def qualify_id(col: Column, species: Column) -> Column:
 
 
 def base26(n: Column, width: int = 4) -> Column:
-    """A number as ``width`` letters, a = 0."""
+    """A number as ``width`` letters, a = 0; more letters from 26^width on."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
-    return F.concat(*[F.substr(letters, (F.floor(n / 26**k) % 26 + 1).cast("int"), F.lit(1)) for k in reversed(range(width))])
+    digit = lambda k: F.substr(letters, (F.floor(n / 26**k) % 26 + 1).cast("int"), F.lit(1))
+    return F.concat(*[digit(k) if k < width else F.when(n >= 26**k, digit(k)).otherwise("") for k in reversed(range(max(width, 14)))])
 
 
 def short_ids(labels: DataFrame, label: str = "label", prefix_length: int = 3) -> DataFrame:

@@ -215,3 +215,11 @@ def test_sample_is_reproducible_and_skips_small_groups(spark):
     one = rows(N.sample_n(df, ["species"], "cluster", 10, 3, 7).select("species", "draw", "cluster"))
     two = rows(N.sample_n(df.repartition(7), ["species"], "cluster", 10, 3, 7).select("species", "draw", "cluster"))
     assert one == two and len(one) == 30 and {r[0] for r in one} == {"y"}
+
+
+def test_base26_grows_past_four_letters(spark):
+    edge = 26**4
+    df = spark.createDataFrame([(0,), (27,), (edge - 1,), (edge,), (edge + 1,), (26**5 - 1,), (26**5,)], "n long")
+    assert [r[0] for r in df.select(S.base26(F.col("n"))).collect()] == ["aaaa", "aabb", "zzzz", "baaaa", "baaab", "zzzzz", "baaaaa"]
+    around = spark.range(edge - 3, edge + 3).select(S.base26(F.col("id")).alias("s"))
+    assert around.distinct().count() == 6 and spark.range(3).select(S.base26(F.col("id")).alias("s")).intersect(around).count() == 0
