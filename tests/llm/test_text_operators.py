@@ -270,6 +270,18 @@ def test_terms_that_reveal(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_terms_far_from_the_value_and_at_every_place(spark):
+    rows = [(k, f"Zebulon {prose(60, k)} zebulon {prose(60, 50 + k)} secret@mail.example.com {prose(60, 100 + k)} (zebulon), {prose(9, 150 + k)}", "x") for k in range(3)]
+    rows += [(10 + k, prose(40, 200 + k), "x") for k in range(60)]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    for k, text, _ in rows[:3]:
+        terms = [s.split(":") for s in got[k].split(",") if s.startswith("term")]
+        assert sorted((int(a), int(b)) for _, a, b in terms if text[int(a) : int(b)].lower() == "zebulon") == [m.span() for m in re.finditer("(?i)zebulon", text)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("zebulon" in clean[k].lower() or "secret" in clean[k] for k in range(3)) and clean[10] == rows[3][1]
+
+
 def test_sanitise_nulls_and_overlaps(spark):
     df = frame(spark, [(1, None, "x"), (2, "a 1.1.1.1@2.2.2.2 b", "x"), (None, "c@d.ee", "x"), (4, "😀 +49 30 1234567 é", "x")])
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
