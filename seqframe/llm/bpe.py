@@ -7,7 +7,8 @@ are skipped. Decoding joins vocabulary strings as the library does for a file wi
 
 Defined cases: a null text is an empty one; an empty text has no ids and decodes to an empty text; the strings of special
 tokens inside a text are those tokens; texts of any length are processed whole, piece by piece. Repeated rows get equal
-results; further columns stay untouched, and input columns named like an output are replaced by it.
+results and a null doc_id stays; further columns stay untouched, and input columns named like an output are replaced by it; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
-
 #: White space of Unicode, the pieces of the vocabulary's pre-tokenizer, the byte alphabet's printable ranges.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
-#: A worker keeps the results of so many words and pieces up to this length.
+#: A worker keeps the ids of so many words and pieces up to this length.
 MEMO_LENGTH, MEMO_WORDS, MEMO_PIECES = 64, 250_000, 250_000
 #: str.split() takes these four separators for white space, which the vocabulary's pre-tokenizer does not.
 NOT_SPACE, SPACES = regex.compile("[\x1c-\x1f]").search, regex.compile(f"[^{SPACE}]+").findall
@@ -60,6 +59,7 @@ class Bpe:
         self.suffix = j["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.token}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]]
         #: (left id, right id) as one number -> rank and merged id as one number, so that comparing numbers compares ranks.
         self.merge = {self.vocab[a] << 20 | self.vocab[b]: rank << 20 | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
@@ -103,41 +103,34 @@ class Bpe:
                     heapq.heappush(queue, v * n + p)
         return [i for i, x in zip(ids, gone) if not x]
 
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        """Number of ids, ids and vocabulary strings of one piece, kept for the next time."""
-        return self.memo.kept.get(piece) or self.memo.put(piece, self._piece(piece))
-
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        ids = self.merged(piece)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one piece, kept for the next time."""
+        return self.memo.kept.get(piece) or self.memo.put(piece, self.merged(piece))
 
-    def word(self, word: str) -> list[tuple[int, str, str]]:
-        """The pieces of a run without white space. No piece, composition or case rule reaches over white space."""
+    def word(self, word: str) -> list[int]:
+        """Ids of a run without white space. No piece, composition or case rule reaches over white space."""
         part = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        known = [self.piece(p) for p in self.pieces(part)]
-        if len(known) > 1:
-            known = [(sum(p[0] for p in known), " ".join([p[1] for p in known]), " ".join([p[2] for p in known]))]
-        return self.words.put(word, known)
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids, vocabulary strings) of stretches of the text, in order."""
-        out: list[tuple[int, str, str]] = []
-        for n, part in enumerate(self.specials.split(text) if self.specials and "<|" in text else [text]):
+        return self.words.put(word, [i for p in self.pieces(part) for i in self.piece(p)])
+
+    def encode(self, text: str | None) -> list[int]:
+        out: list[int] = []
+        known = self.words.kept.get
+        for n, part in enumerate(self.specials.split(text or "") if self.specials and "<|" in (text or "") else [text or ""]):
             if n % 2:
-                out.append((1, str(self.special[part]), part))
+                out.append(self.special[part])
                 continue
-            known = self.words.kept.get
             for w in SPACES(part) if NOT_SPACE(part) else part.split():
-                if (p := known(w)) is None:
-                    p = self.word(w)
-                out += p
+                ids = known(w)
+                out += self.word(w) if ids is None else ids
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text or "") for i in p[1].split(" ")]
-
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.token[i] for i in ids)
+        """The vocabulary strings of the ids, joined as the library does."""
+        return " ".join(map(self.token.__getitem__, ids))
+
+    def joined(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by one space."""
+        return " ".join(map(self.decimal.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -149,7 +142,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
     """``docs`` with ``ids`` (array<int>), the encoded text, and ``n_tokens``. The vocabulary's path must be readable by every executor."""
 
     run = F.pandas_udf(_series_encoder(vocab_path), T.ArrayType(T.IntegerType()))
-    return small_batches(docs).withColumn(ids, run(F.coalesce(F.col(text), F.lit("")))).withColumn("n_tokens", F.size(ids).cast("long"))
+    return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit("")))).withColumn("n_tokens", F.size(ids).cast("long"))
 
 
 def _series_encoder(vocab_path: str):
@@ -183,13 +176,12 @@ def encode_digest(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFr
         for b in batches:
             n, one, back, lists = [], [], [], []
             for text in b.column(1):
-                parts = bpe.parts(text.as_py() or "")
-                joined = " ".join([p[1] for p in parts])
-                n.append(sum(p[0] for p in parts))
-                one.append(sha256(joined.encode()).hexdigest())
-                back.append(sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                found = bpe.encode(text.as_py())
+                n.append(len(found))
+                one.append(sha256(bpe.joined(found).encode()).hexdigest())
+                back.append(sha256(bpe.decode(found).encode("utf-8", "surrogatepass")).hexdigest())
                 if ids:
-                    lists.append(np.array(joined.split(), np.int32))
+                    lists.append(np.array(found, np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
@@ -197,4 +189,4 @@ def encode_digest(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

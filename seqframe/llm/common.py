@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,17 @@ BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A table of more bytes than this is not broadcast; its join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="seqframe-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -49,9 +57,28 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _made:
+        made.append(out)
     return out
 
 
+#: Lists of the tables that ``cut`` makes, one for each ``scratch`` that is open.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Drops, at its end, the tables that ``cut`` made meanwhile, but for those taken off the list that it gives."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made[:] = [m for m in _made if m is not made]
+        for t in made:
+            drop(t)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by ``cut`` that nothing reads any more."""
     path = getattr(df, "_cut_path", None)
@@ -62,12 +89,35 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session from now on hands rows to Python ``BATCH_ROWS`` at a time, as texts are long, or fewer if it does so already."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
-        conf.set(BATCH_KEY, str(BATCH_ROWS))
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """For an application to call: its session hands rows to Python ``BATCH_ROWS`` at a time, as texts are long, or fewer if it does
+    so already. Operators leave the setting alone: it is read when a result is computed, which is after they return."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
+def row_name(*cols: str | F.Column) -> F.Column:
+    """A name of 128 bits for what a row holds in ``cols``: rows share it if these are equal."""
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with as many ``_`` behind it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fits(df: DataFrame, width: int | F.Column, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a written table, of ``width`` bytes each, take at most ``most`` bytes."""
+    per = F.lit(width) if isinstance(width, int) else width
+    return (df.agg(F.sum(per.cast("long"))).first()[0] or 0) <= most
+
+
+def sized(df: DataFrame, width: int | F.Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, to be broadcast if it fits."""
+    return F.broadcast(df) if fits(df, width, most) else df
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -1,100 +1,135 @@
-"""Benchmark decontamination by shingle containment, with an exact candidate search.
-
-Texts become sets of five-word shingles (lower case, runs of letters and numbers). A document that holds ``needed`` of an
-item's n shingles holds at least one of any n - needed + 1 of them, so each item is entered in an index under that many of its
-shingle hashes, and a document is a candidate when one of all its shingle hashes is there: none that holds an item is missed,
-whatever the sizes of item and document. Candidates alone are read again and verified: the share of the item's shingles,
-compared as strings, that the document holds must be ``THRESHOLD`` or more.
-
-Everything is DataFrame expressions. Documents are not shuffled to find candidates: the index is broadcast while it has at
-most ``BROADCAST_ROWS`` rows, beyond that the join shuffles; so it is with candidates when they are read again.
-
-Defined cases: null or empty texts and texts of fewer than five words have no shingles, so such items are never found and
-such documents never match; repeated rows and copies are each reported; a null doc_id or item_id is reported as null. A
-table without rows gives no rows. Only doc_id, text and item_id are read.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+
+Texts become sets of shingles of five words (lower case, runs of letters and numbers); an item of fewer words is one shingle, its
+whole sequence, and documents are cut into shingles of each width that items have. A document that holds ``needed`` of an item's n
+shingles, the least number that is ``THRESHOLD`` of them, holds one of any n - needed + 1 of them. So items are partitioned by
+size, and each keeps a MinHash sketch of its least n - needed + 1 shingle hashes, those last that many items share. A document is a
+candidate if one of all its shingle hashes is in a sketch and it has at least ``needed`` shingles: none that holds an item is
+missed, whatever the sizes of item and document. Documents themselves are not sketched: a sketch of a long document loses short
+items. Candidates alone are read again and verified: the item's shingles, compared as strings, that the document holds.
+
+Everything is DataFrame expressions. Documents are not shuffled to find candidates while the sketches, of fixed width, take no more
+than ``BROADCAST_BYTES``; beyond that the join shuffles. So it is with candidates when they are read again, and with items.
+
+Defined cases: null or empty texts and those without a word have no shingles, so such items are never found and such documents
+never match; repeated rows and copies are each reported; a null doc_id or item_id is reported as null. A table without rows gives
+no rows. The words and shingles of one text are held by one task, some ten times its length. Only doc_id, text and item_id are
+read; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fits, row_name, sized, unused
 
 WIDTH, THRESHOLD = 5, 0.8
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of names and numbers in memory: of a sketch, a candidate or a name.
+ROW_BYTES = 64
 
 
-def _let(value: F.Column, body) -> F.Column:
+def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def words(text: F.Column) -> F.Column:
+def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _shingled(text: F.Column, shingle) -> F.Column:
-    """``shingle(words, start)`` for every start, as an array; no words, no shingles."""
-    def body(w: F.Column) -> F.Column:
-        n = F.size(w) - (WIDTH - 1)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: shingle(w, i)))
+def _start(shingle, w: Column, width: int):
+    return lambda i: shingle(w, i, width)
+
+
+def _of_widths(text: Column, widths: list[int], shingle) -> Column:
+    """The distinct shingles of the widths; null if there are none."""
+    def body(w: Column) -> Column:
+        each = [F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), _start(shingle, w, k))) for k in widths]
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*each))) if len(each) > 1 else each[0])
 
     return _let(words(text), body)
 
 
-def shingle_strings(text: F.Column) -> F.Column:
-    """The distinct shingles of a text; null if there are none."""
-    return F.array_distinct(_shingled(text, lambda w, i: F.array_join(F.slice(w, i + 1, WIDTH), " ")))
+def _string(w: Column, i: Column, width: int) -> Column:
+    return F.array_join(F.slice(w, i + 1, width), " ")
+
+
+def _hash(w: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(*[w[i + k] for k in range(width)])
+
+
+def shingle_strings(text: Column, widths: list[int]) -> Column:
+    """The distinct shingles of a text; null or empty if there are none."""
+    return _of_widths(text, widths, _string)
+
+
+def shingle_hashes(text: Column, widths: list[int]) -> Column:
+    """Distinct 64-bit hashes of a text's shingles; null or empty if there are none."""
+    return _of_widths(text, widths, _hash)
+
 
+def needed(n: Column, threshold: float) -> Column:
+    """The least number of an item's ``n`` shingles that reaches the threshold."""
+    return F.ceil(n * F.lit(float(threshold))).cast("int")
 
-def shingle_hashes(text: F.Column) -> F.Column:
-    """Distinct 64-bit hashes of a text's shingles; null if there are none."""
-    return F.array_distinct(_shingled(text, lambda w, i: F.xxhash64(*[w[i + k] for k in range(WIDTH)])))
 
+def _by_width(items: DataFrame, make, out: str) -> DataFrame:
+    """``items`` (with a column width) with ``out``: the shingles of each item at its own width."""
+    made = F.coalesce(*[F.when(F.col("width") == k, make(F.col("text"), [k])) for k in range(1, WIDTH + 1)])
+    return items.withColumn(out, made)
 
-def entered(hashes: F.Column, threshold: float) -> F.Column:
-    """The hashes under which an item is entered: so many that a document with ``threshold`` of the item's shingles has one of them."""
-    def body(h: F.Column) -> F.Column:
-        n = F.size(h)
-        return F.slice(h, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * F.lit(float(threshold))).cast("int") + 1))
 
-    return _let(F.sort_array(hashes), body)
+def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """item, h, needed: the sketch of every item (item, text, width)."""
+    rows = _by_width(items, shingle_hashes, "hashes").withColumn("n", F.size("hashes")).select("item", "n", F.explode("hashes").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("items"))
+    least = F.row_number().over(W.partitionBy("item").orderBy("items", "h"))
+    need = needed(F.col("n"), threshold)
+    return rows.join(shared, "h").withColumn("least", least).where(F.col("least") <= F.col("n") - need + 1).select("item", "h", need.alias("needed"))
 
 
-def _sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+def with_width(items: DataFrame) -> DataFrame:
+    """``items`` that have a word, with the width of their shingles."""
+    return items.withColumn("width", F.least(F.lit(WIDTH), F.size(words(F.col("text"))))).where("width > 0")
 
 
-def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rid, item: documents (rid, text) that hold a shingle under which an item (item, text) is entered."""
-    held = items.select("item", shingle_hashes(F.col("text")).alias("hashes")).where("hashes is not null")
-    index = cut(held.select("item", F.explode(entered(F.col("hashes"), threshold)).alias("h")).distinct(), "benchmark-index")
-    rows = docs.select("rid", F.explode(shingle_hashes(F.col("text"))).alias("h"))
-    return rows.join(_sized(index, index.count()), "h").select("rid", "item").distinct()
+def candidates(docs: DataFrame, items: DataFrame, widths: list[int], threshold: float = THRESHOLD) -> DataFrame:
+    """rid, item: documents (rid, text) that hold a shingle of the sketch of an item (item, text, width)."""
+    index = cut(sketches(items, threshold), "benchmark-sketches")
+    hashes = docs.select("rid", shingle_hashes(F.col("text"), widths).alias("hashes"))
+    rows = hashes.select("rid", F.size("hashes").alias("m"), F.explode("hashes").alias("h"))
+    return rows.join(sized(index, ROW_BYTES), "h").where("m >= needed").select("rid", "item").distinct()
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment: the items whose shingles a document holds to ``threshold`` or more."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), "text")
-    found = cut(candidates(named.select("rid", "text"), items.select("item", "text"), threshold), "benchmark-candidates")
-    of_doc = found.groupBy("rid").agg(F.collect_set("item").alias("items"))
-    read = named.join(_sized(of_doc, found.count()), "rid").select("doc_id", "items", shingle_strings(F.col("text")).alias("doc_shingles"))
-    pairs = read.select("doc_id", "doc_shingles", F.explode("items").alias("item"))
-    shingles = items.select("item_id", "item", shingle_strings(F.col("text")).alias("item_shingles")).where("item_shingles is not null")
+def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """``key``, item_id, n_shared, n_shingles, containment: the items whose shingles a document holds to ``threshold`` or more."""
+    named = docs.select(F.col(key).alias("key"), row_name("doc_id", "text").alias("rid"), "text")
+    items = with_width(benchmark.select(F.col("item_id").cast("long").alias("item_id"), row_name("item_id", "text").alias("item"), "text"))
+    items = cut(items, "benchmark-items")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [WIDTH]
+    found = cut(candidates(named.select("rid", "text"), items.select("item", "text", "width").dropDuplicates(["item"]), widths, threshold), "benchmark-candidates")
+    of_doc = found.groupBy("rid").agg(F.collect_list("item").alias("items"))
+    of_doc = F.broadcast(of_doc) if fits(found, ROW_BYTES) else of_doc
+    read = named.join(of_doc, "rid").select("key", "items", shingle_strings(F.col("text"), widths).alias("doc_shingles"))
+    pairs = read.select("key", "doc_shingles", F.explode("items").alias("item"))
+    shingles = _by_width(items, shingle_strings, "item_shingles").select("item_id", "item", "item_shingles")
+    # an item's shingles of five words take some ten times its text
+    shingles = F.broadcast(shingles) if fits(items, F.length("text") * 10 + ROW_BYTES) else shingles
     shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
-    joined = pairs.join(_sized(shingles, items.count(), BROADCAST_ROWS // 100), "item").select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_shingles"))
-    return joined.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= threshold * F.col("n_shingles"))
+    joined = pairs.join(shingles, "item").select(F.col("key").alias(key), "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_shingles"))
+    return joined.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= needed(F.col("n_shingles"), threshold))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold an item. Rows are named by doc_id and text, so a row with a null doc_id can go too."""
-    hits = contained(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), benchmark, threshold).select(F.col("doc_id").alias("__rid")).distinct()
-    hits = cut(hits, "benchmark-hits")
-    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(_sized(hits, hits.count()), "__rid", "left_anti").select(docs.columns)
+    rid = unused(docs, "rid")
+    named = docs.withColumn(rid, row_name("doc_id", "text"))
+    hits = cut(contained(named, benchmark, threshold, rid).select(rid).distinct(), "benchmark-hits")
+    return named.join(sized(hits, ROW_BYTES), rid, "left_anti").select(docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment."""
-    return contained(docs, benchmark)
+    return contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)

@@ -9,8 +9,9 @@ The network is fitted on the driver on a bounded random sample of the labelled r
 rows, none of more than ``LONGEST`` characters. Scoring reads every text whole, in stretches of bounded memory.
 
 Defined cases: a null text is an empty one; texts shorter than a filter are padded with zero bytes; with no labelled row, or
-with one label only, the score is the share of label 1 (0.5 with no row). Repeated rows get equal scores; labels, language,
-source and doc_id are never inputs.
+with one label only, the score is the share of label 1 (0.5 with no row); labels that are null or of no document teach nothing.
+Repeated rows get equal scores; labels, language, source and doc_id are never inputs. Further columns stay, but for one named like
+the output, which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out
 
 FILTERS, WIDTH, CHUNK = 24, 6, 512
 SAMPLE, LONGEST = 4000, 20_000
@@ -140,15 +141,16 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Network:
     """A network for ``target`` from about ``sample`` labelled rows of ``docs`` that are not held out, at random by doc_id.
 
-    A document with several labels counts once, with its largest. The sample's rows are chosen by a hash before the join, so
-    that only about ``sample`` texts reach the driver.
+    A document with several labels counts once, with its largest, and so does one of several rows, with the text that sorts first.
+    The sample's rows are chosen by a 64-bit hash before the join, so that only about ``sample`` texts reach the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
     n = known.count()
     if n > sample:
-        known = known.where(F.expr(f"pmod(xxhash64(doc_id, 'sample'), 1000000) < {1_000_000 * sample // n}"))
-    rows = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(known) if n <= 1_000_000 else known, "doc_id").select("doc_id", "text", "label")
-    got = sorted((r for r in rows.collect() if r["text"] is not None), key=lambda r: (r["doc_id"], r["text"]))
+        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1) < F.lit((sample << 63) // n))
+    # at most about ``sample`` rows of two numbers
+    rows = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").collect()
     return train([r["text"] for r in got], [int(r["label"] > 0) for r in got])
 
 
@@ -160,7 +162,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score")
         for s in it:
             yield pd.Series([net.score(t) for t in s], index=s.index, dtype=float)
 
-    return small_batches(docs).withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit(""))))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

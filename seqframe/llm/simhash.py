@@ -13,7 +13,8 @@ all pairs, so components lose no link. Components are found by star rounds on li
 
 Defined cases: null and empty texts and those without words have fingerprint zero, which links like any other; fewer than
 three words are one shingle; a null doc_id keeps its row and fingerprint and takes the component of its fingerprint; repeated
-rows stay. Further columns stay; ``fingerprint`` and ``component_id`` are replaced if the input has them.
+rows stay; texts are read whole, a very long one in strides; an empty table gives no rows. Further columns stay, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, row_name, sized, unused
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 8
 #: More distinct fingerprints than this on one key are searched in blocks of BLOCK.
 HOT, BLOCK = 128, 2048
+#: Bytes of a row's name in memory.
+NAME_BYTES = 64
 #: Shingles whose bits are counted at once.
 STRIDE = 1 << 16
 
@@ -61,7 +64,7 @@ def _fingerprints(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with ``out``: the fingerprint as a signed long."""
-    return small_batches(docs).withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
+    return docs.withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
 
 
 def _byte(k: int, of: str = "fp") -> str:
@@ -137,11 +140,11 @@ def links(fps: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``key``, rid (hash of key and text), fp (signed long), component_id.
+    """One row per input row: ``key``, rid (a name for key and text), fp (signed long), component_id.
 
     component_id is the smallest key reachable by links of at most 3 bits.
     """
-    rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias(key), row_name(F.col(key).cast("long"), text).alias("rid"), F.col(text).alias("text"))
     fp = cut(with_fingerprint(rows).select(key, "rid", "fp"), "simhash-fp")
     reps = cut(fp.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-reps")
     groups = components(links(reps.select("fp")))
@@ -156,19 +159,20 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key. Rows with a null key are kept: nothing names them.
 
-    The names of the rows that go are fewer than the documents; they are broadcast up to ``broadcast_rows``, beyond that the
-    join shuffles. Equal rows are reduced to one only where there are any.
+    The names of the rows that go are fewer than the documents; they are broadcast while they fit, beyond that the join shuffles.
+    Equal rows are reduced to one only where there are any.
     """
     near = cut(near_duplicates(docs, key, text), "simhash-groups")
-    gone = near.where(F.col(key) != F.col("component_id")).select(F.col("rid").alias("__rid")).distinct()
-    twice = near.where(F.col(key) == F.col("component_id")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("__rid"))
-    sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    named = docs.withColumn("__rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
-    kept = named.join(sized(gone), "__rid", "left_anti")
+    rid = unused(docs, "rid")
+    out = near.where(F.col(key) != F.col("component_id")).select("rid").distinct()
+    gone = cut(out.toDF(rid), "simhash-gone")
+    twice = cut(near.where(F.col(key) == F.col("component_id")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid").toDF(rid), "simhash-twice")
+    named = docs.withColumn(rid, row_name(F.col(key).cast("long"), text))
+    kept = named.join(sized(gone, NAME_BYTES), rid, "left_anti")
     if not twice.isEmpty():
-        again = kept.join(sized(twice), "__rid", "left_semi").dropDuplicates(["__rid"])
-        kept = kept.join(sized(twice), "__rid", "left_anti").unionByName(again)
+        again = kept.join(sized(twice, NAME_BYTES), rid, "left_semi").dropDuplicates([rid])
+        kept = kept.join(sized(twice, NAME_BYTES), rid, "left_anti").unionByName(again)
     return kept.select(docs.columns)

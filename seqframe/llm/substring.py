@@ -10,10 +10,11 @@ No pairs are made. A task first marks the anchors (or windows) that occur again
 goes on, marked or not; so a passage that a third of the documents share sends at most one row from each block of a task
 to the place where its occurrences meet, and every other row is already known to be repeated.
 
-A row is named by its doc_id where these are unique, else by a hash of doc_id and text: equal rows then share the name and,
-being equal, the result. Texts are shuffled once, by that name. Defined cases: null and
-empty texts have no words; documents shorter than a window lose nothing; copies and repeated rows of LENGTH words or more
-lose everything; a null doc_id is kept. Words are taken unchanged; texts are read whole.
+A row is named by its doc_id where these are unique, else by a running number in a written copy of the rows. Texts are shuffled
+once, by that name. Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; copies and
+repeated rows of LENGTH words or more lose everything; a null doc_id is kept; an empty table gives no rows. Words are taken
+unchanged; texts are read whole, and a task holds some numbers for each word of the one it works on. Only doc_id and text are read,
+whatever else there is.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut
 
 LENGTH = 35
 #: A perfect difference set modulo 21.
@@ -186,7 +187,7 @@ def _named(docs: DataFrame) -> DataFrame:
     n, some, distinct = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == some == distinct:
         return rows.select(F.col("doc_id").alias("rid"), "text")
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    return cut(rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text"), "substring-named")
 
 
 def _flagged(named: DataFrame, length: int) -> DataFrame:
@@ -213,7 +214,7 @@ def kept_words(words: list[bytes], at: np.ndarray, length: int = LENGTH) -> list
 
 def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    flagged = _flagged(_named(small_batches(docs)), length)
+    flagged = _flagged(_named(docs), length)
     key = "doc_id" if "doc_id" in flagged.columns else "rid"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

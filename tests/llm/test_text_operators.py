@@ -1,5 +1,6 @@
 """The operators on edge cases, against plain versions."""
 
+import binascii
 import hashlib
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -123,9 +125,9 @@ def test_components_of_a_chain_and_odd_edges(spark):
 
 
 def test_deduplicate_keeps_one_of_each(docs):
-    kept = simhash.deduplicate(docs.withColumn("fp", F.lit("own")).withColumn("component_id", F.lit(0)))
+    kept = simhash.deduplicate(docs.withColumns({"fp": F.lit("own"), "component_id": F.lit(0), "rid": F.lit(7), "__rid": F.lit(8)}))
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
-    assert kept.columns == [*docs.columns, "fp", "component_id"]
+    assert kept.columns == [*docs.columns, "fp", "component_id", "rid", "__rid"] and {(r["rid"], r["__rid"]) for r in kept.collect()} == {(7, 8)}
     report = {r["doc_id"]: r["component_id"] for r in simhash.report(docs).collect()}
     assert ids == sorted([i for i, c in report.items() if i is not None and i == c] + [None], key=str)
 
@@ -176,22 +178,25 @@ def test_substring_too_short_window(docs):
 
 
 def plain_contained(docs, items, threshold=0.8):
-    def shingles(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def shingles(w, width):
+        return {" ".join(w[k : k + width]) for k in range(len(w) - width + 1)}
 
     out = Counter()
     for i, t in docs:
-        s = shingles(t)
         for j, u in items:
-            q = shingles(u)
+            width = min(5, len(words(u)))
+            q = shingles(words(u), width) if width else set()
+            s = shingles(words(t), width) if q else q
             if q and len(q & s) >= threshold * len(q):
                 out[i, j, len(q & s), len(q)] += 1
     return out
 
 
 def test_decontamination(spark):
-    items = [(1, prose(30, 11)), (2, prose(60, 12)), (3, "too few words"), (4, None), (5, ""), (None, prose(20, 13)), (7, prose(30, 11))]
+    items = [(1, prose(30, 11)), (2, prose(60, 12)), (3, "too few words"), (4, None), (5, " -- "), (None, prose(20, 13)), (7, prose(30, 11))]
     partly = items[1][1].split(" ")
     partly[30] = "other"
     worse = list(partly)
@@ -200,21 +205,30 @@ def test_decontamination(spark):
     df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9))
     got = Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontaminate.report(df, bench).collect())
     assert got == plain_contained([(r[0], r[1]) for r in rows], items)
-    kept = decontaminate.decontaminate(df.withColumn("hashes", F.lit(1)), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if not any(k[0] == r[0] for k in got))
-    assert kept.columns == [*df.columns, "hashes"]
+    kept = decontaminate.decontaminate(df.withColumns({"hashes": F.lit(1), "RID": F.col("doc_id"), "__rid": F.lit(2)}), bench)
+    assert sorted(r["RID"] for r in kept.collect()) == sorted(r[0] for r in rows if not any(k[0] == r[0] for k in got))
+    assert kept.columns == [*df.columns, "hashes", "RID", "__rid"] and {r["__rid"] for r in kept.collect()} == {2}
     assert decontaminate.report(df, bench.limit(0)).count() == 0 and decontaminate.report(df.limit(0), bench).count() == 0
 
 
 def test_short_items_in_long_documents(spark):
-    items = [(k, " ".join(f"{w}{k}" for w in prose(5 + k % 4, 3000 + k).split(" "))) for k in range(60)]
-    rows = [(k, prose(700, 4000 + k) + " " + t + " " + prose(700, 5000 + k), "x") for k, t in items]
+    items = [(k, " ".join(f"{w}{k}" for w in prose(1 + k % 8, 3000 + k).split(" "))) for k in range(80)]
+    rows = [(k, prose(700, 4000 + k) + " " + t + " " + prose(700, 5000 + k), "x") for k, t in items] + [(100 + k, " ".join(reversed(t.split(" "))), "x") for k, t in items]
     got = Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontaminate.report(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
-    assert got == plain_contained([(r[0], r[1]) for r in rows], items) and len(got) == 60
+    assert got == plain_contained([(r[0], r[1]) for r in rows], items) and {(k, k) for k in range(80)} <= {x[:2] for x in got}
+
+
+def test_items_that_share_most_shingles(spark):
+    head = prose(25, 1)
+    items = [(k, f"{head} {prose(4, 60 + k)}") for k in range(40)]
+    rows = [(k, f"{prose(20, k)} {head} {prose(4, 60 + k)}", "x") for k in range(0, 40, 3)] + [(100, head, "x"), (101, prose(30, 9) + head, "x")]
+    df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontaminate.report(df, bench).collect()) == plain_contained([(r[0], r[1]) for r in rows], items)
 
 
 def test_decontamination_beyond_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "_sized", lambda df, rows, limit=0: df)
+    monkeypatch.setattr(decontaminate, "fits", lambda df, width: False)
+    monkeypatch.setattr(decontaminate, "sized", lambda df, width: df)
     item = prose(30, 11)
     df = frame(spark, [(1, prose(100, 3) + " " + item, "x"), (2, prose(100, 4), "x")])
     assert [r["doc_id"] for r in decontaminate.report(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
@@ -309,22 +323,61 @@ def test_language_profiles(spark):
                     counts[g] += n
     expected = sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE]
     assert sorted(profiles["aa"], key=profiles["aa"].get) == expected
-    odd = frame(spark, [(100, None, None), (101, "", "aa"), (102, "123 --", "aa"), (103, "中文", None), (104, "banbanban " * 20_000, None), (None, prose(50, 3, WORDS[:100]), None)]).withColumn("lang_pred", F.lit("no"))
+    odd = frame(spark, [(100, None, None), (101, "", "aa"), (102, "123 --", "aa"), (103, "中文", None), (104, "banbanban " * 20_000, None), (None, prose(50, 3, WORDS[:100]), None), (105, "z" * 200_000, None)]).withColumns({"lang_pred": F.lit("no"), "__lang": F.lit(1), "lang_known": F.lit(2)})
     got = {r["doc_id"]: r for r in langid.predict(odd, profiles).collect()}
-    assert [got[k]["lang_pred"] for k in (100, 101, 102, 103)] == ["und"] * 4 and got[104]["lang_pred"] == "aa" and got[None]["lang_pred"] == "aa"
-    assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    assert [got[k]["lang_pred"] for k in (100, 101, 102, 103)] == ["und", "und", "und", "aa"] and got[104]["lang_pred"] == "aa" and got[None]["lang_pred"] == "aa"
+    assert all(0 <= r["lang_score"] <= 1 and r["__lang"] == 1 for r in got.values())
     report = langid.report(docs).collect()
     right = {r[0]: r[2] for r in rows}
     assert all(r["lang_pred"] == right[r["doc_id"]] for r in report) and {r["held_out"] for r in report} == {True, False}
     assert {r["lang_pred"] for r in langid.report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.report(docs.limit(0)).count() == 0
-    assert sorted(r["doc_id"] for r in langid.keep_identified(docs.unionByName(odd.drop("lang_pred"))).collect() if r["doc_id"] is not None) == [*range(40), 104]
-
-
-def test_out_of_place_distance():
-    scorer = langid.Scorer({"a": {"a": 0, "_a": 1}, "b": {"b": 0, "_b": 1}})
-    assert scorer.score("aaa")[0] == "a" and scorer.score("b b")[0] == "b"
-    assert scorer.score("zzz") == ("und", 0.0) and scorer.score(None) == ("und", 0.0)
+    more = docs.unionByName(odd, allowMissingColumns=True)
+    kept = langid.keep_identified(more)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [*range(40), 103, 104, 105] and kept.columns == more.columns
+
+
+def test_training_cuts_long_words(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 5)
+    word, counts = "".join(WORDS[:30]), Counter()
+    for w in [word, "ab", "abcd", "abcde"]:
+        assert sum(k for _, k in langid.pieces(w)) == len(w) + 2
+        for g in langid.grams(w):
+            counts[g] += 1
+    docs = frame(spark, [(1, f"{word} ab abcd abcde", "aa")])
+    expected = sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE]
+    got = langid.fit(docs)["aa"]
+    assert sorted(got, key=got.get) == expected
+
+
+def plain_distances(text, profiles):
+    """The text's own n-grams in rank order, and the out-of-place distance to each profile."""
+    counts = Counter(g for w in regex.findall(r"\p{L}+", text.lower()) for n in (1, 2, 3, 4) for k in range(len(w) + 3 - n) if (g := f"_{w}_"[k : k + n]) != "_")
+    top = sorted(counts, key=lambda g: (-counts[g], g))[:300]
+    return top, {lang: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(top)) for lang, p in profiles.items()}
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 7])
+def test_out_of_place_distance(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    rng, letters = random.Random(1), {"a": "abcdefgh", "b": "efghijéü", "c": "ijéüß中文𝔘"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 9)))
+    profiles = {}
+    for lang in letters:
+        counts = Counter(g for _ in range(2000) for g in langid.grams(word(lang)))
+        profiles[lang] = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:400])}
+    scorer = langid.Scorer(profiles)
+    texts = [" ".join(word(rng.choice("abc")) for _ in range(rng.randrange(1, 400))) + rng.choice(["", "! 12", " İ ǅ", " \ud800x", " zzz"]) for _ in range(60)]
+    for t in [*texts, "zzz", "a", "_a_", "中"]:
+        top, distances = plain_distances(t, profiles)
+        assert ["".join(chr(c) for c in row if c) for row in scorer.top(t).tolist()] == top
+        lang, score = scorer.score(t)
+        low, second, *_ = sorted(distances.values())
+        assert lang == min(sorted(distances), key=distances.get) and score == pytest.approx(0.5 + 0.5 * (second - low) / second)
+    assert scorer.score("12 _")[0] == scorer.score(None)[0] == "und" and scorer.score("zzz") == ("a", 0.5)
+    monkeypatch.setattr(langid, "ALPHABET", 3)
+    for t in texts[:5]:
+        assert scorer.score(t)[0] == min("abc", key=plain_distances(t, profiles)[1].get)
 
 
 def test_quality_network(spark):
@@ -351,6 +404,31 @@ def test_quality_reads_every_chunk():
     assert np.allclose(np.maximum(plain.max(axis=0), 0), whole.max(axis=0), atol=1e-4)
 
 
+def test_quality_scores_equal_a_plain_convolution():
+    net = quality.train([prose(80, k) if k % 2 else prose(80, k).upper() for k in range(40)], [k % 2 for k in range(40)], epochs=2)
+    for text in (prose(300, 5), "é中 " * 200, "", "ab", prose(40, 6).upper()):
+        data = list(text.encode()) + [0] * max(0, quality.WIDTH - len(text.encode()))
+        best = []
+        for at in range(len(data) - quality.WIDTH + 1):
+            if at % quality.CHUNK == 0:
+                best.append(np.full(quality.FILTERS, -np.inf))
+            best[-1] = np.maximum(best[-1], sum(net.table[k, data[at + k]].astype(float) for k in range(quality.WIDTH)))
+        pooled = np.maximum(np.array(best) + net.bias, 0)
+        expected = 1 / (1 + np.exp(-(np.concatenate([pooled.max(axis=0), pooled.mean(axis=0)]) @ net.weight + net.offset[0])))
+        assert net.score(text) == pytest.approx(expected, abs=1e-5)
+
+
+def test_quality_sample_is_bounded_and_counts_a_document_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append((texts, labels)))
+    docs = frame(spark, [(k, f"{prose(5, k)} {k}", "x") for k in range(2000)] + [(7, "again", "x")] * 50)
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    quality.fit(docs, labels, sample=200)
+    quality.fit(docs, labels)
+    n = sum(binascii.crc32(str(k).encode()) % 5 != 0 for k in range(2000))
+    assert 130 < len(seen[0][0]) < 270 and len(seen[1][0]) == n and set(seen[0][0]) < set(seen[1][0])
+
+
 def test_quality_gradient():
     net, data = quality.Network(3), quality.as_bytes("some text!! " * 90)
     grads = [np.zeros(p.shape) for p in net.params()]
@@ -382,6 +460,26 @@ def test_archives(spark):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_archives_tell_rows_of_one_page_apart(spark):
+    x, y = "x" * 1500, "y" * 2000
+    rows = [(5, x), (9, x), (5, y), (5, "twelve bytes"), (9, x), (7, y), (3, x), (3, x), (None, x), (None, x)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").repartition(3)
+    archives = warc.write(pages)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in warc.read(archives, payloads=True).collect())
+    assert got == Counter([(5, 1500, "revisit", 9, None), (9, 1500, "response", None, x.encode()), (5, 2000, "revisit", 7, None), (5, 12, "response", None, b"twelve bytes"), (9, 1500, "response", None, x.encode()), (7, 2000, "response", None, y.encode()), (3, 1500, "revisit", 9, None), (3, 1500, "revisit", 9, None), (None, 1500, "response", None, x.encode()), (None, 1500, "response", None, x.encode())])
+    raw = [warc.parse(r) for a in archives.collect() for r in warc.unpack(bytes(a["data"]))]
+    ids = {r["WARC-Record-ID"]: r for r in raw}
+    assert len(ids) == len(rows)
+    assert {r["WARC-Refers-To"] for r in raw if r["X-Page-ID"] == "5" and "WARC-Refers-To" in r} == {k for k, r in ids.items() if r["X-Page-ID"] == "7"}
+
+
+def test_archive_of_large_records_has_a_dictionary():
+    records = [warc.record(k, "u", prose(40_000, k).encode(), "d", 1, None) for k in range(6)]
+    data = warc.pack(records)
+    assert int.from_bytes(data[4:8], "little") > 0 and list(warc.unpack(data)) == records
+    assert sum(map(len, warc.samples(records * 4))) <= warc.SAMPLE_BYTES + warc.SLICE
+
+
 def test_archive_layout(spark, tmp_path):
     import zstandard
 
