@@ -1,42 +1,45 @@
-"""Near-duplicate vectors by randomised-rotation binary codes with correction factors.
-
-A vector is scaled to length 1 and rotated at random; its code is the signs of the rotated components. Stored beside it is
-the correction factor, the inner product of the code (as a unit vector) with the rotated vector. For another vector q the
-inner product of the code with rotated q, divided by the factor, is an unbiased estimate of the cosine, with an error of at
-most ``Z`` sqrt((1 - f^2) / f^2 / (D - 1)) but for a chance that ``Z`` sets. Pairs whose upper bound is below the threshold
-are passed over; the others are computed exactly in double precision, and exact cosines alone decide links.
-
-Candidates come from signs too: ``tables`` groups of ``bits`` sign bits from further rotations; two vectors are compared if
-some group agrees. ``bits`` follows the size of the largest label, so groups stay small as the data grow, and ``tables`` is
-what makes a pair at the threshold meet with a chance of 1 - ``MISS`` or more (closer pairs more surely). A pair is counted in
-the first group that it shares. Equal vectors are aggregated away first. A group of more than ``BLOCK`` vectors is dealt in
-pairs of blocks; a task returns for each vector its number of links, and a spanning forest of the links, never all pairs.
-
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
-nothing and are their own component; vectors of different lengths never link; a null vec_id keeps its row. Repeated rows are
-copies: they link, and each counts.
+"""Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
+
+A vector is scaled to length 1 and rotated at random; its code is the signs of the rotated components. Stored beside it are the
+correction factor, the inner product of the code (as a unit vector) with the rotated vector, and, for its part as a query, the
+rotated vector in levels of four bits, rounded at random. The inner product of one vector's code with another's levels, divided by
+the first one's factor, is an unbiased estimate of their cosine. For pairs at the threshold t or above its error has a deviation
+of at most sqrt((1 - f^2) (1 - t^2) / f^2 / (D - 1) + step^2 / 4 f^2), and ``Z`` times that is the bound: a pair whose estimate and
+bound stay below the threshold, from either side, is passed over. The others are computed exactly in double precision, and exact
+cosines alone decide links.
+
+Candidates come from signs too: ``tables`` groups of ``bits`` sign bits from further rotations; two vectors are compared if some
+group agrees. ``bits`` follows the size of the largest label, so groups stay small as the data grow, and ``tables`` is what makes a
+pair at the threshold meet with a chance of 1 - ``MISS`` or more (closer pairs more surely). Only codes, factors and levels go to
+the groups, some 60 bytes for 64 components. A group tells which of its members have a pair that the bound leaves; these alone are
+sent their vectors, and a pair is computed and counted in the first group that it shares. Equal vectors are aggregated away first.
+A group of more than ``BLOCK`` vectors is dealt in pairs of blocks; a task returns for each vector its number of links, and a
+spanning forest of the links, never all pairs.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, those without a label and rows without a
+vec_id link with nothing and are their own component; they take no part in any join. Vectors of different lengths never link.
+Repeated rows are copies: they link, and each counts. An empty table gives no rows. Only the columns named are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import components, cut, drop, row_name, sized
 
 THRESHOLD, MISS, Z, SEED = 0.93, 1e-4, 4.0, 11
 BLOCK = 2048
-#: Groups beyond BLOCK are broadcast up to this number, beyond it joined by a shuffle.
-BROADCAST_ROWS = 200_000
-#: Groups up to this size are compared many at a time.
-SMALL = 64
+#: Groups up to this size are compared many at a time; so many numbers of vectors are unpacked at once.
+SMALL, UNPACKED = 64, 1 << 21
+LEVELS = 15
 
 
 def plan(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -56,39 +59,91 @@ def rotations(dim: int, n_bits: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate(out, axis=1)[:, :n_bits]
 
 
+class Codes(NamedTuple):
+    """Unpacked codes: signs (+1, -1), correction factors, rotated vectors from their levels, and the levels' steps."""
+
+    signs: np.ndarray
+    factor: np.ndarray
+    turned: np.ndarray
+    step: np.ndarray
+
+    def take(self, at: np.ndarray | slice) -> Codes:
+        return Codes(*(x[at] for x in self))
+
+
 class Coder:
     def __init__(self, dim: int, bits: int, tables: int):
-        self.bits, self.tables = bits, tables
+        self.dim, self.bits, self.tables = dim, bits, tables
         self.main = rotations(dim, dim, SEED)
         self.turns = rotations(dim, bits * tables, SEED + 1)
+        self.dither = np.random.default_rng([SEED + 2, dim]).random(dim)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Group number of each vector in each table."""
         signs = (unit @ self.turns > 0).reshape(len(unit), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
-    def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rotated vectors, signs (+1, -1) and correction factors."""
+    def pack(self, unit: np.ndarray) -> np.ndarray:
+        """For each vector the bytes of its code, its levels, its factor, and the levels' origin and step."""
         turned = unit @ self.main
-        signs = np.where(turned > 0, 1.0, -1.0)
-        return turned, signs, (signs * turned).sum(axis=1) / math.sqrt(unit.shape[1])
+        factor = np.abs(turned).sum(axis=1) / math.sqrt(self.dim)
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / LEVELS, 1e-30)
+        level = np.floor((turned - low[:, None]) / step[:, None] + self.dither).clip(0, LEVELS).astype(np.uint8)
+        if self.dim % 2:
+            level = np.concatenate([level, np.zeros((len(level), 1), np.uint8)], axis=1)
+        numbers = np.stack([factor, low, step], axis=1).astype("<f4")
+        return np.concatenate([np.packbits(turned > 0, axis=1), level[:, ::2] << 4 | level[:, 1::2], numbers.view(np.uint8)], axis=1)
+
+
+def unpack(packed: np.ndarray, dim: int) -> Codes:
+    a, b = -(-dim // 8), -(-dim // 8) + -(-dim // 2)
+    signs = np.unpackbits(packed[:, :a], axis=1, count=dim).astype(np.float32) * 2 - 1
+    level = np.stack([packed[:, a:b] >> 4, packed[:, a:b] & 15], axis=2).reshape(len(packed), -1)[:, :dim]
+    factor, low, step = np.ascontiguousarray(packed[:, b:]).view("<f4").T
+    return Codes(signs, factor, low[:, None] + step[:, None] * level, step)
+
+
+def deviation(factor: np.ndarray, step: np.ndarray, dim: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """Of the error of estimates for pairs at the threshold or above, from codes with ``factor`` and levels with ``step``."""
+    square = np.minimum(1, factor.astype(np.float64) ** 2)
+    return np.sqrt(((1 - square) * (1 - threshold**2) / max(1, dim - 1) + step.astype(np.float64) ** 2 / 4) / square)
+
+
+def maybe_dense(a: Codes, b: Codes, threshold: float) -> np.ndarray:
+    """Which pairs of a row of ``a`` and one of ``b`` the bound leaves."""
+    dim = a.signs.shape[1]
+    out = np.ones((len(a.signs), len(b.signs)), bool)
+    for x, y, turn in ((a, b, False), (b, a, True)):
+        # the larger of the steps bounds every pair's deviation
+        estimate = x.signs @ y.turned.T / (math.sqrt(dim) * x.factor[:, None])
+        near = estimate + Z * deviation(x.factor, np.full(len(x.factor), y.step.max(initial=0)), dim, threshold)[:, None] + 1e-5 >= threshold
+        out &= near.T if turn else near
+    return out
 
 
-def bound(factor: np.ndarray, dim: int) -> np.ndarray:
-    """How far the estimate made from a code with this factor may be off."""
-    square = np.minimum(1, factor * factor)
-    return Z * np.sqrt((1 - square) / square / max(1, dim - 1))
+def maybe_pairs(c: Codes, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs of rows (a, b) the bound leaves."""
+    dim = c.signs.shape[1]
+    out = np.ones(len(a), bool)
+    for x, y in ((a, b), (b, a)):
+        estimate = np.einsum("ij,ij->i", c.signs[x], c.turned[y]) / (math.sqrt(dim) * c.factor[x])
+        out &= estimate + Z * deviation(c.factor[x], c.step[y], dim, threshold) + 1e-5 >= threshold
+    return out
 
 
-def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+def unit_rows(raw: np.ndarray | list[bytes], kind: str) -> np.ndarray:
     """Vectors of length 1, in double precision, from bytes of ``kind`` (f4 or f8)."""
     v = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _coded(bits: int, tables: int, kind: str, whole: bool):
-    """(label, rep, n, vector) -> a row for each table; with ``whole`` the vector goes along, as bytes."""
+CODE_SCHEMA = "node long, label string, n long, dim int, packed binary, raw binary, keys array<long>"
+
+
+def _coded(bits: int, tables: int, kind: str):
+    """(node, label, n, vector) -> the vector with its code and the numbers of its groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
@@ -99,146 +154,156 @@ def _coded(bits: int, tables: int, kind: str, whole: bool):
                 at = np.flatnonzero(dims == dim)
                 coder = coders.setdefault(dim, Coder(dim, bits, tables))
                 raw = [vectors[k].tobytes() for k in at]
-                keys = coder.keys(unit_rows(raw, kind))
-                label, rep, n = (b.column(c).take(pa.array(at)) for c in ("label", "rep", "n"))
-                for t in range(tables):
-                    cols, names = [label, pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t])], ["label", "dim", "t", "key"]
-                    if whole:
-                        cols, names = [*cols, rep, n, pa.array(raw, pa.binary())], [*names, "rep", "n", "raw"]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                unit = unit_rows(raw, kind)
+                node, label, n = (b.column(c).take(pa.array(at)) for c in ("node", "label", "n"))
+                packed = [x.tobytes() for x in coder.pack(unit)]
+                cols = [node, label, n, pa.array(np.full(len(at), dim, np.int32)), pa.array(packed, pa.binary()), pa.array(raw, pa.binary()), pa.array(list(coder.keys(unit)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "label", "n", "dim", "packed", "raw", "keys"])
 
     return run
 
 
-class Group:
-    """The vectors of one group and pair of blocks, ready to be compared."""
-
-    def __init__(self, coder: Coder, rows: pd.DataFrame, threshold: float, kind: str):
-        self.threshold, self.table = threshold, int(rows["t"].iloc[0])
-        self.unit = unit_rows(rows["raw"].tolist(), kind)
-        self.turned, self.signs, self.factor = coder.code(self.unit)
-        self.keys = coder.keys(self.unit)[:, : self.table]
-        self.rep, self.weight, self.side = (rows[c].to_numpy() for c in ("rep", "n", "side"))
-
-    def exact(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs (a, b) that the bound left, the links that no earlier table has."""
-        keep = []
-        for k in range(0, len(a), 1 << 14):
-            x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-            keep.append((np.einsum("ij,ij->i", self.unit[x], self.unit[y]) >= self.threshold) & ~(self.keys[x] == self.keys[y]).any(axis=1))
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        return a[keep], b[keep]
-
-    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links (a < b), by a stretch of rows a at a time."""
-        dim, n = self.unit.shape[1], len(self.unit)
-        reach = bound(self.factor, dim)
-        split = self.side.min() != self.side.max()
-        for k in range(0, n, 256):
-            rows = slice(k, k + 256)
-            estimate = self.signs[rows] @ self.turned[k:].T / (np.sqrt(dim) * self.factor[rows, None])
-            maybe = np.triu(estimate + reach[rows, None] >= self.threshold, 1)
-            if split:
-                maybe &= self.side[rows, None] != self.side[None, k:]
-            a, b = np.nonzero(maybe)
-            yield self.exact(a + k, b + k)
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rep, n_links, other): link counts with other = -1, then a spanning forest of the links with n_links = 0."""
-        counts, label = np.zeros(len(self.unit), np.int64), np.arange(len(self.unit))
-        left, right = [], []
-        for a, b in self.links():
-            np.add.at(counts, a, self.weight[b])
-            np.add.at(counts, b, self.weight[a])
-            while (apart := label[a] != label[b]).any():
-                a, b = a[apart], b[apart]
-                # each part takes at most one link to a part of lower label, and then its label
-                high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-                part, first = np.unique(high, return_index=True)
-                left.append(self.rep[a[first]])
-                right.append(self.rep[b[first]])
-                to = np.arange(len(label))
-                to[part] = low[first]
-                while (to != to[to]).any():
-                    to = to[to]
-                label = to[label]
-        some = np.flatnonzero(counts)
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return np.concatenate([self.rep[some], left]), np.concatenate([counts[some], np.zeros(len(left), np.int64)]), np.concatenate([np.full(len(some), -1), right])
-
-
-def _small(coders: dict[int, Coder], df: pd.DataFrame, size: np.ndarray, threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links in groups of at most ``SMALL`` vectors, all groups of a batch at once: row k is compared with rows k+1, k+2, ..."""
-    gid = np.repeat(np.arange(len(size)), size)
-    out = []
-    for (dim, t), rows in df.groupby(["dim", "t"], sort=False):
-        g = Group(coders[dim], rows, threshold, kind)
-        own, reach = gid[rows.index.to_numpy()], bound(g.factor, dim)
-        for d in range(1, SMALL):
-            a = np.flatnonzero(own[d:] == own[:-d])
-            if not len(a):
-                break
-            b = a + d
-            estimate = np.einsum("ij,ij->i", g.signs[a], g.turned[b]) / (np.sqrt(dim) * g.factor[a])
-            maybe = estimate + reach[a] >= threshold
-            a, b = g.exact(a[maybe], b[maybe])
-            if len(a):
-                zero = np.zeros(len(a), np.int64)
-                out += [(g.rep[a], g.weight[b], zero - 1), (g.rep[b], g.weight[a], zero - 1), (g.rep[a], zero, g.rep[b])]
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _search(bits: int, tables: int, threshold: float, kind: str):
-    """Rows sorted by group and pair of blocks -> (rep, n_links, other)."""
-
-    def done(coders: dict[int, Coder], df: pd.DataFrame) -> pd.DataFrame:
-        df = df.reset_index(drop=True)
-        for dim in df["dim"].unique().tolist():
-            coders.setdefault(dim, Coder(dim, bits, tables))
-        start = np.concatenate([[0], np.flatnonzero(_changes(df)) + 1, [len(df)]])
-        size = np.diff(start)
-        large = np.flatnonzero(size > SMALL)
-        parts = []
-        for k in large:
-            rows = df.iloc[start[k] : start[k + 1]]
-            parts.append(Group(coders[int(rows["dim"].iloc[0])], rows, threshold, kind).result())
-        rest = df[np.repeat(size <= SMALL, size)].reset_index(drop=True)
-        if len(rest):
-            parts.append(_small(coders, rest, size[size <= SMALL], threshold, kind))
-        rep, n, other = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pd.DataFrame({"rep": rep, "n_links": n, "other": other})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coders: dict[int, Coder] = {}
-        held: list[pd.DataFrame] = []
-        for df in frames:
-            held.append(df)
-            if not len(df):
-                continue
-            if len(held) > 1 and not _changes(pd.concat([held[-2].tail(1), df])).any():
-                continue  # one group goes on; it has at most two blocks
-            df = pd.concat(held, ignore_index=True)
-            changes = np.flatnonzero(_changes(df))
-            if len(changes):
-                yield done(coders, df.iloc[: changes[-1] + 1])
-                df = df.iloc[changes[-1] + 1 :]
-            held = [df]
-        if held and sum(map(len, held)):
-            yield done(coders, pd.concat(held, ignore_index=True))
+#: A group, a pair of its blocks, and in which of the two a row is (0: both are one).
+GROUP = ["dim", "g", "p", "q"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
+    """Rows sorted by ``GROUP``, whole groups at a time: the dimension, columns, and where groups start, with the end."""
+    held: tuple[int, dict[str, np.ndarray]] | None = None
+
+    def parts(dim: int, rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
+        k = 0
+        while k < len(start) - 1:
+            to = max(k + 1, int(np.searchsorted(start, start[k] + UNPACKED // dim, "right")) - 1)
+            yield dim, {c: v[start[k] : start[to]] for c, v in rows.items()}, start[k : to + 1] - start[k]
+            k = to
+
+    for b in batches:
+        dims = b.column("dim").to_numpy()
+        for lo, hi in _stretches(dims):
+            rows = {c: b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("g", "p", "q", "side", "node", "packed", *extra)}
+            dim = int(dims[lo])
+            rows["packed"] = np.frombuffer(b"".join(rows["packed"]), np.uint8).reshape(hi - lo, -1)
+            if held and held[0] == dim:
+                rows = {c: np.concatenate([held[1][c], v]) for c, v in rows.items()}
+            elif held:
+                yield from parts(*held, _starts(held[1]))
+            start = _starts(rows)
+            yield from parts(dim, rows, start[:-1])
+            held = dim, {c: v[start[-2] :] for c, v in rows.items()}
+    if held:
+        yield from parts(*held, _starts(held[1]))
+
+
+def _stretches(v: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(v[1:] != v[:-1]) + 1
+    edges = [0, *edge.tolist(), len(v)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
+def _starts(rows: dict[str, np.ndarray]) -> np.ndarray:
+    change = np.zeros(len(rows["g"]) - 1, bool)
+    for c in ("g", "p", "q"):
+        change |= rows[c][1:] != rows[c][:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(rows["g"])]])
+
+
+def _left(codes: Codes, side: np.ndarray, start: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a < b) of one group and of different sides that the bound leaves: a stretch of a large group, or all small ones
+    at once, row k with row k+1, k+2, and so on."""
+    size = np.diff(start)
+    for k in np.flatnonzero(size > SMALL):
+        lo, hi = int(start[k]), int(start[k + 1])
+        for at in range(lo, hi, 256):
+            near = np.triu(maybe_dense(codes.take(slice(at, min(hi, at + 256))), codes.take(slice(at, hi)), threshold), 1)
+            if (side[lo:hi] != side[lo]).any():
+                near &= side[at : min(hi, at + 256), None] != side[None, at:hi]
+            a, b = np.nonzero(near)
+            yield a + at, b + at
+    own = np.repeat(np.where(size <= SMALL, np.arange(len(size)), -1), size)
+    for d in range(1, int(size[size <= SMALL].max(initial=1))):
+        a = np.flatnonzero((own[d:] == own[:-d]) & (own[d:] >= 0) & ((side[d:] != side[:-d]) | (side[d:] == 0)))
+        for k in range(0, len(a), 1 << 16):
+            x = a[k : k + (1 << 16)]
+            x = x[maybe_pairs(codes, x, x + d, threshold)]
+            if len(x):
+                yield x, x + d
+
+
+NEAR_SCHEMA = "dim int, g long, p long, q long, side int, node long"
+
+
+def _near(threshold: float):
+    """Codes sorted by ``GROUP`` -> the rows that have a pair which the bound leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows, start in _groups(batches):
+            codes, near = unpack(rows["packed"], dim), np.zeros(len(rows["g"]), bool)
+            for a, b in _left(codes, rows["side"], start, threshold):
+                near[a] = near[b] = True
+            if near.any():
+                cols = [pa.array(np.full(int(near.sum()), dim, np.int32)), *(pa.array(rows[c][near]) for c in ("g", "p", "q", "side", "node"))]
+                yield pa.RecordBatch.from_arrays(cols, names=["dim", "g", "p", "q", "side", "node"])
 
     return run
 
 
-def _changes(df: pd.DataFrame) -> np.ndarray:
-    """Whether a row's successor is in another group."""
-    out = np.zeros(max(0, len(df) - 1), bool)
-    for c in ("label", "dim", "t", "key", "p", "q"):
-        v = df[c].to_numpy()
-        out |= v[1:] != v[:-1]
-    return out
+class Forest:
+    """A spanning forest of links, of which each stretch is seen once."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
+        while (apart := label[a] != label[b]).any():
+            a, b = a[apart], b[apart]
+            # each part takes at most one link to a part of lower label, and then its label
+            high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+            part, first = np.unique(high, return_index=True)
+            self.left.append(a[first])
+            self.right.append(b[first])
+            to = np.arange(len(label))
+            to[part] = low[first]
+            while (to != to[to]).any():
+                to = to[to]
+            label = to[label]
+        self.label = label
+
+
+LINK_SCHEMA = "node long, n_links long, other long"
+
 
+def _links(bits: int, tables: int, threshold: float, kind: str):
+    """Rows with vectors, sorted by ``GROUP`` -> (node, n_links, -1), and links of a spanning forest as (node, 0, other)."""
 
-GROUP = ["label", "dim", "t", "key"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders: dict[int, Coder] = {}
+        for dim, rows, start in _groups(batches, ("label", "n", "raw")):
+            coder = coders.setdefault(dim, Coder(dim, bits, tables))
+            unit, codes, node, weight = unit_rows(list(rows["raw"]), kind), unpack(rows["packed"], dim), rows["node"], rows["n"]
+            keys, table = coder.keys(unit), rows["g"] & 0xFFFF
+            label = np.unique(rows["label"].astype(str), return_inverse=True)[1]
+            counts, forest = np.zeros(len(node), np.int64), Forest(len(node))
+            for a, b in _left(codes, rows["side"], start, threshold):
+                for k in range(0, len(a), 1 << 14):
+                    x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                    # the first table in which both are in one group
+                    first = (keys[x] == keys[y]).argmax(axis=1) == table[x]
+                    x, y = x[first & (label[x] == label[y])], y[first & (label[x] == label[y])]
+                    link = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+                    x, y = x[link], y[link]
+                    np.add.at(counts, x, weight[y])
+                    np.add.at(counts, y, weight[x])
+                    forest.add(x, y)
+            some = np.flatnonzero(counts)
+            left, right = (node[np.concatenate(x)] if x else np.zeros(0, np.int64) for x in (forest.left, forest.right))
+            cols = np.concatenate([node[some], left]), np.concatenate([counts[some], np.zeros(len(left), np.int64)]), np.concatenate([np.full(len(some), -1), right])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "n_links", "other"])
+
+    return run
 
 
 def usable(vectors: DataFrame, vector: str, label: str) -> F.Column:
@@ -247,31 +312,41 @@ def usable(vectors: DataFrame, vector: str, label: str) -> F.Column:
     return F.coalesce(F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``key``, n_links, component_id, kept for every row: links join vectors of equal label with a cosine of at least ``threshold``."""
     kind = "f4" if isinstance(vectors.schema[vector].dataType.elementType, T.FloatType) else "f8"
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if kind == "f4" else "array<double>").alias("vector"))
-    rows = rows.withColumn("ok", usable(rows, "vector", "label")).withColumn("hash", F.xxhash64("label", "vector"))
-    reps = cut(rows.where("ok and id is not null").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("hash").alias("hash")), "embedding-reps")
+    ok = usable(rows, "vector", "label") & F.col("id").isNotNull()
+    good = rows.where(ok).withColumn("name", row_name("label", "vector"))
+    reps = good.groupBy("name", "label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    reps = cut(reps, "embedding-reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = plan(largest, threshold)
-    base, names = reps.select("label", "rep", "n", "vector"), "label string, dim int, t int, key long"
-    hot = base.mapInArrow(_coded(bits, tables, kind, False), names).groupBy(*GROUP).agg(F.count("*").alias("size")).where(F.col("size") > block)
-    hot = cut(hot, "embedding-hot")
-    sized = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    coded = base.mapInArrow(_coded(bits, tables, kind, True), names + ", rep long, n long, raw binary")
-    dealt = coded.join(sized, GROUP, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+    codes = cut(reps.select("node", "label", "n", "vector").mapInArrow(_coded(bits, tables, kind), CODE_SCHEMA), "embedding-codes")
+    # a group's number: a hash of 48 bits and the table; labels are compared again where vectors are
+    g = F.expr("shiftleft(xxhash64(label, dim, key), 16) | t").alias("g")
+    keyed = codes.select("node", "label", "dim", "packed", F.posexplode("keys").alias("t", "key")).select("dim", g, "node", "packed")
+    hot = cut(keyed.groupBy("dim", "g").agg(F.count("*").alias("size")).where(F.col("size") > block), "embedding-hot")
+    dealt = keyed.join(sized(hot, 64), ["dim", "g"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    dealt = dealt.select(*GROUP, "p", "q", F.when(F.col("p") == F.col("q"), 0).otherwise(F.when(F.col("own") == F.col("p"), 1).otherwise(2)).alias("side"), "rep", "n", "raw")
-    # both sides of a pair of blocks are in one group; a block with itself has one side
-    found = dealt.repartition(*GROUP, "p", "q").sortWithinPartitions(*GROUP, "p", "q").mapInPandas(_search(bits, tables, threshold, kind), "rep long, n_links long, other long")
-    found = cut(found, "embedding-links")
-    counts = found.where("other < 0").groupBy("rep").agg(F.sum("n_links").alias("others"))
-    groups = components(found.where("other >= 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    of = reps.select("label", "vector", "hash", "rep", "n").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("hash", "label", "vector", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.alias("r").join(of.alias("o"), F.col("r.ok") & F.col("r.id").isNotNull() & (F.col("r.hash") == F.col("o.hash")) & (F.col("r.label") == F.col("o.label")) & (F.col("r.vector") == F.col("o.vector")), "left")
-    return joined.select(F.col("r.id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "r.id").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    side = F.when(F.col("p") == F.col("q"), 0).otherwise(F.when(F.col("own") == F.col("p"), 1).otherwise(2)).alias("side")
+    near = cut(_dealt(dealt.select(*GROUP, side, "node", "packed")).mapInArrow(_near(threshold), NEAR_SCHEMA), "embedding-near")
+    with_vectors = near.join(codes.select("node", "label", "n", "packed", "raw"), "node")
+    found = cut(_dealt(with_vectors).mapInArrow(_links(bits, tables, threshold, kind), LINK_SCHEMA), "embedding-links")
+    for t in (codes, hot, near):
+        drop(t)
+    counts = found.where("other < 0").groupBy("node").agg(F.sum("n_links").alias("others"))
+    groups = components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    of = reps.select("name", "node", "rep", "n").join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = of.join(lowest, "component").select("name", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = good.select("id", "name").join(of, "name").select("id", "n_links", "component_id")
+    alone = rows.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def report(vectors: DataFrame) -> DataFrame:

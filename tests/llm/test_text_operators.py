@@ -532,16 +532,40 @@ def test_vectors(spark, monkeypatch, block, small, kind):
     assert embedding.report(df.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [64, 63, 5])
+def test_estimates_are_unbiased_and_bounded(dim):
     rng = np.random.default_rng(1)
-    o = rng.standard_normal((1, 64))
-    q = 0.9 * o / np.linalg.norm(o) + 0.1 * rng.standard_normal((2000, 64)) / 8
-    units = np.concatenate([o, q])
+    o = rng.standard_normal((4000, dim))
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    units = np.concatenate([o, o + 0.35 * rng.standard_normal((4000, dim)) / np.sqrt(dim)])
     units /= np.linalg.norm(units, axis=1, keepdims=True)
-    turned, signs, factor = embedding.Coder(64, 8, 2).code(units)
-    estimate = turned[:1] @ signs[1:].T / 8 / factor[1:]
-    error = estimate[0] - units[0] @ units[1:].T
-    assert abs(error.mean()) < 0.02 and (np.abs(error) <= embedding.bound(factor[1:], 64)).mean() > 0.999
+    packed = embedding.Coder(dim, 8, 2).pack(units)
+    codes = embedding.unpack(packed, dim)
+    assert packed.shape[1] == -(-dim // 8) + -(-dim // 2) + 12
+    exact = (units[:4000] * units[4000:]).sum(axis=1)
+    estimate = (codes.signs[:4000] * codes.turned[4000:]).sum(axis=1) / np.sqrt(dim) / codes.factor[:4000]
+    near = exact >= embedding.THRESHOLD
+    reach = embedding.Z * embedding.deviation(codes.factor[:4000], codes.step[4000:], dim)
+    assert near.sum() > 1000 and (np.abs(estimate - exact)[near] <= reach[near]).mean() > 0.999
+    if dim > 60:
+        assert abs((estimate - exact).mean()) < 0.003
+    units[1:150] = units[0] + 0.3 * rng.standard_normal((149, dim)) / np.sqrt(dim)
+    units[1:150] /= np.linalg.norm(units[1:150], axis=1, keepdims=True)
+    codes = embedding.unpack(embedding.Coder(dim, 8, 2).pack(units), dim)
+    pairs = np.stack(np.triu_indices(200, 1))
+    close = (units[pairs[0]] * units[pairs[1]]).sum(axis=1) >= embedding.THRESHOLD
+    assert close.sum() > 1000
+    left = embedding.maybe_pairs(codes, *pairs, embedding.THRESHOLD)
+    dense = embedding.maybe_dense(codes.take(slice(0, 200)), codes.take(slice(0, 200)), embedding.THRESHOLD)[pairs[0], pairs[1]]
+    assert left[close].mean() > 0.999 and (dense >= left).all()
+
+
+def test_the_bound_passes_over_far_pairs():
+    rng = np.random.default_rng(2)
+    units = rng.standard_normal((400, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    codes = embedding.unpack(embedding.Coder(64, 8, 2).pack(units), 64)
+    assert np.triu(embedding.maybe_dense(codes, codes, embedding.THRESHOLD), 1).sum() == 0
 
 
 # --- BPE
