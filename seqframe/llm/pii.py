@@ -13,9 +13,10 @@ running sums of lengths; patterns use possessive repeats and start only where a
 changes no match and keeps the scan linear. Only matches, rare terms, term counts and the words of documents that hold a revealing
 term are shuffled, never texts, unless spans are to be applied to more documents than may be broadcast.
 
-Defined cases: a null text is an empty one; a null doc_id is kept; equal rows get equal results; matches that fail their check
+Defined cases: a null text is an empty one, and stays null when texts are sanitised; a null doc_id is kept; equal rows get equal results; matches that fail their check
 are dropped and not tried again at another place; spans of different kinds may overlap, term spans never overlap base spans.
-Positions are code points, the end exclusive. Texts are read whole.
+Positions are code points, the end exclusive. Texts are read whole; the matches and words of one text are held by one task. An empty
+table gives no rows. Only doc_id and text are read; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_name, sized, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -38,10 +39,9 @@ PATTERNS = {
 #: What a text must hold for a pattern to match at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOGETHER, GENERALISE, REMOVE = 2, 0.8, 0.95
-#: The window of an earlier version; nothing here uses it, only the tests' plain version.
-REACH = 60
 WORD = r"\p{L}{3,}"
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of names and numbers in memory.
+ROW_BYTES = 64
 
 
 def _digits(value: Column) -> Column:
@@ -68,7 +68,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_name(F.col("doc_id").cast("long"), "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _scan(text: Column, kind: str) -> Column:
@@ -89,10 +89,6 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.where(_valid(F.col("kind"), F.col("value"))).select("rid", "kind", "start", "end", "value")
 
 
-def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -101,6 +97,11 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(_words(text), F.lower))
 
 
+def _cut_bytes(cuts: str) -> Column:
+    """Bytes of a row of a name and an array of cuts in memory."""
+    return F.size(cuts) * ROW_BYTES + 2 * ROW_BYTES
+
+
 def outside(docs: DataFrame, spans: DataFrame, rids: DataFrame) -> DataFrame:
     """rid, at, piece: the text between base spans, from position ``at``, of the documents among ``rids``."""
     upto = F.max("end").over(W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
@@ -108,7 +109,7 @@ def outside(docs: DataFrame, spans: DataFrame, rids: DataFrame) -> DataFrame:
     kept = F.collect_list(F.when(F.col("start") > F.col("at"), F.struct("at", F.col("start").alias("to"))))
     cuts = cut(free.groupBy("rid").agg(kept.alias("cuts"), F.max("end").alias("last")), "pii-outside")
     tail = F.array(F.struct(F.col("last").alias("at"), F.length("text").cast("long").alias("to")))
-    pieces = docs.join(_sized(cuts, BROADCAST_ROWS // 10), "rid").select("rid", "text", F.explode(F.concat("cuts", tail)).alias("c"))
+    pieces = docs.join(sized(cuts, _cut_bytes("cuts")), "rid").select("rid", "text", F.explode(F.concat("cuts", tail)).alias("c"))
     return pieces.select("rid", "c.at", F.substr("text", (F.col("c.at") + 1).cast("int"), (F.col("c.to") - F.col("c.at")).cast("int")).alias("piece"))
 
 
@@ -117,13 +118,13 @@ def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
     total = max(2.0, float(docs.count()))
     rare = lambda df_c: F.lit(total * (1 + 1e-9)) * F.pow(df_c / total, F.lit(GENERALISE))
     entity = cut(spans.groupBy("kind", "value").agg(F.count_distinct("rid").alias("df_c")).where(F.col("df_c") >= TOGETHER), "pii-entities")
-    holders = cut(spans.select("rid", "kind", "value").distinct().join(_sized(entity), ["kind", "value"]), "pii-holders")
+    holders = cut(spans.select("rid", "kind", "value").distinct().join(sized(entity, F.length("value") + ROW_BYTES), ["kind", "value"]), "pii-holders")
     most = entity.agg(F.max("df_c")).first()[0] or 0
     held = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     terms = held.groupBy("term").agg(F.count("*").alias("df_t")).where((F.col("df_t") >= TOGETHER) & (F.col("df_t") <= rare(F.lit(most))))
     terms = cut(terms, "pii-terms")
     rids = cut(holders.select("rid").distinct(), "pii-rids")
-    found = outside(docs, spans, rids).select("rid", F.explode(_terms(F.col("piece"))).alias("term")).join(_sized(terms), "term")
+    found = outside(docs, spans, rids).select("rid", F.explode(_terms(F.col("piece"))).alias("term")).join(sized(terms, F.length("term") + ROW_BYTES), "term")
     # dealt out by document: repeated mentions fall together and meet the document's entities without another shuffle
     found = found.repartition("rid").groupBy("rid", "term").agg(F.max("df_t").alias("df_t"))
     pairs = cut(found.join(holders, "rid").where(F.col("df_t") <= rare(F.col("df_c"))), "pii-together")
@@ -131,7 +132,8 @@ def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
     pmi = F.log(F.col("co") * F.lit(total) / (F.col("df_c") * F.greatest(F.col("df_t"), F.col("co"))))
     ic = F.log(F.lit(total) / F.col("df_c"))
     shown = together.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= GENERALISE).select("kind", "value", "term", "ratio")
-    wanted = cut(pairs.join(_sized(cut(shown, "pii-shown")), ["kind", "value", "term"]).groupBy("rid", "term").agg(F.max("ratio").alias("ratio"), F.min("kind").alias("kind")), "pii-wanted")
+    shown = sized(cut(shown, "pii-shown"), F.length("value") + F.length("term") + ROW_BYTES)
+    wanted = cut(pairs.join(shown, ["kind", "value", "term"]).groupBy("rid", "term").agg(F.max("ratio").alias("ratio"), F.min("kind").alias("kind")), "pii-wanted")
     return wanted.join(places(outside(docs, spans, wanted.select("rid").distinct())), ["rid", "term"]).select("rid", "start", "end", "ratio", "kind")
 
 
@@ -146,19 +148,14 @@ def places(pieces: DataFrame) -> DataFrame:
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """rid, no, kind, start, end, label: base spans, then the term spans that overlap none of them, of documents (rid, text)."""
+    """rid, no, kind, start, end, label: base spans and the spans of terms, of documents (rid, text)."""
     spans = cut(base_spans(docs), "pii-base")
     shown = disclosure(docs, spans)
     base = spans.select("rid", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("no"), "kind", "start", "end", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("label"))
     label = F.when(F.col("ratio") >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit(" TERM]")))
     terms = shown.select("rid", F.lit(len(KINDS) + 1).alias("no"), F.lit(TERM).alias("kind"), "start", "end", label.alias("label"))
-    rows = base.unionByName(terms)
-    order = W.partitionBy("rid").orderBy("start", "no")
-    is_base = F.col("no") <= len(KINDS)
-    reach = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
-    following = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing))
-    free = is_base | ((F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end")))
-    return rows.withColumn("free", free).where("free").drop("free")
+    # terms are taken from the text between base spans, so they overlap none
+    return base.unionByName(terms)
 
 
 def _joined(keep: Column) -> Column:
@@ -185,13 +182,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     runs = rows.groupBy("rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", "no")).alias("label"))
     previous = F.coalesce(F.lag("end").over(W.partitionBy("rid").orderBy("start")), F.lit(0))
     spans = runs.withColumn("from", previous).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "from", "end", "label"))).alias("cuts"))
-    spans = cut(spans, "pii-spans")
-    sized = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS // 10 else spans
+    rid, cuts = unused(docs, "rid"), unused(docs, "cuts")
+    spans = sized(cut(spans.toDF(rid, cuts), "pii-spans"), _cut_bytes(cuts))
     text = F.col("text")
-    kept = F.transform("__cuts", lambda c: F.concat(F.substr(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), c["label"]))
-    tail = F.substr(text, (F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length(text))
-    out = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(sized.toDF("__rid", "__cuts"), "__rid", "left")
-    out = out.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)))
+    kept = F.transform(cuts, lambda c: F.concat(F.substr(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), c["label"]))
+    tail = F.substr(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
+    out = docs.withColumn(rid, row_name(F.col("doc_id").cast("long"), "text")).join(spans, rid, "left")
+    out = out.withColumn("text", F.when(F.col(cuts).isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

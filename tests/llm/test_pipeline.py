@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 from collections import Counter, defaultdict
 
@@ -12,39 +13,32 @@ from test_text_operators import DOCS, PATTERNS, groups_of, plain_base, plain_con
 
 import corpus_pipeline
 from seqframe.llm import bpe, pii
+from seqframe.llm.common import shared_dir
 
 
 def plain_terms(docs):
-    """rid -> spans (start, end, ratio) of terms, by co-occurrence counts over all documents."""
-    total, near, df_c, df_t = len(docs), set(), defaultdict(set), Counter()
+    """rid -> spans (start, end, ratio) of terms, by counts of documents that hold a value and, outside of values, a term."""
+    total, df_c, df_t, co, places = len(docs), defaultdict(set), Counter(), defaultdict(set), defaultdict(list)
     for rid, text in docs.items():
         df_t.update(set(regex.findall(r"\p{L}{3,}", text.lower())))
-        valid = {(a, k) for a, _, k, _ in plain_base(text)}
-        for kind, pattern in PATTERNS.items():
-            found = [(m.start(), m.end()) for m in regex.finditer(pattern, text)]
-            for j, (a, b) in enumerate(found):
-                if (a, kind) not in valid:
-                    continue
-                df_c[kind, text[a:b]].add(rid)
-                left = max(found[j - 1][1] if j else 0, a - pii.REACH)
-                right = min(found[j + 1][0] if j + 1 < len(found) else len(text), b + pii.REACH)
-                before, after = text[left:a], text[b:right]
-                if len(before) == pii.REACH:
-                    left += len(regex.match(r"\p{L}*", before)[0])
-                if len(after) == pii.REACH:
-                    right -= len(regex.search(r"\p{L}*$", after)[0])
-                for lo, hi in ((left, a), (b, right)):
-                    near |= {(rid, kind, text[a:b], m[0].lower(), lo + m.start(), lo + m.end()) for m in regex.finditer(r"\p{L}{3,}", text[lo:hi])}
-    co = defaultdict(set)
-    for rid, kind, value, term, _, _ in near:
-        co[kind, value, term].add(rid)
+        base = plain_base(text)
+        for m in regex.finditer(r"\p{L}+", "".join("0" if any(a <= k < b for a, _, _, b in base) else c for k, c in enumerate(text))):
+            if len(m[0]) >= 3:
+                places[rid].append((m[0].lower(), *m.span()))
+        for a, _, kind, b in base:
+            df_c[kind, text[a:b]].add(rid)
+    for value, rids in df_c.items():
+        for rid in rids:
+            for term in {p[0] for p in places[rid]}:
+                co[value, term].add(rid)
     out = defaultdict(dict)
-    for rid, kind, value, term, a, b in near:
-        n, c = len(co[kind, value, term]), len(df_c[kind, value])
+    for (value, term), rids in co.items():
+        n, c = len(rids), len(df_c[value])
         if n >= pii.TOGETHER and c >= pii.TOGETHER and total > c:
             ratio = math.log(n * total / (c * max(df_t[term], n))) / math.log(total / c)
             if ratio >= pii.GENERALISE:
-                out[rid][a, b] = max(out[rid].get((a, b), 0), ratio)
+                for rid in rids:
+                    out[rid] |= {(a, b): max(out[rid].get((a, b), 0), ratio) for t, a, b in places[rid] if t == term}
     return out
 
 
@@ -82,6 +76,11 @@ def folder(spark, tmp_path_factory):
     return str(path), rows, items
 
 
+def tables(spark):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    return {p.name for p in folder.iterdir()}
+
+
 def test_pipeline_rows(spark, folder):
     path, rows, items = folder
     vocabulary = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -99,18 +98,22 @@ def test_pipeline_rows(spark, folder):
     for (i, _), text in clean.items():
         ids = own.encode(text)
         expected[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), tuple(ids)] += 1
+    before = tables(spark)
     got = corpus_pipeline.run(spark, path).collect()
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], tuple(r["ids"])) for r in got) == expected
     assert {200, 201, 202, 203, 204} & {r["doc_id"] for r in got} == set() and {300, 301, 302, 303, 400, None} <= {r["doc_id"] for r in got}
+    assert not [n for n in tables(spark) - before if not n.startswith("pipeline-pii")]  # what the lazy last stage reads stays
     assert any("quixotry" in t for t in kept.values()) and not any("quixotry" in t or "secret" in t for t in clean.values())
 
 
 def test_stages_keep_columns(spark, folder):
     path = folder[0]
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("rid", F.lit(1))
+    names = ["rid", "__rid", "__cuts", "__lang", "cuts", "Lang_Known", "hashes", "fp"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(k) for k, c in enumerate(names)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, path)
-        assert docs.columns == [*[c.split(" ")[0] for c in DOCS.split(", ")], "rid"]
+        assert docs.columns == [*[c.split(" ")[0] for c in DOCS.split(", ")], *names]
+    assert {tuple(r) for r in docs.select(*names).collect()} == {tuple(range(len(names)))}
 
 
 def test_empty_documents(spark, folder, tmp_path):

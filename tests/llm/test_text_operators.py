@@ -296,6 +296,12 @@ def test_terms_far_from_the_value_and_at_every_place(spark):
     assert not any("zebulon" in clean[k].lower() or "secret" in clean[k] for k in range(3)) and clean[10] == rows[3][1]
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{k}@mail{k % 7}.example.com" for k in range(20_000))
+    r = pii.report(frame(spark, [(1, text, "x"), (2, text, "x")])).first()
+    assert r["n_email"] == 20_000 and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in plain_base(text)).encode()).hexdigest()
+
+
 def test_sanitise_nulls_and_overlaps(spark):
     df = frame(spark, [(1, None, "x"), (2, "a 1.1.1.1@2.2.2.2 b", "x"), (None, "c@d.ee", "x"), (4, "😀 +49 30 1234567 é", "x")])
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
