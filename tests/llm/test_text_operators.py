@@ -612,7 +612,9 @@ def test_bpe_frames(docs, vocabulary):
 # --- chats
 
 
-def plain_viterbi(model, emit, free):
+def plain_viterbi(model, codes):
+    of = chat.values(codes)
+    emit, free = model["emit"][codes], (of["row"] > 0) | (of["marker"] > 0)
     best, back = model["start"] + emit[0], []
     for k in range(1, len(emit)):
         step = best[:, None] + (model["move"] if free[k] else np.where(np.eye(4, dtype=bool), 0, -np.inf))
@@ -638,8 +640,8 @@ def chats(spark):
 
 def test_chat_roles(spark):
     rows = chats(spark)
-    odd = [(100, 0, None, None), (101, None, "user", ""), (102, 0, "user", "User: hello\nthere\nAssistant: hi\n### System\nbe kind"), (None, 0, "bot", "a"), (1, 1, "user", rows[8][3]), (103, 0, "who", "x" * 50_000)]
-    df = spark.createDataFrame(rows + odd, CHATS).withColumn("line", F.lit("clash"))
+    odd = [(100, 0, None, None), (101, None, "user", ""), (102, 0, "user", "User: hello\nthere\nAssistant: hi\n### System\nbe kind<|im_end|>"), (None, 0, "bot", "a"), (1, 1, "user", rows[8][3]), (103, 0, "who", "x" * 50_000)]
+    df = spark.createDataFrame(rows + odd, CHATS).withColumns({"line": F.lit("clash"), "c": F.lit(1), "codes": F.lit(2)})
     got = chat.report(df).collect()
     assert len(got) == len(rows) + len(odd)
     right = {(c, t): role for c, t, role, _ in rows}
@@ -650,15 +652,59 @@ def test_chat_roles(spark):
     assert chat.report(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 32])
-def test_long_conversations_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(chat, "BLOCK", block)
-    rows = [(1, t, "user" if t % 2 == 0 else "assistant", prose(3 + 30 * (t % 2), t)) for t in range(200)] + [(1, 77, "user", f"again {prose(3, k)}") for k in range(50)] + [(2, 0, "user", "hi"), (2, 1, "assistant", prose(40, 1))]
-    df = spark.createDataFrame(rows, CHATS)
+def test_line_codes(spark):
+    text = "User: is it?\n- a list\n\n    code\nplain words here"
+    of = chat.values(np.array(spark.createDataFrame([(text,)], "t string").select(chat.line_codes(F.col("t"))).first()[0]))
+    assert of["marker"].tolist() == [2, 0, 0, 0, 0] and of["shape"].tolist() == [0, 1, 3, 2, 4]
+    assert of["length"].tolist() == [int(np.log2(len(x) + 1)) for x in text.split("\n")] and of["row"].tolist() == [int(1.5 * np.log2(len(text) + 1)) + 1, 0, 0, 0, 0]
+
+
+def plain_counts(rows):
+    """Starts, moves and labelled rows of conversations, by roles."""
+    starts, moves, by = Counter(), Counter(), {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, text or "", role if role in chat.ROLES else None))
+    for held in by.values():
+        roles = [r[3] for r in sorted(held, key=lambda r: r[:3])]
+        starts[roles[0]] += roles[0] is not None
+        moves.update((a, b) for a, b in zip(roles, roles[1:]) if a and b)
+    return starts, moves
+
+
+@pytest.mark.parametrize(("lines", "chunk"), [(1 << 16, 50_000), (40, 50_000), (40, 8)])
+def test_long_conversations_in_blocks(spark, monkeypatch, lines, chunk):
+    monkeypatch.setattr(chat, "BLOCK_LINES", lines)
+    monkeypatch.setattr(chat, "CHUNK_LINES", chunk)
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", prose(3 + 30 * (t % 2), t)) for t in range(300)] + [(1, 77, "user", f"again {prose(3, k)}") for k in range(100)] + [(1, 78, "assistant", "equal")] * 30
+    rows += [(1, None, "system", "before all\nUser: no"), (1, 79, "who", "none")] + [(k, t, ("user", "assistant")[t % 2], prose(3 + 20 * (t % 2), t)) for k in range(2, 9) for t in range(k)]
+    df = spark.createDataFrame(rows, CHATS).repartition(3)
     model = chat.fit(df)
-    got = chat.parse(df, model)
-    lines = chat.lines_of(chat.rows_of(df)).where("conv = 1").orderBy("b1", "b2", "b3", "turn", "text", "line_no").toPandas()
-    emit, free = chat.emissions(model, lines)
-    path = [chat.ROLES[k] for k in plain_viterbi(model, emit, free)]
-    expected = Counter(zip(lines["turn"], path, lines["n"] if "n" in lines else [1] * len(path)))
-    assert Counter((r["turn"], r["role_pred"], 1) for r in got.where("conv_id = 1").collect()) == expected
+    starts, moves = plain_counts(rows)
+    first, move = np.full(4, 0.5) + [0, 1, 0, 0], np.full((4, 4), 0.5)
+    for a, b in ((1, 2), (2, 1), (0, 1)):
+        move[a, b] += 1
+    for r, n in starts.items():
+        if r:
+            first[chat.ROLES.index(r)] += n
+    for (a, b), n in moves.items():
+        move[chat.ROLES.index(a), chat.ROLES.index(b)] += n
+    assert np.allclose(np.exp(model["start"]), first / first.sum()) and np.allclose(np.exp(model["move"]), move / move.sum(axis=1, keepdims=True))
+    expected = Counter()
+    coded = chat.rows_of(df).collect()
+    for c in {r["c"] for r in coded}:
+        held = sorted((r for r in coded if r["c"] == c), key=lambda r: (r["at"], r["text"]))
+        path = plain_viterbi(model, np.concatenate([r["codes"] for r in held]))
+        for r in held:
+            own, path = path[: len(r["codes"])], path[len(r["codes"]) :]
+            expected[r["conv"], r["turn"], chat.ROLES[own[0]], len(own), chat.render(r["text"], np.array(own), chat.values(np.array(r["codes"]))["marker"] > 0)] += 1
+    assert Counter(tuple(r) for r in chat.parse(df, model).collect()) == expected
+
+
+def test_markers_are_learned():
+    seen = np.zeros((int(np.prod(list(chat.SIZES.values()))), 4))
+    plain = chat.emissions(seen)
+    of = chat.values(np.arange(len(seen)))
+    at = lambda marker: np.flatnonzero((of["marker"] == marker) & (of["row"] == 0) & (of["length"] == 3) & (of["shape"] == 4))[0]
+    assert plain[at(2)].argmax() == 1 and plain[at(3)].argmax() == 2 and np.ptp(plain[at(0)]) == 0
+    seen[at(2), 2] = 10_000  # here, lines marked as the user's are the assistant's
+    assert chat.emissions(seen)[at(2)].argmax() == 2
