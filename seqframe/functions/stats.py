@@ -3,45 +3,42 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 
 def lrt(lnl0: Column, lnl1: Column) -> Column:
     """Likelihood-ratio statistic 2 |lnL1 - lnL0|."""
     return 2 * F.abs(lnl1 - lnl0)
 
 
-def _odd_tail(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    def one(x: float, df: int) -> float:
-        h = x / 2
-        total, term = math.erfc(math.sqrt(h)), math.sqrt(h) * math.exp(-h) / math.gamma(1.5)
-        for k in range(1, (df + 1) // 2):
-            total += term
-            term *= h / (k + 0.5)
-        return total
-
-    for x, df in batches:
-        yield pd.Series([None if pd.isna(a) or pd.isna(d) else one(a, int(d)) for a, d in zip(x, df, strict=True)], index=x.index, dtype=float)
+def erfc(square: Column) -> Column:
+    """Complementary error function of the root of ``square``: below 3 a power series, from there on a continued fraction."""
+    x = F.sqrt(square)
+    series, fraction = F.lit(1.0), x
+    for k in range(40, 0, -1):
+        series = 1 + 2 * square / (2 * k + 1) * series
+    for k in range(60, 0, -1):
+        fraction = x + F.lit(k / 2) / fraction
+    scale = F.exp(-square) / math.sqrt(math.pi)
+    return F.when(square < 3, 1 - 2 * x * scale * series).otherwise(scale / fraction)
 
 
 def chi2_sf(x: Column, df: int) -> Column:
-    """Upper tail of chi-square: a finite sum for even ``df``, complementary error function and recurrence for odd."""
+    """Upper tail of chi-square: a finite sum, which for odd ``df`` begins with the complementary error function."""
     if df < 1:
         raise ValueError("degrees of freedom start at 1")
-    x = F.greatest(x.cast("double"), F.lit(0.0))
-    if df % 2:
-        return F.pandas_udf(_odd_tail, "double")(x, F.lit(df))
-    h = x / 2
-    total, term = F.lit(1.0), F.lit(1.0)
-    for k in range(1, df // 2):
-        term = term * h / k
+    h = F.greatest(x.cast("double"), F.lit(0.0)) / 2
+    h = F.when(x.isNotNull(), h)
+    total, term, first = (erfc(h), F.sqrt(h) * F.exp(-h) / math.gamma(1.5), 1.5) if df % 2 else (F.exp(-h), h * F.exp(-h), 2.0)
+    for k in range((df - 1) // 2):
         total = total + term
-    return F.exp(-h) * total
+        term = term * h / (first + k)
+    return total
 
 
 def pair_models(fits: DataFrame, null_model: int = 1) -> DataFrame:
@@ -50,6 +47,16 @@ def pair_models(fits: DataFrame, null_model: int = 1) -> DataFrame:
     return fits.where(F.col("model") != null_model).join(null, "cluster").select("cluster", "model", lrt(F.col("lnl0"), F.col("lnl")).alias("stat"), (F.col("np") - F.col("np0")).alias("ddf"))
 
 
+def pair_branchsite(fits: DataFrame) -> DataFrame:
+    """cluster, species, lnl_fix, lnl_nofix, w_fix, w_nofix, sites, stat, ddf, p of branch-site fits (cluster, species, kind, lnl, w,
+    sites) that have both kinds, fix and nofix; one degree of freedom. Of repeated fits of a kind the last by lnl counts."""
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("lnl", "w", "sites"))).alias(kind)
+    both = fits.groupBy("cluster", "species").agg(of("fix"), of("nofix")).where("fix is not null and nofix is not null")
+    out = both.select("cluster", "species", F.col("fix.lnl").alias("lnl_fix"), F.col("nofix.lnl").alias("lnl_nofix"), F.col("fix.w").alias("w_fix"), F.col("nofix.w").alias("w_nofix"), F.col("nofix.sites").alias("sites"))
+    out = out.withColumn("stat", lrt(F.col("lnl_fix"), F.col("lnl_nofix"))).withColumn("ddf", F.lit(1).cast("long"))
+    return out.withColumn("p", chi2_sf(F.col("stat"), 1))
+
+
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``df`` without the listed keys."""
     return df.join(ids.select(key), key, "left_anti")
@@ -66,29 +73,72 @@ def failed_clusters(rows: DataFrame, min_len: float = 150, max_ds: float = 2) ->
 
 
 def bh_fdr(df: DataFrame, by: list[str], p: str = "p", key: str = "cluster") -> DataFrame:
-    """``df`` with q: the least p n / rank over ranks from its own, at most 1, within ``by``.
+    """``df`` with q: the least p n / rank over ranks from its own, at most 1, within ``by``; a null p counts for nothing and has no q.
 
-    Ranks come from distinct p-values: equal ones share the q of the last of them, so the window runs over one row per value.
+    Ranks come from distinct p-values: equal ones share the q of the last of them. P-values are dealt by their size in buckets, 1,024
+    to each halving; ranks are summed within a bucket and shifted by the buckets before, minima are taken within a bucket and with
+    the least of those behind, so one ``by`` is shared among tasks and only one row for each bucket meets in one.
     """
-    values = df.groupBy(*by, p).agg(F.count("*").alias("_m"))
-    up = W.partitionBy(*by).orderBy(p)
-    rank = F.sum("_m").over(up.rowsBetween(W.unboundedPreceding, 0))
-    n = F.sum("_m").over(W.partitionBy(*by))
-    scaled = values.withColumn("_q", F.col(p) * n / rank)
-    q = scaled.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up.rowsBetween(0, W.unboundedFollowing)))).select(*by, p, "q")
-    return df.join(q, [*by, p])
+    bucket = F.when(F.col(p) > 0, F.floor(F.log2(p) * 1024)).otherwise(-(1 << 40))
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_m")).withColumn("_b", bucket)
+    key, before, behind = [*by, "_b"], W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = values.groupBy(*key).agg(F.sum("_m").alias("_s"))
+    sizes = sizes.select(*key, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy(*by)).alias("_n"))
+    own = W.partitionBy(*key)
+    rank = F.col("_before") + F.sum("_m").over(own.orderBy(p).rowsBetween(W.unboundedPreceding, 0))
+    ranked = values.join(sizes, key).withColumn("_q", F.col(p) * F.col("_n") / rank)
+    least = ranked.groupBy(*key).agg(F.min("_q").alias("_least"))
+    least = least.select(*key, F.min("_least").over(behind).alias("_behind"))
+    within = F.min("_q").over(own.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0))
+    q = ranked.withColumn("_within", within).join(least, key).select(*by, p, F.least(F.lit(1.0), "_within", "_behind").alias("q"))
+    return df.join(q, [*by, p], "left")
+
+
+def _permuted(x: Column, bits: Column, keys: list[Column]) -> Column:
+    """``x`` below 2^bits under a permutation that the keys (below 2^28) name: odd factors and shifts, each of which can be undone."""
+    mask = F.expr(f"shiftleft(1L, {BITS}) - 1")
+    half = F.greatest(F.lit(1), (bits / 2).cast("int"))
+    one = (x * (2 * keys[0] + 1) + keys[1]).bitwiseAND(mask)
+    two = one.bitwiseXOR(F.call_function("shiftright", one, half))
+    three = (two * (2 * keys[2] + 1)).bitwiseAND(mask)
+    return three.bitwiseXOR(F.call_function("shiftright", three, half))
+
+
+#: Name of the column of bits in ``drawn_numbers``.
+BITS = "_bits"
+
+
+def drawn_numbers(sizes: DataFrame, by: list[str], n: int, seed: int, attempt: int = 0) -> DataFrame:
+    """``by``, draw, no: ``n`` distinct numbers below ``_size`` for each row (by, draw, _size), by a permutation that md5 of (seed,
+    attempt, draw, by) names. Numbers are tried in order until ``n`` are below ``_size``, at least half of which are."""
+    name = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(attempt)), F.col("draw").cast("string"), *[F.col(c).cast("string") for c in by]))
+    rows = sizes.withColumn(BITS, F.greatest(F.lit(1), F.length(F.bin(F.col("_size") - 1)))).withColumn("_md5", name)
+    for k in range(3):
+        rows = rows.withColumn(f"_k{k}", F.conv(F.substring("_md5", 7 * k + 1, 7), 16, 10).cast("long"))
+    tried = F.sequence(F.lit(0).cast("long"), F.least(F.expr(f"shiftleft(1L, {BITS})"), F.lit(4 * n + 128)) - 1)
+    found = F.filter(F.transform(tried, lambda x: _permuted(x, F.col(BITS), [F.col(f"_k{k}") for k in range(3)])), lambda x: x < F.col("_size"))
+    return rows.select(*by, "draw", F.explode(F.slice(found, 1, n)).alias("no"))
+
+
+def _numbered_groups(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``df`` with no: numbers from 0 within ``by``, in the order of md5's first three digits and ``key``."""
+    return numbered(df, [key], F.substring(F.md5(F.col(key).cast("string")), 1, 3), "no", by=tuple(by))
+
+
+def _draws(df: DataFrame, by: list[str], n: int, draws: int) -> DataFrame:
+    """by, _size, draw: the draws of every group of at least ``n`` rows."""
+    size = df.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") >= n)
+    return size.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
 
 def sample_n(df: DataFrame, by: list[str], key: str, n: int, draws: int, seed: int) -> DataFrame:
-    """``draws`` samples of ``n`` rows without replacement from each group of ``by``, by the order of md5(seed, draw, key).
+    """``draws`` samples of ``n`` rows without replacement from each group of ``by``; ``key`` names a row of a group.
 
-    Groups of fewer rows are not drawn. Each (group, draw) is ranked apart; the rank filter keeps ``n`` rows per partition
-    before the shuffle.
+    Groups of fewer rows are not drawn. A group's rows are numbered once, each draw takes ``n`` distinct numbers, and rows join these:
+    nothing is sorted or dealt out for each draw but the rows it takes.
     """
-    size = df.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") >= n).drop("_size")
-    rows = df.join(size, by).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")))
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, "draw").orderBy(order, key))).where(F.col("_r") <= n).drop("_r")
+    rows = _numbered_groups(df, by, key)
+    return rows.join(drawn_numbers(_draws(df, by, n, draws), by, n, seed), [*by, "no"]).drop("no")
 
 
 def add_counts(df: DataFrame) -> DataFrame:
@@ -101,10 +151,19 @@ def kaks_ratio() -> Column:
     return F.try_divide(F.try_divide(F.sum("ndn"), F.sum("n")), F.try_divide(F.sum("sds"), F.sum("s")))
 
 
-def resample_kaks(rows: DataFrame, n: int = 150, draws: int = 10_000, seed: int = 1) -> DataFrame:
-    """species, draw, w of samples of ``n`` clusters; draws with a zero sum have no row."""
-    drawn = sample_n(add_counts(rows), ["species"], "cluster", n, draws, seed)
-    return drawn.groupBy("species", "draw").agg(kaks_ratio().alias("w")).where("w is not null")
+def resample_kaks(rows: DataFrame, n: int = 150, draws: int = 10_000, seed: int = 1, redraws: int = 3) -> DataFrame:
+    """species, draw, w of samples of ``n`` clusters. A draw with a zero sum is drawn again, up to ``redraws`` times; if none of these
+    has a ratio, as where a species has no substitutions, the draw has no row."""
+    by = ["species"]
+    counted = _numbered_groups(add_counts(rows), by, "cluster").select("species", "no", "n", "ndn", "s", "sds")
+    todo, done = _draws(rows, by, n, draws), None
+    for attempt in range(redraws + 1):
+        drawn = counted.join(drawn_numbers(todo, by, n, seed, attempt), [*by, "no"])
+        w = drawn.groupBy("species", "draw").agg(kaks_ratio().alias("w"))
+        some = w.where("w is not null")
+        done = some if done is None else done.unionByName(some)
+        todo = todo.join(w.where("w is null").select("species", "draw"), ["species", "draw"], "left_semi")
+    return done
 
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -135,10 +194,11 @@ def select_round(rounds: DataFrame, n: int = 20, least: int = 10) -> DataFrame:
     return rounds.where(F.col("round") >= least).groupBy("sample").agg(F.min_by("round", F.struct("fit", "round")).alias("round"))
 
 
-def scale_psmc(bins: DataFrame, mu: float, generation: float, skip: int = 100, mods: DataFrame | None = None) -> DataFrame:
+def scale_psmc(bins: DataFrame, mu: float, generation: float, skip: int = 100, mods: DataFrame | None = None, scaled: bool = True) -> DataFrame:
     """sample, round, k, years, ne of bins (sample, round, k, t, lam, theta).
 
-    N0 = theta / skip / (4 mu) x scale; years = 2 N0 (t + dt)(1 - tau) g + shift; Ne = lambda N0 nu / 10^4.
+    N0 = theta / skip / (4 mu) x scale; years = 2 N0 (t + dt)(1 - tau) g + shift; Ne = lambda N0 nu / 10^4. Without ``scaled``
+    neither mu nor generation counts: time = scale theta / skip (t + dt)(1 - tau) + shift, size = scale lambda theta / skip nu 1000.
     ``mods`` (sample, and any of fn, fn0, alpha, dt, tau, shift, nu) has one row per sample; scale = 1/(1-fn)/(1-fn0)/alpha'
     with alpha' = 2 (2 + alpha) / 3 / (1 + alpha) where alpha is given.
     """
@@ -149,6 +209,10 @@ def scale_psmc(bins: DataFrame, mu: float, generation: float, skip: int = 100, m
         a = F.col("alpha")
         scale = scale / F.coalesce(2 * (2 + a) / 3 / (1 + a), F.lit(1.0))
     n0 = F.col("theta") / skip / (4 * mu) * scale
+    if not scaled:
+        unit = scale * F.col("theta") / skip
+        time = unit * (F.col("t") + c("dt", 0.0)) * (1 - c("tau", 0.0)) + c("shift", 0.0)
+        return rows.select("sample", "round", "k", time.alias("years"), (F.col("lam") * unit * c("nu", 1.0) * 1000).alias("ne"))
     years = 2 * n0 * (F.col("t") + c("dt", 0.0)) * (1 - c("tau", 0.0)) * generation + c("shift", 0.0)
     return rows.select("sample", "round", "k", years.alias("years"), (F.col("lam") * n0 * c("nu", 1.0) / 1e4).alias("ne"))
 
@@ -158,12 +222,15 @@ def psmc_summary(curves: DataFrame, key: str = "sample") -> DataFrame:
     return curves.groupBy(key).agg(F.count("*").alias("n"), F.sum("ratio").alias("sum_ratio"), F.sum(F.col("ratio") * F.col("ratio")).alias("sum_ratio2"), F.sum("fit").alias("sum_fit"), F.sum(F.col("fit") * F.col("fit")).alias("sum_fit2"), F.max("segments").alias("max_segments"), F.max("ne").alias("max_ne"))
 
 
+def psmc_overall(summary: DataFrame) -> DataFrame:
+    """One row over all samples of ``psmc_summary``."""
+    return summary.agg(*[F.sum(c).alias(c) for c in ("n", "sum_ratio", "sum_ratio2", "sum_fit", "sum_fit2")], *[F.max(c).alias(c) for c in ("max_segments", "max_ne")])
+
+
 def k2p(a: Column, b: Column) -> Column:
     """Kimura two-parameter distance of two aligned sequences; positions without A, C, G, T in both are left out."""
-    pair = F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y))
-    seen = F.filter(pair, lambda p: p.rlike("^[ACGT]{2}$"))
-    n = F.size(seen)
-    ti = F.size(F.filter(seen, lambda p: p.isin("AG", "GA", "CT", "TC")))
-    same = F.size(F.filter(seen, lambda p: F.substring(p, 1, 1) == F.substring(p, 2, 1)))
+    pairs = F.array_join(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y)), " ")
+    count = lambda pattern: F.regexp_count(pairs, F.lit(pattern))
+    n, ti, same = count(r"(?<!\S)[ACGT]{2}(?!\S)"), count(r"(?<!\S)(?:AG|GA|CT|TC)(?!\S)"), count(r"(?<!\S)(?:AA|CC|GG|TT)(?!\S)")
     p, q = F.try_divide(ti, n), F.try_divide(n - ti - same, n)
     return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), 0.0 - 0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))

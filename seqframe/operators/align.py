@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import FOURFOLD, codons
@@ -10,36 +10,59 @@ from .intervals import chunks
 
 
 def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
-    """group_id, species, sites: third codon bases at positions where all ``n_species`` have a 4-fold prefix, in order."""
-    rows = alns.select("group_id", "species", F.posexplode(codons(F.col("aln"))).alias("pos", "codon")).where(F.substring("codon", 1, 2).isin(list(FOURFOLD)))
-    full = rows.groupBy("group_id", "pos").agg(F.count("*").alias("n")).where(F.col("n") == n_species).drop("n")
-    kept = rows.join(full, ["group_id", "pos"])
-    sites = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.substring("codon", 3, 1).alias("base")))), lambda x: x["base"]), "")
-    return kept.groupBy("group_id", "species").agg(sites.alias("sites"))
+    """group_id, species, sites: third codon bases at positions where all ``n_species`` have a 4-fold prefix, in order.
+
+    A group's alignments meet in one row.
+    """
+    third = F.transform(codons(F.col("aln")), lambda c: F.when(F.substring(c, 1, 2).isin(list(FOURFOLD)), F.substring(c, 3, 1)))
+    groups = alns.select("group_id", F.struct("species", third.alias("third")).alias("m")).groupBy("group_id").agg(F.collect_list("m").alias("m")).where(F.size("m") == n_species)
+    full = F.aggregate("m", F.transform(F.col("m")[0]["third"], lambda x: F.lit(True)), lambda acc, m: F.zip_with(acc, m["third"], lambda p, x: F.coalesce(p, F.lit(False)) & x.isNotNull()))
+    rows = groups.select("group_id", full.alias("full"), F.explode("m").alias("m"))
+    sites = F.array_join(F.filter("m.third", lambda x, i: F.get("full", i)), "")
+    return rows.select("group_id", "m.species", sites.alias("sites")).where("sites <> ''")
 
 
-def supermatrix(alns: DataFrame, guard: int = 1 << 30) -> DataFrame:
-    """species, aln, length, groups: each species' alignments joined in the order of groups; beyond ``guard`` residues it fails."""
+def supermatrix(alns: DataFrame, part: Column | None = None, guard: int = 1 << 30) -> DataFrame:
+    """species, part, aln, length, groups: each species' alignments joined in the order of groups.
+
+    ``part`` cuts the groups into pieces, which must rise with group_id, such as ``floor(group_id / 1000)``: pieces in their order
+    make the matrix, whatever its length. A piece of more than ``guard`` residues fails.
+    """
     size = F.sum(F.length("aln"))
     joined = F.sort_array(F.collect_list(F.struct("group_id", "aln")))
-    out = alns.groupBy("species").agg(joined.alias("parts"), size.alias("length"))
+    out = alns.withColumn("part", F.lit(0) if part is None else part).groupBy("species", "part").agg(joined.alias("parts"), size.alias("length"))
     text = F.array_join(F.transform("parts", lambda x: x["aln"]), "")
-    safe = F.when(F.col("length") > guard, F.raise_error(F.lit("a joined alignment is too long; write it by group")).cast("string")).otherwise(text)
-    return out.select("species", safe.alias("aln"), "length", F.array_join(F.transform("parts", lambda x: x["group_id"].cast("string")), ",").alias("groups"))
+    safe = F.when(F.col("length") > guard, F.raise_error(F.lit("a joined alignment is too long; give smaller parts")).cast("string")).otherwise(text)
+    return out.select("species", "part", safe.alias("aln"), "length", F.array_join(F.transform("parts", lambda x: x["group_id"].cast("string")), ",").alias("groups"))
+
+
+#: K-mers of A, C, G and T up to this length are two bits for each base of a number.
+PACKED = 31
 
 
 def kmers(seqs: DataFrame, k: int, size: int = 1 << 16) -> DataFrame:
-    """seq_id, position (from 1), kmer: every k-mer, from chunks that overlap by k - 1."""
-    rows = chunks(seqs, size, k - 1).where(F.length("chunk") >= k)
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("chunk") - k + 1), lambda i: F.substr("chunk", i, F.lit(k))))
-    out = rows.select("seq_id", "chunk_start", at.alias("i", "kmer"))
-    return out.select("seq_id", (F.col("chunk_start") + F.col("i")).alias("position"), "kmer")
+    """seq_id, position (from 1), code, kmer: every k-mer of chunks that overlap by k - 1.
+
+    A k-mer of A, C, G and T, of at most ``PACKED`` letters, is a number, code; any other one is text, kmer; the other is null.
+    """
+    wide = chunks(seqs, 1 << 20, k - 1).select("seq_id", F.col("chunk_start").alias("from"), F.col("chunk").alias("seq"))
+    # of a chunk's last piece only the starts that are its own
+    rows = chunks(wide, size, k - 1, keep=("from",)).withColumn("starts", F.least(F.lit(size), F.lit(1 << 20) - F.col("chunk_start") + 1))
+    every = F.slice(F.regexp_extract_all("chunk", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.lit(1), F.greatest(F.col("starts"), F.lit(0)).cast("int"))
+    out = rows.select("seq_id", (F.col("from") + F.col("chunk_start") - 1).alias("at"), F.posexplode(every).alias("i", "kmer"))
+    code = F.when(F.col("kmer").rlike("^[ACGT]*$"), F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long")) if k <= PACKED else F.lit(None).cast("long")
+    out = out.select("seq_id", (F.col("at") + F.col("i")).alias("position"), code.alias("code"), "kmer")
+    return out.withColumn("kmer", F.when(F.col("code").isNull(), F.col("kmer")))
 
 
-def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20) -> DataFrame:
+def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20, prefilter: bool = False) -> DataFrame:
     """seq_id, position, n: how often the target set has the k-mer that starts at each position of the query.
 
-    The target's k-mers are counted before they meet the query's.
+    The target's k-mers are counted before they meet the query's, where frequent ones are skewed keys that adaptive execution
+    splits. With ``prefilter``, for a query that is small beside the target, only k-mers that it has are counted.
     """
-    counts = kmers(target, k).groupBy("kmer").agg(F.count("*").alias("n"))
-    return kmers(query, k).join(counts, "kmer", "left").select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n"))
+    q, t, same = kmers(query, k).alias("q"), kmers(target, k), lambda a, b: F.col(f"{a}.code").eqNullSafe(F.col(f"{b}.code")) & F.col(f"{a}.kmer").eqNullSafe(F.col(f"{b}.kmer"))
+    if prefilter:
+        t = t.alias("t").join(q.select("code", "kmer").distinct().alias("d"), same("t", "d"), "left_semi")
+    counts = t.groupBy("code", "kmer").agg(F.count("*").alias("n")).alias("c")
+    return q.join(counts, same("q", "c"), "left").select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import subseq
+from ..functions.seq import revcomp
+from .intervals import chunks
 
 ROLES = ("LTR_retrotransposon", "five_prime_LTR", "three_prime_LTR")
 
@@ -19,15 +20,31 @@ def join_group_seqs(groups: DataFrame, seqs: DataFrame, strict: bool = True) ->
     return joined.select("group_id", "species", "gene", F.coalesce("seq", missing).alias("seq"))
 
 
-def join_feature_seqs(features: DataFrame, seqs: DataFrame) -> DataFrame:
-    """element, seqname, whole, five, three: sequences of an element and its two ends, on the feature's strand."""
+def join_feature_seqs(features: DataFrame, seqs: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """element, seqname, whole, five, three: sequences of an element and its two ends, on the feature's strand; null without the
+    feature. Of several features of one role the last by (start, stop) counts; a stop before the start is an error.
+
+    Features meet the chunks of ``size`` bases that they lie on, so a long sequence is shared among tasks and is not copied whole.
+    """
     roles = {"whole": ROLES[0], "five": ROLES[1], "three": ROLES[2]}
-    spans = [F.max_by(F.struct("start", "stop", "strand"), F.when(F.col("feature") == role, F.struct("start", "stop"))).alias(name) for name, role in roles.items()]
+    spans = [F.max_by(F.struct(F.lit(name).alias("role"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "strand"), F.when(F.col("feature") == role, F.struct("start", "stop"))).alias(name) for name, role in roles.items()]
     some = [F.count_if(F.col("feature") == role).alias(f"n_{name}") for name, role in roles.items()]
     wide = features.groupBy("element", "seqname").agg(*spans, *some)
-    joined = wide.join(seqs.select(F.col("seq_id").alias("seqname"), "seq"), "seqname")
-    cut = [F.when(F.col(f"n_{name}") > 0, subseq(F.col("seq"), F.col(f"{name}.start"), F.col(f"{name}.stop"), F.col(f"{name}.strand"))).alias(name) for name in roles]
-    return joined.select("element", "seqname", *cut)
+    each = wide.select("element", "seqname", F.explode(F.array_compact(F.array(*[F.when(F.col(f"n_{name}") > 0, F.col(name)) for name in roles]))).alias("x")).select("element", "seqname", "x.*")
+    wrong = F.raise_error(F.concat(F.lit("end before start: "), F.col("start").cast("string"), F.lit(".."), F.col("stop").cast("string"))).cast("long")
+    each = each.withColumn("stop", F.when(F.col("stop") < F.col("start"), wrong).otherwise(F.col("stop")))
+    pieces = each.withColumn("chunk_no", F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size))))
+    joined = pieces.join(chunks(seqs, size).withColumnRenamed("seq_id", "seqname").withColumn("chunk_no", F.col("chunk_no").cast("long")), ["seqname", "chunk_no"])
+    first = F.greatest("start", "chunk_start")
+    piece = F.substr("chunk", (first - F.col("chunk_start") + 1).cast("int"), (F.col("stop") - first + 1).cast("int"))
+    held = joined.select("element", "seqname", "strand", F.struct("role", "chunk_no", piece.alias("piece")).alias("p")).groupBy("element", "seqname").agg(F.sort_array(F.collect_list("p")).alias("p"), *[F.max(F.when(F.col("p.role") == name, F.col("strand"))).alias(f"{name}_strand") for name in roles])
+
+    def cut(name: str) -> Column:
+        own = F.filter("p", lambda x: x["role"] == name)
+        text = F.array_join(F.transform(own, lambda x: x["piece"]), "")
+        return F.when(F.size(own) > 0, F.when(F.col(f"{name}_strand") == "-", revcomp(text)).otherwise(text)).alias(name)
+
+    return held.select("element", "seqname", *map(cut, roles))
 
 
 def join_ltr_ends(families: DataFrame, five: DataFrame, three: DataFrame) -> DataFrame:
@@ -41,15 +58,35 @@ def ltr_pair_records(pairs: DataFrame) -> DataFrame:
     return pairs.select("element", "family", ends.alias("e")).select("element", F.concat_ws("#", "element", "family", "e.role").alias("header"), "e.seq")
 
 
-def locate_elements(elements: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Elements (element, seqname, seq, and part lengths ltr5, ltr3) found in their sequence: start and end of the whole and of both
-    ends, from 1; start 0 and null ends where the sequence lacks it."""
-    joined = elements.join(seqs.select(F.col("seq_id").alias("seqname"), F.col("seq").alias("target")), "seqname")
-    at = F.expr("locate(seq, target)")
-    rows = joined.withColumn("start", at.cast("long")).withColumn("n", F.length("seq"))
+def locate_elements(elements: DataFrame, seqs: DataFrame, size: int = 1 << 20, longest: int = 1 << 16) -> DataFrame:
+    """Elements (element, seqname, seq, and part lengths ltr5, ltr3) found in their sequence: start and stop of the whole and inner
+    edges of both ends, from 1; start 0 and nulls where the sequence lacks it. The first place counts.
+
+    Where the elements have columns pbs and ppt (sequences), their first places within the element follow as starts and stops, null
+    if it lacks them, and with tsr5 and tsr3 (sequences) the spans of their lengths before and behind the element.
+
+    Elements of at most ``longest`` bases, an error beyond, meet chunks of ``size`` bases that overlap by that many, so a long
+    sequence is shared among tasks.
+    """
+    too_long = F.raise_error(F.concat(F.lit("element longer than the overlap: "), F.col("element"))).cast("string")
+    wanted = elements.withColumn("seq", F.when(F.length("seq") > longest, too_long).otherwise(F.col("seq")))
+    pieces = chunks(seqs, size, longest).select(F.col("seq_id").alias("seqname"), "chunk_start", "chunk")
+    at = F.expr("locate(seq, chunk)")
+    found = wanted.select("element", "seqname", "seq").join(pieces, "seqname").select("element", "seqname", F.when(at > 0, F.col("chunk_start") + at - 1).alias("at"))
+    first = found.groupBy("element", "seqname").agg(F.coalesce(F.min("at"), F.lit(0)).cast("long").alias("start"))
+    rows = elements.join(first, ["element", "seqname"])
     some = F.col("start") > 0
-    stop = F.col("start") + F.col("n") - 1
-    return rows.select("element", "seqname", "start", F.when(some, stop).alias("stop"), F.when(some, F.col("start") + F.col("ltr5") - 1).alias("ltr5_stop"), F.when(some, stop - F.col("ltr3") + 1).alias("ltr3_start"))
+    stop = F.col("start") + F.length("seq") - 1
+    out = {"stop": stop, "ltr5_stop": F.col("start") + F.col("ltr5") - 1, "ltr3_start": stop - F.col("ltr3") + 1}
+    for part in ("pbs", "ppt"):
+        if part in elements.columns:
+            inner = F.nullif(F.expr(f"locate({part}, seq)"), F.lit(0))
+            out |= {f"{part}_start": F.col("start") + inner - 1, f"{part}_stop": F.col("start") + inner + F.length(part) - 2}
+    if "tsr5" in elements.columns:
+        out |= {"tsd5_start": F.col("start") - F.length("tsr5"), "tsd5_stop": F.col("start") - 1}
+    if "tsr3" in elements.columns:
+        out |= {"tsd3_start": stop + 1, "tsd3_stop": stop + F.length("tsr3")}
+    return rows.select("element", "seqname", "start", *[F.when(some, c).cast("long").alias(name) for name, c in out.items()])
 
 
 def union_tracks(tracks: dict[str, DataFrame], name: str = "ALLDB") -> DataFrame:

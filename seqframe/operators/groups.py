@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,18 +88,40 @@ def unclustered(genes: DataFrame, groups: DataFrame) -> DataFrame:
     return genes.join(groups.select("species", "gene"), ["species", "gene"], "left_anti")
 
 
+def _species(gene: str) -> Column:
+    return F.split_part(gene, F.lit("|"), F.lit(1))
+
+
+def good_hits(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
+    """Hits between genes with an e-value exponent of at most ``exponent`` and at least ``percent`` matched."""
+    return hits.where((F.log10("e") <= exponent) & (F.col("pct") >= percent))
+
+
 def ortholog_pairs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
     """qry, sub: best hits between species that hold in both directions; ties all stay.
 
-    A hit counts with an e-value exponent of at most ``exponent`` and at least ``percent`` matched. The best are taken for each
-    query and target species, by e-value and then bits, so the window's groups are one gene's hits.
+    The best are taken for each query and target species, by e-value and then bits, so the window's groups are one gene's hits.
     """
-    species = lambda c: F.split_part(c, F.lit("|"), F.lit(1))
-    good = hits.where((F.log10("e") <= exponent) & (F.col("pct") >= percent)).withColumn("other", species(F.col("sub"))).where(species(F.col("qry")) != F.col("other"))
+    good = good_hits(hits, exponent, percent).withColumn("other", _species("sub")).where(_species("qry") != F.col("other"))
     first = F.rank().over(W.partitionBy("qry", "other").orderBy("e", F.desc("bits")))
     best = good.withColumn("r", first).where("r = 1").select("qry", "sub")
-    back = best.select(F.col("sub").alias("qry"), F.col("qry").alias("sub"))
-    return best.join(back, ["qry", "sub"]).where("qry < sub").distinct()
+    return _both_ways(best)
+
+
+def in_paralogs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
+    """qry, sub: hits within a species, in both directions, that are at least as good, by e-value and then bits, as the best hit of
+    each gene in another species; a gene without such a hit sets no limit."""
+    good = good_hits(hits, exponent, percent).where("qry <> sub").withColumn("rank", F.struct("e", (-F.col("bits")).alias("bits")))
+    across = _species("qry") != _species("sub")
+    limit = good.where(across).groupBy("qry").agg(F.min("rank").alias("limit"))
+    kept = good.where(~across).join(limit, "qry", "left").where(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
+    return _both_ways(kept.select("qry", "sub"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """The pairs that are there in both directions, once each."""
+    back = pairs.select(F.col("sub").alias("qry"), F.col("qry").alias("sub"))
+    return pairs.join(back, ["qry", "sub"]).where("qry < sub").distinct()
 
 
 def best_hit(hits: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 #: Length of a bin of the overlap join, a power of two near the length of a long feature.
 BIN = 512
-#: Length of the stretches that intervals are merged in.
-SPAN = 1 << 20
+#: Length of the stretches that intervals are merged in: of sequences, and of queries.
+SPAN, QUERY_SPAN = 1 << 20, 1 << 12
+#: Rows of a score track that are cut into runs together.
+STRETCH = 1 << 16
 
 
 def merge(df: DataFrame, by: list[str], span: int | None = SPAN) -> DataFrame:
@@ -84,13 +86,20 @@ def track_positions(features: DataFrame) -> DataFrame:
 def segment_scores(rows: DataFrame, threshold: float, min_len: int | None = None, emit_open: bool = True, max_step: int | None = None) -> DataFrame:
     """Runs of rows (seqname, row_no, start, stop, score) with score >= threshold: seqname, start, stop, n, score.
 
-    ``emit_open=False`` drops a run that lasts to the sequence's end; ``max_step`` also cuts where starts lie further apart.
+    ``emit_open=False`` drops a run that lasts to the sequence's end; ``max_step`` also cuts where starts lie further apart. Cuts are
+    counted within stretches of row_no and shifted by those of the stretches before, so a long track is shared among tasks.
     """
-    order = W.partitionBy("seqname").orderBy("row_no")
-    low = (F.col("score") < threshold).cast("int")
-    cut = low if max_step is None else F.greatest(low, F.coalesce((F.col("start") - F.lag("start").over(order) > max_step).cast("int"), F.lit(0)))
-    runs = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.withColumn("last", F.max("row_no").over(W.partitionBy("seqname"))).where(F.col("score") >= threshold)
+    key = ["seqname", "_b"]
+    own, by_stretch = W.partitionBy(*key).orderBy("row_no"), W.partitionBy("seqname").orderBy("_b")
+    rows = rows.withColumn("_b", F.floor(F.col("row_no") / STRETCH)).withColumn("cut", (F.col("score") < threshold).cast("int"))
+    if max_step is not None:
+        ends = rows.groupBy(*key).agg(F.max_by("start", "row_no").alias("_end"))
+        rows = rows.join(ends.select(*key, F.lag("_end").over(by_stretch).alias("_end")), key)
+        step = F.col("start") - F.coalesce(F.lag("start").over(own), F.col("_end")) > max_step
+        rows = rows.withColumn("cut", F.greatest("cut", F.coalesce(step.cast("int"), F.lit(0))))
+    sums = rows.groupBy(*key).agg(F.sum("cut").alias("_cuts"), F.max("row_no").alias("_last"))
+    sums = sums.select(*key, F.coalesce(F.sum("_cuts").over(by_stretch.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"), F.max("_last").over(W.partitionBy("seqname")).alias("last"))
+    runs = rows.withColumn("run", F.sum("cut").over(own.rowsBetween(W.unboundedPreceding, 0))).join(sums, key).withColumn("run", F.col("run") + F.col("_shift")).where(F.col("score") >= threshold)
     out = runs.groupBy("seqname", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"), F.max(F.col("row_no") == F.col("last")).alias("open"))
     if min_len is not None:
         out = out.where(F.col("stop") - F.col("start") >= min_len)
@@ -104,11 +113,11 @@ def filter_scores(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.where(F.col("score") >= threshold)
 
 
-def chunks(seqs: DataFrame, size: int = 1 << 20, overlap: int = 0) -> DataFrame:
+def chunks(seqs: DataFrame, size: int = 1 << 20, overlap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """seq_id, chunk_no, chunk_start (1-based), chunk: sequences in pieces that overlap the next by ``overlap``."""
     n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
-    rows = seqs.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    return rows.select("seq_id", "chunk_no", (F.col("chunk_no") * size + 1).alias("chunk_start"), F.substr("seq", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size + overlap)).alias("chunk"))
+    rows = seqs.select("seq_id", *keep, "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return rows.select("seq_id", *keep, "chunk_no", (F.col("chunk_no") * size + 1).alias("chunk_start"), F.substr("seq", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size + overlap)).alias("chunk"))
 
 
 def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool = False, size: int = 1 << 20) -> DataFrame:
@@ -135,7 +144,7 @@ def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool
 def best_target_coverage(blocks: DataFrame) -> DataFrame:
     """query, target, covered, ratio: of each query's targets, the one whose blocks cover most of the query's bases."""
     spans = blocks.select("query", "qlen", "target", F.col("qstart").alias("start"), (F.col("qstart") + F.col("size") - 1).alias("stop"))
-    got = merge(spans, ["query", "qlen", "target"], span=None).groupBy("query", "qlen", "target").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+    got = merge(spans, ["query", "qlen", "target"], span=QUERY_SPAN).groupBy("query", "qlen", "target").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
     top = F.max_by(F.struct("target", "covered"), F.struct("covered", "target"))
     return got.groupBy("query", "qlen").agg(top.alias("t")).select("query", "t.target", "t.covered", F.round(F.try_divide("t.covered", "qlen"), 6).alias("ratio"))
 

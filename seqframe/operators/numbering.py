@@ -7,28 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], bucket: Column, out: str = "no", weight: Column | None = None, upto: str | None = None) -> DataFrame:
-    """``df`` with ``out``: the rows' numbers from 0 in the order of (bucket, *order), which must name a row.
+def numbered(df: DataFrame, order: list[str], bucket: Column, out: str = "no", weight: Column | None = None, upto: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``out``: the rows' numbers from 0 in the order of (bucket, *order), which must name a row, within ``by``.
 
     Buckets are numbered apart and shifted by the sizes of those before, so only one row per bucket meets in one task.
     ``bucket`` must rise with the order. With ``weight``, ``upto`` is the running sum of weights before the row.
     """
     w = F.lit(1) if weight is None else weight
     rows = df.withColumn("_b", bucket).withColumn("_w", w)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    shift = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"))
-    own = W.partitionBy("_b").orderBy(*order)
-    joined = rows.join(shift, "_b").withColumn(out, F.col("_shift") + F.row_number().over(own) - 1)
+    key = [*by, "_b"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
+    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    shift = sizes.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"))
+    own = W.partitionBy(*key).orderBy(*order)
+    joined = rows.join(shift, key).withColumn(out, F.col("_shift") + F.row_number().over(own) - 1)
     if upto:
         joined = joined.withColumn(upto, F.col("_from") + F.coalesce(F.sum("_w").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return joined.drop("_b", "_w", "_shift", "_from")
 
 
-def number_features(df: DataFrame, by: list[str], order: list[str], prefix: str, pad: int, out: str = "attribute") -> DataFrame:
-    """Running ids within ``by``: prefix and the zero-padded number from 1."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn(out, F.concat(F.lit(prefix), _padded(n, pad)))
+def number_features(df: DataFrame, by: list[str], order: list[str], prefix: str, pad: int, out: str = "attribute", bucket: Column | None = None) -> DataFrame:
+    """Running ids within ``by``: prefix and the zero-padded number from 1. With a ``bucket`` that rises with the order, the rows of
+    one ``by`` are shared among tasks."""
+    if bucket is None:
+        rows = df.withColumn("_no", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    else:
+        rows = numbered(df, order, bucket, "_no", by=tuple(by)).withColumn("_no", F.col("_no") + 1)
+    return rows.withColumn(out, F.concat(F.lit(prefix), _padded(F.col("_no"), pad))).drop("_no")
 
 
 def _padded(n: Column, pad: int) -> Column:

@@ -96,6 +96,16 @@ def j9_ortholog_pairs(get):
     return G.ortholog_pairs(get("hits_v"))
 
 
+@query("""
+WITH g AS (SELECT *, split_part(qry, '|', 1) <> split_part(sub, '|', 1) AS across FROM {hits_all_v} WHERE log10(e) <= -5 AND pct >= 50),
+m AS (SELECT qry, e AS me, bits AS mb FROM (SELECT *, row_number() OVER (PARTITION BY qry ORDER BY e, bits DESC) AS r FROM g WHERE across) WHERE r = 1),
+k AS (SELECT g.qry, g.sub FROM g LEFT JOIN m USING (qry) WHERE NOT across AND (me IS NULL OR e < me OR (e = me AND bits >= mb)))
+SELECT DISTINCT a.qry, a.sub FROM k a JOIN k b ON a.qry = b.sub AND a.sub = b.qry WHERE a.qry < a.sub
+""")
+def j9_in_paralogs(get):
+    return G.in_paralogs(get("hits_all_v"))
+
+
 @query("SELECT qry, sub, bits FROM (SELECT *, row_number() OVER (PARTITION BY qry ORDER BY bits DESC, sub DESC) AS r FROM {hits_v}) WHERE r = 1")
 def a17_best_hit(get):
     return G.best_hit(get("hits_v"))

@@ -60,11 +60,11 @@ def p8_restore_ids(get):
 
 
 CODON_CASE = "CASE c " + " ".join(f"WHEN '{c}' THEN '{a}'" for c, a in S.CODE.items()) + " ELSE 'X' END"
-PEP = f"(SELECT seq_id, string_agg({CODON_CASE}, '' ORDER BY i) AS pep FROM (SELECT seq_id, i, substring(upper(seq), 3 * i + 1, 3) AS c FROM (SELECT seq_id, seq, unnest(range(0, length(seq) // 3)) AS i FROM (SELECT seq_id, substring(seq, 1, 600) AS seq FROM {{seq_v}}))) GROUP BY seq_id)"
+PEP = f"(SELECT seq_id, string_agg({CODON_CASE}, '' ORDER BY i) AS pep FROM (SELECT seq_id, i, substring(upper(seq), 3 * i + 1, 3) AS c FROM (SELECT seq_id, seq, unnest(range(0, length(seq) // 3)) AS i FROM {{seq_v}})) GROUP BY seq_id)"
 
 
 def _pep(get):
-    return get("seq_v").where("length(seq) >= 3").select("seq_id", S.translate_cds(F.substring("seq", 1, 600)).alias("pep"))
+    return get("seq_v").where("length(seq) >= 3").select("seq_id", S.translate_cds(F.col("seq")).alias("pep"))
 
 
 @query(f"SELECT * FROM {PEP}")
@@ -80,13 +80,13 @@ def p11_filter_proteins(get):
 
 @query(f"SELECT gene, isoform FROM (SELECT gene, isoform, row_number() OVER (PARTITION BY gene ORDER BY length(pep) DESC, isoform DESC) AS r FROM (SELECT 'g' || CAST(CAST(floor(CAST(substring(seq_id, 2) AS BIGINT) / 3) AS BIGINT) AS STRING) AS gene, seq_id AS isoform, regexp_replace(pep, '\\*$', '') AS pep FROM {PEP}) WHERE length(pep) >= 30 AND pep NOT LIKE '%*%') WHERE r = 1")
 def p9_qc_sequences(get):
-    rows = get("seq_v").where("length(seq) >= 3").select(F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("gene"), F.col("seq_id").alias("isoform"), F.substring("seq", 1, 600).alias("cds"))
+    rows = get("seq_v").where("length(seq) >= 3").select(F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("gene"), F.col("seq_id").alias("isoform"), F.col("seq").alias("cds"))
     return S.qc_sequences(rows.withColumn("pep", S.translate_cds(F.col("cds")))).select("gene", "isoform")
 
 
-@query("SELECT group_id, species FROM (SELECT group_id, species, CASE WHEN group_id % 3 = 0 THEN replace(aln, 'TTT', 'T-T') WHEN group_id % 3 = 1 THEN substring(aln, 1, 298) ELSE aln END AS aln FROM {codons_v}) WHERE length(aln) % 3 <> 0 OR len(list_filter([substring(aln, 3 * i + 1, 3) FOR i IN range(0, length(aln) // 3)], lambda c: contains(c, '-') AND c <> '---')) > 0")
+@query("SELECT group_id, species FROM (SELECT group_id, species, CASE WHEN group_id % 3 = 0 THEN replace(aln, 'TTT', 'T-T') WHEN group_id % 3 = 1 THEN substring(aln, 1, length(aln) - 2) ELSE aln END AS aln FROM {codons_v}) WHERE length(aln) % 3 <> 0 OR len(list_filter([substring(aln, 3 * i + 1, 3) FOR i IN range(0, length(aln) // 3)], lambda c: contains(c, '-') AND c <> '---')) > 0")
 def p12_check_codons(get):
-    aln = F.when(F.col("group_id") % 3 == 0, F.replace("aln", F.lit("TTT"), F.lit("T-T"))).when(F.col("group_id") % 3 == 1, F.substring("aln", 1, 298)).otherwise(F.col("aln"))
+    aln = F.when(F.col("group_id") % 3 == 0, F.replace("aln", F.lit("TTT"), F.lit("T-T"))).when(F.col("group_id") % 3 == 1, F.substr("aln", F.lit(1), F.length("aln") - 2)).otherwise(F.col("aln"))
     return S.check_codons(get("codons_v").withColumn("aln", aln))
 
 
@@ -122,27 +122,26 @@ def w3_find_gaps(get):
 
 
 @query("""
-WITH t AS (SELECT substring(s, i, 12) AS k, count(*) AS n FROM (SELECT upper(seq) AS s, unnest(range(1, length(seq) - 10)) AS i FROM {seq_v}) GROUP BY k),
-q AS (SELECT seq_id, i AS position, substring(s, i, 12) AS k FROM (SELECT seq_id, upper(seq) AS s, unnest(range(1, length(seq) - 10)) AS i FROM {seq_v} WHERE doc_id % 10 = 0))
-SELECT seq_id, CAST(position AS BIGINT) AS position, n FROM q JOIN t USING (k)
+WITH q AS (SELECT seq_id, i AS position, substring(s, i, 20) AS k FROM (SELECT seq_id, upper(seq) AS s, unnest(range(1, length(seq) - 18)) AS i FROM {seq_v}))
+SELECT seq_id, CAST(position AS BIGINT) AS position, n FROM q JOIN (SELECT k, count(*) AS n FROM q GROUP BY k) t USING (k)
 """)
 def a12_kmer_counts(get):
     seqs = get("seq_v").withColumn("seq", F.upper("seq"))
-    return A.kmer_counts(seqs.where("doc_id % 10 = 0"), seqs, 12)
+    return A.kmer_counts(seqs, seqs, 20)
 
 
-@query("SELECT group_id, species, string_agg(substring(c, 3, 1), '' ORDER BY i) AS sites FROM (SELECT *, count(*) OVER (PARTITION BY group_id, i) AS n FROM (SELECT group_id, species, i, substring(aln, 3 * i + 1, 3) AS c FROM (SELECT group_id, species, aln, unnest(range(0, 100)) AS i FROM {codons_v})) WHERE substring(c, 1, 2) IN (" + ", ".join(f"'{p}'" for p in S.FOURFOLD) + ")) WHERE n = 4 GROUP BY ALL")
+@query("SELECT group_id, species, string_agg(substring(c, 3, 1), '' ORDER BY i) AS sites FROM (SELECT *, count(*) OVER (PARTITION BY group_id, i) AS n FROM (SELECT group_id, species, i, substring(aln, 3 * i + 1, 3) AS c FROM (SELECT group_id, species, aln, unnest(range(0, length(aln) // 3)) AS i FROM {codons_v})) WHERE substring(c, 1, 2) IN (" + ", ".join(f"'{p}'" for p in S.FOURFOLD) + ")) WHERE n = 4 GROUP BY ALL")
 def a13_fourfold_sites(get):
     return A.fourfold_sites(get("codons_v"), 4)
 
 
-@query("SELECT species, md5(string_agg(aln, '' ORDER BY group_id)) AS aln, CAST(sum(length(aln)) AS BIGINT) AS length, string_agg(CAST(group_id AS STRING), ',' ORDER BY group_id) AS groups FROM {codons_v} GROUP BY species")
+@query("SELECT species, CAST(floor(group_id / 256) AS BIGINT) AS part, md5(string_agg(aln, '' ORDER BY group_id)) AS aln, CAST(sum(length(aln)) AS BIGINT) AS length, string_agg(CAST(group_id AS STRING), ',' ORDER BY group_id) AS groups FROM {codons_v} GROUP BY ALL")
 def a14_supermatrix(get):
-    return A.supermatrix(get("codons_v")).withColumn("aln", F.md5("aln"))
+    return A.supermatrix(get("codons_v"), F.floor(F.col("group_id") / 256)).withColumn("aln", F.md5("aln"))
 
 
 @query("""
-WITH p AS (SELECT a.group_id, a.species AS s1, b.species AS s2, a.aln AS x, b.aln AS y, unnest(range(1, 301)) AS i FROM {codons_v} a JOIN {codons_v} b ON a.group_id = b.group_id AND a.species < b.species),
+WITH p AS (SELECT a.group_id, a.species AS s1, b.species AS s2, a.aln AS x, b.aln AS y, unnest(range(1, length(a.aln) + 1)) AS i FROM {codons_v} a JOIN {codons_v} b ON a.group_id = b.group_id AND a.species < b.species),
 c AS (SELECT group_id, s1, s2, substring(x, i, 1) AS u, substring(y, i, 1) AS v FROM p), d AS (SELECT group_id, s1, s2, count(*) AS n,
 count(*) FILTER (WHERE u || v IN ('AG', 'GA', 'CT', 'TC')) AS ti, count(*) FILTER (WHERE u <> v) AS df FROM c WHERE u IN ('A', 'C', 'G', 'T') AND v IN ('A', 'C', 'G', 'T') GROUP BY ALL),
 e AS (SELECT *, ti / n AS pp, (df - ti) / n AS qq FROM d)
@@ -154,11 +153,11 @@ def n8_k2p(get):
     return pairs.select("group_id", "s1", "s2", F.round(N.k2p(F.col("x"), F.col("y")), 6).alias("distance"))
 
 
-@query("SELECT g.group_id, g.species, g.gene, md5(s.seq) AS seq FROM (SELECT DISTINCT group_id, species, gene FROM {groups_v} WHERE group_id % 10 = 0) g JOIN (SELECT DISTINCT species, gene, species || gene AS seq FROM {groups_v}) s ON g.species = s.species AND g.gene = s.gene")
+@query("SELECT g.group_id, g.species, g.gene, md5(s.seq) AS seq FROM (SELECT DISTINCT group_id, species, gene FROM {groups_v}) g JOIN (SELECT DISTINCT species, gene, species || gene AS seq FROM {groups_v}) s ON g.species = s.species AND g.gene = s.gene")
 def j1_join_group_seqs(get):
     g = get("groups_v")
     seqs = g.select("species", "gene", F.concat("species", "gene").alias("seq")).distinct()
-    return E.join_group_seqs(g.where("group_id % 10 = 0").distinct(), seqs).withColumn("seq", F.md5("seq"))
+    return E.join_group_seqs(g.distinct(), seqs).withColumn("seq", F.md5("seq"))
 
 
 def _features(get):
@@ -186,11 +185,11 @@ def j2_join_feature_seqs(get):
 
 def _pairs(get):
     ends = _ends(get)
-    families = get("seq_v").where("doc_id % 3 = 0").select(F.concat("seq_id", F.lit("_LTRFinder_def1")).alias("element"), F.lit("LTR_Copia").alias("family"))
+    families = get("seq_v").select(F.concat("seq_id", F.lit("_LTRFinder_def1")).alias("element"), F.when(F.col("doc_id") % 3 == 0, "LTR_Copia").otherwise("LTR_Gypsy").alias("family"))
     return E.join_ltr_ends(families, ends.select("element", "five"), ends.select("element", "three"))
 
 
-PAIRED = f"(SELECT element, 'LTR_Copia' AS family, five, three FROM {ENDS} WHERE CAST(substring(seqname, 2) AS BIGINT) % 3 = 0)"
+PAIRED = f"(SELECT element, CASE WHEN CAST(substring(seqname, 2) AS BIGINT) % 3 = 0 THEN 'LTR_Copia' ELSE 'LTR_Gypsy' END AS family, five, three FROM {ENDS})"
 
 
 @query(f"SELECT * FROM {PAIRED}")
@@ -203,16 +202,23 @@ def k7_ltr_pair_records(get):
     return E.ltr_pair_records(_pairs(get))
 
 
-@query("SELECT seq_id || 'e' AS element, seq_id AS seqname, CAST(p AS BIGINT) AS start, CASE WHEN p > 0 THEN p + 39 END AS stop, CASE WHEN p > 0 THEN p + 9 END AS ltr5_stop, CASE WHEN p > 0 THEN p + 30 END AS ltr3_start FROM (SELECT seq_id, instr(seq, CASE WHEN doc_id % 5 = 0 THEN 'xx' || substring(seq, 1, 38) ELSE substring(seq, 21, 40) END) AS p FROM {seq_v} WHERE length(seq) >= 60)")
+@query("""
+WITH e AS (SELECT seq_id, seq, CASE WHEN doc_id % 5 = 0 THEN 'xx' || substring(seq, 1, 38) ELSE substring(seq, 21, 40) END AS x FROM {seq_v} WHERE length(seq) >= 60),
+p AS (SELECT *, CAST(instr(seq, x) AS BIGINT) AS p, CAST(instr(x, substring(x, 11, 8)) AS BIGINT) AS b, CAST(instr(x, substring(x, 22, 6)) AS BIGINT) AS t FROM e)
+SELECT seq_id || 'e' AS element, seq_id AS seqname, p AS start, p + 39 AS stop, p + 9 AS ltr5_stop, p + 30 AS ltr3_start, p + b - 1 AS pbs_start, p + b + 6 AS pbs_stop, p + t - 1 AS ppt_start, p + t + 4 AS ppt_stop,
+p - 5 AS tsd5_start, p - 1 AS tsd5_stop, p + 40 AS tsd3_start, p + 43 AS tsd3_stop FROM p WHERE p > 0
+UNION ALL SELECT seq_id || 'e', seq_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE p = 0
+""")
 def j10_locate_elements(get):
     rows = get("seq_v").where("length(seq) >= 60")
     part = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("xx"), F.substring("seq", 1, 38))).otherwise(F.substring("seq", 21, 40))
-    return E.locate_elements(rows.select(F.concat("seq_id", F.lit("e")).alias("element"), F.col("seq_id").alias("seqname"), part.alias("seq"), F.lit(10).alias("ltr5"), F.lit(10).alias("ltr3")), rows)
+    elements = rows.select(F.concat("seq_id", F.lit("e")).alias("element"), F.col("seq_id").alias("seqname"), part.alias("seq"), F.lit(10).alias("ltr5"), F.lit(10).alias("ltr3"), F.lit("ACGTA").alias("tsr5"), F.lit("ACGT").alias("tsr3"))
+    return E.locate_elements(elements.withColumns({"pbs": F.substring("seq", 11, 8), "ppt": F.substring("seq", 22, 6)}), rows, size=1 << 12, longest=64)
 
 
 @query("SELECT event_id, 'TRF' || CASE WHEN n < 10000 THEN lpad(CAST(n AS STRING), 4, '0') ELSE CAST(n AS STRING) END AS attribute FROM (SELECT event_id, row_number() OVER (PARTITION BY seqname ORDER BY event_id) AS n FROM {features_v})")
 def w4_number_features(get):
-    return B.number_features(get("features_v"), ["seqname"], ["event_id"], "TRF", 4).select("event_id", "attribute")
+    return B.number_features(get("features_v"), ["seqname"], ["event_id"], "TRF", 4, bucket=F.floor(F.col("event_id") / 1000)).select("event_id", "attribute")
 
 
 @query("SELECT seq_id, CAST(least(6, floor((upto + size / 2) * 7 / total)) AS BIGINT) AS part FROM (SELECT seq_id, length(seq) AS size, sum(length(seq)) OVER (ORDER BY doc_id) - length(seq) AS upto, sum(length(seq)) OVER () AS total FROM {seq_v})")

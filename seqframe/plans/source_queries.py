@@ -312,7 +312,7 @@ def s33_depth(get):
     return T.parse_depth(rows).withColumn("depth", F.round("depth", 2))
 
 
-@query("SELECT group_id, count(*) AS n, '\t' || CAST(count(*) AS STRING) || '\t300' AS head FROM {codons_v} GROUP BY group_id")
+@query("SELECT group_id, count(*) AS n, '\t' || CAST(count(*) AS STRING) || '\t' || CAST(max(length(aln)) AS STRING) AS head FROM {codons_v} GROUP BY group_id")
 def k3_paml(get):
     rows = K.paml_records(get("codons_v")).withColumn("x", F.split("value", "\n"))
     return rows.select("group_id", F.size(F.filter("x", lambda v: v.rlike("^S[0-9]$"))).cast("bigint").alias("n"), F.col("x")[0].alias("head"))

@@ -7,9 +7,22 @@ from .registry import query
 
 PAIRS = "(SELECT a.cluster, a.model, 2 * abs(a.lnl - b.lnl) AS stat, a.np - b.np AS ddf FROM {fits_v} a JOIN {fits_v} b ON a.cluster = b.cluster AND b.model = 1 AND a.model <> 1)"
 KEPT = "(SELECT * FROM {kaks_v} WHERE cluster NOT IN (SELECT cluster FROM {kaks_v} WHERE len < 150 OR ds > 2))"
-SAMPLE = f"""(SELECT *, row_number() OVER (PARTITION BY species, draw ORDER BY md5('7:' || CAST(draw AS STRING) || ':' || CAST(cluster AS STRING)), cluster) AS r
-FROM (SELECT k.*, d.draw FROM {KEPT} k JOIN (SELECT species FROM {KEPT} GROUP BY species HAVING count(*) >= 150) s ON k.species = s.species CROSS JOIN (SELECT unnest(range(1, 21)) AS draw) d))"""
-DRAWS = f"(SELECT species, draw, CASE WHEN sum(n) > 0 AND sum(s) > 0 AND sum(s * ds) > 0 THEN (sum(n * dn) / sum(n)) / (sum(s * ds) / sum(s)) END AS w FROM {SAMPLE} WHERE r <= 150 GROUP BY species, draw)"
+
+
+def _drawn(draws: int) -> str:
+    """The samples of ``stats.sample_n`` from KEPT: seed 7, 150 clusters of each species, by the same permutations."""
+    key = lambda k: f"CAST('0x' || substring(m, {7 * k + 1}, 7) AS BIGINT)"
+    step = lambda to, of, more="": f"({of}{more}) & ((1::BIGINT << b) - 1) AS {to}"
+    return f"""(WITH kept AS (SELECT * FROM {KEPT}), numbered AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY substring(md5(CAST(cluster AS STRING)), 1, 3), cluster) - 1 AS no FROM kept),
+sizes AS (SELECT species, count(*) AS size, greatest(1, length(bin(count(*) - 1))) AS b FROM kept GROUP BY species HAVING count(*) >= 150),
+draws AS (SELECT *, md5('7:0:' || CAST(draw AS STRING) || ':' || species) AS m, unnest(range(0, least(1::BIGINT << b, 728))) AS x FROM sizes CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw)),
+one AS (SELECT species, size, b, m, draw, x, {step("y", f"x * (2 * {key(0)} + 1)", f" + {key(1)}")} FROM draws), two AS (SELECT *, xor(y, y >> greatest(1, b // 2)) AS z FROM one),
+three AS (SELECT species, size, b, draw, x, {step("u", f"z * (2 * {key(2)} + 1)")} FROM two), four AS (SELECT species, draw, x, size, xor(u, u >> greatest(1, b // 2)) AS no FROM three),
+found AS (SELECT species, draw, no, row_number() OVER (PARTITION BY species, draw ORDER BY x) AS r FROM four WHERE no < size)
+SELECT k.*, f.draw FROM found f JOIN numbered k ON f.species = k.species AND f.no = k.no WHERE f.r <= 150)"""
+
+
+DRAWS = f"(SELECT species, draw, CASE WHEN sum(n) > 0 AND sum(s) > 0 AND sum(s * ds) > 0 THEN (sum(n * dn) / sum(n)) / (sum(s * ds) / sum(s)) END AS w FROM {_drawn(10_000)} GROUP BY species, draw)"
 
 
 @query(f"SELECT cluster, model, round(stat, 6) AS stat, ddf FROM {PAIRS}")
@@ -22,6 +35,28 @@ def n2_chi2_sf(get):
     return N.pair_models(get("fits_v")).select("cluster", "model", F.round(N.chi2_sf(F.col("stat"), 2), 9).alias("p2"), F.round(N.chi2_sf(F.col("stat"), 4), 9).alias("p4"))
 
 
+ERF = "list_sum(list_transform(range(0, 400), lambda k: exp(k * ln(h + 1e-300) + 0.5 * ln(h + 1e-300) - h - lgamma(k + 1.5))))"
+
+
+@query(f"""
+WITH t AS (SELECT cluster, model, stat / 2 AS h FROM {PAIRS}), e AS (SELECT *, greatest(0, 1 - {ERF}) AS p FROM t)
+SELECT cluster, model, round(p, 8) AS p1, round(p + 2 * sqrt(h / pi()) * exp(-h), 8) AS p3, round(p + 2 * sqrt(h / pi()) * exp(-h) * (1 + 2 * h / 3), 8) AS p5 FROM e
+""")
+def n2_chi2_sf_odd(get):
+    """The oracle sums the power series of erf, 400 terms of positive sign."""
+    pairs = N.pair_models(get("fits_v"))
+    return pairs.select("cluster", "model", *[F.round(N.chi2_sf(F.col("stat"), df), 8).alias(f"p{df}") for df in (1, 3, 5)])
+
+
+SITES = "(SELECT cluster, species, max(CASE WHEN kind = 'fix' THEN lnl END) AS a, max(CASE WHEN kind = 'nofix' THEN lnl END) AS b, max(CASE WHEN kind = 'fix' THEN w END) AS w_fix, max(CASE WHEN kind = 'nofix' THEN w END) AS w_nofix FROM {sitefits_v} GROUP BY ALL)"
+
+
+@query(f"SELECT cluster, species, round(a, 6) AS lnl_fix, round(b, 6) AS lnl_nofix, w_fix, w_nofix, round(2 * abs(b - a), 6) AS stat, CAST(1 AS BIGINT) AS ddf, round(greatest(0, 1 - {ERF}), 8) AS p FROM (SELECT *, abs(b - a) AS h FROM {SITES} WHERE a IS NOT NULL AND b IS NOT NULL)")
+def j4_pair_branchsite(get):
+    out = N.pair_branchsite(get("sitefits_v").withColumn("sites", F.lit(None).cast("array<int>")))
+    return out.select("cluster", "species", *[F.round(c, 6).alias(c) for c in ("lnl_fix", "lnl_nofix")], "w_fix", "w_nofix", F.round("stat", 6).alias("stat"), "ddf", F.round("p", 8).alias("p"))
+
+
 @query(f"""
 WITH t AS (SELECT cluster, model, exp(-stat / 2) AS p FROM {PAIRS}),
 r AS (SELECT *, p * count(*) OVER (PARTITION BY model) / count(*) OVER (PARTITION BY model ORDER BY p) AS v FROM t)
@@ -58,19 +93,19 @@ def _kept(get):
     return N.exclude(rows, N.failed_clusters(rows), "cluster")
 
 
-@query(f"SELECT species, draw, cluster FROM {SAMPLE} WHERE r <= 150")
+@query(f"SELECT species, draw, cluster FROM {_drawn(20)}")
 def w6_sample_n(get):
     return N.sample_n(_kept(get), ["species"], "cluster", 150, 20, 7).select("species", "draw", "cluster")
 
 
 @query(f"SELECT species, draw, round(w, 6) AS w FROM {DRAWS} WHERE w IS NOT NULL")
 def a15_resample_kaks(get):
-    return N.resample_kaks(_kept(get), 150, 20, 7).withColumn("w", F.round("w", 6))
+    return N.resample_kaks(_kept(get), 150, 10_000, 7).withColumn("w", F.round("w", 6))
 
 
 @query(f"SELECT species, count(w) AS n, round(min(w), 6) AS low, round(quantile_cont(w, 0.25), 6) AS q1, round(quantile_cont(w, 0.5), 6) AS median, round(quantile_cont(w, 0.75), 6) AS q3, round(max(w), 6) AS high FROM {DRAWS} WHERE w IS NOT NULL GROUP BY species")
 def a16_box_stats(get):
-    return N.box_stats(N.resample_kaks(_kept(get), 150, 20, 7), "species", "w")
+    return N.box_stats(N.resample_kaks(_kept(get), 150, 10_000, 7), "species", "w")
 
 
 CURVES = "SELECT 'p' || CAST(l_suppkey AS STRING) AS sample, l_orderkey % 21 AS round, CAST(l_linenumber AS BIGINT) AS k, max(l_quantity) / 10 AS t, max(l_extendedprice) / 10000 AS lam, max(l_tax) + 0.01 AS theta, max(l_discount) AS fit FROM {lineitem} GROUP BY 1, 2, 3"
@@ -87,6 +122,21 @@ def n5_scale_psmc(get):
     return N.scale_psmc(_curves(get), 2.5e-8, 25).select("sample", "round", "k", F.round("years", 3).alias("years"), F.round("ne", 3).alias("ne"))
 
 
+@query(f"SELECT sample, round, k, round(theta / 100 * t, 6) AS years, round(lam * theta / 100 * 1000, 3) AS ne FROM ({CURVES})")
+def n5_scale_psmc_unscaled(get):
+    return N.scale_psmc(_curves(get), 2.5e-8, 25, scaled=False).select("sample", "round", "k", F.round("years", 6).alias("years"), F.round("ne", 3).alias("ne"))
+
+
+@query(f"""
+WITH m AS (SELECT 'p' || CAST(s_suppkey AS STRING) AS sample, 0.1 AS fn, 0.2 AS dt, 0.05 AS tau, 1.5 AS nu, s_suppkey % 3 + 1.0 AS alpha, 10.0 AS shift FROM supplier WHERE s_suppkey % 2 = 0),
+c AS (SELECT c.*, 2 * (theta / 100 / (4 * 2.5e-8)) / (1 - coalesce(fn, 0)) / coalesce(2 * (2 + alpha) / 3 / (1 + alpha), 1) AS n, coalesce(dt, 0) AS dt, coalesce(tau, 0) AS tau, coalesce(nu, 1) AS nu, coalesce(shift, 0) AS shift FROM ({CURVES}) c LEFT JOIN m USING (sample))
+SELECT sample, round, k, round(n * (t + dt) * (1 - tau) * 25 + shift, 3) AS years, round(lam * n / 2 * nu / 1e4, 3) AS ne FROM c
+""")
+def n5_scale_psmc_mods(get):
+    mods = get("supplier").where("s_suppkey % 2 = 0").selectExpr("'p' || CAST(s_suppkey AS STRING) AS sample", "0.1D AS fn", "0.2D AS dt", "0.05D AS tau", "1.5D AS nu", "s_suppkey % 3 + 1.0D AS alpha", "10.0D AS shift")
+    return N.scale_psmc(_curves(get), 2.5e-8, 25, mods=mods).select("sample", "round", "k", F.round("years", 3).alias("years"), F.round("ne", 3).alias("ne"))
+
+
 @query(f"SELECT sample, CAST(arg_min(round, fit * 1000 + round) AS BIGINT) AS round FROM ({CURVES}) WHERE round >= 10 GROUP BY sample")
 def w7_select_round(get):
     return N.select_round(_curves(get).withColumn("fit", F.col("fit") * 1000 + F.col("round")), 0, 10)
@@ -104,6 +154,13 @@ def n7_psmc_summary(get):
     return out.select("sample", "n", *[F.round(c, 6).alias(c) for c in ("sum_ratio", "sum_ratio2", "sum_fit", "sum_fit2")], "max_segments", F.round("max_ne", 6).alias("max_ne"))
 
 
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n, round(sum(theta), 4) AS sum_ratio, round(sum(theta * theta), 4) AS sum_ratio2, round(sum(fit), 4) AS sum_fit, round(sum(fit * fit), 4) AS sum_fit2, max(k) AS max_segments, round(max(lam), 6) AS max_ne FROM ({CURVES})")
+def n7_psmc_overall(get):
+    rows = _curves(get).select("sample", F.col("theta").alias("ratio"), "fit", F.col("k").alias("segments"), F.col("lam").alias("ne"))
+    out = N.psmc_overall(N.psmc_summary(rows))
+    return out.select("n", *[F.round(c, 4).alias(c) for c in ("sum_ratio", "sum_ratio2", "sum_fit", "sum_fit2")], "max_segments", F.round("max_ne", 6).alias("max_ne"))
+
+
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) * 2 + 3 - 1 AS last_bin FROM part")
 def n6_last_free_bin(get):
     pattern = F.concat(F.col("p_size").cast("string"), F.lit("*2+3+"), (F.col("p_partkey") % 5 + 1).cast("string"))

@@ -1,12 +1,14 @@
 """Small hand-made cases: edges, quirks, invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqframe.functions import seq as S
 from seqframe.functions import stats as N
+from seqframe.operators import align as A
 from seqframe.operators import elements as E
 from seqframe.operators import groups as G
 from seqframe.operators import intervals as I
@@ -37,6 +39,32 @@ def test_chi2_critical_values(spark):
         N.chi2_sf(F.lit(1.0), 0)
 
 
+def test_chi2_tails_of_odd_degrees(spark):
+    """Against math.erfc and the tail's recurrence."""
+    xs = [0.0, 1e-12, 0.3, 2.0, 5.9, 6.0, 6.1, 30.0, 200.0, 1400.0]
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    for d in (1, 3, 7):
+        got = [r[0] for r in df.select(N.chi2_sf(F.col("x"), d)).collect()]
+        for x, p in zip(xs, got):
+            h = x / 2
+            exact = math.erfc(math.sqrt(h)) + sum(h ** (k + 0.5) * math.exp(-h) / math.gamma(k + 1.5) for k in range((d - 1) // 2))
+            assert p == pytest.approx(exact, rel=1e-10, abs=1e-300)
+        assert got[-1] is None
+
+
+def test_fdr_of_one_comparison_with_all_rows(spark):
+    rng = random.Random(3)
+    ps = [rng.choice([rng.random(), rng.random() ** 9, 0.0, 1.0, 1e-300 * rng.random(), 0.25]) for _ in range(5000)]
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate(ps)] + [("a", 9999, None), ("b", 1, 0.5)], "m string, cluster int, p double")
+    got = {(r["m"], r["cluster"]): r["q"] for r in N.bh_fdr(df, ["m"]).collect()}
+    order, least, expected = sorted(range(len(ps)), key=lambda i: ps[i]), 1.0, {}
+    for k in range(len(order) - 1, -1, -1):
+        least = min(least, ps[order[k]] * len(ps) / (k + 1))
+        expected[order[k]] = least
+    assert len(got) == 5002 and got["a", 9999] is None and got["b", 1] == 0.5
+    assert all(got["a", i] == pytest.approx(expected[i], rel=1e-12) for i in range(len(ps)))
+
+
 def test_fdr_is_monotone_and_at_least_p(spark):
     df = spark.createDataFrame([("a", i, p) for i, p in enumerate([0.01, 0.02, 0.02, 0.5, 1.0])], "m string, cluster int, p double")
     got = sorted((r["p"], r["q"]) for r in N.bh_fdr(df, ["m"]).collect())
@@ -217,6 +245,68 @@ def test_sample_is_reproducible_and_skips_small_groups(spark):
     assert one == two and len(one) == 30 and {r[0] for r in one} == {"y"}
 
 
+def test_samples_are_distinct_and_even(spark):
+    df = spark.range(300).selectExpr("'x' AS species", "id AS cluster")
+    got = N.sample_n(df, ["species"], "cluster", 150, 200, 7).groupBy("draw").agg(F.count_distinct("cluster").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(got) == 200 and {(r["n"], r["rows"]) for r in got} == {(150, 150)}
+    often = [r["n"] for r in N.sample_n(df, ["species"], "cluster", 150, 200, 7).groupBy("cluster").agg(F.count("*").alias("n")).collect()]
+    assert len(often) == 300 and 60 < min(often) and max(often) < 140
+    assert N.sample_n(df.limit(150), ["species"], "cluster", 150, 3, 7).count() == 450
+
+
+def test_draws_with_a_zero_sum_are_drawn_again(spark):
+    rows = spark.createDataFrame([("x", k, 100.0, 50.0, 0.1, 0.0 if k else 0.2) for k in range(6)] + [("y", k, 100.0, 50.0, 0.1, 0.0) for k in range(6)], "species string, cluster int, n double, s double, dn double, ds double")
+    once = {r["draw"] for r in N.resample_kaks(rows, 3, 200, 5, redraws=0).collect()}
+    thrice = N.resample_kaks(rows, 3, 200, 5, redraws=2).collect()
+    assert {r["species"] for r in thrice} == {"x"} and once < {r["draw"] for r in thrice} and len({r["draw"] for r in thrice}) == len(thrice)
+
+
+def test_segments_over_stretches(spark, monkeypatch):
+    rng = random.Random(1)
+    data = [("c", i, i * 10 + 7 * rng.randrange(2), i * 10 + 9, rng.choice([1.0, 9.0, 9.0, 9.0])) for i in range(200)] + [("d", i, i, i, 9.0) for i in range(50)]
+    df = spark.createDataFrame(data, "seqname string, row_no int, start int, stop int, score double")
+    whole = [rows(I.segment_scores(df, 5, **k)) for k in ({}, {"emit_open": False}, {"max_step": 10})]
+    monkeypatch.setattr(I, "STRETCH", 7)
+    assert [rows(I.segment_scores(df, 5, **k)) for k in ({}, {"emit_open": False}, {"max_step": 10})] == whole and len(whole[2]) > len(whole[0]) > 10
+
+
+def test_elements_over_several_chunks(spark):
+    rng = random.Random(2)
+    seq = "".join(rng.choice("ACGT") for _ in range(1000))
+    seqs = spark.createDataFrame([("c", seq)], "seq_id string, seq string")
+    spans = [("LTR_retrotransposon", 95, 350), ("five_prime_LTR", 95, 130), ("three_prime_LTR", 320, 350)]
+    features = spark.createDataFrame([(f"e{s}", "c", f, a, b, s) for s in "+-" for f, a, b in spans] + [("f", "c", "LTR_retrotransposon", 1000, 1000, "+")], "element string, seqname string, feature string, start long, stop long, strand string")
+    turn = lambda x: x[::-1].translate(str.maketrans("ATCG", "TAGC"))
+    expected = [("e+", "c", *[seq[a - 1 : b] for _, a, b in spans]), ("e-", "c", *[turn(seq[a - 1 : b]) for _, a, b in spans]), ("f", "c", seq[-1], None, None)]
+    for size in (64, 1 << 20):
+        assert sorted((tuple(r) for r in E.join_feature_seqs(features, seqs, size).collect()), key=str) == sorted(expected, key=str)
+    part = seq[94:350]
+    elements = spark.createDataFrame([("e", "c", part, 36, 31, part[40:50], part[200:212], "AAAAA", "CCCC"), ("g", "c", "A" * 60, 3, 3, "T", "A", "A", "A")], "element string, seqname string, seq string, ltr5 int, ltr3 int, pbs string, ppt string, tsr5 string, tsr3 string")
+    for size in (100, 1 << 20):
+        got = {r["element"]: tuple(r)[2:] for r in E.locate_elements(elements, seqs, size, 300).collect()}
+        assert got == {"e": (95, 350, 130, 320, 135, 144, 295, 306, 90, 94, 351, 354), "g": (0, *[None] * 11)}
+    with pytest.raises(Exception, match="longer than the overlap"):
+        E.locate_elements(elements, seqs, 100, 30).collect()
+
+
+def test_kmers_over_chunks_and_other_letters(spark):
+    seq = "ACGTNACGTACGTAACGTAC" * 3
+    df = spark.createDataFrame([("s", seq), ("t", "ACGTA"), ("u", "AC")], "seq_id string, seq string")
+    plain = {}
+    for name, x in (("s", seq), ("t", "ACGTA"), ("u", "AC")):
+        for i in range(len(x) - 3):
+            plain[name, i + 1] = sum(y[j : j + 4] == x[i : i + 4] for y in (seq, "ACGTA", "AC") for j in range(len(y) - 3))
+    for k, prefilter in ((4, False), (4, True)):
+        assert {(r["seq_id"], r["position"]): r["n"] for r in A.kmer_counts(df, df, k, prefilter).collect()} == plain
+    assert {(r["seq_id"], r["position"]) for r in A.kmers(df, 4, size=7).collect()} == set(plain)
+    assert A.kmer_counts(df, df, 33).where("n = 0").count() == 0 and A.kmers(df, 33).where("kmer is null").count() == 0
+
+
+def test_fourfold_sites_of_ragged_groups(spark):
+    df = spark.createDataFrame([(1, "A", "CTAGGGCTC"), (1, "B", "CTGAGGCTTAA"), (2, "A", "CTA"), (3, "A", "AAA"), (3, "B", "CTA")], "group_id int, species string, aln string")
+    assert rows(A.fourfold_sites(df, 2)) == [(1, "A", "AC"), (1, "B", "GT")]
+
+
 def test_base26_grows_past_four_letters(spark):
     edge = 26**4
     df = spark.createDataFrame([(0,), (27,), (edge - 1,), (edge,), (edge + 1,), (26**5 - 1,), (26**5,)], "n long")
