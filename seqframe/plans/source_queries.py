@@ -23,6 +23,11 @@ def lines(df, path, line):
     return df.select(path.alias("source_file"), line.alias("line"))
 
 
+def dealt(suffix: str = "", folder: str = "d"):
+    """Path of the report that an event of a sequence stands in: events are dealt in thousands, so reports stay small."""
+    return F.concat(F.lit(folder), F.floor(F.col("event_id") / 1000).cast("string"), F.lit("/"), "seqname", F.lit(suffix))
+
+
 def reports(df, path, order, block, head: str = "", foot: str = ""):
     """Numbered lines of one report for each path: a head, the rows' blocks in order, a foot."""
     parts = F.sort_array(F.collect_list(F.struct(*order, block.alias("_block"))))
@@ -119,7 +124,7 @@ def s12_repeatmasker(get):
 def _ltrfinder(get):
     f = get("features_v").withColumn("n", F.col("event_id"))
     block = text("[%d] %s Len:82726\nLocation : %d - %d Len: 1 Strand:%s\nScore    : 7 [LTR region similarity:0.964]\nStatus   : 11111110000\n5'-LTR   : %d - %d Len: 2\n3'-LTR   : %d - %d Len: 2\nTSR      : %s\nPBS   : [16/17] %d - %d (MetCAT)\nDomain: %d - %d [possible ORF:%d-%d, (reverse transcriptase)]\n", "n", "seqname", "start", F.col("stop") + 100, F.when(F.col("n") % 2 == 0, "-").otherwise("+"), "start", F.col("start") + 10, F.col("stop") + 90, F.col("stop") + 100, F.when(F.col("n") % 3 == 0, "NOT FOUND").otherwise(text("%d - %d , %d - %d [CTTTT]", F.col("start") - 5, F.col("start") - 1, F.col("stop") + 101, F.col("stop") + 105)), F.col("start") + 12, F.col("start") + 20, F.col("start") + 30, F.col("start") + 40, F.col("start") + 28, F.col("start") + 44)
-    return reports(f, F.col("seqname"), ["n"], block, head="Program    : LTR_FINDER\n\n")
+    return reports(f, dealt(), ["n"], block, head="Program    : LTR_FINDER\n\n")
 
 
 LTRF = " UNION ALL ".join(
@@ -143,7 +148,7 @@ def s14_ltrfinder_summary(get):
 
 
 def _numbered(where: str = "true") -> str:
-    return f"(SELECT *, CAST(row_number() OVER (PARTITION BY seqname ORDER BY event_id) AS STRING) AS no FROM {{features_v}} WHERE {where})"
+    return f"(SELECT *, CAST(row_number() OVER (PARTITION BY seqname, floor(event_id / 1000) ORDER BY event_id) AS STRING) AS no FROM {{features_v}} WHERE {where})"
 
 
 def _three(seq: str, where: str, score: str, attribute: str, strand: str = "NULL") -> str:
@@ -156,7 +161,7 @@ def s15_ltrseq(get):
     f = get("features_v")
     good = text("Report: String 0 Accepted  %d %d ... %d %d  length 10  span 50 diff 7.0 Confidence 0.500000 TSR #GAATT#\n", "start", F.col("start") + 9, F.col("stop") + 41, F.col("stop") + 50)
     bad = text("Report: String 0 Rejected %d %d ... %d %d  length 441  span 1252 diff 18.7\n", "start", F.col("start") + 9, "stop", "stop")
-    rows = reports(f, F.concat(F.lit("d/"), "seqname", F.lit(".txt")), ["event_id"], F.when(F.col("event_id") % 3 == 0, bad).otherwise(good))
+    rows = reports(f, dealt(".txt"), ["event_id"], F.when(F.col("event_id") % 3 == 0, bad).otherwise(good))
     return R.ltrseq_to_gff(rows).select("seqname", "feature", "start", "stop", "score", "strand", "attribute")
 
 
@@ -173,14 +178,14 @@ REPSEEK = " UNION ALL ".join(f"SELECT seqname, CASE WHEN event_id % 2 = 0 THEN '
 @query(REPSEEK)
 def s17_repseek(get):
     row = text("%s\t%d\t%d\t48\t52\t-24\t119-143-20-3.05\t84.6\t33.5\t2.5\t2\t0.5", F.when(F.col("event_id") % 2 == 0, "Overlap.inv").otherwise("Distant.dir"), "start", F.col("stop") + 100)
-    rows = reports(get("features_v"), F.concat(F.lit("d/"), "seqname", F.lit(".txt")), ["event_id"], row)
+    rows = reports(get("features_v"), dealt(".txt"), ["event_id"], row)
     return R.repseek_to_gff(rows).select("seqname", "feature", "start", "stop", "score", "attribute")
 
 
 @query(f"SELECT seqname, start, stop, 77::DOUBLE AS score, 'TRF' || CASE WHEN length(no) < 4 THEN lpad(no, 4, '0') ELSE no END AS attribute FROM {_numbered()}")
 def s18_trf(get):
     row = text("%d %d 3 2.0 3 90 5 77 10 20 30 40 1.5 ACG ACGACG", "start", "stop")
-    rows = reports(get("features_v"), F.concat(F.lit("d/"), "seqname", F.lit(".dat")), ["event_id"], row, head="Tandem Repeats Finder\n\n")
+    rows = reports(get("features_v"), dealt(".dat"), ["event_id"], row, head="Tandem Repeats Finder\n\n")
     return R.trf_to_gff(rows).select("seqname", "start", "stop", "score", "attribute")
 
 
@@ -191,14 +196,14 @@ TENEST = " UNION ALL ".join(f"SELECT seqname, '{n}' AS feature, {a} AS start, {b
 def s19_tenest(get):
     i = F.col("event_id")
     block = text("PAIR p%d Angela 0 0.029 1 1 0\np%d L %d %d 1 10\np%d R %d %d 1 10\np%d M %d %d 1 6 %d %d 7 16", i, i, "start", F.col("start") + 9, i, F.col("stop") + 41, F.col("stop") + 50, i, F.col("start") + 10, F.col("start") + 15, F.col("start") + 30, F.col("start") + 20)
-    rows = reports(get("features_v"), F.concat(F.lit("d/"), "seqname", F.lit(".LTR")), ["event_id"], block, head="82726\nqry-1\n")
+    rows = reports(get("features_v"), dealt(".LTR"), ["event_id"], block, head="82726\nqry-1\n")
     return R.tenest_to_gff(rows).select("seqname", "feature", "start", "stop", "attribute")
 
 
 @query(f"SELECT seqname, 'findmite:TA_11' AS source, start, stop, seqname || '_TA_11_' || no AS attribute FROM {_numbered()}")
 def s20_findmite(get):
     block = text("\nPattern  : AAAATC\nSequence : >%s\nMismatch : 1\nNNNNACCA(%d)-----AAAATC\nTTCG-----(%d)GGG", "seqname", "start", "stop")
-    rows = reports(get("features_v"), F.col("seqname"), ["event_id"], block, head="Direct repeats               : TA\nLength of TIR(3-15)          : 11\n")
+    rows = reports(get("features_v"), dealt(), ["event_id"], block, head="Direct repeats               : TA\nLength of TIR(3-15)          : 11\n")
     return R.findmite_to_gff(rows).select("seqname", "source", "start", "stop", "attribute")
 
 
@@ -206,14 +211,14 @@ def s20_findmite(get):
 def s21_genscan(get):
     i, minus = F.col("event_id"), F.col("event_id") % 2 == 0
     block = text(" %d.00 Prom +    400    439   40                               3.92\n %d.01 Init %s  %d  %d   28  0  1  132  100   -33 0.892   4.63", i, i, F.when(minus, "-").otherwise("+"), F.when(minus, F.col("stop")).otherwise(F.col("start")), F.when(minus, F.col("start")).otherwise(F.col("stop")))
-    rows = reports(get("features_v"), F.concat(F.lit("d/"), "seqname", F.lit(".out")), ["event_id"], block, head="GENSCAN 1.0\n\nGn.Ex Type S .Begin ...End\n----- ---- - ------ ------\n\n", foot="\n\nPredicted peptide sequence(s):\n\n 9.01 Init + 1 2 28 0 1 132 100 -33 0.892 4.63")
+    rows = reports(get("features_v"), dealt(".out"), ["event_id"], block, head="GENSCAN 1.0\n\nGn.Ex Type S .Begin ...End\n----- ---- - ------ ------\n\n", foot="\n\nPredicted peptide sequence(s):\n\n 9.01 Init + 1 2 28 0 1 132 100 -33 0.892 4.63")
     return R.genscan_to_gff(rows).select("seqname", "start", "stop", "score", "strand", "attribute")
 
 
 @query(f"SELECT seqname, start, stop, '-' AS strand, 'RNA' || CASE WHEN length(no) < 4 THEN lpad(no, 4, '0') ELSE no END AS attribute FROM {_numbered()}")
 def s22_genemark(get):
     block = text("\n  %d     1   -  Initial      %d     %d      50          2 1", "event_id", "start", "stop")
-    rows = reports(get("features_v"), F.concat(F.lit("d/"), "seqname", F.lit(".out")), ["event_id"], block, head="GeneMark.hmm (Version 2.2a)\n\nPredicted genes/exons\n")
+    rows = reports(get("features_v"), dealt(".out"), ["event_id"], block, head="GeneMark.hmm (Version 2.2a)\n\nPredicted genes/exons\n")
     return R.genemark_to_gff(rows).select("seqname", "start", "stop", "strand", "attribute")
 
 
@@ -280,7 +285,7 @@ def s29_psmc(get):
     e = get("events")
     bins = "\n".join("RS\t%d\t0.5\t%.3f" for _ in range(3))
     block = text("RD\t%d\nRI\t%.3f\nDT\t0.5\nTR\t0.010\t0.002\n" + bins + "\nPA\t4+5*3\n//", "event_id", "value", *[x for k in range(3) for x in (F.lit(k), F.col("value") * k)])
-    rows = reports(e, F.concat(F.lit("d/u"), (F.col("user_id") % 50).cast("string"), F.lit(".psmc")), ["event_id"], block, head="CC\tpsmc\n")
+    rows = reports(e, F.concat(F.lit("d"), F.floor(F.col("event_id") / 1000).cast("string"), F.lit("/u"), (F.col("user_id") % 50).cast("string"), F.lit(".psmc")), ["event_id"], block, head="CC\tpsmc\n")
     return M.read_psmc(rows).select("sample", "round", F.round("fit", 3).alias("fit"), "theta", "dt", "k", F.round("lam", 3).alias("lam"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lines import file_name, in_file, number, pick
+from .lines import carried, file_name, number, pick
 
 NUMBER = r"(-?[\d.]+(?:[eE][-+]?\d+)?)"
 LNL = r"^lnL\(.*np:\s*(\d+)\):\s*(-?[\d.]+)"
@@ -33,8 +33,9 @@ def codeml_freeratio(lines: DataFrame) -> DataFrame:
     """cluster, species, len, n, s, dn, ds, w, ndn, sds of every tip: sites from the last branch row, rates from the three trees."""
     c = F.col("line")
     branch = rf"^\s*\d+\.\.\d+\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
-    after = lambda head: F.when(F.last(F.when(c.rlike(r"^(dS tree:|dN tree:|w ratios as)"), F.regexp_extract(c, r"^(dS|dN|w)", 1)), ignorenulls=True).over(in_file()) == head, F.when(c.startswith("("), c))
-    rows = lines.select("source_file", "line_no", c, after("dS").alias("ds"), after("dN").alias("dn"), after("w").alias("w"))
+    headed = carried(lines, F.when(c.rlike(r"^(dS tree:|dN tree:|w ratios as)"), F.regexp_extract(c, r"^(dS|dN|w)", 1)), "head")
+    after = lambda head: F.when(F.col("head") == head, F.when(c.startswith("("), c))
+    rows = headed.select("source_file", "line_no", c, after("dS").alias("ds"), after("dN").alias("dn"), after("w").alias("w"))
     last = F.max_by(F.struct(pick(c, branch, 2).cast("double").alias("n"), pick(c, branch, 3).cast("double").alias("s")), F.when(c.rlike(branch), F.col("line_no")))
     got = rows.groupBy("source_file").agg(F.max(F.when(F.col("line_no") == 0, number(pick(c, r"^\s*\d+\s+(\d+)")))).alias("len"), last.alias("x"), *[F.max(k).alias(k) for k in ("ds", "dn", "w")])
     wide = got.where("ds is not null").select(file_name(F.col("source_file")).alias("cluster"), "len", "x.n", "x.s", _tips(F.col("ds"), "ds_of"), _tips(F.col("dn"), "dn_of"), _tips(F.col("w"), "w_of"))
@@ -60,8 +61,7 @@ def codeml_branchsite(lines: DataFrame) -> DataFrame:
     c = F.col("line")
     fore = rf"^foreground w\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
     site = r"^\s*(\d+) ([A-Z*-]) ([\d.]+)\**\s*$"
-    in_beb = F.last(F.when(c.startswith("Bayes Empirical Bayes"), True).when(c.startswith("The grid"), False), ignorenulls=True).over(in_file())
-    rows = lines.withColumn("beb", in_beb)
+    rows = carried(lines, F.when(c.startswith("Bayes Empirical Bayes"), True).when(c.startswith("The grid"), False), "beb")
     entry = F.when(F.col("beb") & c.rlike(site), F.struct(number(pick(c, site, 1), "int").alias("pos"), pick(c, site, 2).alias("aa"), number(pick(c, site, 3), "double").alias("prob")))
     got = rows.groupBy("source_file").agg(F.max(number(pick(c, LNL, 2), "double")).alias("lnl"), F.max(F.greatest(number(pick(c, fore, 3), "double"), number(pick(c, fore, 4), "double"))).alias("w"), F.sort_array(F.collect_list(entry)).alias("sites"))
     part = lambda k: F.element_at(F.split("source_file", "/"), k)
@@ -77,8 +77,7 @@ def read_psmc(lines: DataFrame) -> DataFrame:
     """sample, round, fit, theta, rho, dt, k, t, lam: the bins (RS) of every round with its RD, RI, TR and DT lines."""
     f = F.split("line", "\t")
     rows = lines.withColumn("f", f).withColumn("tag", F.get("f", F.lit(0)))
-    last = lambda tag, i: F.last(F.when(F.col("tag") == tag, number(F.get("f", F.lit(i)), "double")), ignorenulls=True)
-    rows = rows.withColumn("round", last("RD", 1).over(in_file()).cast("bigint"))
+    rows = carried(rows, F.when(F.col("tag") == "RD", number(F.get("f", F.lit(1)))), "round")
     own = W.partitionBy("source_file", "round")
     for name, tag, i in (("fit", "RI", 1), ("theta", "TR", 1), ("rho", "TR", 2), ("dt", "DT", 1)):
         rows = rows.withColumn(name, F.max(F.when(F.col("tag") == tag, number(F.get("f", F.lit(i)), "double"))).over(own))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lines import blocks, file_name, gff, in_file, number, pick, tokens
+from .lines import blocks, carried, file_name, gff, number, pick, running, tokens
 
 LTR = "LTR_retrotransposon"
 FIVE, THREE = "five_prime_LTR", "three_prime_LTR"
@@ -62,14 +62,10 @@ def ltrfinder_summary(lines: DataFrame, name: str = "def") -> DataFrame:
     return rows.select(F.concat("seqname", F.lit(f"_LTRFinder_{name}"), F.col("n").cast("string")).alias("element"), *cols, F.size("domains").cast("bigint").alias("n_domains"))
 
 
-def _running(order: str = "line_no") -> Column:
-    return F.row_number().over(W.partitionBy("source_file").orderBy(order)).cast("string")
-
-
 def ltrseq_to_gff(lines: DataFrame) -> DataFrame:
     """Accepted reports (19 tokens) as span and both LTRs; rejected ones have 15 tokens."""
     rows = lines.where(F.col("line").startswith("Report:")).withColumn("t", tokens(F.col("line"))).where((F.size("t") >= 19) & (F.get("t", F.lit(3)) == "Accepted"))
-    rows = rows.withColumn("no", _running())
+    rows = running(rows, "no")
     t = lambda i: number(F.get("t", F.lit(i)))
     out = rows.select("source_file", "no", number(F.get("t", F.lit(16)), "double").alias("score"), _parts((LTR, t(4), t(8)), (FIVE, t(4), t(5)), (THREE, t(7), t(8))))
     seq = file_name(F.col("source_file"))
@@ -87,7 +83,7 @@ def findltr_to_gff(lines: DataFrame) -> DataFrame:
 
 def repseek_to_gff(lines: DataFrame, compat: bool = False) -> DataFrame:
     """Both copies of every repeat; a copy ends at start + length - 1, with ``compat`` one past it."""
-    rows = lines.where(F.col("line").rlike(r"^\w+\.(dir|inv)\s")).withColumn("t", tokens(F.col("line"))).withColumn("no", _running())
+    rows = running(lines.where(F.col("line").rlike(r"^\w+\.(dir|inv)\s")).withColumn("t", tokens(F.col("line"))), "no")
     kind, way = F.split_part(F.get("t", F.lit(0)), F.lit("."), F.lit(1)), F.split_part(F.get("t", F.lit(0)), F.lit("."), F.lit(2))
     name = F.concat(F.when(F.lower(kind) == "distant", "").otherwise(F.concat(F.when(F.lower(kind) == "overlap", "overlapping").otherwise(F.lower(kind)), F.lit("_"))), F.when(way == "inv", "inverted").otherwise("direct"), F.lit("_repeat"))
     t = lambda i: number(F.get("t", F.lit(i)))
@@ -98,7 +94,7 @@ def repseek_to_gff(lines: DataFrame, compat: bool = False) -> DataFrame:
 
 def trf_to_gff(lines: DataFrame) -> DataFrame:
     """Tandem repeats: lines of exactly 15 tokens; ids ``TRF%04d``."""
-    rows = lines.withColumn("t", tokens(F.col("line"))).where((F.size("t") == 15) & F.get("t", F.lit(0)).rlike(r"^\d+$")).withColumn("no", _running())
+    rows = running(lines.withColumn("t", tokens(F.col("line"))).where((F.size("t") == 15) & F.get("t", F.lit(0)).rlike(r"^\d+$")), "no")
     return gff(rows, seqname=file_name(F.col("source_file")), source=F.lit("TRF"), feature=F.lit("tandem_repeat"), start=number(F.get("t", F.lit(0))), stop=number(F.get("t", F.lit(1))), score=number(F.get("t", F.lit(7)), "double"), attribute=F.concat(F.lit("TRF"), F.when(F.length("no") < 4, F.lpad("no", 4, "0")).otherwise(F.col("no"))))
 
 
@@ -106,8 +102,8 @@ def tenest_to_gff(lines: DataFrame) -> DataFrame:
     """SOLO, PAIR, FRAG and NLTR records; coordinates stand in groups of four, of which the first two are on the sequence."""
     c = F.col("line")
     head = r"^(SOLO|PAIR|FRAG|NLTR) (\S+) (\S+)"
-    rows = lines.withColumn("kind", F.last(pick(c, head, 1), ignorenulls=True).over(in_file())).withColumn("id", F.last(pick(c, head, 2), ignorenulls=True).over(in_file())).withColumn("te", F.last(pick(c, head, 3), ignorenulls=True).over(in_file()))
-    rows = rows.where(~c.rlike(head) & F.col("id").isNotNull()).withColumn("t", tokens(c)).where(F.get("t", F.lit(0)) == F.col("id"))
+    rows = carried(lines, F.when(c.rlike(head), F.struct(pick(c, head, 1).alias("kind"), pick(c, head, 2).alias("id"), pick(c, head, 3).alias("te"))), "head")
+    rows = rows.select("*", "head.*").where(~c.rlike(head) & F.col("id").isNotNull()).withColumn("t", tokens(c)).where(F.get("t", F.lit(0)) == F.col("id"))
     side = F.when(F.col("kind") == "PAIR", F.get("t", F.lit(1)))
     rows = rows.withColumn("side", side).withColumn("xs", F.when(F.col("kind") == "PAIR", F.slice("t", 3, F.size("t"))).otherwise(F.slice("t", 2, F.size("t"))))
     rows = rows.where(F.size("xs") >= 4).select("source_file", "kind", "id", "te", "side", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 4).cast("int") - 1)).alias("k"))
@@ -140,7 +136,7 @@ EXON_TYPES = ("Init", "Intr", "Term", "Sngl")
 def genscan_to_gff(lines: DataFrame) -> DataFrame:
     """Exons between the dashed rule and the peptides; minus-strand spans are turned, the score is the exon's probability."""
     c = F.col("line")
-    rows = lines.withColumn("open", F.sum(c.rlike(r"^-{3,}").cast("int")).over(in_file())).withColumn("shut", F.sum(F.lower(c).contains("predicted peptide").cast("int")).over(in_file()))
+    rows = blocks(blocks(lines, r"^-{3,}", "open"), "(?i)predicted peptide", "shut")
     rows = rows.where("open > 0 and shut = 0").withColumn("t", tokens(c)).where((F.size("t") >= 12) & F.get("t", F.lit(1)).isin(list(EXON_TYPES)))
     a, b = number(F.get("t", F.lit(3))), number(F.get("t", F.lit(4)))
     gene = F.split_part(F.get("t", F.lit(0)), F.lit("."), F.lit(1))
@@ -150,6 +146,9 @@ def genscan_to_gff(lines: DataFrame) -> DataFrame:
 def genemark_to_gff(lines: DataFrame) -> DataFrame:
     """One ``exon`` row per exon; genes are numbered ``RNA%04d`` within a report."""
     rows = lines.where(F.col("line").rlike(r"^\s*\d+\s+\d+\s+[+-]\s+\S+\s+\d+\s+\d+\s")).withColumn("t", tokens(F.col("line")))
-    no = F.dense_rank().over(W.partitionBy("source_file").orderBy(F.get("t", F.lit(0)).cast("bigint"))).cast("string")
-    rows = rows.withColumn("no", no)
+    rows = rows.withColumn("gene", F.get("t", F.lit(0)).cast("bigint"))
+    # genes of a report, few beside its exons
+    order = F.row_number().over(W.partitionBy("source_file").orderBy("gene")).cast("string")
+    genes = rows.select("source_file", "gene").distinct().withColumn("no", order)
+    rows = rows.join(genes, ["source_file", "gene"])
     return gff(rows, seqname=file_name(F.col("source_file")), source=F.lit("GeneMarkHMM"), feature=F.lit("exon"), start=number(F.get("t", F.lit(4))), stop=number(F.get("t", F.lit(5))), strand=F.get("t", F.lit(2)), attribute=F.concat(F.lit("RNA"), F.when(F.length("no") < 4, F.lpad("no", 4, "0")).otherwise(F.col("no"))))
