@@ -17,9 +17,9 @@ def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
     third = F.transform(codons(F.col("aln")), lambda c: F.when(F.substring(c, 1, 2).isin(list(FOURFOLD)), F.substring(c, 3, 1)))
     groups = alns.select("group_id", F.struct("species", third.alias("third")).alias("m")).groupBy("group_id").agg(F.collect_list("m").alias("m")).where(F.size("m") == n_species)
     full = F.aggregate("m", F.transform(F.col("m")[0]["third"], lambda x: F.lit(True)), lambda acc, m: F.zip_with(acc, m["third"], lambda p, x: F.coalesce(p, F.lit(False)) & x.isNotNull()))
-    rows = groups.select("group_id", full.alias("full"), F.explode("m").alias("m"))
-    sites = F.array_join(F.filter("m.third", lambda x, i: F.get("full", i)), "")
-    return rows.select("group_id", "m.species", sites.alias("sites")).where("sites <> ''")
+    # bound as a variable, so that it is computed once for a group
+    sites = F.transform(F.array(full), lambda held: F.transform("m", lambda x: F.struct(x["species"].alias("species"), F.array_join(F.filter(x["third"], lambda t, i: F.get(held, i)), "").alias("sites"))))[0]
+    return groups.select("group_id", F.explode(sites).alias("x")).select("group_id", "x.*").where("sites <> ''")
 
 
 def supermatrix(alns: DataFrame, part: Column | None = None, guard: int = 1 << 30) -> DataFrame:

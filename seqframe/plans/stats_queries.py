@@ -15,11 +15,13 @@ def _drawn(draws: int) -> str:
     step = lambda to, of, more="": f"({of}{more}) & ((1::BIGINT << b) - 1) AS {to}"
     return f"""(WITH kept AS (SELECT * FROM {KEPT}), numbered AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY substring(md5(CAST(cluster AS STRING)), 1, 3), cluster) - 1 AS no FROM kept),
 sizes AS (SELECT species, count(*) AS size, greatest(1, length(bin(count(*) - 1))) AS b FROM kept GROUP BY species HAVING count(*) >= 150),
-draws AS (SELECT *, md5('7:0:' || CAST(draw AS STRING) || ':' || species) AS m, unnest(range(0, least(1::BIGINT << b, 728))) AS x FROM sizes CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw)),
-one AS (SELECT species, size, b, m, draw, x, {step("y", f"x * (2 * {key(0)} + 1)", f" + {key(1)}")} FROM draws), two AS (SELECT *, xor(y, y >> greatest(1, b // 2)) AS z FROM one),
-three AS (SELECT species, size, b, draw, x, {step("u", f"z * (2 * {key(2)} + 1)")} FROM two), four AS (SELECT species, draw, x, size, xor(u, u >> greatest(1, b // 2)) AS no FROM three),
+draws AS (SELECT *, md5('7:0:' || CAST(draw AS STRING) || ':' || species) AS m FROM sizes CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw)),
+keys AS (SELECT species, size, b, draw, 2 * {key(0)} + 1 AS a, {key(1)} AS k, 2 * {key(2)} + 1 AS c FROM draws),
+tried AS (SELECT *, unnest(range(0, least(1::BIGINT << b, 1950 * (1::BIGINT << b) // (10 * size) + 96))) AS x FROM keys),
+one AS (SELECT *, {step("y", "x * a", " + k")} FROM tried), two AS (SELECT *, xor(y, y >> greatest(1, b // 2)) AS z FROM one),
+three AS (SELECT *, {step("u", "z * c")} FROM two), four AS (SELECT species, draw, x, size, xor(u, u >> greatest(1, b // 2)) AS no FROM three),
 found AS (SELECT species, draw, no, row_number() OVER (PARTITION BY species, draw ORDER BY x) AS r FROM four WHERE no < size)
-SELECT k.*, f.draw FROM found f JOIN numbered k ON f.species = k.species AND f.no = k.no WHERE f.r <= 150)"""
+SELECT q.*, f.draw FROM found f JOIN numbered q ON f.species = q.species AND f.no = q.no WHERE f.r <= 150)"""
 
 
 DRAWS = f"(SELECT species, draw, CASE WHEN sum(n) > 0 AND sum(s) > 0 AND sum(s * ds) > 0 THEN (sum(n * dn) / sum(n)) / (sum(s * ds) / sum(s)) END AS w FROM {_drawn(10_000)} GROUP BY species, draw)"
