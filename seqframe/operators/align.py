@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import FOURFOLD, codons
-from .intervals import chunks
 
 
 def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
@@ -36,23 +35,34 @@ def supermatrix(alns: DataFrame, part: Column | None = None, guard: int = 1 << 3
     return out.select("species", "part", safe.alias("aln"), "length", F.array_join(F.transform("parts", lambda x: x["group_id"].cast("string")), ",").alias("groups"))
 
 
-#: K-mers of A, C, G and T up to this length are two bits for each base of a number.
-PACKED = 31
+#: Base-4 digits that a number holds when read as decimal ones; k-mers of A, C, G and T of up to two such numbers are packed.
+DIGITS = 18
+#: Sizes of the pieces that sequences are cut into for k-mers, one within the other: cutting works from a piece's start.
+PIECES = (1 << 20, 1 << 14, 1 << 8)
 
 
-def kmers(seqs: DataFrame, k: int, size: int = 1 << 16) -> DataFrame:
-    """seq_id, position (from 1), code, kmer: every k-mer of chunks that overlap by k - 1.
+def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES) -> DataFrame:
+    """seq_id, position (from 1), code, code2, kmer: every k-mer, from pieces that overlap by k - 1.
 
-    A k-mer of A, C, G and T, of at most ``PACKED`` letters, is a number, code; any other one is text, kmer; the other is null.
+    The letters of a k-mer of A, C, G and T, as digits 0 to 3, are one number or two; any other k-mer, and one of more than 2 x ``DIGITS``
+    letters, is text. What does not apply is null. Sequences of fewer partitions than cores are dealt out first.
     """
-    wide = chunks(seqs, 1 << 20, k - 1).select("seq_id", F.col("chunk_start").alias("from"), F.col("chunk").alias("seq"))
-    # of a chunk's last piece only the starts that are its own
-    rows = chunks(wide, size, k - 1, keep=("from",)).withColumn("starts", F.least(F.lit(size), F.lit(1 << 20) - F.col("chunk_start") + 1))
-    every = F.slice(F.regexp_extract_all("chunk", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.lit(1), F.greatest(F.col("starts"), F.lit(0)).cast("int"))
-    out = rows.select("seq_id", (F.col("from") + F.col("chunk_start") - 1).alias("at"), F.posexplode(every).alias("i", "kmer"))
-    code = F.when(F.col("kmer").rlike("^[ACGT]*$"), F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long")) if k <= PACKED else F.lit(None).cast("long")
-    out = out.select("seq_id", (F.col("at") + F.col("i")).alias("position"), code.alias("code"), "kmer")
-    return out.withColumn("kmer", F.when(F.col("code").isNull(), F.col("kmer")))
+    rows = seqs.select("seq_id", F.lit(0).cast("long").alias("at"), (F.length("seq") - (k - 1)).alias("own"), "seq").where("own > 0")
+    for n, size in enumerate(sizes):
+        rows = rows.select("seq_id", "at", "own", "seq", F.explode(F.sequence(F.lit(0), F.ceil(F.col("own") / size) - 1)).alias("c"))
+        begin = F.col("c") * size
+        rows = rows.select("seq_id", (F.col("at") + begin).alias("at"), F.least(F.lit(size), F.col("own") - begin).cast("int").alias("own"), F.substr("seq", (begin + 1).cast("int"), F.lit(size + k - 1)).alias("seq"))
+        cores = seqs.sparkSession.sparkContext.defaultParallelism
+        if n == 0 and seqs.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(2 * cores)
+    packed = k <= 2 * DIGITS
+    digits = lambda c: F.translate(c, "ACGT", "0123")
+    rows = rows.withColumn("clean", F.lit(packed) & ~F.col("seq").rlike("[^ACGT]")).withColumn("seq", F.when(F.col("clean"), digits("seq")).otherwise(F.col("seq")))
+    every = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.substr("seq", i, F.lit(k)))
+    out = rows.select("seq_id", "at", "clean", F.posexplode(every).alias("i", "kmer"))
+    out = out.withColumn("digits", F.when(F.col("clean"), F.col("kmer")).when(F.lit(packed) & F.col("kmer").rlike("^[ACGT]+$"), digits("kmer")))
+    two = F.substring("digits", DIGITS + 1, DIGITS).cast("long") if k > DIGITS else F.lit(None).cast("long")
+    return out.select("seq_id", (F.col("at") + F.col("i") + 1).alias("position"), F.substring("digits", 1, DIGITS).cast("long").alias("code"), two.alias("code2"), F.when(F.col("digits").isNull(), F.col("kmer")).alias("kmer"))
 
 
 def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20, prefilter: bool = False) -> DataFrame:
@@ -61,8 +71,14 @@ def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20, prefilter: boo
     The target's k-mers are counted before they meet the query's, where frequent ones are skewed keys that adaptive execution
     splits. With ``prefilter``, for a query that is small beside the target, only k-mers that it has are counted.
     """
-    q, t, same = kmers(query, k).alias("q"), kmers(target, k), lambda a, b: F.col(f"{a}.code").eqNullSafe(F.col(f"{b}.code")) & F.col(f"{a}.kmer").eqNullSafe(F.col(f"{b}.kmer"))
+    key = ["code", "code2", "kmer"]
+
+    def same(a: str, b: str) -> Column:
+        one, two, three = (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key)
+        return one & two & three
+
+    q, t = kmers(query, k).alias("q"), kmers(target, k)
     if prefilter:
-        t = t.alias("t").join(q.select("code", "kmer").distinct().alias("d"), same("t", "d"), "left_semi")
-    counts = t.groupBy("code", "kmer").agg(F.count("*").alias("n")).alias("c")
+        t = t.alias("t").join(q.select(*key).distinct().alias("d"), same("t", "d"), "left_semi")
+    counts = t.groupBy(*key).agg(F.count("*").alias("n")).alias("c")
     return q.join(counts, same("q", "c"), "left").select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n"))

@@ -290,7 +290,7 @@ def test_elements_over_several_chunks(spark):
 
 
 def test_kmers_over_chunks_and_other_letters(spark):
-    seq = "ACGTNACGTACGTAACGTAC" * 3
+    seq = "ACGTNACGTACGTAACGTAC" * 3 + "0123ACGT01"
     df = spark.createDataFrame([("s", seq), ("t", "ACGTA"), ("u", "AC")], "seq_id string, seq string")
     plain = {}
     for name, x in (("s", seq), ("t", "ACGTA"), ("u", "AC")):
@@ -298,8 +298,8 @@ def test_kmers_over_chunks_and_other_letters(spark):
             plain[name, i + 1] = sum(y[j : j + 4] == x[i : i + 4] for y in (seq, "ACGTA", "AC") for j in range(len(y) - 3))
     for k, prefilter in ((4, False), (4, True)):
         assert {(r["seq_id"], r["position"]): r["n"] for r in A.kmer_counts(df, df, k, prefilter).collect()} == plain
-    assert {(r["seq_id"], r["position"]) for r in A.kmers(df, 4, size=7).collect()} == set(plain)
-    assert A.kmer_counts(df, df, 33).where("n = 0").count() == 0 and A.kmers(df, 33).where("kmer is null").count() == 0
+    assert {(r["seq_id"], r["position"]) for r in A.kmers(df, 4, (13, 7, 3)).collect()} == set(plain)
+    assert A.kmer_counts(df, df, 33).where("n = 0").count() == 0 and A.kmers(df, 40).where("kmer is null").count() == 0
 
 
 def test_fourfold_sites_of_ragged_groups(spark):
