@@ -40,8 +40,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOGETHER, GENERALISE, REMOVE = 2, 0.8, 0.95
 WORD = r"\p{L}{3,}"
-#: Bytes of a row of names and numbers in memory.
-ROW_BYTES = 64
+#: Bytes of a row of names and numbers in memory; code points of a block that pieces of a text are cut from.
+ROW_BYTES, BLOCK = 64, 4096
 
 
 def _digits(value: Column) -> Column:
@@ -102,6 +102,20 @@ def _cut_bytes(cuts: str) -> Column:
     return F.size(cuts) * ROW_BYTES + 2 * ROW_BYTES
 
 
+def _cut_out(text: Column, spans: Column, body) -> Column:
+    """``body(span, cut)`` for every one of ``spans``, where ``cut(at, to)`` is the text from at to before to.
+
+    The text is cut into blocks once, so that a piece is looked up in its own blocks and not from the text's start.
+    """
+    def piece(blocks: Column, at: Column, to: Column) -> Column:
+        first, last = F.floor(at / BLOCK).cast("int"), F.floor((to - 1) / BLOCK).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.when(to > at, F.substr(held, (at - first * BLOCK + 1).cast("int"), (to - at).cast("int"))).otherwise("")
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.transform(F.array(blocks), lambda b: F.transform(spans, lambda c: body(c, lambda at, to: piece(b, at, to))))[0]
+
+
 def outside(docs: DataFrame, spans: DataFrame, rids: DataFrame) -> DataFrame:
     """rid, at, piece: the text between base spans, from position ``at``, of the documents among ``rids``."""
     upto = F.max("end").over(W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
@@ -109,8 +123,8 @@ def outside(docs: DataFrame, spans: DataFrame, rids: DataFrame) -> DataFrame:
     kept = F.collect_list(F.when(F.col("start") > F.col("at"), F.struct("at", F.col("start").alias("to"))))
     cuts = cut(free.groupBy("rid").agg(kept.alias("cuts"), F.max("end").alias("last")), "pii-outside")
     tail = F.array(F.struct(F.col("last").alias("at"), F.length("text").cast("long").alias("to")))
-    pieces = docs.join(sized(cuts, _cut_bytes("cuts")), "rid").select("rid", "text", F.explode(F.concat("cuts", tail)).alias("c"))
-    return pieces.select("rid", "c.at", F.substr("text", (F.col("c.at") + 1).cast("int"), (F.col("c.to") - F.col("c.at")).cast("int")).alias("piece"))
+    pieces = _cut_out(F.col("text"), F.concat("cuts", tail), lambda c, cut: F.struct(c["at"].alias("at"), cut(c["at"], c["to"]).alias("piece")))
+    return docs.join(sized(cuts, _cut_bytes("cuts")), "rid").select("rid", F.explode(pieces).alias("c")).select("rid", "c.*")
 
 
 def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -185,7 +199,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rid, cuts = unused(docs, "rid"), unused(docs, "cuts")
     spans = sized(cut(spans.toDF(rid, cuts), "pii-spans"), _cut_bytes(cuts))
     text = F.col("text")
-    kept = F.transform(cuts, lambda c: F.concat(F.substr(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), c["label"]))
+    kept = _cut_out(text, F.col(cuts), lambda c, cut: F.concat(cut(c["from"], c["start"]), c["label"]))
     tail = F.substr(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
     out = docs.withColumn(rid, row_name(F.col("doc_id").cast("long"), "text")).join(spans, rid, "left")
     out = out.withColumn("text", F.when(F.col(cuts).isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail)))

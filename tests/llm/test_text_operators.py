@@ -284,7 +284,9 @@ def test_terms_that_reveal(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
-def test_terms_far_from_the_value_and_at_every_place(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_terms_far_from_the_value_and_at_every_place(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
     rows = [(k, f"Zebulon {prose(60, k)} zebulon {prose(60, 50 + k)} secret@mail.example.com {prose(60, 100 + k)} (zebulon), {prose(9, 150 + k)}", "x") for k in range(3)]
     rows += [(10 + k, prose(40, 200 + k), "x") for k in range(60)]
     df = frame(spark, rows)
