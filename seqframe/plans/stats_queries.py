@@ -124,9 +124,9 @@ def n5_scale_psmc(get):
     return N.scale_psmc(_curves(get), 2.5e-8, 25).select("sample", "round", "k", F.round("years", 3).alias("years"), F.round("ne", 3).alias("ne"))
 
 
-@query(f"SELECT sample, round, k, round(theta / 100 * t, 6) AS years, round(lam * theta / 100 * 1000, 3) AS ne FROM ({CURVES})")
+@query(f"SELECT sample, round, k, round(theta / 100 * t, 9) AS years, round(lam * theta / 100 * 1000, 9) AS ne FROM ({CURVES})")
 def n5_scale_psmc_unscaled(get):
-    return N.scale_psmc(_curves(get), 2.5e-8, 25, scaled=False).select("sample", "round", "k", F.round("years", 6).alias("years"), F.round("ne", 3).alias("ne"))
+    return N.scale_psmc(_curves(get), 2.5e-8, 25, scaled=False).select("sample", "round", "k", F.round("years", 9).alias("years"), F.round("ne", 9).alias("ne"))
 
 
 @query(f"""
