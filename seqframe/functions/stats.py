@@ -229,10 +229,33 @@ def psmc_overall(summary: DataFrame) -> DataFrame:
     return summary.agg(*[F.sum(c).alias(c) for c in ("n", "sum_ratio", "sum_ratio2", "sum_fit", "sum_fit2")], *[F.max(c).alias(c) for c in ("max_segments", "max_ne")])
 
 
+#: Bases of a word, each a hexadecimal digit, and the lowest bit of every digit.
+WORD_BASES = 15
+LOW_BITS = int("1" * WORD_BASES, 16)
+
+
+def _base_words(seq: Column, n: Column) -> Column:
+    """The first ``n`` bases as numbers of ``WORD_BASES`` digits: A 0, G 1, C 2, T 3, so that the second bit tells purines from
+    pyrimidines, and 4 for any other letter and behind the end."""
+    digits = F.translate(F.regexp_replace(seq, "[^ACGT]", "4"), "AGCT", "0123")
+    padded = F.rpad(digits.substr(F.lit(1), n), (F.ceil(n / WORD_BASES) * WORD_BASES).cast("int"), F.lit("4"))
+    return F.transform(F.regexp_extract_all(padded, F.lit(f".{{{WORD_BASES}}}"), F.lit(0)), lambda w: F.conv(w, 16, 10).cast("long"))
+
+
 def k2p(a: Column, b: Column) -> Column:
     """Kimura two-parameter distance of two aligned sequences; positions without A, C, G, T in both are left out."""
-    pairs = F.array_join(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y)), " ")
-    count = lambda pattern: F.regexp_count(pairs, F.lit(pattern))
-    n, ti, same = count(r"(?<!\S)[ACGT]{2}(?!\S)"), count(r"(?<!\S)(?:AG|GA|CT|TC)(?!\S)"), count(r"(?<!\S)(?:AA|CC|GG|TT)(?!\S)")
-    p, q = F.try_divide(ti, n), F.try_divide(n - ti - same, n)
-    return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), 0.0 - 0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))
+    a, b = F.upper(a), F.upper(b)
+    n = F.least(F.length(a), F.length(b))
+
+    def counts(x: Column, y: Column) -> Column:
+        known = F.lit(LOW_BITS).bitwiseAND(F.bitwise_not(F.shiftright(x.bitwiseOR(y), 2)))
+        low, high = x.bitwiseXOR(y).bitwiseAND(known), F.shiftright(x.bitwiseXOR(y), 1).bitwiseAND(known)
+        return F.struct(F.bit_count(known).alias("n"), F.bit_count(low.bitwiseAND(F.bitwise_not(high))).alias("ti"), F.bit_count(high).alias("tv"))
+
+    def distance(total: Column) -> Column:
+        p, q = F.try_divide(total["ti"], total["n"]), F.try_divide(total["tv"], total["n"])
+        return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), 0.0 - 0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "ti", "tv")])
+    add = lambda total, w: F.struct(*[(total[c] + w[c]).alias(c) for c in ("n", "ti", "tv")])
+    return F.aggregate(F.zip_with(_base_words(a, n), _base_words(b, n), counts), zero, add, distance)

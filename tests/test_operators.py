@@ -145,6 +145,27 @@ def test_k2p(spark):
     assert got[1] is None and got[2] == 0
 
 
+def test_k2p_against_a_count_by_base(spark):
+    rng = random.Random(3)
+    cases = [(None, "ACGT"), ("ACGT", None), ("", ""), ("ACG", ""), ("0123acgt", "0123ACGA"), ("NN--", "ACGT")]
+    for n in [*range(1, 50), 151]:
+        a = "".join(rng.choice("ACGTacgtN-4é") for _ in range(n))
+        cases.append((a, "".join(rng.choice("ACGTN") if rng.random() < 0.2 else c for c in a)[: n - n % 3]))
+
+    def plain(a, b):
+        pairs = [x + y for x, y in zip((a or "").upper(), (b or "").upper()) if x in "ACGT" and y in "ACGT"]
+        if not pairs:
+            return None
+        p, differ = sum(x in ("AG", "GA", "CT", "TC") for x in pairs) / len(pairs), sum(x[0] != x[1] for x in pairs)
+        q = differ / len(pairs) - p
+        return -0.5 * math.log(1 - 2 * p - q) - 0.25 * math.log(1 - 2 * q) if 1 - 2 * p - q > 0 and 1 - 2 * q > 0 else None
+
+    df = spark.createDataFrame(cases, "a string, b string")
+    for a, b, d in df.select("a", "b", N.k2p(F.col("a"), F.col("b"))).collect():
+        want = plain(a, b)
+        assert d is None if want is None else d == pytest.approx(want, abs=1e-12), (a, b)
+
+
 def test_pattern(spark):
     df = spark.createDataFrame([("4+2*3+2",)], "p string")
     r = df.select(N.expand_pattern(F.col("p")), N.last_free_bin(F.col("p"))).first()
