@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embedding, langid, pii, quality, simhash, substring, warc
+from . import bpe, chat, decontaminate, embedding, fim, langid, pii, quality, simhash, substring, warc
 from .common import small_batches
 
 
@@ -62,7 +62,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe)}
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe, op12_fim)}
 
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -108,4 +112,15 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM comp LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_warc": OP6_SQL, "op7_substring": OP7_SQL, "op8_embedding": OP8_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS m FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(m, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(m, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN h3 IS NULL OR n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<M>' || substr(t, a + 1, b - a) AS m, '<S>' || substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN p || s || m WHEN 'spm' THEN s || p || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_warc": OP6_SQL, "op7_substring": OP7_SQL, "op8_embedding": OP8_SQL, "op12_fim": OP12_SQL}
