@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embedding, fim, langid, pii, quality, simhash, substring, warc
+from . import bpe, chat, decontaminate, embedding, fim, langid, phrases, pii, quality, simhash, substring, warc
 from .common import small_batches
 
 
@@ -62,11 +62,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe, op12_fim)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe, op11_phrases, op12_fim)}
 
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -112,6 +116,20 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM comp LEFT JOIN n USING (vec_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3]) AS k FROM p) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE words > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, w, k, array_to_string(w[:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+s AS (SELECT x.lang, x.phrase, x.a, k, o.f AS l, t.f AS r, CAST((1000000::HUGEINT * x.a * x.a) // (o.f::HUGEINT * t.f) AS BIGINT) AS score FROM cuts x JOIN g o ON o.lang = x.lang AND o.phrase = one JOIN g t ON t.lang = x.lang AND t.phrase = two),
+least_cut AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT lang, short AS phrase FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS short FROM c WHERE words = 3) y JOIN g USING (lang) WHERE g.phrase = short AND 100 * y.a >= 50 * g.f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least_cut ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS m FROM documents),
 h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(m, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(m, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
@@ -123,4 +141,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_warc": OP6_SQL, "op7_substring": OP7_SQL, "op8_embedding": OP8_SQL, "op12_fim": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_warc": OP6_SQL, "op7_substring": OP7_SQL, "op8_embedding": OP8_SQL, "op11_phrases": OP11_SQL, "op12_fim": OP12_SQL}
