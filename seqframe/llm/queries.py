@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embedding, fim, langid, phrases, pii, quality, simhash, substring, warc
+from . import bpe, chat, decontaminate, embedding, fim, langid, pages, phrases, pii, quality, simhash, substring, warc
 from .common import small_batches
 
 
@@ -70,7 +70,11 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe, op11_phrases, op12_fim)}
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_chat, op4_simhash, op5_langid, op6_warc, op7_substring, op8_embedding, op9_pii, op10_bpe, op11_phrases, op12_fim, op13_html)}
 
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
