@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.numbering import numbered
-
 
 def lrt(lnl0: Column, lnl1: Column) -> Column:
     """Likelihood-ratio statistic 2 |lnL1 - lnL0|."""
@@ -94,84 +92,25 @@ def bh_fdr(df: DataFrame, by: list[str], p: str = "p", key: str = "cluster") ->
     return df.join(q, [*by, p], "left")
 
 
-#: Name of the column of bits in ``drawn_numbers``.
-BITS = "_bits"
-
-
-def drawn_numbers(sizes: DataFrame, by: list[str], n: int, seed: int, attempt: int = 0) -> DataFrame:
-    """``by``, draw, no: ``n`` distinct numbers below ``_size`` for each row (by, draw, _size), by a permutation that md5 of (seed,
-    attempt, draw, by) names. Numbers below the next power of two are tried in order until ``n`` are below ``_size``: of 1.3 times as
-    many as this takes on average, and 96 more, which is short of ``n`` with a chance of 1e-15."""
-    name = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(attempt)), F.col("draw").cast("string"), *[F.col(c).cast("string") for c in by]))
-    rows = sizes.withColumn(BITS, F.greatest(F.lit(1), F.length(F.bin(F.col("_size") - 1)))).withColumn("_md5", name)
-    for k in range(3):
-        rows = rows.withColumn(f"_k{k}", F.conv(F.substring("_md5", 7 * k + 1, 7), 16, 10).cast("long"))
-    tried = f"sequence(0L, least(shiftleft(1L, {BITS}), {13 * n} * shiftleft(1L, {BITS}) div (10 * _size) + 96) - 1)"
-    # odd factors and shifts, each of which can be undone, make a permutation
-    with_mask = rows.withColumn("_mask", F.expr(f"shiftleft(1L, {BITS}) - 1")).withColumn("_half", F.greatest(F.lit(1), (F.col(BITS) / 2).cast("int"))).withColumn("_a", 2 * F.col("_k0") + 1).withColumn("_c", 2 * F.col("_k2") + 1)
-    found = F.expr(f"filter(transform(transform(transform(transform({tried}, x -> (x * _a + _k1) & _mask), x -> x ^ shiftright(x, _half)), x -> (x * _c) & _mask), x -> x ^ shiftright(x, _half)), x -> x < _size)")
-    return with_mask.select(*by, "draw", F.explode(F.slice(found, 1, n)).alias("no"))
-
-
-def _numbered_groups(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """``df`` with no: numbers from 0 within ``by``, in the order of md5's first three digits and ``key``."""
-    return numbered(df, [key], F.substring(F.md5(F.col(key).cast("string")), 1, 3), "no", by=tuple(by))
-
-
-def _draws(df: DataFrame, by: list[str], n: int, draws: int) -> DataFrame:
-    """by, _size, draw: the draws of every group of at least ``n`` rows, dealt out evenly: they are few bytes, but much work."""
-    size = df.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") >= n)
-    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return size.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(parts, *by, "draw")
-
+def add_counts(df: DataFrame) -> DataFrame:
+    """``df`` with ndn = n dn and sds = s ds."""
+    return df.withColumn("ndn", F.col("n") * F.col("dn")).withColumn("sds", F.col("s") * F.col("ds"))
 
-def sample_n(df: DataFrame, by: list[str], key: str, n: int, draws: int, seed: int) -> DataFrame:
-    """``draws`` samples of ``n`` rows without replacement from each group of ``by``; ``key`` names a row of a group.
 
-    Groups of fewer rows are not drawn. A group's rows are numbered once, each draw takes ``n`` distinct numbers, and rows join these:
-    nothing is sorted or dealt out for each draw but the rows it takes.
-    """
-    rows = _numbered_groups(df, by, key)
-    return rows.join(drawn_numbers(_draws(df, by, n, draws), by, n, seed), [*by, "no"]).drop("no")
+def exact(c: str | Column, digits: int = 6) -> Column:
+    """A column as decimals of ``digits`` places and 12 before these: their sums do not depend on the order."""
+    return (F.col(c) if isinstance(c, str) else c).cast(f"decimal({12 + digits},{digits})")
 
 
-def add_counts(df: DataFrame) -> DataFrame:
-    """``df`` with ndn = n dn and sds = s ds."""
-    return df.withColumn("ndn", F.col("n") * F.col("dn")).withColumn("sds", F.col("s") * F.col("ds"))
+def exact_ratio(ndn: Column, n: Column, sds: Column, s: Column) -> Column:
+    """(ndn / n) / (sds / s) of exact sums; null on a zero sum."""
+    ndn, n, sds, s = (c.cast("double") for c in (ndn, n, sds, s))
+    return F.try_divide(F.try_divide(ndn, n), F.try_divide(sds, s))
 
 
 def kaks_ratio() -> Column:
-    """Aggregate: (sum ndn / sum n) / (sum sds / sum s); null on a zero sum."""
-    return F.try_divide(F.try_divide(F.sum("ndn"), F.sum("n")), F.try_divide(F.sum("sds"), F.sum("s")))
-
-
-def resample_kaks(rows: DataFrame, n: int = 150, draws: int = 10_000, seed: int = 1, redraws: int = 2) -> DataFrame:
-    """species, draw, w of samples of ``n`` clusters. A draw with a zero sum is drawn again, up to ``redraws`` times; if none of these
-    has a ratio, as where a species has no substitutions, the draw has no row."""
-    by = ["species"]
-    counted = add_counts(rows)
-    numbers = _numbered_groups(counted, by, "cluster").select("species", "no", "n", "ndn", "s", "sds")
-
-    def ratios(todo: DataFrame, attempt: int) -> DataFrame:
-        drawn = numbers.join(drawn_numbers(todo, by, n, seed, attempt), [*by, "no"])
-        return drawn.groupBy("species", "draw").agg(kaks_ratio().alias("w"))
-
-    done = ratios(_draws(rows, by, n, draws), 0).where("w is not null")
-    # sums of what is not negative: only a species with ``n`` zeros of a kind can have a draw of zeros
-    zeros = F.greatest(*[F.count_if(F.col(c) == 0) for c in ("n", "s", "sds")])
-    some = counted.groupBy("species").agg(zeros.alias("zeros")).where(F.col("zeros") >= n)
-    todo = _draws(rows.join(some, "species", "left_semi"), by, n, draws)
-    for attempt in range(redraws):
-        failed = ratios(todo, attempt).where("w is null").select("species", "draw")
-        todo = todo.join(failed, ["species", "draw"], "left_semi")
-        done = done.unionByName(ratios(todo, attempt + 1).where("w is not null"))
-    return done
-
-
-def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    """by, n, low, q1, median, q3, high."""
-    q = lambda p: F.round(F.percentile(value, p), 6)
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.min(value), 6).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.round(F.max(value), 6).alias("high"))
+    """Aggregate of n, dn, s, ds: (sum n dn / sum n) / (sum s ds / sum s) of six-digit decimals; null on a zero sum."""
+    return exact_ratio(F.sum(exact("n") * exact("dn")), F.sum(exact("n")), F.sum(exact("s") * exact("ds")), F.sum(exact("s")))
 
 
 def expand_pattern(pattern: Column) -> Column:

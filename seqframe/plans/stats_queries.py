@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import sampling as D
 from ..functions import stats as N
 from .registry import query
 
@@ -9,22 +10,36 @@ PAIRS = "(SELECT a.cluster, a.model, 2 * abs(a.lnl - b.lnl) AS stat, a.np - b.np
 KEPT = "(SELECT * FROM {kaks_v} WHERE cluster NOT IN (SELECT cluster FROM {kaks_v} WHERE len < 150 OR ds > 2))"
 
 
-def _drawn(draws: int) -> str:
-    """The samples of ``stats.sample_n`` from KEPT: seed 7, 150 clusters of each species, by the same permutations."""
-    key = lambda k: f"CAST('0x' || substring(m, {7 * k + 1}, 7) AS BIGINT)"
-    step = lambda to, of, more="": f"({of}{more}) & ((1::BIGINT << b) - 1) AS {to}"
-    return f"""(WITH kept AS (SELECT * FROM {KEPT}), numbered AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY substring(md5(CAST(cluster AS STRING)), 1, 3), cluster) - 1 AS no FROM kept),
-sizes AS (SELECT species, count(*) AS size, greatest(1, length(bin(count(*) - 1))) AS b FROM kept GROUP BY species HAVING count(*) >= 150),
-draws AS (SELECT *, md5('7:0:' || CAST(draw AS STRING) || ':' || species) AS m FROM sizes CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw)),
-keys AS (SELECT species, size, b, draw, 2 * {key(0)} + 1 AS a, {key(1)} AS k, 2 * {key(2)} + 1 AS c FROM draws),
-tried AS (SELECT *, unnest(range(0, least(1::BIGINT << b, 1950 * (1::BIGINT << b) // (10 * size) + 96))) AS x FROM keys),
-one AS (SELECT *, {step("y", "x * a", " + k")} FROM tried), two AS (SELECT *, xor(y, y >> greatest(1, b // 2)) AS z FROM one),
-three AS (SELECT *, {step("u", "z * c")} FROM two), four AS (SELECT species, draw, x, size, xor(u, u >> greatest(1, b // 2)) AS no FROM three),
-found AS (SELECT species, draw, no, row_number() OVER (PARTITION BY species, draw ORDER BY x) AS r FROM four WHERE no < size)
-SELECT q.*, f.draw FROM found f JOIN numbered q ON f.species = q.species AND f.no = q.no WHERE f.r <= 150)"""
+def _passed(rows: str) -> str:
+    """Numbers x of ``rows`` sent once through six rounds: a pair of remainder and quotient whose parts change roles in each, so that
+    always the first is moved by the second."""
+    sql = f"SELECT *, x % a AS u, x // a AS v, a AS mu, b AS mv FROM {rows}"
+    for r in range(6):
+        sql = f"SELECT * EXCLUDE (u, v, mu, mv), v AS u, (u + (k{r}[1] * v + k{r}[2]) % 2147483647) % mu AS v, mv AS mu, mu AS mv FROM ({sql})"
+    return f"SELECT * EXCLUDE (x, u, v, mu, mv), v * a + u AS x FROM ({sql})"
 
 
-DRAWS = f"(SELECT species, draw, CASE WHEN sum(n) > 0 AND sum(s) > 0 AND sum(s * ds) > 0 THEN (sum(n * dn) / sum(n)) / (sum(s * ds) / sum(s)) END AS w FROM {_drawn(10_000)} GROUP BY species, draw)"
+def _drawn(draws: str, kept: str = KEPT) -> str:
+    """Samples of 150 clusters of each species of ``kept``, seed 7: for each (draw, attempt) of ``draws``. Numbers that come out too
+    large are sent through again, without a bound."""
+    number = lambda r, at: f"CAST('0x' || substring(md5('7:' || attempt || ':' || draw || ':' || species || ':{r}'), {at}, 8) AS BIGINT)"
+    keys = ", ".join(f"[1 + {number(r, 1)} % 2147483646, {number(r, 9)} % 2147483647] AS k{r}" for r in range(6))
+    return f"""(WITH RECURSIVE kept AS (SELECT * FROM {kept}), numbered AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY substring(md5(CAST(cluster AS STRING)), 1, 3), cluster) - 1 AS no FROM kept),
+sizes AS (SELECT species, count(*) AS size, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM kept GROUP BY species HAVING count(*) >= 150),
+named AS (SELECT *, CAST(ceil(size / a) AS BIGINT) AS b, {keys} FROM sizes CROSS JOIN {draws}),
+begun AS MATERIALIZED ({_passed("(SELECT *, unnest(range(0, 150)) AS x FROM named)")}),
+walk AS (SELECT * FROM begun WHERE x >= size UNION ALL {_passed("(SELECT * FROM walk WHERE x >= size)")}),
+found AS (SELECT species, draw, attempt, size, x FROM begun WHERE x < size UNION ALL SELECT species, draw, attempt, size, x FROM walk WHERE x < size)
+SELECT q.*, f.draw, f.attempt FROM found f JOIN numbered q ON f.species = q.species AND f.x = q.no)"""
+
+
+def _times(draws: int, attempts: int = 1) -> str:
+    return f"(SELECT * FROM (SELECT unnest(range(1, {draws + 1})) AS draw) CROSS JOIN (SELECT unnest(range(0, {attempts})) AS attempt))"
+
+
+SUMS = "sum(CAST(n AS DECIMAL(18, 6)) * CAST(dn AS DECIMAL(18, 6))) AS ndn, sum(CAST(n AS DECIMAL(18, 6))) AS n, sum(CAST(s AS DECIMAL(18, 6)) * CAST(ds AS DECIMAL(18, 6))) AS sds, sum(CAST(s AS DECIMAL(18, 6))) AS s"
+RATIO = "CASE WHEN n > 0 AND s > 0 AND sds > 0 THEN (CAST(ndn AS DOUBLE) / CAST(n AS DOUBLE)) / (CAST(sds AS DOUBLE) / CAST(s AS DOUBLE)) END"
+DRAWS = f"(SELECT species, draw, {RATIO} AS w FROM (SELECT species, draw, {SUMS} FROM {_drawn(_times(10_000))} GROUP BY species, draw))"
 
 
 @query(f"SELECT cluster, model, round(stat, 6) AS stat, ddf FROM {PAIRS}")
@@ -85,9 +100,9 @@ def n3_add_counts(get):
     return N.add_counts(get("kaks_v")).select("cluster", "species", F.round("ndn", 6).alias("ndn"), F.round("sds", 6).alias("sds"))
 
 
-@query("SELECT species, round((sum(n * dn) / sum(n)) / (sum(s * ds) / sum(s)), 6) AS w FROM {kaks_v} GROUP BY species")
+@query(f"SELECT species, round({RATIO}, 6) AS w FROM (SELECT species, {SUMS} FROM {{kaks_v}} GROUP BY species)")
 def n4_kaks_ratio(get):
-    return N.add_counts(get("kaks_v")).groupBy("species").agg(F.round(N.kaks_ratio(), 6).alias("w"))
+    return get("kaks_v").groupBy("species").agg(F.round(N.kaks_ratio(), 6).alias("w"))
 
 
 def _kept(get):
@@ -95,19 +110,32 @@ def _kept(get):
     return N.exclude(rows, N.failed_clusters(rows), "cluster")
 
 
-@query(f"SELECT species, draw, cluster FROM {_drawn(20)}")
+@query(f"SELECT species, draw, cluster FROM {_drawn(_times(20))}")
 def w6_sample_n(get):
-    return N.sample_n(_kept(get), ["species"], "cluster", 150, 20, 7).select("species", "draw", "cluster")
+    return D.sample_n(_kept(get), ["species"], "cluster", 150, 20, 7).select("species", "draw", "cluster")
 
 
 @query(f"SELECT species, draw, round(w, 6) AS w FROM {DRAWS} WHERE w IS NOT NULL")
 def a15_resample_kaks(get):
-    return N.resample_kaks(_kept(get), 150, 10_000, 7).withColumn("w", F.round("w", 6))
+    return D.resample_kaks(_kept(get), 150, 10_000, 7).withColumn("w", F.round("w", 6))
+
+
+SPARSE = f"(SELECT * REPLACE (CASE WHEN cluster % 97 = 0 THEN ds ELSE 0 END AS ds, CASE WHEN species = 'S3' THEN 0 ELSE s END AS s) FROM {KEPT})"
+
+
+@query(f"""
+WITH t AS (SELECT species, draw, attempt, {RATIO} AS w FROM (SELECT species, draw, attempt, {SUMS} FROM {_drawn(_times(100, 30), SPARSE)} GROUP BY species, draw, attempt))
+SELECT species, draw, round(arg_min(w, attempt) FILTER (w IS NOT NULL), 6) AS w FROM t GROUP BY species, draw HAVING count(w) > 0
+""")
+def a15_resample_redraws(get):
+    """Rates of which one in 97 is not zero, and a species without any: many draws are drawn again. The oracle tries each 30 times."""
+    sparse = _kept(get).withColumn("ds", F.when(F.col("cluster") % 97 == 0, F.col("ds")).otherwise(0.0)).withColumn("s", F.when(F.col("species") == "S3", 0.0).otherwise(F.col("s")))
+    return D.resample_kaks(sparse, 150, 100, 7).withColumn("w", F.round("w", 6))
 
 
 @query(f"SELECT species, count(w) AS n, round(min(w), 6) AS low, round(quantile_cont(w, 0.25), 6) AS q1, round(quantile_cont(w, 0.5), 6) AS median, round(quantile_cont(w, 0.75), 6) AS q3, round(max(w), 6) AS high FROM {DRAWS} WHERE w IS NOT NULL GROUP BY species")
 def a16_box_stats(get):
-    return N.box_stats(N.resample_kaks(_kept(get), 150, 10_000, 7), "species", "w")
+    return D.box_stats(D.resample_kaks(_kept(get), 150, 10_000, 7), "species", "w")
 
 
 CURVES = "SELECT 'p' || CAST(l_suppkey AS STRING) AS sample, l_orderkey % 21 AS round, CAST(l_linenumber AS BIGINT) AS k, max(l_quantity) / 10 AS t, max(l_extendedprice) / 10000 AS lam, max(l_tax) + 0.01 AS theta, max(l_discount) AS fit FROM {lineitem} GROUP BY 1, 2, 3"

@@ -259,29 +259,6 @@ def test_psmc_scaling(spark):
     assert r["years"] == pytest.approx(2 * n0 * 25) and r["ne"] == pytest.approx(2 * n0 * 2 / 1e4)
 
 
-def test_sample_is_reproducible_and_skips_small_groups(spark):
-    df = spark.range(40).selectExpr("CASE WHEN id < 5 THEN 'x' ELSE 'y' END AS species", "id AS cluster")
-    one = rows(N.sample_n(df, ["species"], "cluster", 10, 3, 7).select("species", "draw", "cluster"))
-    two = rows(N.sample_n(df.repartition(7), ["species"], "cluster", 10, 3, 7).select("species", "draw", "cluster"))
-    assert one == two and len(one) == 30 and {r[0] for r in one} == {"y"}
-
-
-def test_samples_are_distinct_and_even(spark):
-    df = spark.range(300).selectExpr("'x' AS species", "id AS cluster")
-    got = N.sample_n(df, ["species"], "cluster", 150, 200, 7).groupBy("draw").agg(F.count_distinct("cluster").alias("n"), F.count("*").alias("rows")).collect()
-    assert len(got) == 200 and {(r["n"], r["rows"]) for r in got} == {(150, 150)}
-    often = [r["n"] for r in N.sample_n(df, ["species"], "cluster", 150, 200, 7).groupBy("cluster").agg(F.count("*").alias("n")).collect()]
-    assert len(often) == 300 and 60 < min(often) and max(often) < 140
-    assert N.sample_n(df.limit(150), ["species"], "cluster", 150, 3, 7).count() == 450
-
-
-def test_draws_with_a_zero_sum_are_drawn_again(spark):
-    rows = spark.createDataFrame([("x", k, 100.0, 50.0, 0.1, 0.0 if k else 0.2) for k in range(6)] + [("y", k, 100.0, 50.0, 0.1, 0.0) for k in range(6)], "species string, cluster int, n double, s double, dn double, ds double")
-    once = {r["draw"] for r in N.resample_kaks(rows, 3, 200, 5, redraws=0).collect()}
-    thrice = N.resample_kaks(rows, 3, 200, 5, redraws=2).collect()
-    assert {r["species"] for r in thrice} == {"x"} and once < {r["draw"] for r in thrice} and len({r["draw"] for r in thrice}) == len(thrice)
-
-
 def test_segments_over_stretches(spark, monkeypatch):
     rng = random.Random(1)
     data = [("c", i, i * 10 + 7 * rng.randrange(2), i * 10 + 9, rng.choice([1.0, 9.0, 9.0, 9.0])) for i in range(200)] + [("d", i, i, i, 9.0) for i in range(50)]
