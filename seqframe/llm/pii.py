@@ -127,27 +127,54 @@ def outside(docs: DataFrame, spans: DataFrame, rids: DataFrame) -> DataFrame:
     return docs.join(sized(cuts, _cut_bytes("cuts")), "rid").select("rid", F.explode(pieces).alias("c")).select("rid", "c.*")
 
 
+def _document_set() -> list[Column]:
+    """Aggregates that name the set of the documents of a group's rows, each document once: their number and 128 bits."""
+    return [F.count("*").alias("n"), F.bit_xor("rid.a").alias("a"), F.bit_xor("rid.b").alias("b")]
+
+
 def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """rid, kind, start, end, ratio: terms whose PMI / IC reaches ``GENERALISE``, in the documents that hold what they reveal."""
+    """rid, kind, start, end, ratio: terms whose PMI / IC reaches ``GENERALISE``, in the documents that hold what they reveal.
+
+    Entities of the same documents are one class, and so are terms of the same documents and df, as their figures agree. Pairs of
+    classes come from an entity class's documents but for the one with most terms: they need ``TOGETHER`` documents, two at least,
+    so another one has each pair, and a document of many values and words is left to the smaller ones that it shares them with.
+    """
     total = max(2.0, float(docs.count()))
     rare = lambda df_c: F.lit(total * (1 + 1e-9)) * F.pow(df_c / total, F.lit(GENERALISE))
-    entity = cut(spans.groupBy("kind", "value").agg(F.count_distinct("rid").alias("df_c")).where(F.col("df_c") >= TOGETHER), "pii-entities")
-    holders = cut(spans.select("rid", "kind", "value").distinct().join(sized(entity, F.length("value") + ROW_BYTES), ["kind", "value"]), "pii-holders")
-    most = entity.agg(F.max("df_c")).first()[0] or 0
+    each = cut(spans.select("rid", "kind", "value").distinct(), "pii-each")
+    entity = each.groupBy("kind", "value").agg(*_document_set()).where(F.col("n") >= TOGETHER)
+    entity = cut(entity.select("kind", "value", F.struct("n", "a", "b").alias("entities")), "pii-entities")
+    holders = each.join(sized(entity, F.length("value") + ROW_BYTES), ["kind", "value"])
+    holders = cut(holders.groupBy("rid", "entities").agg(F.min("kind").alias("kind")), "pii-holders")
+    most = entity.agg(F.max("entities.n")).first()[0] or 0
     held = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     terms = held.groupBy("term").agg(F.count("*").alias("df_t")).where((F.col("df_t") >= TOGETHER) & (F.col("df_t") <= rare(F.lit(most))))
     terms = cut(terms, "pii-terms")
     rids = cut(holders.select("rid").distinct(), "pii-rids")
     found = outside(docs, spans, rids).select("rid", F.explode(_terms(F.col("piece"))).alias("term")).join(sized(terms, F.length("term") + ROW_BYTES), "term")
-    # dealt out by document: repeated mentions fall together and meet the document's entities without another shuffle
-    found = found.repartition("rid").groupBy("rid", "term").agg(F.max("df_t").alias("df_t"))
-    pairs = cut(found.join(holders, "rid").where(F.col("df_t") <= rare(F.col("df_c"))), "pii-together")
-    together = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("co"), F.max("df_c").alias("df_c"), F.max("df_t").alias("df_t")).where(F.col("co") >= TOGETHER)
-    pmi = F.log(F.col("co") * F.lit(total) / (F.col("df_c") * F.greatest(F.col("df_t"), F.col("co"))))
-    ic = F.log(F.lit(total) / F.col("df_c"))
-    shown = together.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= GENERALISE).select("kind", "value", "term", "ratio")
-    shown = sized(cut(shown, "pii-shown"), F.length("value") + F.length("term") + ROW_BYTES)
-    wanted = cut(pairs.join(shown, ["kind", "value", "term"]).groupBy("rid", "term").agg(F.max("ratio").alias("ratio"), F.min("kind").alias("kind")), "pii-wanted")
+    found = cut(found.groupBy("rid", "term").agg(F.max("df_t").alias("df_t")), "pii-found")
+    # a term of one such document is together with nothing twice
+    alike = found.groupBy("term").agg(F.max("df_t").alias("df_t"), *_document_set()).where(F.col("n") >= TOGETHER)
+    alike = cut(alike.select("term", F.struct("df_t", "n", "a", "b").alias("terms")), "pii-alike")
+    words = cut(found.join(sized(alike, F.length("term") + ROW_BYTES), "term").select("rid", "terms").distinct(), "pii-words")
+    weight = words.groupBy("rid").agg(F.count("*").alias("weight"))
+    weighed = cut(holders.join(weight, "rid").select("rid", "entities", "weight"), "pii-weighed")
+    heaviest = cut(weighed.groupBy("entities").agg(F.max_by("rid", F.struct("weight", "rid")).alias("skipped")), "pii-heaviest")
+    others = weighed.join(sized(heaviest, 2 * ROW_BYTES), "entities").where(F.col("rid") != F.col("skipped"))
+    pairs = others.join(words, "rid").where(F.col("terms.df_t") <= rare(F.col("entities.n")))
+    pairs = cut(pairs.groupBy("entities", "terms").agg(F.count("*").alias("co"), F.max("skipped").alias("skipped")), "pii-together")
+    there = words.select(F.col("rid").alias("skipped"), "terms", F.lit(1).alias("one"))
+    together = pairs.join(there, ["skipped", "terms"], "left").withColumn("co", F.col("co") + F.coalesce("one", F.lit(0))).where(F.col("co") >= TOGETHER)
+    pmi = F.log(F.col("co") * F.lit(total) / (F.col("entities.n") * F.greatest("terms.df_t", "co")))
+    ic = F.log(F.lit(total) / F.col("entities.n"))
+    shown = cut(together.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= GENERALISE).select("entities", "terms", "ratio"), "pii-shown")
+    # documents of both, from the class of fewer documents
+    few = F.col("terms.n") <= F.col("entities.n")
+    by_term = shown.where(few).join(words, "terms").join(holders, ["rid", "entities"])
+    by_entity = shown.where(~few).join(holders, "entities").join(words, ["rid", "terms"])
+    both = by_term.select("rid", "terms", "ratio", "kind").unionByName(by_entity.select("rid", "terms", "ratio", "kind"))
+    both = both.groupBy("rid", "terms").agg(F.max("ratio").alias("ratio"), F.min("kind").alias("kind"))
+    wanted = cut(both.join(alike, "terms").select("rid", "term", "ratio", "kind"), "pii-wanted")
     return wanted.join(places(outside(docs, spans, wanted.select("rid").distinct())), ["rid", "term"]).select("rid", "start", "end", "ratio", "kind")
 
 
