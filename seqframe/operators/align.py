@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import FOURFOLD, codons
+from .intervals import chunks
 
 
 def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
@@ -47,7 +48,8 @@ def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES) -> DataFrame
     The letters of a k-mer of A, C, G and T, as digits 0 to 3, are one number or two; any other k-mer, and one of more than 2 x ``DIGITS``
     letters, is text. What does not apply is null. Sequences of fewer partitions than cores are dealt out first.
     """
-    rows = seqs.select("seq_id", F.lit(0).cast("long").alias("at"), (F.length("seq") - (k - 1)).alias("own"), "seq").where("own > 0")
+    whole = chunks(seqs, sizes[0], k - 1).select("seq_id", (F.col("chunk_start") - 1).alias("at"), F.col("chunk").alias("seq")) if "chunk" in seqs.columns else seqs.select("seq_id", F.lit(0).alias("at"), "seq")
+    rows = whole.select("seq_id", F.col("at").cast("long").alias("at"), (F.length("seq") - (k - 1)).alias("own"), "seq").where("own > 0")
     for n, size in enumerate(sizes):
         rows = rows.select("seq_id", "at", "own", "seq", F.explode(F.sequence(F.lit(0), F.ceil(F.col("own") / size) - 1)).alias("c"))
         begin = F.col("c") * size

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
 from .intervals import chunks
+from .locate import first_places
 
 ROLES = ("LTR_retrotransposon", "five_prime_LTR", "three_prime_LTR")
 
@@ -65,16 +66,14 @@ def locate_elements(elements: DataFrame, seqs: DataFrame, size: int = 1 << 20, l
     Where the elements have columns pbs and ppt (sequences), their first places within the element follow as starts and stops, null
     if it lacks them, and with tsr5 and tsr3 (sequences) the spans of their lengths before and behind the element.
 
-    Elements of at most ``longest`` bases, an error beyond, meet chunks of ``size`` bases that overlap by that many, so a long
-    sequence is shared among tasks.
+    Elements of at most ``longest`` bases, an error beyond, are looked up by a seed and compared where that stands (``first_places``).
+    A null element is nowhere. Elements of sequences that are not there have no row.
     """
     too_long = F.raise_error(F.concat(F.lit("element longer than the overlap: "), F.col("element"))).cast("string")
     wanted = elements.withColumn("seq", F.when(F.length("seq") > longest, too_long).otherwise(F.col("seq")))
-    pieces = chunks(seqs, size, longest).select(F.col("seq_id").alias("seqname"), "chunk_start", "chunk")
-    at = F.expr("locate(seq, chunk)")
-    found = wanted.select("element", "seqname", "seq").join(pieces, "seqname").select("element", "seqname", F.when(at > 0, F.col("chunk_start") + at - 1).alias("at"))
-    first = found.groupBy("element", "seqname").agg(F.coalesce(F.min("at"), F.lit(0)).cast("long").alias("start"))
-    rows = elements.join(first, ["element", "seqname"])
+    first = first_places(wanted, seqs, size, longest)
+    nowhere = elements.where("seq is null").join(chunks(seqs, size).select(F.col("seq_id").alias("seqname")).distinct(), "seqname", "left_semi").withColumn("start", F.lit(0).cast("long"))
+    rows = elements.join(first, ["seqname", "seq"]).unionByName(nowhere)
     some = F.col("start") > 0
     stop = F.col("start") + F.length("seq") - 1
     out = {"stop": stop, "ltr5_stop": F.col("start") + F.col("ltr5") - 1, "ltr3_start": stop - F.col("ltr3") + 1}

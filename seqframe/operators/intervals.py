@@ -114,12 +114,32 @@ def filter_scores(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def chunks(seqs: DataFrame, size: int = 1 << 20, overlap: int = 0) -> DataFrame:
-    """seq_id, chunk_no, chunk_start (1-based), chunk: sequences in pieces that overlap the next by ``overlap``."""
+    """seq_id, chunk_no, chunk_start (1-based), chunk: sequences in pieces that overlap the next by ``overlap``.
+
+    Sequences are rows (seq_id, seq), or are in pieces already (seq_id, chunk_start, chunk, without overlap), as ``read_fasta_chunks``
+    gives them: these are cut anew, so that no row ever holds a sequence.
+    """
+    if "chunk" in seqs.columns:
+        return rechunked(seqs.select("seq_id", F.col("chunk_start").alias("begin"), F.col("chunk").alias("piece")), ["seq_id"], size, overlap)
     n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
     rows = seqs.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return rows.select("seq_id", "chunk_no", (F.col("chunk_no") * size + 1).alias("chunk_start"), F.substr("seq", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size + overlap)).alias("chunk"))
 
 
+def rechunked(pieces: DataFrame, by: list[str], size: int, overlap: int = 0) -> DataFrame:
+    """by, chunk_no, chunk_start, chunk of adjoining pieces (by, begin: from 1, piece): each is cut at the chunks' borders and goes to
+    the chunks that it lies in, where the cuts are joined."""
+    end = F.col("begin") + F.length("piece") - 1
+    first = F.greatest(F.lit(0), F.floor((F.col("begin") - 1 - overlap) / size))
+    last = F.greatest(first, F.floor((end - 1) / size))
+    rows = pieces.where("piece is not null").withColumn("chunk_no", F.explode(F.sequence(first, last)))
+    at = F.greatest(F.col("begin"), F.col("chunk_no") * size + 1)
+    upto = F.least(end, (F.col("chunk_no") + 1) * size + overlap)
+    cut = F.substr("piece", (at - F.col("begin") + 1).cast("int"), (upto - at + 1).cast("int"))
+    joined = rows.select(*by, "chunk_no", F.struct(at.alias("at"), cut.alias("cut")).alias("x")).groupBy(*by, "chunk_no").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return joined.select(*by, "chunk_no", (F.col("chunk_no") * size + 1).alias("chunk_start"), F.array_join(F.transform("x", lambda x: x["cut"]), "").alias("chunk"))
+
+
 def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool = False, size: int = 1 << 20) -> DataFrame:
     """seq_id, start, stop: maximal runs of ``gap`` (either case) of at least ``min_len``.
 
@@ -136,7 +156,8 @@ def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool
     rows = rows.withColumn("stop", stop).select("seq_id", (F.col("stop") - F.col("n") + 1).alias("start"), "stop")
     out = merge(rows, ["seq_id"]).where(F.col("stop") - F.col("start") + 1 >= min_len)
     if compat:
-        ends = seqs.select("seq_id", F.length("seq").alias("len"))
+        last = F.length("seq") if "seq" in seqs.columns else F.col("chunk_start") + F.length("chunk") - 1
+        ends = seqs.groupBy("seq_id").agg(F.max(last).alias("len"))
         out = out.join(ends, "seq_id").where(F.col("stop") < F.col("len") - 1).withColumn("stop", F.col("stop") + 1).drop("len")
     return out
 

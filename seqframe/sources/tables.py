@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.intervals import rechunked
 from .lines import file_name, gff, number, read_text, tokens
 
 
@@ -22,6 +24,39 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     return records.select(F.split_part(F.translate(F.trim(head), "\t", " "), F.lit(" "), F.lit(1)).alias("seq_id"), seq.alias("seq"), "source_file").where(F.col("seq_id") != "")
 
 
+def read_fasta_chunks(spark: SparkSession, path: str | list[str], size: int = 1 << 20) -> DataFrame:
+    """source_file, record (from 1 in its file), seq_id, chunk_no, chunk_start (from 1), chunk: records in pieces of ``size`` residues.
+
+    No record is ever a row: files are read in splits, line by line. Residues are counted within a split from its last header on;
+    what a split lacks, the header it begins under and the residues before, comes from one row for each split. Text before a file's
+    first header and records without a name or residues give no rows.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return fasta_chunks(lines, size)
+
+
+def fasta_chunks(lines: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """``read_fasta_chunks`` of lines (source_file, split, id that rises within a split, line)."""
+    head = F.col("line").rlike(r"^\s*>")
+    name = F.split_part(F.translate(F.trim(F.regexp_replace("line", r"^\s*>", "")), "\t\r", "  "), F.lit(" "), F.lit(1))
+    rows = lines.select("source_file", "split", "id", F.when(head, name).alias("name"), F.when(head, F.lit("")).otherwise(F.regexp_replace("line", r"\s+", "")).alias("piece"))
+    key = ["source_file", "split"]
+    upto = W.partitionBy(*key).orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("*", F.count("name").over(upto).alias("heads"), F.sum(F.length("piece").cast("long")).over(upto).alias("sum"))
+    # residues before the last header of the split; their running sum never falls
+    rows = rows.select("*", F.max(F.when(F.col("name").isNotNull(), F.col("sum"))).over(upto).alias("before"), F.last("name", ignorenulls=True).over(upto).alias("own"))
+    splits = rows.groupBy(*key).agg(F.count("name").alias("heads"), F.max_by("own", "id").alias("last"), F.max(F.col("sum")).alias("sum"), F.max("before").alias("before"))
+    earlier = W.partitionBy("source_file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select(*key, "heads", (F.col("sum") - F.coalesce("before", F.lit(0))).alias("tail"), F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("records"), F.last("last", ignorenulls=True).over(earlier).alias("under"))
+    # residues behind a last header, of all splits before, less those before the last split that has a header
+    splits = splits.withColumn("all", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
+    base = F.col("all") - F.coalesce(F.last(F.when(F.col("heads") > 0, F.col("all")), ignorenulls=True).over(earlier), F.lit(0))
+    joined = rows.join(splits.select(*key, "records", "under", base.alias("base")), key).where("piece <> ''")
+    start = F.when(F.col("heads") == 0, F.col("base") + F.col("sum")).otherwise(F.col("sum") - F.col("before")) - F.length("piece") + 1
+    pieces = joined.select("source_file", (F.col("records") + F.col("heads")).alias("record"), F.coalesce("own", "under").alias("seq_id"), start.alias("begin"), "piece")
+    return rechunked(pieces.where("seq_id <> ''"), ["source_file", "record", "seq_id"], size)
+
+
 def parse_gff(lines: DataFrame) -> DataFrame:
     """GFF rows: exactly nine tab-separated fields, comments dropped, ``.`` null."""
     f = F.split("line", "\t")
