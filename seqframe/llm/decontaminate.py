@@ -3,10 +3,14 @@
 Texts become sets of shingles of five words (lower case, runs of letters and numbers); an item of fewer words is one shingle, its
 whole sequence, and documents are cut into shingles of each width that items have. A document that holds ``needed`` of an item's n
 shingles, the least number that is ``THRESHOLD`` of them, holds one of any n - needed + 1 of them. So items are partitioned by
-size, and each keeps a MinHash sketch of its least n - needed + 1 shingle hashes, those last that many items share. A document is a
-candidate if one of all its shingle hashes is in a sketch and it has at least ``needed`` shingles: none that holds an item is
-missed, whatever the sizes of item and document. Documents themselves are not sketched: a sketch of a long document loses short
-items. Candidates alone are read again and verified: the item's shingles, compared as strings, that the document holds.
+their number of shingles: those of a partition need equally many and have a MinHash sketch of equal size, the n - needed + 1 least
+of the item's shingle hashes, but for hashes that more than ``COMMON`` items share, which come last. Below ``SHORT`` shingles a
+partition is an exact index instead: all hashes of its items. A document is a candidate for an item of a partition if one of all
+its shingle hashes is there and it has at least the partition's ``needed`` shingles: none that holds an item is missed, whatever
+the sizes of item and document. Documents themselves are not sketched: a sketch of a long document loses short items.
+
+Candidates alone are read again and verified: shingles are compared as strings by a join of (document, shingle) of the candidate
+pairs' items with those of the candidate documents, each of which is cut once, however many items it may hold.
 
 Everything is DataFrame expressions. Documents are not shuffled to find candidates while the sketches, of fixed width, take no more
 than ``BROADCAST_BYTES``; beyond that the join shuffles. So it is with candidates when they are read again, and with items.
@@ -28,6 +32,8 @@ from .common import cut, fits, row_name, sized, unused
 WIDTH, THRESHOLD = 5, 0.8
 #: Bytes of a row of names and numbers in memory: of a sketch, a candidate or a name.
 ROW_BYTES = 64
+#: Items of fewer shingles keep all their hashes; a hash of more items than this is the last to be in a sketch.
+SHORT, COMMON = 10, 64
 
 
 def _let(value: Column, body) -> Column:
@@ -82,12 +88,13 @@ def _by_width(items: DataFrame, make, out: str) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item, h, needed: the sketch of every item (item, text, width)."""
-    rows = _by_width(items, shingle_hashes, "hashes").withColumn("n", F.size("hashes")).select("item", "n", F.explode("hashes").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("items"))
-    least = F.row_number().over(W.partitionBy("item").orderBy("items", "h"))
-    need = needed(F.col("n"), threshold)
-    return rows.join(shared, "h").withColumn("least", least).where(F.col("least") <= F.col("n") - need + 1).select("item", "h", need.alias("needed"))
+    """size, item, h, needed: the sketch of every item (item, text, width), in the partition of its number of shingles, ``size``."""
+    rows = _by_width(items, shingle_hashes, "hashes").withColumn("size", F.size("hashes")).select("size", "item", F.explode("hashes").alias("h"))
+    common = rows.groupBy("h").agg(F.count("*").alias("items")).where(F.col("items") > COMMON).select("h", F.lit(True).alias("common"))
+    least = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("common", F.lit(False)), "h"))
+    need = needed(F.col("size"), threshold)
+    kept = F.when(F.col("size") < SHORT, F.col("size")).otherwise(F.col("size") - need + 1)
+    return rows.join(common, "h", "left").withColumn("least", least).where(F.col("least") <= kept).select("size", "item", "h", need.alias("needed"))
 
 
 def with_width(items: DataFrame) -> DataFrame:
@@ -110,16 +117,16 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     items = cut(items, "benchmark-items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [WIDTH]
     found = cut(candidates(named.select("rid", "text"), items.select("item", "text", "width").dropDuplicates(["item"]), widths, threshold), "benchmark-candidates")
-    of_doc = found.groupBy("rid").agg(F.collect_list("item").alias("items"))
-    of_doc = F.broadcast(of_doc) if fits(found, ROW_BYTES) else of_doc
-    read = named.join(of_doc, "rid").select("key", "items", shingle_strings(F.col("text"), widths).alias("doc_shingles"))
-    pairs = read.select("key", "doc_shingles", F.explode("items").alias("item"))
-    shingles = _by_width(items, shingle_strings, "item_shingles").select("item_id", "item", "item_shingles")
+    rids = cut(found.select("rid").distinct(), "benchmark-documents")
+    of_docs = named.join(sized(rids, ROW_BYTES), "rid").select("rid", F.explode(shingle_strings(F.col("text"), widths)).alias("shingle")).distinct()
+    once = items.select("item", "text", "width").dropDuplicates(["item"])
+    shingles = _by_width(once, shingle_strings, "shingles").select("item", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("shingle"))
     # an item's shingles of five words take some ten times its text
     shingles = F.broadcast(shingles) if fits(items, F.length("text") * 10 + ROW_BYTES) else shingles
-    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
-    joined = pairs.join(shingles, "item").select(F.col("key").alias(key), "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_shingles"))
-    return joined.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= needed(F.col("n_shingles"), threshold))
+    shared = found.join(shingles, "item").join(of_docs, ["rid", "shingle"]).groupBy("rid", "item").agg(F.count("*").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    held = cut(shared.where(F.col("n_shared") >= needed(F.col("n_shingles"), threshold)), "benchmark-held")
+    rows = named.select("key", "rid").join(sized(held, 2 * ROW_BYTES), "rid").join(sized(items.select("item_id", "item"), ROW_BYTES), "item")
+    return rows.select(F.col("key").alias(key), "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
