@@ -11,6 +11,7 @@ from ..sources import models as M
 from ..sources import reports as R
 from ..sources import sinks as K
 from ..sources import tables as T
+from ..sources import trees as N
 from .registry import query
 
 
@@ -311,6 +312,54 @@ def s32_time_tree(get):
     return M.read_time_tree(rows).withColumn("length", F.round("length", 2))
 
 
+LADDER = "(SELECT cluster, i, count(*) OVER (PARTITION BY cluster) AS m, round(lnl, 3) AS x FROM (SELECT cluster, lnl, row_number() OVER (PARTITION BY cluster ORDER BY model) AS i FROM {fits_v}))"
+LADDER_NODES = f"""(SELECT cluster, m - 2 + i AS node, CASE WHEN i = 1 THEN 0 ELSE 2 * i - 3 END AS post, CASE WHEN i = 1 THEN m - 1 ELSE m - i + 1 END AS depth,
+CASE WHEN m = 1 THEN NULL ELSE m - greatest(i, 2) END AS parent, true AS tip, 0 AS size, 'L' || CAST(i AS STRING) AS label, x AS length, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi FROM {LADDER}
+UNION ALL SELECT cluster, m - i, 2 * i - 2, m - i, CASE WHEN i < m THEN m - i - 1 END, false, 2 * i - 2, NULL, -x, 0.5, x FROM {LADDER} WHERE i > 1)"""
+
+
+def _ladders(get, path, body=lambda tree: tree):
+    """A tree for each cluster: its first two models, then one more in each bracket, as reports of one line."""
+    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t"))
+    x = lambda v: F.format_string("%.3f", v["lnl"])
+    joined = F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.struct(F.lit(1).alias("i"), F.concat(F.lit("L1: "), x(F.get("t", F.lit(0)))).alias("s")), lambda a, v: F.struct((a["i"] + 1).alias("i"), F.concat(F.lit("("), a["s"], F.lit(", L"), (a["i"] + 1).cast("string"), F.lit(": "), x(v), F.lit(") [&95%={0.5, "), x(v), F.lit("}]: "), F.format_string("%.3f", -v["lnl"])).alias("s")))
+    return L.numbered_lines(rows.select(path.alias("source_file"), body(F.concat(joined["s"], F.lit(";"))).alias("text")))
+
+
+@query(f"SELECT 't' || CAST(cluster AS STRING) AS tree_id, CAST(CASE WHEN tip AND depth = 0 THEN 0 ELSE node END AS BIGINT) AS node, CAST(post AS BIGINT) AS post, CAST(depth AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent, tip, CAST(size AS BIGINT) AS size, label, length, ci_lo, ci_hi FROM {LADDER_NODES}")
+def s32_time_tree_nodes(get):
+    rows = _ladders(get, text("d/t%d.tre", "cluster"), lambda tree: F.concat(F.lit("#NEXUS\nBEGIN TREES;\n\tUTREE 1 = (old: 9);\n\tUTREE 2 = "), tree, F.lit("\nEND;")))
+    return N.time_tree_nodes(rows).drop("mark")
+
+
+@query(f"SELECT 't' || CAST(cluster AS STRING) AS tree_id, string_agg(CASE WHEN tip THEN CASE WHEN post > 0 THEN ', ' ELSE repeat('(', CAST(depth AS INT)) END || label ELSE ')' || printf(' [&95%%={{%.3f, %.3f}}]', ci_lo * 100, ci_hi * 100) END || printf(': %.3f', length * 100), '' ORDER BY post) || ';' AS tree FROM {LADDER_NODES} GROUP BY cluster")
+def p16_rescaled_tree_text(get):
+    from ..functions.seq import rescale_tree
+
+    rows = _ladders(get, text("d/t%d.tre", "cluster"), lambda tree: F.concat(F.lit("tree 1 = "), tree))
+    return N.tree_text(rescale_tree(N.time_tree_nodes(rows), 100), ["tree_id"], digits=3)
+
+
+@query(f"SELECT CAST(cluster AS STRING) AS cluster, label, CAST(300 AS BIGINT) AS len, round(d, 3) AS dn, round(2 * d, 3) AS ds, round(250.5 * d, 6) AS ndn, round(3 * d, 3) AS w FROM (SELECT cluster, 'L2' AS label, -x AS d FROM {LADDER} WHERE i = 2 AND m > 2 UNION ALL SELECT cluster, 'L1', x FROM {LADDER} WHERE i = 1 UNION ALL SELECT cluster, 'L3', x FROM {LADDER} WHERE i = 3)")
+def s27_codeml_clade(get):
+    """Ladders as trees of reports; L2's tree marks the branch of the first pair, L1 and L3 stand for themselves."""
+    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t")).withColumn("t", F.transform("t", lambda v: F.round(v["lnl"], 3)))
+
+    def tree(sign: str, factor: int):
+        number = lambda v: F.concat(F.lit(sign), F.format_string("%.3f", v * factor))
+        first = F.concat(F.lit("L1"), number(F.get("t", F.lit(0))))
+        add = lambda a, v: F.struct((a["i"] + 1).alias("i"), F.concat(F.lit("("), a["s"], F.lit(", L"), (a["i"] + 1).cast("string"), number(v), F.lit(")"), number(-v)).alias("s"))
+        return F.concat(F.lit("("), F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.struct(F.lit(1).alias("i"), first.alias("s")), add)["s"], F.lit(");"))
+
+    whole = F.concat(F.lit(" 4 300\nlnL(ntime: 11  np: 16):  -1234.500000  +0.0\n   6..2  0.1  250.5  50.5  0.2\ndS tree:\n"), tree(": ", 2), F.lit("\ndN tree:\n"), tree(": ", 1), F.lit("\nw ratios as labels for TreeView:\n"), tree(" #", 3))
+    reports_ = L.numbered_lines(rows.select(text("d/%d/branch.freeratio.mlc", "cluster").alias("source_file"), whole.alias("text")))
+    marked = rows.where(F.size("t") > 2).select(text("d/%d/tree/tree.L2", "cluster").alias("source_file"), F.lit("((L1, L2) #1, L3);").alias("text"))
+    bare = rows.where(F.size("t") <= 2).select(text("d/%d/tree/tree.L2", "cluster").alias("source_file"), F.lit("(L1, L2);").alias("text"))
+    tips = get("region").selectExpr("explode(array('L1', 'L2', 'L3')) AS label")
+    out = N.codeml_clade(reports_, L.numbered_lines(marked.unionByName(bare)), tips)
+    return out.select("cluster", "label", "len", *[F.round(c, 3).alias(c) for c in ("dn", "ds", "w")], F.round("ndn", 6).alias("ndn"))
+
+
 @query("SELECT 's' || CAST(s_suppkey AS STRING) AS sample, round(s_acctbal, 2) AS depth FROM supplier")
 def s33_depth(get):
     rows = lines(get("supplier"), F.lit("d.txt"), text("s%d 1 2 3 %.2f", "s_suppkey", "s_acctbal")).unionByName(lines(get("region"), F.lit("d.txt"), F.lit("ID a b c depth")))

@@ -14,7 +14,8 @@ from . import models as M
 from . import reports as R
 from . import tables as T
 from .lines import read_lines, read_text
-from .tables import read_family_matrix, read_fasta, read_gff, read_groups
+from .tables import read_family_matrix, read_fasta, read_fasta_chunks, read_gff, read_groups
+from .trees import read_codeml_clade, read_time_tree_nodes
 
 Path = str | list[str]
 
