@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import FOURFOLD, codons
 from .intervals import chunks
+from .kmers import FIT, counts_of
+
+
+#: Codons of a stretch: the bits of a number.
+STRETCH = 60
 
 
 def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
-    """group_id, species, sites: third codon bases at positions where all ``n_species`` have a 4-fold prefix, in order.
+    """group_id, species, sites: third codon bases at positions where all ``n_species`` have a 4-fold prefix, in order. Groups without such a
+    position, or of another number of alignments, have no rows.
 
-    A group's alignments meet in one row.
+    Alignments are cut in stretches of ``STRETCH`` codons, of which the 4-fold ones are bits of a mask; a stretch's masks are combined
+    over species, and only bases that are left meet for an alignment. A group's alignments never meet in a row.
     """
-    third = F.transform(codons(F.col("aln")), lambda c: F.when(F.substring(c, 1, 2).isin(list(FOURFOLD)), F.substring(c, 3, 1)))
-    groups = alns.select("group_id", F.struct("species", third.alias("third")).alias("m")).groupBy("group_id").agg(F.collect_list("m").alias("m")).where(F.size("m") == n_species)
-    full = F.aggregate("m", F.transform(F.col("m")[0]["third"], lambda x: F.lit(True)), lambda acc, m: F.zip_with(acc, m["third"], lambda p, x: F.coalesce(p, F.lit(False)) & x.isNotNull()))
-    # bound as a variable, so that it is computed once for a group
-    sites = F.transform(F.array(full), lambda held: F.transform("m", lambda x: F.struct(x["species"].alias("species"), F.array_join(F.filter(x["third"], lambda t, i: F.get(held, i)), "").alias("sites"))))[0]
-    return groups.select("group_id", F.explode(sites).alias("x")).select("group_id", "x.*").where("sites <> ''")
+    full = alns.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") == n_species).select("group_id")
+    long = 3 * STRETCH
+    n = F.ceil(F.length("aln") / long).cast("int")
+    rows = alns.join(full, "group_id", "left_semi").where("length(aln) >= 3").select("group_id", "species", "aln", F.explode(F.sequence(F.lit(0), n - 1)).alias("stretch"))
+    rows = rows.select("group_id", "species", "stretch", codons(F.substr("aln", F.col("stretch") * long + 1, F.lit(long))).alias("codons"))
+    bit = lambda c, i: F.when(F.substring(c, 1, 2).isin(list(FOURFOLD)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)
+    mask = F.aggregate(F.transform("codons", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    # a stretch that an alignment lacks is 4-fold nowhere
+    common = rows.groupBy("group_id", "stretch").agg(F.bit_and(mask).alias("mask"), F.count("*").alias("n")).where((F.col("n") == n_species) & (F.col("mask") != 0))
+    held = F.filter("codons", lambda c, i: F.call_function("getbit", F.col("mask"), i) == 1)
+    bases = rows.join(common, ["group_id", "stretch"]).select("group_id", "species", F.struct("stretch", F.array_join(F.transform(held, lambda c: F.substring(c, 3, 1)), "").alias("bases")).alias("x"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bases"]), "")
+    return bases.groupBy("group_id", "species").agg(joined.alias("sites"))
 
 
 def supermatrix(alns: DataFrame, part: Column | None = None, guard: int = 1 << 30) -> DataFrame:
@@ -42,11 +56,11 @@ DIGITS = 18
 PIECES = (1 << 20, 1 << 14, 1 << 8)
 
 
-def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES) -> DataFrame:
+def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES, odd: str | None = None) -> DataFrame:
     """seq_id, position (from 1), code, code2, kmer: every k-mer, from pieces that overlap by k - 1.
 
     The letters of a k-mer of A, C, G and T, as digits 0 to 3, are one number or two; any other k-mer, and one of more than 2 x ``DIGITS``
-    letters, is text. What does not apply is null. Sequences of fewer partitions than cores are dealt out first.
+    letters, is text. What does not apply is null. With ``odd``, a pattern, only k-mers that it is found in. Pieces are dealt out first.
     """
     whole = chunks(seqs, sizes[0], k - 1).select("seq_id", (F.col("chunk_start") - 1).alias("at"), F.col("chunk").alias("seq")) if "chunk" in seqs.columns else seqs.select("seq_id", F.lit(0).alias("at"), "seq")
     rows = whole.select("seq_id", F.col("at").cast("long").alias("at"), (F.length("seq") - (k - 1)).alias("own"), "seq").where("own > 0")
@@ -54,14 +68,17 @@ def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES) -> DataFrame
         rows = rows.select("seq_id", "at", "own", "seq", F.explode(F.sequence(F.lit(0), F.ceil(F.col("own") / size) - 1)).alias("c"))
         begin = F.col("c") * size
         rows = rows.select("seq_id", (F.col("at") + begin).alias("at"), F.least(F.lit(size), F.col("own") - begin).cast("int").alias("own"), F.substr("seq", (begin + 1).cast("int"), F.lit(size + k - 1)).alias("seq"))
-        cores = seqs.sparkSession.sparkContext.defaultParallelism
-        if n == 0 and seqs.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(2 * cores)
+        if odd:
+            rows = rows.where(F.col("seq").rlike(odd))
+        if n == 0:
+            rows = rows.repartition(2 * seqs.sparkSession.sparkContext.defaultParallelism)
     packed = k <= 2 * DIGITS
     digits = lambda c: F.translate(c, "ACGT", "0123")
     rows = rows.withColumn("clean", F.lit(packed) & ~F.col("seq").rlike("[^ACGT]")).withColumn("seq", F.when(F.col("clean"), digits("seq")).otherwise(F.col("seq")))
     every = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.substr("seq", i, F.lit(k)))
     out = rows.select("seq_id", "at", "clean", F.posexplode(every).alias("i", "kmer"))
+    if odd:
+        out = out.where(F.col("kmer").rlike(odd))
     out = out.withColumn("digits", F.when(F.col("clean"), F.col("kmer")).when(F.lit(packed) & F.col("kmer").rlike("^[ACGT]+$"), digits("kmer")))
     two = F.substring("digits", DIGITS + 1, DIGITS).cast("long") if k > DIGITS else F.lit(None).cast("long")
     return out.select("seq_id", (F.col("at") + F.col("i") + 1).alias("position"), F.substring("digits", 1, DIGITS).cast("long").alias("code"), two.alias("code2"), F.when(F.col("digits").isNull(), F.col("kmer")).alias("kmer"))
@@ -70,16 +87,25 @@ def kmers(seqs: DataFrame, k: int, sizes: tuple[int, ...] = PIECES) -> DataFrame
 def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20, prefilter: bool = False) -> DataFrame:
     """seq_id, position, n: how often the target set has the k-mer that starts at each position of the query.
 
-    The target's k-mers are counted before they meet the query's, where frequent ones are skewed keys that adaptive execution
-    splits. With ``prefilter``, for a query that is small beside the target, only k-mers that it has are counted.
+    K-mers of A, C, G, T and N travel as super-k-mers (``kmers.counts_of``); those with another letter, and all of more letters than
+    two numbers hold, one by one. With ``prefilter``, for a query that is small beside the target, only k-mers that may be in it
+    are counted.
     """
+    if k > 2 * FIT:
+        return _text_counts(query, target, k, prefilter, None)
+    return counts_of(query, target, k, prefilter).unionByName(_text_counts(query, target, k, prefilter, "[^ACGTN]"))
+
+
+def _text_counts(query: DataFrame, target: DataFrame, k: int, prefilter: bool, odd: str | None) -> DataFrame:
+    """``kmer_counts`` by a row for each k-mer: the target's are counted before they meet the query's, where frequent ones are skewed
+    keys that adaptive execution splits."""
     key = ["code", "code2", "kmer"]
 
     def same(a: str, b: str) -> Column:
         one, two, three = (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key)
         return one & two & three
 
-    q, t = kmers(query, k).alias("q"), kmers(target, k)
+    q, t = kmers(query, k, odd=odd).alias("q"), kmers(target, k, odd=odd)
     if prefilter:
         t = t.alias("t").join(q.select(*key).distinct().alias("d"), same("t", "d"), "left_semi")
     counts = t.groupBy(*key).agg(F.count("*").alias("n")).alias("c")

@@ -44,7 +44,8 @@ def p7_qualify_id(get):
 
 
 def _letters(n: str) -> str:
-    return " || ".join(f"chr(CAST(97 + ({n} // {26**k}) % 26 AS INT))" for k in (3, 2, 1, 0))
+    letter = lambda k: f"chr(CAST(97 + ({n} // {26**k}) % 26 AS INT))"
+    return " || ".join(letter(k) if k < 4 else f"CASE WHEN {n} >= {26**k} THEN {letter(k)} ELSE '' END" for k in range(8, -1, -1))
 
 
 @query(f"SELECT p_name AS label, 'N' || {_letters('n')} || 'M' AS short FROM (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS n FROM (SELECT DISTINCT p_name FROM part))")
@@ -141,11 +142,11 @@ def a14_supermatrix(get):
 
 
 @query("""
-WITH p AS (SELECT a.group_id, a.species AS s1, b.species AS s2, a.aln AS x, b.aln AS y, unnest(range(1, length(a.aln) + 1)) AS i FROM {codons_v} a JOIN {codons_v} b ON a.group_id = b.group_id AND a.species < b.species),
-c AS (SELECT group_id, s1, s2, substring(x, i, 1) AS u, substring(y, i, 1) AS v FROM p), d AS (SELECT group_id, s1, s2, count(*) AS n,
-count(*) FILTER (WHERE u || v IN ('AG', 'GA', 'CT', 'TC')) AS ti, count(*) FILTER (WHERE u <> v) AS df FROM c WHERE u IN ('A', 'C', 'G', 'T') AND v IN ('A', 'C', 'G', 'T') GROUP BY ALL),
+WITH c AS (SELECT a.group_id, a.species AS s1, b.species AS s2, unnest(string_split(a.aln, '')) AS u, unnest(string_split(b.aln, '')) AS v FROM {codons_v} a JOIN {codons_v} b ON a.group_id = b.group_id AND a.species < b.species),
+d AS (SELECT group_id, s1, s2, count(*) FILTER (WHERE u IN ('A', 'C', 'G', 'T') AND v IN ('A', 'C', 'G', 'T')) AS n,
+count(*) FILTER (WHERE u || v IN ('AG', 'GA', 'CT', 'TC')) AS ti, count(*) FILTER (WHERE u <> v AND u IN ('A', 'C', 'G', 'T') AND v IN ('A', 'C', 'G', 'T')) AS df FROM c GROUP BY ALL),
 e AS (SELECT *, ti / n AS pp, (df - ti) / n AS qq FROM d)
-SELECT group_id, s1, s2, CASE WHEN 1 - 2 * pp - qq > 0 AND 1 - 2 * qq > 0 THEN round(0.0 - 0.5 * ln(1 - 2 * pp - qq) - 0.25 * ln(1 - 2 * qq), 6) END AS distance FROM e
+SELECT group_id, s1, s2, CASE WHEN n > 0 AND 1 - 2 * pp - qq > 0 AND 1 - 2 * qq > 0 THEN round(0.0 - 0.5 * ln(1 - 2 * pp - qq) - 0.25 * ln(1 - 2 * qq), 6) END AS distance FROM e
 """)
 def n8_k2p(get):
     a = get("codons_v")
@@ -161,21 +162,25 @@ def j1_join_group_seqs(get):
 
 
 def _features(get):
+    """Elements of 50 bases or, in every third sequence, all of it, dealt over the whole of their sequences by doc_id."""
     rows = get("seq_v").where("length(seq) >= 60").withColumn("strand", F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+"))
-    parts = [("LTR_retrotransposon", 11, 60), ("five_prime_LTR", 11, 20), ("three_prime_LTR", 51, 60)]
-    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for n, a, b in parts]))
+    n = F.length("seq")
+    start = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(1 + (F.col("doc_id") * 37) % (n - 49))
+    stop = F.when(F.col("doc_id") % 3 == 0, n).otherwise(start + 49)
+    parts = [("LTR_retrotransposon", start, stop), ("five_prime_LTR", start, start + 9), ("three_prime_LTR", stop - 9, stop)]
+    spans = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), a.cast("long").alias("start"), b.cast("long").alias("stop")) for name, a, b in parts]))
     return rows.select(F.concat("seq_id", F.lit("_LTRFinder_def1")).alias("element"), F.col("seq_id").alias("seqname"), "strand", spans.alias("p")).select("element", "seqname", "strand", "p.*")
 
 
-def _cut(a: int, n: int) -> str:
+def _cut(a: str, n: str) -> str:
     return f"CASE WHEN doc_id % 2 = 0 THEN translate(reverse(substring(s, {a}, {n})), 'ATCG', 'TAGC') ELSE substring(s, {a}, {n}) END"
 
 
-ENDS = f"(SELECT seq_id || '_LTRFinder_def1' AS element, seq_id AS seqname, {_cut(11, 50)} AS whole, {_cut(11, 10)} AS five, {_cut(51, 10)} AS three FROM (SELECT doc_id, seq_id, upper(seq) AS s FROM {{seq_v}} WHERE length(seq) >= 60))"
+ENDS = f"(SELECT seq_id || '_LTRFinder_def1' AS element, seq_id AS seqname, {_cut("a", "n")} AS whole, {_cut("a", "10")} AS five, {_cut("a + n - 10", "10")} AS three FROM (SELECT doc_id, seq_id, upper(seq) AS s, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 1 + (doc_id * 37) % (length(seq) - 49) END AS a, CASE WHEN doc_id % 3 = 0 THEN length(seq) ELSE 50 END AS n FROM {{seq_v}} WHERE length(seq) >= 60))"
 
 
 def _ends(get):
-    return E.join_feature_seqs(_features(get), get("seq_v").select("seq_id", F.upper("seq").alias("seq")))
+    return E.join_feature_seqs(_features(get), get("seq_v").select("seq_id", F.upper("seq").alias("seq")), size=1 << 10)
 
 
 @query(f"SELECT * FROM {ENDS}")
@@ -203,7 +208,7 @@ def k7_ltr_pair_records(get):
 
 
 @query("""
-WITH e AS (SELECT seq_id, seq, CASE WHEN doc_id % 5 = 0 THEN 'xx' || substring(seq, 1, 38) ELSE substring(seq, 21, 40) END AS x FROM {seq_v} WHERE length(seq) >= 60),
+WITH e AS (SELECT seq_id, seq, CASE WHEN doc_id % 5 = 0 THEN 'xx' || substring(seq, 1, 38) ELSE substring(seq, 1 + (doc_id * 37) % (length(seq) - 39), 40) END AS x FROM {seq_v} WHERE length(seq) >= 60),
 p AS (SELECT *, CAST(instr(seq, x) AS BIGINT) AS p, CAST(instr(x, substring(x, 11, 8)) AS BIGINT) AS b, CAST(instr(x, substring(x, 22, 6)) AS BIGINT) AS t FROM e)
 SELECT seq_id || 'e' AS element, seq_id AS seqname, p AS start, p + 39 AS stop, p + 9 AS ltr5_stop, p + 30 AS ltr3_start, p + b - 1 AS pbs_start, p + b + 6 AS pbs_stop, p + t - 1 AS ppt_start, p + t + 4 AS ppt_stop,
 p - 5 AS tsd5_start, p - 1 AS tsd5_stop, p + 40 AS tsd3_start, p + 43 AS tsd3_stop FROM p WHERE p > 0
@@ -211,9 +216,9 @@ UNION ALL SELECT seq_id || 'e', seq_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, N
 """)
 def j10_locate_elements(get):
     rows = get("seq_v").where("length(seq) >= 60")
-    part = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("xx"), F.substring("seq", 1, 38))).otherwise(F.substring("seq", 21, 40))
+    part = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("xx"), F.substring("seq", 1, 38))).otherwise(F.substr("seq", (1 + (F.col("doc_id") * 37) % (F.length("seq") - 39)).cast("int"), F.lit(40)))
     elements = rows.select(F.concat("seq_id", F.lit("e")).alias("element"), F.col("seq_id").alias("seqname"), part.alias("seq"), F.lit(10).alias("ltr5"), F.lit(10).alias("ltr3"), F.lit("ACGTA").alias("tsr5"), F.lit("ACGT").alias("tsr3"))
-    return E.locate_elements(elements.withColumns({"pbs": F.substring("seq", 11, 8), "ppt": F.substring("seq", 22, 6)}), rows, size=1 << 12, longest=64)
+    return E.locate_elements(elements.withColumns({"pbs": F.substring("seq", 11, 8), "ppt": F.substring("seq", 22, 6)}), rows, size=1 << 10, longest=64)
 
 
 @query("SELECT event_id, 'TRF' || CASE WHEN n < 10000 THEN lpad(CAST(n AS STRING), 4, '0') ELSE CAST(n AS STRING) END AS attribute FROM (SELECT event_id, row_number() OVER (PARTITION BY seqname ORDER BY event_id) AS n FROM {features_v})")

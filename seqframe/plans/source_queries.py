@@ -312,7 +312,7 @@ def s32_time_tree(get):
     return M.read_time_tree(rows).withColumn("length", F.round("length", 2))
 
 
-LADDER = "(SELECT cluster, i, count(*) OVER (PARTITION BY cluster) AS m, round(lnl, 3) AS x FROM (SELECT cluster, lnl, row_number() OVER (PARTITION BY cluster ORDER BY model) AS i FROM {fits_v}))"
+LADDER = "(SELECT cluster, i, count(*) OVER (PARTITION BY cluster) AS m, floor(lnl * 10) / 8 AS x FROM (SELECT cluster, lnl, row_number() OVER (PARTITION BY cluster ORDER BY model) AS i FROM {fits_v}))"
 LADDER_NODES = f"""(SELECT cluster, m - 2 + i AS node, CASE WHEN i = 1 THEN 0 ELSE 2 * i - 3 END AS post, CASE WHEN i = 1 THEN m - 1 ELSE m - i + 1 END AS depth,
 CASE WHEN m = 1 THEN NULL ELSE m - greatest(i, 2) END AS parent, true AS tip, 0 AS size, 'L' || CAST(i AS STRING) AS label, x AS length, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi FROM {LADDER}
 UNION ALL SELECT cluster, m - i, 2 * i - 2, m - i, CASE WHEN i < m THEN m - i - 1 END, false, 2 * i - 2, NULL, -x, 0.5, x FROM {LADDER} WHERE i > 1)"""
@@ -320,7 +320,7 @@ UNION ALL SELECT cluster, m - i, 2 * i - 2, m - i, CASE WHEN i < m THEN m - i -
 
 def _ladders(get, path, body=lambda tree: tree):
     """A tree for each cluster: its first two models, then one more in each bracket, as reports of one line."""
-    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t"))
+    rows = get("fits_v").withColumn("lnl", F.floor(F.col("lnl") * 10) / 8).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t"))
     x = lambda v: F.format_string("%.3f", v["lnl"])
     joined = F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.struct(F.lit(1).alias("i"), F.concat(F.lit("L1: "), x(F.get("t", F.lit(0)))).alias("s")), lambda a, v: F.struct((a["i"] + 1).alias("i"), F.concat(F.lit("("), a["s"], F.lit(", L"), (a["i"] + 1).cast("string"), F.lit(": "), x(v), F.lit(") [&95%={0.5, "), x(v), F.lit("}]: "), F.format_string("%.3f", -v["lnl"])).alias("s")))
     return L.numbered_lines(rows.select(path.alias("source_file"), body(F.concat(joined["s"], F.lit(";"))).alias("text")))
@@ -343,7 +343,7 @@ def p16_rescaled_tree_text(get):
 @query(f"SELECT CAST(cluster AS STRING) AS cluster, label, CAST(300 AS BIGINT) AS len, round(d, 3) AS dn, round(2 * d, 3) AS ds, round(250.5 * d, 6) AS ndn, round(3 * d, 3) AS w FROM (SELECT cluster, 'L2' AS label, -x AS d FROM {LADDER} WHERE i = 2 AND m > 2 UNION ALL SELECT cluster, 'L1', x FROM {LADDER} WHERE i = 1 UNION ALL SELECT cluster, 'L3', x FROM {LADDER} WHERE i = 3)")
 def s27_codeml_clade(get):
     """Ladders as trees of reports; L2's tree marks the branch of the first pair, L1 and L3 stand for themselves."""
-    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t")).withColumn("t", F.transform("t", lambda v: F.round(v["lnl"], 3)))
+    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t")).withColumn("t", F.transform("t", lambda v: F.floor(v["lnl"] * 10) / 8))
 
     def tree(sign: str, factor: int):
         number = lambda v: F.concat(F.lit(sign), F.format_string("%.3f", v * factor))

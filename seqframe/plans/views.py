@@ -21,7 +21,7 @@ VIEWS = {
     "blocks_v": "SELECT 'q' || CAST(l_partkey AS STRING) AS query, CAST(2000 AS BIGINT) AS qlen, 't' || CAST(l_suppkey AS STRING) AS target, l_orderkey % 1500 AS qstart, CAST(l_quantity AS BIGINT) AS size FROM {lineitem}",
     "fits_v": "SELECT l_orderkey AS cluster, CAST(l_linenumber AS BIGINT) AS model, CAST(l_linenumber AS BIGINT) AS np, max(-l_extendedprice / 1000) AS lnl FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     "kaks_v": "SELECT l_orderkey AS cluster, 'S' || CAST(l_suppkey % 5 AS STRING) AS species, min(100 + 10 * l_quantity) AS len, max(50 + l_quantity) AS n, max(20 + l_linenumber) AS s, max(l_discount) AS dn, max(30 * l_tax) AS ds FROM {lineitem} GROUP BY l_orderkey, 'S' || CAST(l_suppkey % 5 AS STRING)",
-    "codons_v": "SELECT CAST(floor(doc_id / 4) AS BIGINT) AS group_id, 'S' || CAST(doc_id % 4 AS STRING) AS species, upper(substring(seq, 1, shortest - shortest % 3)) AS aln FROM (SELECT doc_id, seq, min(length(seq)) OVER (PARTITION BY CAST(floor(doc_id / 4) AS BIGINT)) AS shortest FROM {seq_v} WHERE length(seq) >= 300) s",
+    "codons_v": "SELECT CAST(floor(doc_id / 4) AS BIGINT) AS group_id, 'S' || CAST(doc_id % 4 AS STRING) AS species, rpad(upper(seq), CAST(longest + (3 - longest % 3) % 3 AS INT), '-') AS aln FROM (SELECT doc_id, seq, max(length(seq)) OVER (PARTITION BY CAST(floor(doc_id / 4) AS BIGINT)) AS longest FROM {seq_v}) s WHERE longest > 0",
     "hits_v": "SELECT a.species || '|' || a.gene AS qry, b.species || '|' || b.gene AS sub, max(exp(-(a.q + b.q) / 4)) AS e, max(a.p + b.p) AS bits, max(100 - abs(a.d - b.d) * 500) AS pct FROM {genes_v} a JOIN {genes_v} b ON a.group_id = b.group_id AND a.species <> b.species GROUP BY a.species || '|' || a.gene, b.species || '|' || b.gene",
     "hits_all_v": "SELECT a.species || '|' || a.gene AS qry, b.species || '|' || b.gene AS sub, max(exp(-(a.q + b.q) / 4)) AS e, max(a.p + b.p) AS bits, max(100 - abs(a.d - b.d) * 500) AS pct FROM {genes_v} a JOIN {genes_v} b ON a.group_id = b.group_id AND (a.species <> b.species OR a.gene <> b.gene) GROUP BY a.species || '|' || a.gene, b.species || '|' || b.gene",
     "sitefits_v": "SELECT CAST(l_orderkey AS STRING) AS cluster, 'S' || CAST(l_suppkey % 5 AS STRING) AS species, CASE WHEN l_linenumber % 2 = 0 THEN 'fix' ELSE 'nofix' END AS kind, max(-l_extendedprice / 1000) AS lnl, max(l_quantity) AS w FROM {lineitem} GROUP BY l_orderkey, l_suppkey % 5, l_linenumber % 2",

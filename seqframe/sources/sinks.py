@@ -20,9 +20,9 @@ def fasta_records(df: DataFrame, header: str = "seq_id", seq: str = "seq", width
 
 
 def write_fasta(df: DataFrame, path: str, by: str = "seq_id") -> None:
-    """One folder for each value of ``by``."""
+    """One folder for each value of ``by``, whose records meet in one file."""
     records = df.withColumn("_by", F.col(by)).select("_by", F.concat(F.lit(">"), F.col("seq_id"), F.lit("\n"), wrapped(F.col("seq"))).alias("value"))
-    records.withColumnRenamed("_by", by).write.partitionBy(by).text(path)
+    records.withColumnRenamed("_by", by).repartition(by).write.partitionBy(by).text(path)
 
 
 def gff_lines(df: DataFrame) -> DataFrame:
@@ -44,6 +44,7 @@ def paml_records(alns: DataFrame) -> DataFrame:
 
 
 def write_paml(alns: DataFrame, path: str) -> None:
+    """One folder and file for each group; what is grouped is dealt by group already."""
     paml_records(alns).write.partitionBy("group_id").text(path)
 
 
@@ -67,10 +68,10 @@ def group_records(seqs: DataFrame) -> DataFrame:
 
 
 def write_group_fasta(seqs: DataFrame, path: str) -> None:
-    """Records named by species, one folder for each group and type (cds, pep)."""
-    group_records(seqs).write.partitionBy("group_id", "type").text(path)
+    """Records named by species, one folder and file for each group and type (cds, pep)."""
+    group_records(seqs).repartition("group_id", "type").write.partitionBy("group_id", "type").text(path)
 
 
 def write_ltr_pairs(records: DataFrame, path: str) -> None:
-    """Both end records of each element (element, header, seq), one folder each."""
-    records.select("element", F.concat(F.lit(">"), F.col("header"), F.lit("\n"), wrapped(F.col("seq"))).alias("value")).write.partitionBy("element").text(path)
+    """Both end records of each element (element, header, seq), one folder and file each."""
+    records.select("element", F.concat(F.lit(">"), F.col("header"), F.lit("\n"), wrapped(F.col("seq"))).alias("value")).repartition("element").write.partitionBy("element").text(path)

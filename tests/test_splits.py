@@ -22,7 +22,7 @@ def letters(rng, n, of="ACGT"):
 
 @pytest.fixture(scope="module")
 def fasta(spark, tmp_path_factory):
-    """Two files, of many splits of 600 bytes; three records cut by several of them; repeated, empty and nameless records."""
+    """Two files, of many splits of 1,500 bytes; three records cut by several of them; repeated, empty and nameless records."""
     rng = random.Random(6)
     long = letters(rng, 2500) + "N" * 700 + letters(rng, 1500) + "nnnN" * 60 + letters(rng, 3000)
     records = [("HEX1 a contig", long), ("short", "ACGTNNNNNNNNNNNNACGT"), ("empty", ""), ("two\tx", letters(rng, 900)), ("two", letters(rng, 1300)), ("oneline", letters(rng, 1900)), ("last", long[100:4000])]
@@ -31,10 +31,10 @@ def fasta(spark, tmp_path_factory):
     (folder / "a.fa").write_text(text)
     (folder / "b.fa").write_text(">b1\r\n" + "\r\n".join([long[:60]] * 30) + "\r\n> \nACGT\n>b2\nAC GT\n  acgt")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     df = T.read_fasta_chunks(spark, str(folder), 256)
-    assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+    assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
     wanted = [("a.fa", k + 1, h.split()[0], s) for k, (h, s) in enumerate(records)] + [("b.fa", 1, "b1", long[:60] * 30), ("b.fa", 3, "b2", "ACGTacgt")]
     yield df, wanted
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -120,3 +120,38 @@ def test_empty_tables(spark):
     elements = spark.createDataFrame([], "element string, seqname string, seq string, ltr5 int, ltr3 int")
     seqs = spark.createDataFrame([("c", "ACGT")], "seq_id string, seq string")
     assert E.locate_elements(elements, seqs).collect() == [] and E.locate_elements(elements, seqs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("k,task,prefilter", [(1, 1 << 22, False), (5, 1 << 22, True), (20, 300, False), (27, 1 << 22, False), (28, 300, True), (54, 1 << 22, False), (55, 1 << 22, True)])
+def test_kmer_counts_equal_a_plain_count(spark, monkeypatch, k, task, prefilter):
+    """K-mers of all letters, over several chunks, with buckets that would fill a task and a query that is a part of the target."""
+    from collections import Counter
+
+    from seqframe.operators import kmers as C
+
+    monkeypatch.setattr(C, "TASK", task)
+    rng = random.Random(k)
+    unit = letters(rng, 70)
+    texts = [letters(rng, 300, "ACGTACGTACGTN") + unit * 3 + "A" * 250 + letters(rng, 40, "acgtRY") + unit + "éA𝔘" + unit, unit * 2, "N" * 90, "", "ACG", letters(rng, 400), None]
+    target = spark.createDataFrame([(f"s{j}", t) for j, t in enumerate(texts)], "seq_id string, seq string").repartition(3)
+    query = target.where("seq_id in ('s0', 's1', 's3', 's6')").unionByName(spark.createDataFrame([("new", letters(rng, 120))], "seq_id string, seq string"))
+    n = Counter(t[i : i + k] for t in texts if t for i in range(len(t) - k + 1))
+    want = {(r.seq_id, i + 1): n[r.seq[i : i + k]] for r in query.collect() if r.seq for i in range(len(r.seq) - k + 1)}
+    got = [tuple(r) for r in A.kmer_counts(query, target, k, prefilter).collect()]
+    assert len(got) == len(want) and {r[:2]: r[2] for r in got} == want
+
+
+def test_a_run_of_one_minimizer_is_one_string():
+    import numpy as np
+
+    from seqframe.operators import kmers as C
+
+    rng = random.Random(4)
+    text = letters(rng, 20_000, "ACGT") + "R" + letters(rng, 500) + "A" * 1000
+    start, n, bucket = C.runs(C.DIGIT[np.frombuffer(text.encode(), np.uint8)], 20)
+    assert n.sum() == len(text) - 19 - 20 and len(n) < n.sum() / 5 and n.max() <= C.RUN
+    assert not any("R" in text[s : s + m + 19] for s, m in zip(start, n))
+    where = {}
+    for s, m, b in zip(start.tolist(), n.tolist(), bucket.tolist()):
+        for i in range(m):
+            assert where.setdefault(text[s + i : s + i + 20], b) == b
