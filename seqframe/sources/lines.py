@@ -10,15 +10,18 @@ from pyspark.sql.window import WindowSpec
 from ..operators.numbering import numbered
 
 
-def read_lines(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], large: bool = False, limit: int | None = None) -> DataFrame:
     """source_file, line_no, line of every report.
 
     A report is one task's row. ``large`` ones are cut in splits instead: lines are numbered within a split and shifted by those of
-    the splits before, and a column split makes ``blocks`` and ``carried`` work on stretches of a report, so that no task holds one.
+    the splits before, and a column split makes ``blocks`` and ``carried`` work on stretches of a report, so that no task holds one. With a ``limit`` only files of at most so many
+    bytes are read, or, of large ones, only those of more.
     """
+    size = F.col("_metadata.file_size")
+    kept = F.lit(True) if limit is None else size > limit if large else size <= limit
     if not large:
-        return numbered_lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text")))
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("_id"))
+        return numbered_lines(spark.read.text(path, wholetext=True).where(kept).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text")))
+    rows = spark.read.text(path).where(kept).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("_id"))
     return numbered(rows, ["_id"], F.col("split"), "line_no", by=("source_file",)).drop("_id")
 
 

@@ -1,7 +1,8 @@
 """Readers by path: ``read_x(spark, path)`` gives the rows of all files of a format. ``path`` is a file, a folder, a pattern or a list.
 
-Formats with a record on each line are split wherever Spark likes. A report of many lines is one row unless it is ``large``: then it
-is read in splits, and its blocks are found across them. Further options are those of the parser.
+Formats with a record on each line are split wherever Spark likes. A report of many lines is one row if its file has at most
+``SMALL`` bytes; a larger one is read in splits, and its blocks are found across them. One call reads both kinds, and ``large`` (all
+files are, or none is) only spares it the look at their sizes. Further options are those of the parser.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import models as M
 from . import reports as R
@@ -28,9 +30,22 @@ def _records(parse: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return read
 
 
+#: Bytes of a file that one task may hold as a row.
+SMALL = 16 << 20
+
+
 def _reports(parse: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    def read(spark: SparkSession, path: Path, large: bool = False, **options) -> DataFrame:
-        return parse(read_lines(spark, path, large), **options)
+    def read(spark: SparkSession, path: Path, large: bool | None = None, **options) -> DataFrame:
+        if large is not None:
+            return parse(read_lines(spark, path, large), **options)
+        # sizes come from the listing; no content is read
+        size = spark.read.format("binaryFile").load(path).agg(F.min("length"), F.max("length")).first()
+        if size[1] is None or size[1] <= SMALL:
+            return parse(read_lines(spark, path), **options)
+        if size[0] > SMALL:
+            return parse(read_lines(spark, path, True), **options)
+        few, many = (parse(read_lines(spark, path, kind, SMALL), **options) for kind in (False, True))
+        return few.unionByName(many)
 
     read.__doc__ = parse.__doc__
     return read

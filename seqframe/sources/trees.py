@@ -129,7 +129,8 @@ def codeml_clade(lines: DataFrame, trees: DataFrame, tips: DataFrame | None = No
     files = trees.where("line_no = 0").select(_folder(2).alias("cluster"), F.regexp_extract(_folder(0), r"^tree\.(.*)$", 1).alias("label_of"), F.col("line").alias("tree"))
     wanted = marked_branches(files)
     if tips is not None:
-        plain = fits.select("cluster").join(tips.select("label").distinct(), how="cross").join(files.select("cluster", F.col("label_of").alias("label")), ["cluster", "label"], "left_anti")
+        there = nodes.where("tip and kind = 'ds'").select("cluster", "label").distinct().join(tips.select("label"), "label", "left_semi")
+        plain = there.join(files.select("cluster", F.col("label_of").alias("label")), ["cluster", "label"], "left_anti")
         wanted = wanted.unionByName(plain.select("cluster", "label", F.col("label").alias("last"), F.lit(0).cast("long").alias("up")))
     below = wanted.join(nodes.where("tip").select("cluster", "kind", F.col("label").alias("last"), F.col("node").alias("of"), F.col("depth").alias("deep")), ["cluster", "last"]).withColumn("depth", F.col("deep") - F.col("up"))
     found = below.join(nodes.select("cluster", "kind", "depth", "node", "size", "length", "mark"), ["cluster", "kind", "depth"]).where(F.col("of").between(F.col("node"), F.col("node") + F.col("size")))

@@ -1,6 +1,9 @@
 """Every reader on files of its format, and reports that are read in several splits."""
 
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from seqframe.functions import stats as N
 from seqframe.sources import readers as X
@@ -18,8 +21,25 @@ def put(folder, name, text):
 
 
 def test_every_reader_is_tested():
-    text = open(__file__).read()
-    assert [n for n in X.__all__ if f"X.{n}(" not in text] == []
+    text = "".join(p.read_text() for p in Path(__file__).parent.glob("test_*.py"))
+    assert [n for n in X.__all__ if f".{n}(" not in text] == []
+
+
+@pytest.mark.parametrize("limit", [0, 400, 10**6])
+def test_one_call_reads_small_and_large_files(spark, tmp_path, monkeypatch, limit):
+    """A file of 200 and one of 900 bytes: both small, one of each kind, both large; those that are not asked for are not listed."""
+    monkeypatch.setattr(X, "SMALL", limit)
+    for name, rounds in (("a", 2), ("b", 9)):
+        put(tmp_path, f"{name}.psmc", "CC\tx\n" + "".join(f"RD\t{r}\nRI\t0.{r}\nDT\t0.5\nTR\t0.01\t0.002\n" + "".join(f"RS\t{k}\t0.5\t{k}.25\n" for k in range(4)) + "PA\t4+5*3\n//\n" for r in range(rounds)))
+    cols = ["sample", "round", "fit", "theta", "k", "lam"]
+    whole = rows(X.read_psmc(spark, str(tmp_path), large=False), *cols)
+    assert rows(X.read_psmc(spark, str(tmp_path)), *cols) == whole and len(whole) == 44
+    for large, n in ((False, {0: 0, 400: 1, 10**6: 2}[limit]), (True, {0: 2, 400: 1, 10**6: 0}[limit])):
+        scan = spark.read.text(str(tmp_path), wholetext=not large).where(F.col("_metadata.file_size") > limit if large else F.col("_metadata.file_size") <= limit)
+        scan.collect()
+        plan = scan._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        assert leaf.metrics().apply("numFiles").value() == n
 
 
 def test_records(spark, tmp_path):
