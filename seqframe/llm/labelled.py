@@ -84,6 +84,10 @@ class Writer:
         title = self.one(f"<h1>{self.words(1, 4)}</h1>", f'<a href="/">{self.words(1, 3)}</a>', f"<p>{self.sentence()}</p>", f"<h1>{self.words(1, 3)}</h1><p>{self.prose(2)}</p>")
         return self.either(HEADS, "header", title + self.one("", "", self.menu(), self.form()))
 
+    def bar(self) -> str:
+        """A header by name only: an article's own ``header`` element holds its title."""
+        return self.named(HEADS, self.one(self.prose(2), f"<p>{self.prose(2)}</p>", f"<h1>{self.words(1, 3)}</h1><p>{self.prose(2)}</p>", self.links(3)))
+
     def foot(self) -> str:
         return self.either(FEET, "footer", self.one(f"&copy; {self.words(1, 2)}.example &middot; {self.prose(2)}", self.links(5), f"<p>{self.prose(3)}</p>", f"<p>&copy; 2024 {self.words(1, 5)}</p>{self.listed(3)}", self.filler()))
 
@@ -123,12 +127,12 @@ class Writer:
 
     def article(self, bare: bool) -> str:
         title = f"<h1>{self.marked(self.words(2, 9).capitalize())}{self.one('', '.')}</h1>"
-        title = self.one(title, title, title, "", title if bare else f"<header>{title}</header>", f"<h2>{self.marked(self.words(2, 9))}</h2>")
+        title = self.one(title, title, title, "", title if bare else f"<header>{title}{self.one('', f'<p>{self.prose(2)}</p>')}</header>", f"<h2>{self.marked(self.words(2, 9))}</h2>")
         parts = [self.paragraph() for _ in range(self.rng.choice((1, 2, 3, 5, 8, 13)))]
-        for noise in (self.advert, self.side, self.more, self.menu, self.form, self.notice):
-            if self.rng.random() < 0.12:
+        for noise in (self.advert, self.side, self.more, self.menu, self.form, self.notice, self.foot, self.bar, self.talk):
+            if self.rng.random() < 0.2:
                 parts.insert(self.rng.randint(0, len(parts)), noise())
-        tail = [noise() for noise in (self.more, self.talk, self.form, self.advert) if self.rng.random() < 0.12]
+        tail = [noise() for noise in (self.more, self.talk, self.form, self.advert) if self.rng.random() < 0.2]
         if self.rng.random() < 0.08:
             tail.append(f"<footer>{self.filler()}</footer>")
         inner = title + "".join(parts) + "".join(tail)

@@ -63,11 +63,13 @@ NAMES = [
 NAMED = [(group, re.compile(rf"(?:{names})\Z")) for group, names in NAMES]
 #: Names that begin so tell of a state, not of a part.
 STATES = ("has", "with", "without", "no", "is")
+#: Zones in which an article is not the page's: a comment, a notice or a teaser.
+ASIDE = ("menu", "foot", "side", "notice", "ad", "talk", "more")
 DEPTH = 512
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|style|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![\w-])(hidden)(?![\w=-])", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-PAGES, ROUNDS, RATE, DECAY, SEED = 400, 80, 0.3, 1e-3, 11
+PAGES, ROUNDS, RATE, DECAY, SEED = 800, 120, 0.3, 3e-4, 11
 
 
 def zones_of(tag: str, attributes: str) -> tuple[str, ...]:
@@ -95,10 +97,11 @@ class Element:
         self.unseen = name in UNSEEN or (parent is not None and parent.unseen)
         near, within, inherited = (parent.near, parent.within, parent.inherited) if parent else ("", False, frozenset())
         if name not in ("body", "html") and zones:
-            # of several names the one that says most: anything but main
+            # of several names the one that says most: anything but main, which stands for nothing within what is aside of the article
             found = next((z for z in zones if z != "main"), "main")
-            within = within or near == "main"
-            near = found
+            if found != "main" or near not in ASIDE:
+                within = within or near == "main"
+                near = found
         self.near, self.within = near, within
         self.inherited = inherited | {f"tag {name}"} | {f"zone {z}" for z in zones if name not in ("body", "html")}
 
@@ -266,21 +269,33 @@ def marginals(scores: np.ndarray, live: np.ndarray, pairs: np.ndarray, first: fl
     """Of padded chains (chain, block): the logarithm of the sum over labellings, each block's chance of main text, and the expected
     number of each pair of labels. ``live`` marks blocks that are no padding."""
     n, width = scores.shape
+    order = np.argsort(-live.sum(1), kind="stable")
+    # chains that still go on at each block come first
+    many = live.sum(0)
     unit = np.zeros((n, width, 2))
-    unit[:, :, 1] = scores
+    unit[:, :, 1] = scores[order]
     unit[:, 0, 1] += first
     alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
     alpha[:, 0] = unit[:, 0]
+    total = np.logaddexp(alpha[:, 0, 0], alpha[:, 0, 1])
     for t in range(1, width):
-        step = np.logaddexp.reduce(alpha[:, t - 1, :, None] + pairs[None], axis=1) + unit[:, t]
-        alpha[:, t] = np.where(live[:, t, None], step, alpha[:, t - 1])
-    total = np.logaddexp.reduce(alpha[:, -1], axis=1)
+        own, last = slice(many[t]), alpha[: many[t], t - 1]
+        for k in (0, 1):
+            alpha[own, t, k] = np.logaddexp(last[:, 0] + pairs[0, k], last[:, 1] + pairs[1, k]) + unit[own, t, k]
+        total[own] = np.logaddexp(alpha[own, t, 0], alpha[own, t, 1])
     expected = np.zeros((2, 2))
     for t in range(width - 1, 0, -1):
-        after = pairs[None] + (unit[:, t] + beta[:, t])[:, None, :]
-        expected += np.exp(np.where(live[:, t, None, None], alpha[:, t - 1, :, None] + after - total[:, None, None], -np.inf)).sum(0)
-        beta[:, t - 1] = np.where(live[:, t, None], np.logaddexp.reduce(after, axis=2), 0)
-    return total, np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]) * live, expected
+        own = slice(many[t])
+        after = unit[own, t] + beta[own, t]
+        for k in (0, 1):
+            to = pairs[k] + after
+            expected[k] += np.exp(alpha[own, t - 1, k, None] + to - total[own, None]).sum(0)
+            beta[own, t - 1, k] = np.logaddexp(to[:, 0], to[:, 1])
+    main = np.zeros((n, width))
+    main[order] = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
+    back = np.empty(n)
+    back[order] = total
+    return back, main * live, expected
 
 
 def train(pages: list[str], rounds: int = ROUNDS) -> Field:
