@@ -1,15 +1,16 @@
 """Counting k-mers by super-k-mers: runs of k-mers with one minimizer travel as one string.
 
 A k-mer's minimizer is the least hash of its m-mers; neighbours mostly share it. K-mers are dealt out by their minimizer's bucket,
-so equal ones meet, and a run of them is shuffled once with its letters, not once for each. Tasks are as many as the number of
-k-mers asks for, each holds the k-mers of its buckets as numbers. Buckets of so many k-mers that they would fill a task are left out
-of this and counted by aggregation and a join on the k-mer, which adaptive execution splits.
+so equal ones meet, and a run of them is shuffled once with its letters, not once for each. The runs that a task has for one part
+travel in one row, each column of them compressed. Parts are as many as the number of k-mers asks for and are filled evenly; each
+holds the k-mers of its buckets as numbers. Buckets of so many k-mers that they would fill a part are left out of this and counted by
+aggregation and a join on the k-mer, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,13 @@ from .intervals import chunks
 LETTERS, FIT = b"ACGTN", 27
 DIGIT = np.full(256, 255, np.uint8)
 DIGIT[np.frombuffer(LETTERS, np.uint8)] = np.arange(len(LETTERS))
-#: Letters of an m-mer, buckets of minimizers, k-mers of a task, and k-mers of one string at most.
-MINIMIZER, BUCKETS, TASK, RUN = 9, 1 << 16, 1 << 22, 200
+#: Letters of an m-mer, buckets of minimizers, k-mers of a part, k-mers of one string at most (a byte), and letters packed together.
+MINIMIZER, BUCKETS, TASK, RUN, PACK = 9, 1 << 16, 1 << 22, 200, 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SUPER = "bucket int, n int, seq_id string, at long, letters string"
+#: The super-k-mers of a task for a part: how many, their sequences with how many each, and numbers of k-mers, places and letters.
+PACKED = "part int, rows int, names array<string>, each binary, n binary, at binary, letters binary"
+#: Whether k-mers are asked about, and whether they count.
+ASKED, HAVE = 1, 2
 
 
 def _windows(letters: np.ndarray, k: int) -> np.ndarray:
@@ -74,107 +78,189 @@ def runs(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return start, size, (value[start] * MIX >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
-def _gathered(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    """The strings of these places."""
-    offsets = np.append(0, np.cumsum(length))
-    data = raw[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
-    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+def _gathered(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+    """The letters of these places, joined."""
+    end = np.cumsum(length)
+    return raw[np.repeat(start - end + length, length) + np.arange(end[-1])].tobytes()
 
 
-def super_kmers(seqs: DataFrame, k: int, size: int = 1 << 20) -> DataFrame:
-    """bucket, n (k-mers), seq_id, at (from 1), letters: the super-k-mers of sequences, whole or in pieces."""
+def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Name, first place, letters, and super-k-mers (start, n, bucket) of each piece."""
+    for b in batches:
+        for name, begin, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            # a letter of more bytes is another letter, and still one
+            raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+            yield name, begin, raw, *runs(DIGIT[raw], k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, begin, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                # a letter of more bytes is another letter, and still one
-                raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-                start, n, bucket = runs(DIGIT[raw], k)
-                cols = [pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array([name] * len(n), pa.string()), pa.array(start + begin, pa.int64()), _gathered(raw, start, n + k - 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "n", "seq_id", "at", "letters"])
 
+def _cut(seqs: DataFrame, k: int, size: int = 1 << 20) -> DataFrame:
     pieces = chunks(seqs.where("seq is not null") if "seq" in seqs.columns else seqs, size, k - 1)
-    return pieces.select("seq_id", F.col("chunk_start").cast("long"), "chunk").mapInArrow(run, SUPER)
+    return pieces.select("seq_id", F.col("chunk_start").cast("long"), "chunk")
+
+
+def bucket_sizes(seqs: DataFrame, k: int) -> np.ndarray:
+    """The number of k-mers of each bucket, of sequences, whole or in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for _, _, _, _, size, bucket in _pieces(batches, k):
+            np.add.at(n, bucket, size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in _cut(seqs, k).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _packed(held: list[tuple], k: int, part_of: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that the super-k-mers of these pieces go to."""
+    base = np.cumsum([0] + [len(h[2]) for h in held])
+    raw = np.concatenate([h[2] for h in held])
+    start = np.concatenate([h[3] + b for h, b in zip(held, base)])
+    at = np.concatenate([h[3] + h[1] for h in held])
+    n = np.concatenate([h[4] for h in held])
+    piece = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+    part = part_of[np.concatenate([h[5] for h in held])]
+    order = np.argsort(part, kind="stable")
+    order = order[np.searchsorted(part[order], 0) :]
+    borders = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    cols: list[list] = [[] for _ in range(7)]
+    for a, b in zip(borders[:-1], borders[1:]):
+        rows = order[a:b]
+        first = np.flatnonzero(np.diff(piece[rows], prepend=-1))
+        each = np.diff(first, append=len(rows)).astype(np.uint32)
+        texts = each, n[rows].astype(np.uint8), np.diff(at[rows], prepend=0), _gathered(raw, start[rows], n[rows] + k - 1)
+        names = [held[j][0] for j in piece[rows[first]]]
+        for col, value in zip(cols, (part[rows[0]], len(rows), names, *(pa.compress(bytes(t), "zstd", asbytes=True) for t in texts))):
+            col.append(value)
+    types = [pa.int32(), pa.int32(), pa.list_(pa.string())] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "rows", "names", "each", "n", "at", "letters"])
+
+
+def super_kmers(seqs: DataFrame, k: int, part_of: np.ndarray) -> DataFrame:
+    """``PACKED`` rows of the super-k-mers of sequences, whole or in pieces, whose bucket has a part (not negative) in ``part_of``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, letters = [], 0
+        for piece in _pieces(batches, k):
+            held.append(piece)
+            letters += len(piece[2])
+            if letters >= PACK:
+                yield _packed(held, k, part_of)
+                held, letters = [], 0
+        if held:
+            yield _packed(held, k, part_of)
 
+    return _cut(seqs, k).mapInArrow(run, PACKED)
 
-def _spread(b: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, ...]:
-    """Row, offset within it, and the two numbers of each k-mer of the letters of rows (n, letters)."""
-    n = b.column("n").to_numpy().astype(np.int64)
-    data = "".join(b.column("letters").to_pylist()).encode("ascii")
+
+def _unpacked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Role, names, super-k-mers of each name, n, at, letters of each packed row."""
+    for b in batches:
+        for r in b.to_pylist():
+            out = lambda name, size: pa.decompress(r[name], size, "zstd", asbytes=True)
+            each = np.frombuffer(out("each", 4 * len(r["names"])), np.uint32)
+            n = np.frombuffer(out("n", r["rows"]), np.uint8).astype(np.int64)
+            at = np.cumsum(np.frombuffer(out("at", 8 * r["rows"]), np.int64))
+            yield r["role"], r["names"], each, n, at, out("letters", int(n.sum()) + (k - 1) * r["rows"])
+
+
+def _spread(n: np.ndarray, letters: bytes, k: int) -> tuple[np.ndarray, ...]:
+    """Super-k-mer, offset within it, and the two numbers of each k-mer."""
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     place = np.repeat(np.append(0, np.cumsum(n + k - 1))[:-1], n) + offset
-    first, rest = codes(DIGIT[np.frombuffer(data, np.uint8)], k)
+    first, rest = codes(DIGIT[np.frombuffer(letters, np.uint8)], k)
     return row, offset, first[place], rest[place]
 
 
+def _of(names: list, each: np.ndarray, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The names, and which of them each k-mer has."""
+    return pa.array(names, pa.string()), np.repeat(np.arange(len(names)), each)[row]
+
+
 def counted(rows: DataFrame, k: int) -> DataFrame:
-    """seq_id, position, n: for every k-mer of the query's super-k-mers (asked) how many the others have, in each partition."""
+    """seq_id, position, n: for every k-mer asked about, how many there are that count, in each partition of packed rows with a role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        asked = table.column("asked").to_numpy().astype(bool)
-        have, want = table.filter(pa.array(~asked)), table.filter(pa.array(asked))
-        if not want.num_rows:
+        held = list(_unpacked(batches, k))
+        if not any(h[0] & ASKED for h in held):
             return
-        _, _, first, rest = _spread(have, k)
-        row, offset, a, b = _spread(want, k)
+        n, at = (np.concatenate([h[j] for h in held]) for j in (3, 4))
+        role = np.repeat([h[0] for h in held], [len(h[3]) for h in held])
+        row, offset, first, rest = _spread(n, b"".join(h[5] for h in held), k)
+        names, which = _of([x for h in held for x in h[1]], np.concatenate([h[2] for h in held]), row)
+        del held
+        order = np.argsort(first) if k <= FIT else np.lexsort((rest, first))
+        new = np.append(True, np.diff(first[order]) != 0)
         if k > FIT:
-            # pairs of numbers become one: the place of the first among those there are, and the rest
-            names = np.unique(np.concatenate([first, a]))
-            both = np.stack([np.concatenate([np.searchsorted(names, first), np.searchsorted(names, a)]), np.concatenate([rest, b])])
-            _, code = np.unique(both, axis=1, return_inverse=True)
-            first, a = code.ravel()[: len(first)], code.ravel()[len(first) :]
-        known, n = np.unique(first, return_counts=True)
-        at = np.minimum(np.searchsorted(known, a), max(len(known) - 1, 0))
-        found = np.where(known[at] == a, n[at], 0) if len(known) else np.zeros(len(a), np.int64)
-        position = want.column("at").to_numpy()[row] + offset
-        names = want.column("seq_id").combine_chunks()
-        for s in range(0, len(row), 1 << 16):
-            part = slice(s, s + (1 << 16))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(row[part])), pa.array(position[part], pa.int64()), pa.array(found[part], pa.int64())], names=["seq_id", "position", "n"])
-
-    return rows.select("asked", "n", "seq_id", "at", "letters").mapInArrow(run, "seq_id string, position long, n long")
+            new[1:] |= np.diff(rest[order]) != 0
+        del first, rest
+        counts = np.add.reduceat((role[row[order]] & HAVE) // HAVE, np.flatnonzero(new))
+        found = np.empty(len(order), np.int64)
+        found[order] = counts[np.cumsum(new) - 1]
+        position = at[row] + offset
+        asked = np.flatnonzero(role[row] & ASKED)
+        for s in range(0, len(asked), 1 << 16):
+            part = asked[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(position[part], pa.int64()), pa.array(found[part], pa.int64())], names=["seq_id", "position", "n"])
+
+    return rows.drop("part").mapInArrow(run, "seq_id string, position long, n long")
 
 
 def single_kmers(rows: DataFrame, k: int) -> DataFrame:
-    """seq_id, position, code, rest: every k-mer of super-k-mers."""
+    """seq_id, position, code, rest: every k-mer of packed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, offset, first, rest = _spread(b, k)
-            yield pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(row)), pa.array(b.column("at").to_numpy()[row] + offset, pa.int64()), pa.array(first, pa.int64()), pa.array(rest, pa.int64())], names=["seq_id", "position", "code", "rest"])
+        for _, names, each, n, at, letters in _unpacked(batches, k):
+            row, offset, first, rest = _spread(n, letters, k)
+            names, which = _of(names, each, row)
+            for s in range(0, len(row), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(at[row[part]] + offset[part], pa.int64()), pa.array(first[part], pa.int64()), pa.array(rest[part], pa.int64())], names=["seq_id", "position", "code", "rest"])
+
+    return rows.drop("part").mapInArrow(run, "seq_id string, position long, code long, rest long")
+
 
-    return rows.select("n", "seq_id", "at", "letters").mapInArrow(run, "seq_id string, position long, code long, rest long")
+def _dealt(load: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each bucket, -1 for an empty one: the fullest first, each to the part that has least."""
+    out = np.full(len(load), -1, np.int32)
+    heap = [(0, p) for p in range(parts)]
+    for b in np.argsort(-load, kind="stable")[: np.count_nonzero(load)]:
+        had, p = heap[0]
+        out[b] = p
+        heapq.heapreplace(heap, (had + int(load[b]), p))
+    return out
 
 
 def counts_of(query: DataFrame, target: DataFrame, k: int, prefilter: bool = False) -> DataFrame:
     """seq_id, position, n: how often the target has each k-mer of ``LETTERS`` that the query has; k is at most 2 ``FIT``.
 
     The number of k-mers of each bucket is counted first. With ``prefilter`` the target's k-mers in buckets without any of the query's
-    stay where they are.
+    stay where they are. A query that is its own target (the same DataFrame) travels once.
     """
-    asked, have = super_kmers(query, k), super_kmers(target, k).withColumn("seq_id", F.lit(None).cast("string"))
-    sizes = {False: {}, True: {}}
-    sums = reduce(DataFrame.unionByName, [df.select("bucket", "n", F.lit(flag).alias("asked")) for df, flag in ((asked, True), (have, False))])
-    for r in sums.groupBy("bucket", "asked").agg(F.sum(F.col("n").cast("long")).alias("n")).collect():  # at most 2 BUCKETS rows
-        sizes[r["asked"]][r["bucket"]] = r["n"]
-    used = [b for b in sizes[False] if not prefilter or b in sizes[True]]
-    load = {b: sizes[True].get(b, 0) + (sizes[False][b] if b in sizes[False] and (not prefilter or b in sizes[True]) else 0) for b in {*sizes[True], *used}}
-    session = query.sparkSession
-    parts = max(2 * session.sparkContext.defaultParallelism, -(-sum(load.values()) // TASK))
-    hot = sorted(b for b, n in load.items() if n > TASK // 2)
-    if prefilter:
-        have = have.where(F.col("bucket").isin(sorted(sizes[True]))) if len(sizes[True]) <= 4096 else have.join(F.broadcast(session.createDataFrame([(b,) for b in sizes[True]], "bucket int")), "bucket", "left_semi")
-    both = have.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
-    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
-    out = counted(both.where(~is_hot).repartition(parts, "bucket"), k)
-    if hot:
-        key = ["code", "rest"]
-        n = single_kmers(have.where(is_hot), k).groupBy(*key).agg(F.count("*").alias("n"))
-        rows = single_kmers(asked.where(is_hot), k).join(n, key, "left")
-        out = out.unionByName(rows.select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n")))
+    roles = {ASKED | HAVE: query} if query is target else {ASKED: query, HAVE: target}
+    sizes = {role: bucket_sizes(df, k) for role, df in roles.items()}
+    if prefilter and query is not target:
+        sizes[HAVE] = np.where(sizes[ASKED] > 0, sizes[HAVE], 0)
+    load = sum(sizes.values())
+    hot = load > TASK // 2
+    cold = np.where(hot, 0, load)
+    parts = max(2 * query.sparkSession.sparkContext.defaultParallelism, -(-int(cold.sum()) // TASK))
+    part_of = _dealt(cold, parts)
+
+    def rows(role: int, df: DataFrame, part_of: np.ndarray) -> DataFrame:
+        return super_kmers(df, k, np.where(sizes[role] > 0, part_of, -1)).withColumn("role", F.lit(role))
+
+    first, *others = [rows(role, df, part_of) for role, df in roles.items()]
+    for other in others:
+        first = first.unionByName(other)
+    out = counted(first.repartitionById(parts, "part"), k)
+    if hot.any():
+        key, is_hot = ["code", "rest"], np.where(hot, 0, -1)
+        asked, have = (single_kmers(rows(role, df, is_hot), k) for flag in (ASKED, HAVE) for role, df in roles.items() if role & flag)
+        n = have.groupBy(*key).agg(F.count("*").alias("n"))
+        out = out.unionByName(asked.join(n, key, "left").select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n")))
     return out
