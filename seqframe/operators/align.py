@@ -93,7 +93,8 @@ def kmer_counts(query: DataFrame, target: DataFrame, k: int = 20, prefilter: boo
     """
     if k > 2 * FIT:
         return _text_counts(query, target, k, prefilter, None)
-    return counts_of(query, target, k, prefilter).unionByName(_text_counts(query, target, k, prefilter, "[^ACGTN]"))
+    out, other = counts_of(query, target, k, prefilter)
+    return out.unionByName(_text_counts(query, target, k, prefilter, "[^ACGTN]")) if other else out
 
 
 def _text_counts(query: DataFrame, target: DataFrame, k: int, prefilter: bool, odd: str | None) -> DataFrame:

@@ -3,14 +3,15 @@
 A k-mer's minimizer is the least hash of its m-mers; neighbours mostly share it. K-mers are dealt out by their minimizer's bucket,
 so equal ones meet, and a run of them is shuffled once with its letters, not once for each. The runs that a task has for one part
 travel in one row, each column of them compressed. Parts are as many as the number of k-mers asks for and are filled evenly; each
-holds the k-mers of its buckets as numbers. Buckets of so many k-mers that they would fill a part are left out of this and counted by
-aggregation and a join on the k-mer, which adaptive execution splits.
+holds the k-mers of its buckets as numbers. Buckets of so many k-mers that they would fill a part are left out of this: their rows
+send their distinct k-mers with counts, and the sums come back to the rows, so a k-mer that is everywhere is one number for each row.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ LETTERS, FIT = b"ACGTN", 27
 DIGIT = np.full(256, 255, np.uint8)
 DIGIT[np.frombuffer(LETTERS, np.uint8)] = np.arange(len(LETTERS))
 #: Letters of an m-mer, buckets of minimizers, k-mers of a part, k-mers of one string at most (a byte), and letters packed together.
-MINIMIZER, BUCKETS, TASK, RUN, PACK = 9, 1 << 16, 1 << 22, 200, 1 << 23
+MINIMIZER, BUCKETS, TASK, RUN, PACK = 9, 1 << 16, 1 << 22, 200, 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The super-k-mers of a task for a part: how many, their sequences with how many each, and numbers of k-mers, places and letters.
 PACKED = "part int, rows int, names array<string>, each binary, n binary, at binary, letters binary"
@@ -99,17 +100,18 @@ def _cut(seqs: DataFrame, k: int, size: int = 1 << 20) -> DataFrame:
 
 
 def bucket_sizes(seqs: DataFrame, k: int) -> np.ndarray:
-    """The number of k-mers of each bucket, of sequences, whole or in pieces."""
+    """The number of k-mers of each bucket, of sequences, whole or in pieces, and last of those with another letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
-        for _, _, _, _, size, bucket in _pieces(batches, k):
+        n = np.zeros(BUCKETS + 1, np.int64)
+        for _, _, raw, _, size, bucket in _pieces(batches, k):
             np.add.at(n, bucket, size)
+            n[BUCKETS] += max(len(raw) - k + 1, 0) - size.sum()
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["bucket", "n"])
 
-    out = np.zeros(BUCKETS, np.int64)
-    for r in _cut(seqs, k).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for r in _cut(seqs, k).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows
         out[r["bucket"]] = r["n"]
     return out
 
@@ -181,6 +183,15 @@ def _of(names: list, each: np.ndarray, row: np.ndarray) -> tuple[pa.Array, np.nd
     return pa.array(names, pa.string()), np.repeat(np.arange(len(names)), each)[row]
 
 
+def _equals(first: np.ndarray, rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal k-mers stand together, and whether each in it differs from the one before."""
+    order = np.argsort(first) if k <= FIT else np.lexsort((rest, first))
+    new = np.append(True, np.diff(first[order]) != 0)[: len(first)]
+    if k > FIT:
+        new[1:] |= np.diff(rest[order]) != 0
+    return order, new
+
+
 def counted(rows: DataFrame, k: int) -> DataFrame:
     """seq_id, position, n: for every k-mer asked about, how many there are that count, in each partition of packed rows with a role."""
 
@@ -193,10 +204,7 @@ def counted(rows: DataFrame, k: int) -> DataFrame:
         row, offset, first, rest = _spread(n, b"".join(h[5] for h in held), k)
         names, which = _of([x for h in held for x in h[1]], np.concatenate([h[2] for h in held]), row)
         del held
-        order = np.argsort(first) if k <= FIT else np.lexsort((rest, first))
-        new = np.append(True, np.diff(first[order]) != 0)
-        if k > FIT:
-            new[1:] |= np.diff(rest[order]) != 0
+        order, new = _equals(first, rest, k)
         del first, rest
         counts = np.add.reduceat((role[row[order]] & HAVE) // HAVE, np.flatnonzero(new))
         found = np.empty(len(order), np.int64)
@@ -210,18 +218,48 @@ def counted(rows: DataFrame, k: int) -> DataFrame:
     return rows.drop("part").mapInArrow(run, "seq_id string, position long, n long")
 
 
-def single_kmers(rows: DataFrame, k: int) -> DataFrame:
-    """seq_id, position, code, rest: every k-mer of packed rows."""
+def counted_apart(rows: DataFrame, k: int) -> DataFrame:
+    """What ``counted`` gives, of packed rows that need not meet.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, names, each, n, at, letters in _unpacked(batches, k):
-            row, offset, first, rest = _spread(n, letters, k)
+    A row's distinct k-mers are counted where it is and summed over rows, and the sums go to the rows that ask: what is sent grows with
+    the k-mers that a row has, not with how often it has them. Rows with one id (equal ones) get the same sums.
+    """
+    key = ["code", "rest"]
+    rows = rows.drop("part").withColumn("id", F.xxhash64("names", "each", "n", "at", "letters"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for j in range(b.num_rows):
+                r = b.slice(j, 1)
+                for role, _, _, n, _, letters in _unpacked(iter([r]), k):
+                    _, _, first, rest = _spread(n, letters, k)
+                    order, new = _equals(first, rest, k)
+                    starts = np.flatnonzero(new)
+                    size = np.diff(starts, append=len(order))
+                    for s in range(0, len(starts), 1 << 16):
+                        part = order[starts[s : s + (1 << 16)]]
+                        m = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.column("id").to_numpy(), m)), pa.array(np.full(m, role, np.int32)), pa.array(first[part], pa.int64()), pa.array(rest[part], pa.int64()), pa.array(size[s : s + m], pa.int64())], names=["id", "role", *key, "n"])
+
+    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
+        out = []
+        codes_, rests, n = (sums.column(c).to_numpy() for c in (*key, "n"))
+        for _, names, each, size, at, letters in _unpacked(iter(asked.to_batches()), k):
+            row, offset, first, rest = _spread(size, letters, k)
             names, which = _of(names, each, row)
-            for s in range(0, len(row), 1 << 16):
-                part = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(at[row[part]] + offset[part], pa.int64()), pa.array(first[part], pa.int64()), pa.array(rest[part], pa.int64())], names=["seq_id", "position", "code", "rest"])
+            order, new = _equals(np.append(codes_, first), np.append(rests, rest), k)
+            # a k-mer's sum is the only number but 0 among its equals
+            value = np.append(n, np.zeros(len(first), np.int64))[order]
+            found = np.empty(len(order), np.int64)
+            found[order] = np.maximum.reduceat(value, np.flatnonzero(new))[np.cumsum(new) - 1]
+            out.append(pa.table([names.take(pa.array(which)), pa.array(at[row] + offset, pa.int64()), pa.array(found[len(n) :], pa.int64())], names=["seq_id", "position", "n"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], names=["seq_id", "position", "n"])
 
-    return rows.drop("part").mapInArrow(run, "seq_id string, position long, code long, rest long")
+    own = rows.mapInArrow(distinct, "id long, role int, code long, rest long, n long")
+    sums = own.groupBy(*key).agg(F.sum(F.when(F.col("role").bitwiseAND(HAVE) > 0, F.col("n")).otherwise(0)).alias("n"))
+    sent = own.where(F.col("role").bitwiseAND(ASKED) > 0).select("id", *key).join(sums, key).select("id", *key, "n")
+    asked = rows.where(F.col("role").bitwiseAND(ASKED) > 0)
+    return asked.groupBy("id").cogroup(sent.groupBy("id")).applyInArrow(answer, "seq_id string, position long, n long")
 
 
 def _dealt(load: np.ndarray, parts: int) -> np.ndarray:
@@ -235,14 +273,17 @@ def _dealt(load: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def counts_of(query: DataFrame, target: DataFrame, k: int, prefilter: bool = False) -> DataFrame:
-    """seq_id, position, n: how often the target has each k-mer of ``LETTERS`` that the query has; k is at most 2 ``FIT``.
+def counts_of(query: DataFrame, target: DataFrame, k: int, prefilter: bool = False) -> tuple[DataFrame, bool]:
+    """seq_id, position, n: how often the target has each k-mer of ``LETTERS`` that the query has; k is at most 2 ``FIT``. And whether
+    the query has k-mers with another letter.
 
     The number of k-mers of each bucket is counted first. With ``prefilter`` the target's k-mers in buckets without any of the query's
     stay where they are. A query that is its own target (the same DataFrame) travels once.
     """
     roles = {ASKED | HAVE: query} if query is target else {ASKED: query, HAVE: target}
     sizes = {role: bucket_sizes(df, k) for role, df in roles.items()}
+    other = any(n[BUCKETS] > 0 for role, n in sizes.items() if role & ASKED)
+    sizes = {role: n[:BUCKETS] for role, n in sizes.items()}
     if prefilter and query is not target:
         sizes[HAVE] = np.where(sizes[ASKED] > 0, sizes[HAVE], 0)
     load = sum(sizes.values())
@@ -254,13 +295,10 @@ def counts_of(query: DataFrame, target: DataFrame, k: int, prefilter: bool = Fal
     def rows(role: int, df: DataFrame, part_of: np.ndarray) -> DataFrame:
         return super_kmers(df, k, np.where(sizes[role] > 0, part_of, -1)).withColumn("role", F.lit(role))
 
-    first, *others = [rows(role, df, part_of) for role, df in roles.items()]
-    for other in others:
-        first = first.unionByName(other)
-    out = counted(first.repartitionById(parts, "part"), k)
+    def all_rows(part_of: np.ndarray) -> DataFrame:
+        return reduce(DataFrame.unionByName, [rows(role, df, part_of) for role, df in roles.items()])
+
+    out = counted(all_rows(part_of).repartitionById(parts, "part"), k)
     if hot.any():
-        key, is_hot = ["code", "rest"], np.where(hot, 0, -1)
-        asked, have = (single_kmers(rows(role, df, is_hot), k) for flag in (ASKED, HAVE) for role, df in roles.items() if role & flag)
-        n = have.groupBy(*key).agg(F.count("*").alias("n"))
-        out = out.unionByName(asked.join(n, key, "left").select("seq_id", "position", F.coalesce("n", F.lit(0)).alias("n")))
-    return out
+        out = out.unionByName(counted_apart(all_rows(np.where(hot, 0, -1)), k))
+    return out, other
