@@ -320,10 +320,10 @@ UNION ALL SELECT cluster, m - i, 2 * i - 2, m - i, CASE WHEN i < m THEN m - i -
 
 def _ladders(get, path, body=lambda tree: tree):
     """A tree for each cluster: its first two models, then one more in each bracket, as reports of one line."""
-    rows = get("fits_v").withColumn("lnl", F.floor(F.col("lnl") * 10) / 8).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t"))
+    rows = get("fits_v").withColumn("lnl", F.floor(F.col("lnl") * 10) / 8).groupBy(path.alias("source_file")).agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t"))
     x = lambda v: F.format_string("%.3f", v["lnl"])
     joined = F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.struct(F.lit(1).alias("i"), F.concat(F.lit("L1: "), x(F.get("t", F.lit(0)))).alias("s")), lambda a, v: F.struct((a["i"] + 1).alias("i"), F.concat(F.lit("("), a["s"], F.lit(", L"), (a["i"] + 1).cast("string"), F.lit(": "), x(v), F.lit(") [&95%={0.5, "), x(v), F.lit("}]: "), F.format_string("%.3f", -v["lnl"])).alias("s")))
-    return L.numbered_lines(rows.select(path.alias("source_file"), body(F.concat(joined["s"], F.lit(";"))).alias("text")))
+    return L.numbered_lines(rows.select("source_file", body(F.concat(joined["s"], F.lit(";"))).alias("text")))
 
 
 @query(f"SELECT 't' || CAST(cluster AS STRING) AS tree_id, CAST(CASE WHEN tip AND depth = 0 THEN 0 ELSE node END AS BIGINT) AS node, CAST(post AS BIGINT) AS post, CAST(depth AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent, tip, CAST(size AS BIGINT) AS size, label, length, ci_lo, ci_hi FROM {LADDER_NODES}")
@@ -343,7 +343,7 @@ def p16_rescaled_tree_text(get):
 @query(f"SELECT CAST(cluster AS STRING) AS cluster, label, CAST(300 AS BIGINT) AS len, round(d, 3) AS dn, round(2 * d, 3) AS ds, round(250.5 * d, 6) AS ndn, round(3 * d, 3) AS w FROM (SELECT cluster, 'L2' AS label, -x AS d FROM {LADDER} WHERE i = 2 AND m > 2 UNION ALL SELECT cluster, 'L1', x FROM {LADDER} WHERE i = 1 UNION ALL SELECT cluster, 'L3', x FROM {LADDER} WHERE i = 3)")
 def s27_codeml_clade(get):
     """Ladders as trees of reports; L2's tree marks the branch of the first pair, L1 and L3 stand for themselves."""
-    rows = get("fits_v").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t")).withColumn("t", F.transform("t", lambda v: F.floor(v["lnl"] * 10) / 8))
+    rows = get("fits_v").groupBy(text("d/%d/branch.freeratio.mlc", "cluster").alias("source_file")).agg(F.max("cluster").alias("cluster"), F.sort_array(F.collect_list(F.struct("model", "lnl"))).alias("t")).withColumn("t", F.transform("t", lambda v: F.floor(v["lnl"] * 10) / 8))
 
     def tree(sign: str, factor: int):
         number = lambda v: F.concat(F.lit(sign), F.format_string("%.3f", v * factor))
@@ -352,7 +352,7 @@ def s27_codeml_clade(get):
         return F.concat(F.lit("("), F.aggregate(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), F.struct(F.lit(1).alias("i"), first.alias("s")), add)["s"], F.lit(");"))
 
     whole = F.concat(F.lit(" 4 300\nlnL(ntime: 11  np: 16):  -1234.500000  +0.0\n   6..2  0.1  250.5  50.5  0.2\ndS tree:\n"), tree(": ", 2), F.lit("\ndN tree:\n"), tree(": ", 1), F.lit("\nw ratios as labels for TreeView:\n"), tree(" #", 3))
-    reports_ = L.numbered_lines(rows.select(text("d/%d/branch.freeratio.mlc", "cluster").alias("source_file"), whole.alias("text")))
+    reports_ = L.numbered_lines(rows.select("source_file", whole.alias("text")))
     marked = rows.where(F.size("t") > 2).select(text("d/%d/tree/tree.L2", "cluster").alias("source_file"), F.lit("((L1, L2) #1, L3);").alias("text"))
     bare = rows.where(F.size("t") <= 2).select(text("d/%d/tree/tree.L2", "cluster").alias("source_file"), F.lit("(L1, L2);").alias("text"))
     tips = get("region").selectExpr("explode(array('L1', 'L2', 'L3')) AS label")

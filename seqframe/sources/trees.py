@@ -1,21 +1,70 @@
 """Trees in brackets as node tables, and back.
 
-A tree's text is cut into brackets and what stands between them. Depth is a running sum over the brackets; at each depth opening
-and closing ones alternate, so a bracket's partner is the next one there, and a node's parent the last one that opened.
+A tree's text is one row, so it is read within it, a token at a time; brackets and nodes never travel on their own.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .lines import carried, file_name, number, pick, read_lines
+from .lines import file_name, number, pick, read_lines
 from .models import LNL, NUMBER
 
 #: A bracket, a comma, or a run of anything else; what stands in square brackets or quotes is one.
-TOKEN = r"[(),]|(?:\[[^\]]*\]|'[^']*'|[^(),;\[\]'])+"
-INTERVAL = rf"\[&[^\]]*\{{\s*{NUMBER}\s*,\s*{NUMBER}\s*\}}\s*\]"
+TOKEN = re.compile(r"[(),]|(?:\[[^\]]*\]|'[^']*'|[^(),;\[\]'])+", re.ASCII)
+COMMENT = re.compile(r"\[[^\]]*\]")
+LABEL = re.compile(r"'[^']*'|[^\s:#]+", re.ASCII)
+LENGTH, MARK = (re.compile(rf"{c}\s*{NUMBER}", re.ASCII) for c in ":#")
+INTERVAL = re.compile(rf"\[&[^\]]*\{{\s*{NUMBER}\s*,\s*{NUMBER}\s*\}}\s*\]", re.ASCII)
+FIELDS = (("node", pa.int64()), ("post", pa.int64()), ("depth", pa.int64()), ("parent", pa.int64()), ("tip", pa.bool_()), ("size", pa.int64()), ("label", pa.string()), ("length", pa.float64()), ("mark", pa.float64()), ("ci_lo", pa.float64()), ("ci_hi", pa.float64()))
+KINDS = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.string(): T.StringType(), pa.float64(): T.DoubleType()}
+
+
+def _value(found: re.Match | None, group: int = 1) -> float | None:
+    try:
+        return float(found[group]) if found else None
+    except ValueError:
+        return None
+
+
+def _read(tree: str, out: list[list]) -> int:
+    """Adds a tree's nodes to the columns ``out``, children before parents; their number."""
+    tokens = [t for x in TOKEN.findall(tree) if (t := x.strip(" "))]
+    opened, nodes = [], []
+    for pos, token in enumerate(tokens):
+        if token == "(":
+            opened.append(pos)
+        elif token == ")":
+            text = tokens[pos + 1] if pos + 1 < len(tokens) and tokens[pos + 1] not in ("(", ")", ",") else ""
+            if opened:
+                nodes.append((opened.pop(), len(opened), opened[-1] if opened else -1, False, text))
+        elif token != "," and (pos == 0 or tokens[pos - 1] != ")"):
+            nodes.append((pos, len(opened), opened[-1] if opened else -1, True, token))
+    of = {first: k for k, first in enumerate(sorted(n[0] for n in nodes))}
+    for post, (first, depth, around, tip, text) in enumerate(nodes):
+        bare = COMMENT.sub(" ", text) if "[" in text else text
+        label = LABEL.match(bare.strip(" "))
+        ci = INTERVAL.search(text) if "[" in text else None
+        name = re.sub("^'|'$", "", label[0]) or None if label else None
+        row = (of[first], post, depth, of.get(around), tip, post - of[first] + depth, name, _value(LENGTH.search(bare)), _value(MARK.search(bare)) if "#" in bare else None, _value(ci), _value(ci, 2))
+        for column, value in zip(out, row):
+            column.append(value)
+    return len(nodes)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, KINDS[t]) for n, t in FIELDS])))
+def nodes_of(tree: pa.Array) -> pa.Array:
+    """The nodes of a tree's text, children before parents; none of a null."""
+    columns, ends = [[] for _ in FIELDS], [0]
+    for text in tree.to_pylist():
+        ends.append(ends[-1] + _read(text or "", columns))
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS)], [n for n, _ in FIELDS])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def tree_nodes(trees: DataFrame, by: list[str], tree: str = "tree") -> DataFrame:
@@ -26,40 +75,7 @@ def tree_nodes(trees: DataFrame, by: list[str], tree: str = "tree") -> DataFrame
     node's text or closing bracket gives its label, its length (after ``:``), its mark (after ``#``) and its interval (in square
     brackets); what is missing is null. Roots may have any number of children. A null or empty tree has no rows.
     """
-    own = W.partitionBy(*by).orderBy("pos")
-    upto = own.rowsBetween(W.unboundedPreceding, 0)
-    at = F.posexplode(F.filter(F.transform(F.regexp_extract_all(tree, F.lit(TOKEN), F.lit(0)), lambda t: F.trim(t)), lambda t: t != "")).alias("pos", "token")
-    step = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
-    tokens = trees.select(*by, at).select("*", F.sum(step).over(upto).alias("inside"), F.lag("token").over(own).alias("last"), F.lead("token").over(own).alias("next"))
-    closing = F.col("token") == ")"
-    plain = ~F.col("token").isin("(", ")", ",")
-    tokens = tokens.withColumn("level", F.when(closing, F.col("inside") + 1).otherwise(F.col("inside")))
-    text = F.when(closing, F.when(~F.col("next").isin("(", ")", ","), F.col("next"))).when(plain, F.col("token"))
-    # brackets meet at their level, tips at that of the bracket around them
-    rows = tokens.where(F.col("token").isin("(", ")") | (plain & (F.col("last").isNull() | (F.col("last") != ")")))).withColumn("text", text)
-    level = W.partitionBy(*by, "level").orderBy("pos")
-    opener = F.last(F.when(F.col("token") == "(", F.col("pos")), ignorenulls=True).over(level.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("opened", opener)
-    tips = rows.where(~F.col("token").isin("(", ")")).select(*by, F.col("pos").alias("first"), F.col("pos").alias("end"), F.col("level").alias("depth"), F.col("opened").alias("around"), "text", F.lit(True).alias("tip"))
-    inner = rows.where(F.col("token") == ")").select(*by, F.col("opened").alias("first"), F.col("pos").alias("end"), (F.col("level") - 1).alias("depth"), F.lit(None).cast("int").alias("around"), "text", F.lit(False).alias("tip"))
-    nodes = tips.unionByName(inner)
-    # the bracket around an inner node is the last one of the depth above that opened before it
-    above = F.last(F.when(~F.col("tip"), F.col("first")), ignorenulls=True).over(W.partitionBy(*by, "key").orderBy("first").rowsBetween(W.unboundedPreceding, 0))
-    marks = nodes.select(*by, "first", F.col("depth").alias("key"), "tip", F.lit(None).cast("int").alias("of")).where("not tip")
-    asks = nodes.where("not tip").select(*by, F.col("first"), (F.col("depth") - 1).alias("key"), F.lit(True).alias("tip"), F.col("first").alias("of"))
-    around = marks.unionByName(asks).withColumn("above", above).where("of is not null").select(*by, F.col("of").alias("first"), "above")
-    nodes = nodes.join(around, [*by, "first"], "left").withColumn("around", F.coalesce("around", "above"))
-    order, after = W.partitionBy(*by).orderBy("first"), W.partitionBy(*by).orderBy("end")
-    nodes = nodes.withColumn("node", (F.row_number().over(order) - 1).cast("long")).withColumn("post", (F.row_number().over(after) - 1).cast("long"))
-    parents = nodes.select(*by, F.col("first").alias("around"), F.col("node").alias("parent"))
-    nodes = nodes.join(parents, [*by, "around"], "left")
-    bare = F.regexp_replace("text", r"\[[^\]]*\]", " ")
-    label = F.nullif(F.regexp_replace(F.regexp_extract(F.trim(bare), r"^('[^']*'|[^\s:#]+)", 1), "^'|'$", ""), F.lit(""))
-    value = lambda c, pattern, group=1: number(pick(c, pattern, group), "double")
-    return nodes.select(
-        *by, "node", "post", F.col("depth").cast("long").alias("depth"), "parent", "tip", (F.col("post") - F.col("node") + F.col("depth")).cast("long").alias("size"), label.alias("label"),
-        value(bare, rf":\s*{NUMBER}").alias("length"), value(bare, rf"#\s*{NUMBER}").alias("mark"), value(F.col("text"), INTERVAL, 1).alias("ci_lo"), value(F.col("text"), INTERVAL, 2).alias("ci_hi"),
-    )
+    return trees.select(*by, nodes_of(tree).alias("_nodes")).select(*by, F.inline("_nodes"))
 
 
 def tree_text(nodes: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -71,7 +87,8 @@ def tree_text(nodes: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
         F.coalesce(F.concat(F.lit(" [&95%={"), show("ci_lo"), F.lit(", "), show("ci_hi"), F.lit("}]")), F.lit("")),
         F.coalesce(F.concat(F.lit(": "), show("length")), F.lit("")),
     )
-    comma = F.when(F.row_number().over(W.partitionBy(*by, "parent").orderBy("node")) > 1, ", ").otherwise("")
+    # a first child comes next after its parent
+    comma = F.when(F.col("node") != F.col("parent") + 1, ", ").otherwise("")
     rows = nodes.select(*by, "post", "depth", "size", "tip", tail.alias("tail"), comma.alias("comma"))
     # an inner node opens before the first tip below it, and closes in its turn
     opens = F.struct((F.col("post") - F.col("size")).alias("at"), F.lit(0).alias("kind"), "depth", F.concat("comma", F.lit("(")).alias("text"))
@@ -99,14 +116,25 @@ def _folder(up: int) -> Column:
     return F.element_at(F.split("source_file", "/"), -1 - up)
 
 
+def _marked(nodes: Column) -> Column:
+    """Of a tree's nodes the branch marked ``#1``, the first of several, as (last, up); null without a mark."""
+    first = F.array_min(F.transform(F.filter(nodes, lambda n: n["mark"] == 1), lambda n: F.struct(*[n[c].alias(c) for c in ("post", "node", "size", "depth")])))
+    below = lambda m: F.filter(nodes, lambda n: n["tip"] & n["node"].between(m["node"], m["node"] + m["size"]))
+    last = F.transform(F.array(first), lambda m: F.array_max(F.transform(below(m), lambda n: F.struct(n["node"].alias("node"), n["label"].alias("last"), (n["depth"] - m["depth"]).alias("up")))))
+    return F.when(first.isNotNull(), F.get(last, F.lit(0)))
+
+
 def marked_branches(trees: DataFrame) -> DataFrame:
-    """cluster, label, last, up: of each tree (cluster, label, tree) the branch marked ``#1``, the first of several, as its clade's last
+    """cluster, label, last, up: of each tree (cluster, label_of, tree) the branch marked ``#1``, the first of several, as its clade's last
     tip and the levels from that up to it. Trees without a mark have no row."""
-    nodes = tree_nodes(trees, ["cluster", "label_of"])
-    key = ["cluster", "label_of"]
-    marked = nodes.where("mark = 1").groupBy(*key).agg(F.min_by(F.struct("node", "size", "depth"), "post").alias("m"))
-    tips = nodes.where("tip").join(marked, key).where(F.col("node").between(F.col("m.node"), F.col("m.node") + F.col("m.size")))
-    return tips.groupBy(*key).agg(F.max_by(F.struct("label", (F.col("depth") - F.col("m.depth")).alias("up")), "node").alias("x")).select("cluster", F.col("label_of").alias("label"), F.col("x.label").alias("last"), F.col("x.up").alias("up"))
+    found = trees.select("cluster", F.col("label_of").alias("label"), nodes_of("tree").alias("_nodes")).select("cluster", "label", _marked(F.col("_nodes")).alias("x"))
+    return found.where("x is not null").select("cluster", "label", "x.last", "x.up")
+
+
+def _branches(nodes: Column, last: Column, up: Column) -> Column:
+    """The nodes ``up`` levels above the tips named ``last``; one for each tip."""
+    tips = F.filter(nodes, lambda n: n["tip"] & (n["label"] == last))
+    return F.flatten(F.transform(tips, lambda t: F.filter(nodes, lambda n: (n["depth"] == t["depth"] - up) & t["node"].between(n["node"], n["node"] + n["size"]))))
 
 
 def codeml_clade(lines: DataFrame, trees: DataFrame, tips: DataFrame | None = None) -> DataFrame:
@@ -118,25 +146,37 @@ def codeml_clade(lines: DataFrame, trees: DataFrame, tips: DataFrame | None = No
     """
     c = F.col("line")
     branch = rf"^\s*\d+\.\.\d+\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
-    headed = carried(lines, F.when(c.rlike(r"^(dS tree:|dN tree:|w ratios as)"), F.regexp_extract(c, r"^(dS|dN|w)", 1)), "head")
-    after = lambda head: F.max_by("line", F.when((F.col("head") == head) & c.startswith("("), F.col("line_no")))
     last = F.max_by(F.struct(pick(c, branch, 2).cast("double").alias("n"), pick(c, branch, 3).cast("double").alias("s")), F.when(c.rlike(branch), F.col("line_no")))
     size = F.max(F.when(F.col("line_no") == 0, number(pick(c, r"^\s*\d+\s+(\d+)"))))
     lnl = F.max_by(number(pick(c, LNL, 2), "double"), F.when(c.rlike(LNL), F.col("line_no")))
-    fits = headed.groupBy("source_file").agg(size.alias("len"), last.alias("x"), lnl.alias("lnl"), after("dS").alias("ds"), after("dN").alias("dn"), after("w").alias("w"))
-    fits = fits.select(_folder(1).alias("cluster"), "len", "x.n", "x.s", "lnl", "ds", "dn", "w")
-    nodes = tree_nodes(fits.select("cluster", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("ds", "dn", "w"))), F.array("ds", "dn", "w"))).alias("kind", "tree")), ["cluster", "kind"])
-    files = trees.where("line_no = 0").select(_folder(2).alias("cluster"), F.regexp_extract(_folder(0), r"^tree\.(.*)$", 1).alias("label_of"), F.col("line").alias("tree"))
-    wanted = marked_branches(files)
+    # the three headings and the trees, few in a report; a tree belongs to the last heading before it
+    head = F.when(c.rlike(r"^(dS tree:|dN tree:|w ratios as)"), F.regexp_extract(c, r"^(dS|dN|w)", 1))
+    told = F.collect_list(F.when(head.isNotNull() | c.startswith("("), F.struct("line_no", head.alias("head"), F.when(head.isNull(), c).alias("tree"))))
+    fits = lines.groupBy("source_file").agg(size.alias("len"), last.alias("x"), lnl.alias("lnl"), F.sort_array(told).alias("told"))
+    under = lambda a, k, v: F.when((a["head"] == k) & v["head"].isNull(), v["tree"]).otherwise(a[k]).alias(k)
+    none = F.struct(*[F.lit(None).cast("string").alias(k) for k in ("head", "dS", "dN", "w")])
+    texts = F.aggregate("told", none, lambda a, v: F.struct(F.coalesce(v["head"], a["head"]).alias("head"), *[under(a, k, v) for k in ("dS", "dN", "w")]))
+    fits = fits.select(_folder(1).alias("cluster"), "len", "x.n", "x.s", "lnl", texts.alias("t")).select("cluster", "len", "n", "s", "lnl", F.col("t.dS").alias("ds"), F.col("t.dN").alias("dn"), F.col("t.w").alias("w"))
+    files = trees.where("line_no = 0").select(_folder(2).alias("cluster"), F.regexp_extract(_folder(0), r"^tree\.(.*)$", 1).alias("label"), nodes_of("line").alias("_nodes"))
+    wanted = files.select("cluster", "label", _marked(F.col("_nodes")).alias("x")).groupBy("cluster").agg(F.collect_list(F.struct("label", "x.last", "x.up")).alias("wanted"))
+    # trees travel as texts and are read where they meet the labels
+    both = fits.join(wanted, "cluster", "left" if tips is not None else "inner").withColumns({k: nodes_of(k) for k in ("ds", "dn", "w")})
+    labels = F.transform(F.filter("wanted", lambda v: v["last"].isNotNull()), lambda v: F.struct(v["label"].alias("label"), v["last"].alias("last"), v["up"].cast("long").alias("up"), F.lit(False).alias("plain")))
+    labels = F.coalesce(labels, F.array().cast("array<struct<label string, last string, up bigint, plain boolean>>"))
+    if tips is not None:
+        own = F.array_distinct(F.transform(F.filter("ds", lambda n: n["tip"] & n["label"].isNotNull()), lambda n: n["label"]))
+        own = F.array_except(own, F.coalesce(F.transform("wanted", lambda v: v["label"]), F.array().cast("array<string>")))
+        labels = F.concat(labels, F.coalesce(F.transform(own, lambda v: F.struct(v.alias("label"), v.alias("last"), F.lit(0).cast("long").alias("up"), F.lit(True).alias("plain"))), F.array().cast("array<struct<label string, last string, up bigint, plain boolean>>")))
+    at = lambda k, v: _branches(F.col(k), v["last"], v["up"])
+    rates = F.transform(labels, lambda v: F.struct(v["label"].alias("label"), v["plain"].alias("plain"), *[F.struct(at(k, v).alias("at")).alias(k) for k in ("ds", "dn", "w")]))
+    largest = lambda k, field: F.array_max(F.transform(F.col(f"x.{k}.at"), lambda n: n[field])).alias(k)
+    found = F.size("x.dn.at") + F.size("x.ds.at") + F.size("x.w.at") > 0
+    # not explode, before which the rates would be computed once more to ask whether there are any
+    out = both.select("cluster", "len", "n", "s", "lnl", F.explode_outer(rates).alias("x")).where(found).select("cluster", "len", "n", "s", "lnl", "x.label", "x.plain", largest("dn", "length"), largest("ds", "length"), largest("w", "mark"))
     if tips is not None:
-        there = nodes.where("tip and kind = 'ds'").select("cluster", "label").distinct().join(tips.select("label"), "label", "left_semi")
-        plain = there.join(files.select("cluster", F.col("label_of").alias("label")), ["cluster", "label"], "left_anti")
-        wanted = wanted.unionByName(plain.select("cluster", "label", F.col("label").alias("last"), F.lit(0).cast("long").alias("up")))
-    below = wanted.join(nodes.where("tip").select("cluster", "kind", F.col("label").alias("last"), F.col("node").alias("of"), F.col("depth").alias("deep")), ["cluster", "last"]).withColumn("depth", F.col("deep") - F.col("up"))
-    found = below.join(nodes.select("cluster", "kind", "depth", "node", "size", "length", "mark"), ["cluster", "kind", "depth"]).where(F.col("of").between(F.col("node"), F.col("node") + F.col("size")))
-    value = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col))).alias(kind)
-    rates = found.groupBy("cluster", "label").agg(value("dn", "length"), value("ds", "length"), value("w", "mark"))
-    return rates.join(fits.drop("ds", "dn", "w"), "cluster").select("cluster", "len", "label", "n", "s", "dn", "ds", (F.col("n") * F.col("dn")).alias("ndn"), (F.col("s") * F.col("ds")).alias("sds"), "w", "lnl")
+        known = tips.select("label").distinct().withColumn("known", F.lit(True))
+        out = out.join(known, "label", "left").where(~F.col("plain") | F.col("known"))
+    return out.select("cluster", "len", "label", "n", "s", "dn", "ds", (F.col("n") * F.col("dn")).alias("ndn"), (F.col("s") * F.col("ds")).alias("sds"), "w", "lnl")
 
 
 def read_codeml_clade(spark: SparkSession, reports: str | list[str], trees: str | list[str], tips: DataFrame | None = None, large: bool = False) -> DataFrame:
