@@ -132,7 +132,7 @@ LTRF = " UNION ALL ".join(
     f"SELECT seqname, '{name}' AS feature, {a} AS start, {b} AS stop, 7::DOUBLE AS score, CASE WHEN event_id % 2 = 0 THEN '-' ELSE '+' END AS strand, 'ltr_finder_' || CAST(event_id AS STRING) AS attribute FROM {{features_v}} WHERE {when}"
     for name, a, b, when in [
         ("LTR_retrotransposon", "start", "stop + 100", "true"), ("five_prime_LTR", "start", "start + 10", "true"), ("three_prime_LTR", "stop + 90", "stop + 100", "true"),
-        ("primer_binding_site", "start + 12", "start + 20", "true"), ("target_site_duplication", "start - 5", "start - 1", "event_id % 3 <> 0 AND start > 5"), ("target_site_duplication", "stop + 101", "stop + 105", "event_id % 3 <> 0 AND start > 5"),
+        ("primer_binding_site", "start + 12", "start + 20", "true"), ("target_site_duplication", "start - 5", "start - 1", "event_id % 3 <> 0 AND start >= 5"), ("target_site_duplication", "stop + 101", "stop + 105", "event_id % 3 <> 0 AND start >= 5"),
         ("rt_domain", "start + 30", "start + 40", "true"), ("rt_orf", "start + 28", "start + 44", "true"),
     ]
 )

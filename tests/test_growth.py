@@ -1,5 +1,9 @@
 """What a step must not do as tables grow, and rules on the edges."""
 
+import duckdb
+
+from seqframe.plans import queries as P
+from seqframe.sources import reports as R
 from seqframe.sources import trees as X
 
 
@@ -19,3 +23,13 @@ def test_two_reports_of_a_folder_keep_their_own_trees(spark):
     files = spark.createDataFrame([("d/c/tree/tree.A", 0, "((A #1, B), C);")], "source_file string, line_no int, line string")
     got = X.codeml_clade(spark.createDataFrame(lines, "source_file string, line_no int, line string"), files)
     assert sorted((r.label, r.dn, r.ds, r.w) for r in got.collect()) == [("A", 1.0, 1.0, 1.0), ("A", 2.0, 2.0, 2.0)]
+
+
+def test_target_sites_that_begin_at_zero_are_features(spark):
+    block = "[1] chr1 Len:9\nLocation : 5 - 90 Len: 1 Strand:+\nScore    : 7\n5'-LTR   : 5 - 9 Len: 2\n3'-LTR   : 80 - 90 Len: 2\nTSR      : 0 - 4 , 91 - 95 [CTTTT]"
+    lines = spark.createDataFrame([("x", k, line) for k, line in enumerate(block.split("\n"))], "source_file string, line_no int, line string")
+    assert sorted((r.start, r.stop) for r in R.ltrfinder_to_gff(lines).where("feature = 'target_site_duplication'").collect()) == [(0, 4), (91, 95)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT 1 AS event_id, 'a' AS event_type, 1 AS user_id, TIMESTAMP '2024-01-01 00:04:00' AS ts, 3.5 AS value")
+    rows = con.execute(P.ORACLE_SQL["s13_ltrfinder"]).fetchall()
+    assert len([r for r in rows if "target_site_duplication" in r]) == 2
