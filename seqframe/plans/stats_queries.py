@@ -167,7 +167,7 @@ def n5_scale_psmc_mods(get):
     return N.scale_psmc(_curves(get), 2.5e-8, 25, mods=mods).select("sample", "round", "k", F.round("years", 3).alias("years"), F.round("ne", 3).alias("ne"))
 
 
-@query(f"SELECT sample, CAST(arg_min(round, fit * 1000 + round) AS BIGINT) AS round FROM ({CURVES}) WHERE round >= 10 GROUP BY sample")
+@query(f"SELECT sample, CAST(min([fit * 1000 + round, round])[2] AS BIGINT) AS round FROM ({CURVES}) WHERE round >= 10 GROUP BY sample")
 def w7_select_round(get):
     return N.select_round(_curves(get).withColumn("fit", F.col("fit") * 1000 + F.col("round")), 0, 10)
 

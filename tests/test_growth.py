@@ -2,6 +2,7 @@
 
 import duckdb
 
+from seqframe.functions import stats as N
 from seqframe.plans import queries as P
 from seqframe.sources import reports as R
 from seqframe.sources import trees as X
@@ -33,3 +34,15 @@ def test_target_sites_that_begin_at_zero_are_features(spark):
     con.execute("CREATE TABLE events AS SELECT 1 AS event_id, 'a' AS event_type, 1 AS user_id, TIMESTAMP '2024-01-01 00:04:00' AS ts, 3.5 AS value")
     rows = con.execute(P.ORACLE_SQL["s13_ltrfinder"]).fetchall()
     assert len([r for r in rows if "target_site_duplication" in r]) == 2
+
+
+def test_equal_fits_go_to_the_first_round(spark):
+    """0.07 * 1000 + 10 = 0.06 * 1000 + 20, in whatever order the rows come."""
+    rows = [(1, k, r, d) for k in range(8) for r, d in (((20, 0.06), (10, 0.07)) if k % 2 else ((10, 0.07), (20, 0.06)))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem (l_suppkey BIGINT, l_linenumber BIGINT, l_orderkey BIGINT, l_discount DOUBLE, l_quantity DOUBLE DEFAULT 1, l_extendedprice DOUBLE DEFAULT 1, l_tax DOUBLE DEFAULT 0)")
+    for s, k, r, d in [(s, *x[1:]) for s in range(50) for x in rows]:
+        con.execute("INSERT INTO lineitem (l_suppkey, l_linenumber, l_orderkey, l_discount) VALUES (?, ?, ?, ?)", [s, k, r, d])
+    assert {r[1] for r in con.execute(P.ORACLE_SQL["w7_select_round"]).fetchall()} == {10}
+    df = spark.createDataFrame([("p", r, d * 1000 + r) for _, _, r, d in rows], "sample string, round long, fit double")
+    assert [r.round for r in N.select_round(df, 0, 10).collect()] == [10]
