@@ -122,10 +122,12 @@ def expand_pattern(pattern: Column) -> Column:
 
 
 def last_free_bin(pattern: Column) -> Column:
-    """Last index of which the pattern's group is not the final one; null if there is only one group."""
-    groups = expand_pattern(pattern)
-    last = F.element_at(groups, -1)
-    return F.array_position(F.transform(groups, lambda g: g == last), F.lit(True)).cast("long") - 2
+    """Last index of which the pattern's group is not the final one; null if there is only one group. Counted from the terms, as
+    groups are never listed: the final group has the size of the last term."""
+    term = lambda t: F.when(t.contains("*"), F.struct(F.split_part(t, F.lit("*"), F.lit(1)).cast("long").alias("a"), F.split_part(t, F.lit("*"), F.lit(2)).cast("long").alias("b"))).otherwise(F.struct(F.lit(1).cast("long").alias("a"), t.cast("long").alias("b")))
+    zero = F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("last"))
+    add = lambda total, p: F.when((p["a"] > 0) & (p["b"] > 0), F.struct((total["all"] + p["a"] * p["b"]).alias("all"), p["b"].alias("last"))).otherwise(total)
+    return F.aggregate(F.transform(F.split(pattern, r"\+"), term), zero, add, lambda t: F.when(t["all"] > t["last"], t["all"] - t["last"] - 1))
 
 
 def select_round(rounds: DataFrame, n: int = 20, least: int = 10) -> DataFrame:

@@ -1,6 +1,8 @@
 """What a step must not do as tables grow, and rules on the edges."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from seqframe.functions import stats as N
 from seqframe.plans import queries as P
@@ -46,3 +48,8 @@ def test_equal_fits_go_to_the_first_round(spark):
     assert {r[1] for r in con.execute(P.ORACLE_SQL["w7_select_round"]).fetchall()} == {10}
     df = spark.createDataFrame([("p", r, d * 1000 + r) for _, _, r, d in rows], "sample string, round long, fit double")
     assert [r.round for r in N.select_round(df, 0, 10).collect()] == [10]
+
+
+@pytest.mark.parametrize("pattern, want", [("4+25*2+4+6", 57), ("1+1", 0), ("5", None), ("1*7", None), ("2*3", 2), ("3+0", None), ("1000000*1000+5", 10**9 - 1)])
+def test_last_free_bin_counts_without_listing(spark, pattern, want):
+    assert spark.createDataFrame([(pattern,)], "p string").select(N.last_free_bin(F.col("p"))).first()[0] == want
