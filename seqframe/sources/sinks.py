@@ -9,9 +9,8 @@ from .lines import GFF
 
 
 def wrapped(seq: Column, width: int = 60) -> Column:
-    """A sequence in lines of ``width``."""
-    n = F.ceil(F.length(seq) / width).cast("int")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(seq, i * width + 1, F.lit(width))), "\n")).otherwise("")
+    """A sequence in lines of ``width``, in one pass: a substring would be searched for from the sequence's start for each line."""
+    return F.coalesce(F.regexp_replace(seq, rf"(?s).{{{width}}}(?!\z)", "$0\n"), F.lit(""))
 
 
 def fasta_records(df: DataFrame, header: str = "seq_id", seq: str = "seq", width: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:

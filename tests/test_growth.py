@@ -1,5 +1,7 @@
 """What a step must not do as tables grow, and rules on the edges."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from seqframe.functions import stats as N
 from seqframe.plans import queries as P
 from seqframe.sources import reports as R
+from seqframe.sources import sinks as K
 from seqframe.sources import trees as X
 
 
@@ -53,3 +56,12 @@ def test_equal_fits_go_to_the_first_round(spark):
 @pytest.mark.parametrize("pattern, want", [("4+25*2+4+6", 57), ("1+1", 0), ("5", None), ("1*7", None), ("2*3", 2), ("3+0", None), ("1000000*1000+5", 10**9 - 1)])
 def test_last_free_bin_counts_without_listing(spark, pattern, want):
     assert spark.createDataFrame([(pattern,)], "p string").select(N.last_free_bin(F.col("p"))).first()[0] == want
+
+
+def test_long_sequences_are_wrapped_in_one_pass(spark):
+    """Four million bases take far less than a substring for each of 66,667 lines."""
+    seqs = ["", None, "A" * 59, "A" * 60, "AC" * 60, "A" * 121, "é\n" * 50, "ACGT" * 1_000_000]
+    started = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k int, s string").orderBy("k").select(K.wrapped(F.col("s"))).collect()]
+    assert time.monotonic() - started < 60
+    assert got == ["\n".join((s or "")[k : k + 60] for k in range(0, len(s or ""), 60)) for s in seqs]
