@@ -111,17 +111,17 @@ def ortholog_pairs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.
 def in_paralogs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
     """qry, sub: hits within a species, in both directions, that are at least as good, by e-value and then bits, as the best hit of
     each gene in another species; a gene without such a hit sets no limit."""
-    good = good_hits(hits, exponent, percent).where("qry <> sub").withColumn("rank", F.struct("e", (-F.col("bits")).alias("bits")))
-    across = _species("qry") != _species("sub")
-    limit = good.where(across).groupBy("qry").agg(F.min("rank").alias("limit"))
-    kept = good.where(~across).join(limit, "qry", "left").where(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
+    good = good_hits(hits, exponent, percent).where("qry <> sub").select("qry", "sub", F.struct("e", (-F.col("bits")).alias("bits")).alias("rank"), (_species("qry") != _species("sub")).alias("across"))
+    # one gene's hits meet, so hits are made once, not once for the limits and once more for what they limit
+    limit = F.min(F.when(F.col("across"), F.col("rank"))).over(W.partitionBy("qry"))
+    kept = good.withColumn("limit", limit).where(~F.col("across")).where(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
     return _both_ways(kept.select("qry", "sub"))
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    """The pairs that are there in both directions, once each."""
-    back = pairs.select(F.col("sub").alias("qry"), F.col("qry").alias("sub"))
-    return pairs.join(back, ["qry", "sub"]).where("qry < sub").distinct()
+    """The pairs that are there in both directions, once each: the two directions of a pair are one key, seen from both its ends."""
+    ends = pairs.where("qry is not null and sub is not null").groupBy(F.least("qry", "sub").alias("_a"), F.greatest("qry", "sub").alias("_b"))
+    return ends.agg(F.bool_or(F.col("qry") < F.col("sub")).alias("_up"), F.bool_or(F.col("qry") > F.col("sub")).alias("_down")).where("_up and _down").select(F.col("_a").alias("qry"), F.col("_b").alias("sub"))
 
 
 def best_hit(hits: DataFrame) -> DataFrame:

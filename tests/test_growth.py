@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.functions import stats as N
+from seqframe.operators import groups as G
 from seqframe.plans import queries as P
 from seqframe.sources import reports as R
 from seqframe.sources import sinks as K
@@ -65,3 +66,12 @@ def test_long_sequences_are_wrapped_in_one_pass(spark):
     got = [r[0] for r in spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k int, s string").orderBy("k").select(K.wrapped(F.col("s"))).collect()]
     assert time.monotonic() - started < 60
     assert got == ["\n".join((s or "")[k : k + 60] for k in range(0, len(s or ""), 60)) for s in seqs]
+
+
+@pytest.mark.parametrize("find", [G.ortholog_pairs, G.in_paralogs])
+def test_hits_are_used_once_and_not_joined(spark, find):
+    rows = [("A|1", "A|2", 1e-9, 5.0), ("A|2", "A|1", 1e-9, 5.0), ("A|2", "A|1", 1e-9, 5.0), ("A|1", "B|1", 1e-8, 5.0), ("B|1", "A|1", 1e-8, 5.0), ("A|2", "A|3", 1e-7, 5.0), ("A|3", "A|2", 1e-7, 5.0), ("A|3", "B|2", 1e-8, 5.0), ("A|1", "A|1", 0.5e-9, 5.0), (None, "A|1", 1e-9, 5.0)]
+    hits = spark.createDataFrame([(*r, 90.0) for r in rows], "qry string, sub string, e double, bits double, pct double").repartition(3)
+    out = find(hits)
+    assert sorted(tuple(r) for r in out.collect()) == [("A|1", "B|1" if find is G.ortholog_pairs else "A|2")]
+    assert "Join" not in plan(out) and plan(out).split("Initial Plan")[0].count("Scan ExistingRDD") == 1
