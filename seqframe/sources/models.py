@@ -61,9 +61,16 @@ def codeml_branchsite(lines: DataFrame) -> DataFrame:
     c = F.col("line")
     fore = rf"^foreground w\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
     site = r"^\s*(\d+) ([A-Z*-]) ([\d.]+)\**\s*$"
-    rows = carried(lines, F.when(c.startswith("Bayes Empirical Bayes"), True).when(c.startswith("The grid"), False), "beb")
-    entry = F.when(F.col("beb") & c.rlike(site), F.struct(number(pick(c, site, 1), "int").alias("pos"), pick(c, site, 2).alias("aa"), number(pick(c, site, 3), "double").alias("prob")))
-    got = rows.groupBy("source_file").agg(F.max(number(pick(c, LNL, 2), "double")).alias("lnl"), F.max(F.greatest(number(pick(c, fore, 3), "double"), number(pick(c, fore, 4), "double"))).alias("w"), F.sort_array(F.collect_list(entry)).alias("sites"))
+    # where the wanted list begins and ends, and what looks like a site: only these meet, as one list for each file
+    mark = F.when(c.startswith("Bayes Empirical Bayes"), True).when(c.startswith("The grid"), False)
+    entry = F.when(c.rlike(site), F.struct(number(pick(c, site, 1), "int").alias("pos"), pick(c, site, 2).alias("aa"), number(pick(c, site, 3), "double").alias("prob")))
+    told = F.collect_list(F.when(mark.isNotNull() | entry.isNotNull(), F.struct("line_no", mark.alias("mark"), entry.alias("site"))))
+    used = lines.where(c.rlike(LNL) | c.rlike(fore) | c.rlike(site) | mark.isNotNull())
+    got = used.groupBy("source_file").agg(F.max(number(pick(c, LNL, 2), "double")).alias("lnl"), F.max(F.greatest(number(pick(c, fore, 3), "double"), number(pick(c, fore, 4), "double"))).alias("w"), told.alias("told"))
+    got = got.withColumn("marks", F.filter("told", lambda v: v["mark"].isNotNull()))
+    last = lambda v: F.array_max(F.transform(F.filter("marks", lambda m: m["line_no"] < v["line_no"]), lambda m: F.struct(m["line_no"].alias("line_no"), m["mark"].alias("mark"))))
+    listed = F.filter("told", lambda v: v["site"].isNotNull() & F.coalesce(last(v)["mark"], F.lit(False)))
+    got = got.withColumn("sites", F.sort_array(F.transform(listed, lambda v: v["site"])))
     part = lambda k: F.element_at(F.split("source_file", "/"), k)
     return got.where("lnl is not null").select(part(-3).alias("cluster"), part(-2).alias("species"), F.regexp_replace(part(-1), r"\..*$", "").alias("kind"), "lnl", "w", F.when(F.size("sites") > 0, F.col("sites")).alias("sites"))
 
@@ -75,13 +82,17 @@ def missing_fits(lines: DataFrame) -> DataFrame:
 
 def read_psmc(lines: DataFrame) -> DataFrame:
     """sample, round, fit, theta, rho, dt, k, t, lam: the bins (RS) of every round with its RD, RI, TR and DT lines."""
-    f = F.split("line", "\t")
-    rows = lines.withColumn("f", f).withColumn("tag", F.get("f", F.lit(0)))
-    rows = carried(rows, F.when(F.col("tag") == "RD", number(F.get("f", F.lit(1)))), "round")
+    # of the lines used only the numbers travel on
+    field = lambda i, kind="double": number(F.split_part("line", F.lit("\t"), F.lit(i)), kind)
+    of = lambda *tags: F.col("tag").isin(*tags)
+    rows = lines.withColumn("tag", F.split_part("line", F.lit("\t"), F.lit(1))).where(of("RD", "RI", "TR", "DT", "RS"))
+    kept = [c for c in ("source_file", "line_no", "split") if c in lines.columns]
+    rows = rows.select(*kept, "tag", F.when(of("RD", "RS"), field(2, "bigint")).alias("n"), F.when(of("RI", "TR", "DT"), field(2)).when(of("RS"), field(3)).alias("a"), F.when(of("TR"), field(3)).when(of("RS"), field(4)).alias("b"))
+    rows = carried(rows, F.when(of("RD"), F.col("n")), "round")
     own = W.partitionBy("source_file", "round")
-    for name, tag, i in (("fit", "RI", 1), ("theta", "TR", 1), ("rho", "TR", 2), ("dt", "DT", 1)):
-        rows = rows.withColumn(name, F.max(F.when(F.col("tag") == tag, number(F.get("f", F.lit(i)), "double"))).over(own))
-    return rows.where("tag = 'RS'").select(file_name(F.col("source_file")).alias("sample"), "round", "fit", "theta", "rho", "dt", number(F.get("f", F.lit(1))).alias("k"), number(F.get("f", F.lit(2)), "double").alias("t"), number(F.get("f", F.lit(3)), "double").alias("lam"))
+    for name, tag, value in (("fit", "RI", "a"), ("theta", "TR", "a"), ("rho", "TR", "b"), ("dt", "DT", "a")):
+        rows = rows.withColumn(name, F.max(F.when(of(tag), F.col(value))).over(own))
+    return rows.where("tag = 'RS'").select(file_name(F.col("source_file")).alias("sample"), "round", "fit", "theta", "rho", "dt", F.col("n").alias("k"), F.col("a").alias("t"), F.col("b").alias("lam"))
 
 
 def read_pair_distance(lines: DataFrame) -> DataFrame:

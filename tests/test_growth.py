@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqframe.functions import stats as N
 from seqframe.operators import groups as G
 from seqframe.plans import queries as P
+from seqframe.sources import models as M
 from seqframe.sources import reports as R
 from seqframe.sources import sinks as K
 from seqframe.sources import trees as X
@@ -75,3 +76,20 @@ def test_hits_are_used_once_and_not_joined(spark, find):
     out = find(hits)
     assert sorted(tuple(r) for r in out.collect()) == [("A|1", "B|1" if find is G.ortholog_pairs else "A|2")]
     assert "Join" not in plan(out) and plan(out).split("Initial Plan")[0].count("Scan ExistingRDD") == 1
+
+
+def test_sites_are_found_without_a_window_over_all_lines(spark):
+    text = "lnL(ntime: 11  np: 16):  -1.5  +0.0\nNaive\n   1 K 0.9\nBayes Empirical Bayes\n   22 A 0.612\n   10 K 0.987*\nThe grid\n   3 C 0.5\nforeground w  0.1  1.0  2.5  1.5"
+    lines = spark.createDataFrame([("d/c/s/fix.mlc", k, line) for k, line in enumerate(text.split("\n"))], "source_file string, line_no int, line string").repartition(3)
+    out = M.codeml_branchsite(lines)
+    assert [(r.lnl, r.w, [(s.pos, s.aa, s.prob) for s in r.sites]) for r in out.collect()] == [(-1.5, 2.5, [(10, "K", 0.987), (22, "A", 0.612)])]
+    assert "Window" not in plan(out)
+
+
+def test_lines_of_curves_travel_as_numbers(spark):
+    text = "CC\tx\nRD\t3\nLK\t1\nRI\t0.5\nTR\t0.01\t0.002\nDT\t0.25\nRS\t0\t0.5\t1.5\nRS\t1\t0.75\nPA\t4+5*3\n//\nRD\t4\nRS\t0\t1\t2"
+    lines = spark.createDataFrame([("d/u.psmc", k, line) for k, line in enumerate(text.split("\n"))], "source_file string, line_no int, line string").repartition(3)
+    out = M.read_psmc(lines)
+    assert sorted((r.round, r.k, r.fit, r.theta, r.rho, r.dt, r.t, r.lam) for r in out.collect()) == [(3, 0, 0.5, 0.01, 0.002, 0.25, 0.5, 1.5), (3, 1, 0.5, 0.01, 0.002, 0.25, 0.75, None), (4, 0, None, None, None, None, 1.0, 2.0)]
+    sorts = [line for line in plan(out).split("\n") if "Exchange" in line]
+    assert sorts and not any("line#" in line for line in sorts)
