@@ -154,13 +154,16 @@ def extend(indexes: DataFrame, spans: DataFrame, right: bool) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, key: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """Phrases (key, f, phrase: an id) of at least ``least`` occurrences, and their rows (SPAN, phrase); both are written."""
-    total = F.sum(F.col("size").cast("long")).over(W.partitionBy(*key))
-    held = cut(rows.withColumn("f", total).where(F.col("f") >= least), "phrases-held")
-    found = cut(held.groupBy(*key).agg(F.max("f").alias("f")).withColumn("phrase", F.monotonically_increasing_id()), "phrases-found")
-    spans = cut(held.join(found.drop("f"), key).select(*SPAN, "phrase"), "phrases-spans")
-    drop(held)
-    return found, spans
+    """Phrases (key, f, phrase: an id) of at least ``least`` occurrences, and their rows (SPAN, phrase and more); both are written.
+
+    A phrase's id is the number of its first row where its rows meet for their sum, so they are not joined with their phrases again.
+    """
+    own = W.partitionBy(*key)
+    held = rows.withColumn("f", F.sum(F.col("size").cast("long")).over(own)).where(F.col("f") >= least).withColumn("row", F.monotonically_increasing_id())
+    held = held.withColumn("phrase", F.min("row").over(own))
+    # key and f stand in a phrase's first row only
+    held = cut(held.select(*SPAN, "phrase", *[F.when(F.col("row") == F.col("phrase"), F.col(c)).alias(c) for c in (*key, "f")]), "phrases-held")
+    return cut(held.where("f is not null").select(*key, "f", "phrase"), "phrases-found"), held
 
 
 def ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:

@@ -106,3 +106,23 @@ def test_scores_beyond_64_bits(spark):
 def test_empty_tables(spark):
     assert phrases.report(spark.createDataFrame([], SCHEMA)).collect() == []
     assert phrases.report(spark.createDataFrame([(1, None, None, "", "")], SCHEMA)).collect() == []
+
+
+def test_rows_of_frequent_phrases_are_not_joined_with_them(spark, monkeypatch):
+    """A row for each shard and phrase meets its phrase once, for the sum, and takes its id there."""
+    plans, cut = [], phrases.cut
+
+    def seen(df, name, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, *by)
+
+    monkeypatch.setattr(phrases, "cut", seen)
+    rows = spark.createDataFrame([(k, k, k, k % 3 + 1, k % 7, k % 2) for k in range(210)], "shard long, forth int, back int, size int, first long, last long").repartition(5)
+    found, spans = phrases._frequent(rows, ["first", "last"], 30)
+    want = Counter()
+    for k in range(210):
+        want[k % 7, k % 2] += k % 3 + 1
+    ids = {r.phrase: (r["first"], r["last"]) for r in found.collect()}
+    assert len(ids) == found.count() and {ids[r.phrase]: r.f for r in found.collect()} == {k: n for k, n in want.items() if n >= 30}
+    assert sorted((*ids[r.phrase], r.shard, r.size) for r in spans.collect()) == sorted((k % 7, k % 2, k, k % 3 + 1) for k in range(210) if want[k % 7, k % 2] >= 30)
+    assert plans and not any("Join" in p for p in plans)
