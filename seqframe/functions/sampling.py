@@ -93,33 +93,37 @@ def resample_kaks(rows: DataFrame, n: int = 150, draws: int = 10_000, seed: int
     a positive n or s ds, or, for samples of one, without a row of both. Sums are of decimals, so they do not depend on the order.
     """
     by = ["species"]
-    counted = rows.select("species", "cluster", exact("n").alias("n"), (exact("n") * exact("dn")).alias("ndn"), exact("s").alias("s"), (exact("s") * exact("ds")).alias("sds"))
+    # written once: it is counted, numbered and, in every round, drawn from
+    counted = settled(rows.select("species", "cluster", exact("n").alias("n"), (exact("n") * exact("dn")).alias("ndn"), exact("s").alias("s"), (exact("s") * exact("ds")).alias("sds")))
     numbers = _numbered_groups(counted, by, "cluster").drop("cluster")
 
-    def ratios(todo: DataFrame) -> DataFrame:
-        drawn = numbers.join(drawn_numbers(todo, by, n, seed), [*by, "no"])
+    def ratios(todo: DataFrame, many: int) -> DataFrame:
+        """w of the draws ``todo``, ``many`` at most: few are sent to the numbered rows if these are many."""
+        taken = drawn_numbers(todo, by, n, seed)
+        drawn = numbers.join(F.broadcast(taken) if many * n <= BROADCAST_ROWS < state["rows"] else taken, [*by, "no"])
         sums = [F.sum(c) for c in ("ndn", "n", "sds", "s")]
         return drawn.groupBy("species", "draw", "attempt").agg(exact_ratio(*sums).alias("w"))
 
-    first = _draws(_sizes(rows, by, n), by, draws)
+    first = _draws(_sizes(counted, by, n), by, draws)
     # sums of what is not negative: only a species with ``n`` zeros of a kind can have a draw of zeros
     some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
     zeros = reduce(F.greatest, [F.count_if(~some(c)) for c in ("n", "s", "sds")])
     can = (F.count_if(some("n") & some("sds")) if n == 1 else F.least(F.count_if(some("n")), F.count_if(some("sds")))) > 0
     kinds = counted.groupBy("species").agg(zeros.alias("zeros"), can.alias("can"), F.count("*").alias("rows"))
     risky = kinds.where(F.col("zeros") >= n)
-    state = kinds.agg(F.coalesce(F.max(F.col("zeros") >= n), F.lit(False)).alias("risky"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    state = kinds.agg(F.coalesce(F.max(F.col("zeros") >= n), F.lit(False)).alias("risky"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("species")).first()
     if state["rows"] <= BROADCAST_ROWS:
         numbers = F.broadcast(numbers)
     if not state["risky"]:
-        return ratios(first).select("species", "draw", "w")
-    tried = settled(ratios(first))
+        return ratios(first, state["species"] * draws).select("species", "draw", "w")
+    numbers = settled(numbers) if state["rows"] > BROADCAST_ROWS else numbers
+    tried = settled(ratios(first, state["species"] * draws))
     done = tried.where("w is not null").select("species", "draw", "w")
     left = first.join(risky.where("can").select("species"), "species", "left_semi").join(tried.where("w is null").select("species", "draw"), ["species", "draw"], "left_semi")
     left, begin, many = settled(left.select("species", "_size", "draw")), 1, 1
-    while not left.isEmpty():
+    while count := left.count():
         attempts = left.withColumn("attempt", F.explode(F.sequence(F.lit(begin), F.lit(begin + many - 1))))
-        found = settled(ratios(attempts).where("w is not null").groupBy("species", "draw").agg(F.min_by("w", "attempt").alias("w")))
+        found = settled(ratios(attempts, count * many).where("w is not null").groupBy("species", "draw").agg(F.min_by("w", "attempt").alias("w")))
         done = done.unionByName(found)
         left = settled(left.join(found, ["species", "draw"], "left_anti"))
         begin, many = begin + many, 2 * many

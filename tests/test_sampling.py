@@ -133,3 +133,14 @@ def test_quantiles_equal_percentile(spark, bins, levels):
     assert repr(sorted(got.items())) == repr(sorted(want.items()))
     box = {r.key: r for r in D.box_stats(df, "key", "value").collect()}
     assert set(box) == set(want) and (box["ties"].low, box["ties"].median, box["ties"].high) == (1.0, 2.0, 2.0)
+
+
+def test_few_draws_go_to_many_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"c{k}", "S", 300.0, 10.0, 5.0, 0.1 + k / 1000, 0.5 if k % 5 == 0 else 0.0) for k in range(60)], "cluster string, species string, len double, n double, s double, dn double, ds double")
+    found = lambda: sorted((r.species, r.draw, round(r.w, 9)) for r in D.resample_kaks(rows, 4, 20, 3).collect())
+    want = found()
+    assert len(want) == 20
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 59)
+    assert found() == want
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    assert found() == want
