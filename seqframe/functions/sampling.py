@@ -145,7 +145,8 @@ def quantiles(df: DataFrame, by: str, value: str, of: list[float], bins: int = 1
     task are the counts of a key's bins, and those distinct values; no key's values do. NaN counts as greater than any number. A null
     key has no row, nor has one without values.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    # written once, as every level reads the values twice, and what gives them may be much work
+    rows = settled(df.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")))
     n = rows.groupBy("_by").agg(F.count("*").alias("_n"))
     ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_n") - 1) * p), F.ceil((F.col("_n") - 1) * p)) for p in of]))))
     want = n.select("_by", ranks.alias("_rank")).withColumn("_left", F.col("_rank"))

@@ -135,6 +135,22 @@ def test_quantiles_equal_percentile(spark, bins, levels):
     assert set(box) == set(want) and (box["ties"].low, box["ties"].median, box["ties"].high) == (1.0, 2.0, 2.0)
 
 
+def test_what_gives_the_values_is_computed_once(spark):
+    """Rows of quantiles and of draws are read many times; what they come from runs for each row once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        runs.add(1)
+        return x
+
+    df = spark.range(40).select((F.col("id") % 2).alias("k"), costly(F.col("id").cast("double")).alias("v"))
+    got = {r.k: r.q for r in D.quantiles(df, "k", "v", [0.0, 0.5, 1.0]).collect()}
+    assert got == {0: [0.0, 19.0, 38.0], 1: [1.0, 20.0, 39.0]}
+    # the filter on null may compute a value once more
+    assert runs.value <= 80
+
+
 def test_few_draws_go_to_many_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(f"c{k}", "S", 300.0, 10.0, 5.0, 0.1 + k / 1000, 0.5 if k % 5 == 0 else 0.0) for k in range(60)], "cluster string, species string, len double, n double, s double, dn double, ds double")
     found = lambda: sorted((r.species, r.draw, round(r.w, 9)) for r in D.resample_kaks(rows, 4, 20, 3).collect())
