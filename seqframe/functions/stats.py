@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 
 def lrt(lnl0: Column, lnl1: Column) -> Column:
@@ -170,33 +173,57 @@ def psmc_overall(summary: DataFrame) -> DataFrame:
     return summary.agg(*[F.sum(c).alias(c) for c in ("n", "sum_ratio", "sum_ratio2", "sum_fit", "sum_fit2")], *[F.max(c).alias(c) for c in ("max_segments", "max_ne")])
 
 
-#: Bases of a word, each a hexadecimal digit, and the lowest bit of every digit.
-WORD_BASES = 15
-LOW_BITS = int("1" * WORD_BASES, 16)
+#: Of code points up to 127: whether they are bases, whether pyrimidines, and which of the two of their kind.
+KNOWN, PYRIMIDINE, SECOND = (np.isin(np.arange(128), [ord(c) for c in letters]) for letters in ("ACGT", "CT", "GT"))
 
 
-def _base_words(seq: Column, n: Column) -> Column:
-    """The first ``n`` bases as numbers of ``WORD_BASES`` digits: A 0, G 1, C 2, T 3, so that the second bit tells purines from
-    pyrimidines, and 4 for any other letter and behind the end."""
-    digits = F.translate(F.regexp_replace(seq, "[^ACGT]", "4"), "AGCT", "0123")
-    padded = F.rpad(digits.substr(F.lit(1), n), (F.ceil(n / WORD_BASES) * WORD_BASES).cast("int"), F.lit("4"))
-    return F.transform(F.regexp_extract_all(padded, F.lit(f".{{{WORD_BASES}}}"), F.lit(0)), lambda w: F.conv(w, 16, 10).cast("long"))
+@F.arrow_udf(BinaryType())
+def _planes(seqs: pa.Array) -> pa.Array:
+    def one(text: str) -> bytes:
+        letters = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127)
+        return b"".join(np.packbits(plane[letters]).tobytes() for plane in (KNOWN, PYRIMIDINE, SECOND))
 
+    return pa.array([None if s is None else one(s) for s in seqs.to_pylist()], pa.binary())
+
+
+def base_planes(seq: Column) -> Column:
+    """An aligned sequence for ``k2p_of_planes``: three bits for each position, which are far fewer bytes than its letters."""
+    return _planes(F.upper(seq))
+
+
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("n", "ti", "tv")]))
+def _differences(a: pa.Array, b: pa.Array) -> pa.Array:
+    def one(x: bytes | None, y: bytes | None) -> dict | None:
+        if x is None or y is None:
+            return None
+        n = min(len(x), len(y)) // 3
+        x, y = (np.frombuffer(v, np.uint8).reshape(3, -1)[:, :n] for v in (x, y))
+        known, kind, other = x[0] & y[0], x[1] ^ y[1], x[2] ^ y[2]
+        bits = lambda v: int(np.bitwise_count(v).sum())
+        return {"n": bits(known), "ti": bits(known & other & ~kind), "tv": bits(known & kind)}
+
+    return pa.array([one(*v) for v in zip(a.to_pylist(), b.to_pylist())], pa.struct([(c, pa.int64()) for c in ("n", "ti", "tv")]))
 
-def k2p(a: Column, b: Column) -> Column:
-    """Kimura two-parameter distance of two aligned sequences; positions without A, C, G, T in both are left out."""
-    a, b = F.upper(a), F.upper(b)
-    n = F.least(F.length(a), F.length(b))
 
-    def counts(x: Column, y: Column) -> Column:
-        known = F.lit(LOW_BITS).bitwiseAND(F.bitwise_not(F.shiftright(x.bitwiseOR(y), 2)))
-        low, high = x.bitwiseXOR(y).bitwiseAND(known), F.shiftright(x.bitwiseXOR(y), 1).bitwiseAND(known)
-        return F.struct(F.bit_count(known).alias("n"), F.bit_count(low.bitwiseAND(F.bitwise_not(high))).alias("ti"), F.bit_count(high).alias("tv"))
+def k2p_of_planes(a: Column, b: Column) -> Column:
+    """``k2p`` of two sequences by their ``base_planes``."""
 
     def distance(total: Column) -> Column:
         p, q = F.try_divide(total["ti"], total["n"]), F.try_divide(total["tv"], total["n"])
         return F.when((1 - 2 * p - q > 0) & (1 - 2 * q > 0), 0.0 - 0.5 * F.ln(1 - 2 * p - q) - 0.25 * F.ln(1 - 2 * q))
 
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "ti", "tv")])
-    add = lambda total, w: F.struct(*[(total[c] + w[c]).alias(c) for c in ("n", "ti", "tv")])
-    return F.aggregate(F.zip_with(_base_words(a, n), _base_words(b, n), counts), zero, add, distance)
+    return F.get(F.transform(F.array(_differences(a, b)), distance), F.lit(0))
+
+
+def k2p(a: Column, b: Column) -> Column:
+    """Kimura two-parameter distance of two aligned sequences; positions without A, C, G, T in both are left out."""
+    return k2p_of_planes(base_planes(a), base_planes(b))
+
+
+def k2p_pairs(alns: DataFrame) -> DataFrame:
+    """group_id, s1, s2, distance: of every two alignments (group_id, species, aln) of a group, by ``k2p``. Each alignment is turned
+    into bits once, before it meets the others of its group."""
+    rows = alns.select("group_id", "species", base_planes(F.col("aln")).alias("planes"))
+    side = lambda k: rows.select("group_id", F.col("species").alias(f"s{k}"), F.col("planes").alias(f"p{k}"))
+    pairs = side(1).join(side(2), "group_id").where("s1 < s2")
+    return pairs.select("group_id", "s1", "s2", k2p_of_planes(F.col("p1"), F.col("p2")).alias("distance"))

@@ -148,9 +148,7 @@ e AS (SELECT *, ti / n AS pp, (df - ti) / n AS qq FROM d)
 SELECT group_id, s1, s2, CASE WHEN n > 0 AND 1 - 2 * pp - qq > 0 AND 1 - 2 * qq > 0 THEN round(0.0 - 0.5 * ln(1 - 2 * pp - qq) - 0.25 * ln(1 - 2 * qq), 6) END AS distance FROM e
 """)
 def n8_k2p(get):
-    a = get("codons_v")
-    pairs = a.select("group_id", F.col("species").alias("s1"), F.col("aln").alias("x")).join(a.select("group_id", F.col("species").alias("s2"), F.col("aln").alias("y")), "group_id").where("s1 < s2")
-    return pairs.select("group_id", "s1", "s2", F.round(N.k2p(F.col("x"), F.col("y")), 6).alias("distance"))
+    return N.k2p_pairs(get("codons_v")).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT g.group_id, g.species, g.gene, md5(s.seq) AS seq FROM (SELECT DISTINCT group_id, species, gene FROM {groups_v}) g JOIN (SELECT DISTINCT species, gene, species || gene AS seq FROM {groups_v}) s ON g.species = s.species AND g.gene = s.gene")
