@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-from ..functions.seq import FOURFOLD, codons
+from ..functions.seq import BASES, FOURFOLD, codon_numbers
 from .intervals import chunks
 from .kmers import FIT, counts_of
 
 
-#: Codons of a stretch: the bits of a number.
-STRETCH = 60
+#: Codons of a stretch.
+STRETCH = 1 << 14
+#: Whether the base-5 number of a codon's first two letters tells its amino acid.
+FREE = np.zeros(25, bool)
+FREE[[BASES.index(p[0]) * 5 + BASES.index(p[1]) for p in FOURFOLD]] = True
+
+
+@F.arrow_udf(BinaryType())
+def _masks(pieces: pa.Array) -> pa.Array:
+    """A bit for each codon of a piece: whether its prefix is a 4-fold one."""
+    return pa.array([np.packbits(FREE[codon_numbers(s, 2)]).tobytes() for s in pieces.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _common(masks: pa.Array) -> pa.Array:
+    """The bits that all masks of a list have; null if there are none."""
+
+    def one(found: list[bytes]) -> bytes | None:
+        n = min(map(len, found))
+        both = np.bitwise_and.reduce([np.frombuffer(m[:n], np.uint8) for m in found])
+        return both.tobytes() if both.any() else None
+
+    return pa.array([one(found) for found in masks.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(StringType())
+def _third_bases(pieces: pa.Array, masks: pa.Array) -> pa.Array:
+    """The third letters of the codons of a piece whose bits are set."""
+
+    def one(text: str, mask: bytes) -> str:
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8)))
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[3 * at + 2].tobytes().decode("utf-32-le", "surrogatepass")
+
+    return pa.array([one(*x) for x in zip(pieces.to_pylist(), masks.to_pylist())], pa.string())
 
 
 def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
@@ -21,17 +57,16 @@ def fourfold_sites(alns: DataFrame, n_species: int) -> DataFrame:
     Alignments are cut in stretches of ``STRETCH`` codons, of which the 4-fold ones are bits of a mask; a stretch's masks are combined
     over species, and only bases that are left meet for an alignment. A group's alignments never meet in a row.
     """
-    full = alns.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") == n_species).select("group_id")
     long = 3 * STRETCH
-    n = F.ceil(F.length("aln") / long).cast("int")
-    rows = alns.join(full, "group_id", "left_semi").where("length(aln) >= 3").select("group_id", "species", "aln", F.explode(F.sequence(F.lit(0), n - 1)).alias("stretch"))
-    rows = rows.select("group_id", "species", "stretch", codons(F.substr("aln", F.col("stretch") * long + 1, F.lit(long))).alias("codons"))
-    bit = lambda c, i: F.when(F.substring(c, 1, 2).isin(list(FOURFOLD)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)
-    mask = F.aggregate(F.transform("codons", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    # a stretch that an alignment lacks is 4-fold nowhere
-    common = rows.groupBy("group_id", "stretch").agg(F.bit_and(mask).alias("mask"), F.count("*").alias("n")).where((F.col("n") == n_species) & (F.col("mask") != 0))
-    held = F.filter("codons", lambda c, i: F.call_function("getbit", F.col("mask"), i) == 1)
-    bases = rows.join(common, ["group_id", "stretch"]).select("group_id", "species", F.struct("stretch", F.array_join(F.transform(held, lambda c: F.substring(c, 3, 1)), "").alias("bases")).alias("x"))
+    last = F.greatest(F.lit(0), F.floor((F.length("aln") - 1) / long)).cast("int")
+    rows = alns.withColumn("aln", F.coalesce("aln", F.lit(""))).select("group_id", "species", "aln", F.explode(F.sequence(F.lit(0), last)).alias("stretch"))
+    rows = rows.select("group_id", "species", "stretch", F.substr("aln", F.col("stretch") * long + 1, F.lit(long)).alias("piece"))
+    # every alignment has a first stretch, so these tell how many a group has; a stretch that an alignment lacks is 4-fold nowhere
+    found = rows.select("group_id", "stretch", _masks(F.col("piece")).alias("mask")).groupBy("group_id", "stretch").agg(F.collect_list("mask").alias("masks"), F.count("*").alias("n"))
+    whole = F.max(F.when(F.col("stretch") == 0, F.col("n"))).over(W.partitionBy("group_id"))
+    full = found.withColumn("whole", whole).where((F.col("n") == n_species) & (F.col("whole") == n_species))
+    common = full.select("group_id", "stretch", _common(F.col("masks")).alias("mask")).where("mask is not null")
+    bases = rows.join(common, ["group_id", "stretch"]).select("group_id", "species", F.struct("stretch", _third_bases(F.col("piece"), F.col("mask")).alias("bases")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bases"]), "")
     return bases.groupBy("group_id", "species").agg(joined.alias("sites"))
 

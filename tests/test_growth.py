@@ -113,3 +113,13 @@ def test_alignments_travel_to_their_pairs_as_bits(spark):
     assert sorted((r.s1, r.s2, r.distance and round(r.distance, 9)) for r in out.collect()) == [("A", "B", round(want, 9)), ("A", "C", None), ("A", "D", None), ("B", "C", None), ("B", "D", None), ("C", "D", None)]
     sent = [line for line in plan(out).split("\n") if "Exchange" in line or "Join" in line]
     assert sent and not any("aln#" in line for line in sent)
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 14])
+def test_fourfold_sites_of_stretches_without_a_second_count(spark, monkeypatch, stretch):
+    monkeypatch.setattr(A, "STRETCH", stretch)
+    one, two = "CTAAAACCCGTé" + "GGA" * 20, "CTCAAACCTGTT" + "GGC" * 17 + "GG"
+    rows = [(1, "A", one), (1, "B", two), (2, "A", one), (2, "B", one), (2, "C", "A"), (3, "A", one), (3, "B", None), (4, "A", one)]
+    out = A.fourfold_sites(spark.createDataFrame(rows, "group_id long, species string, aln string"), 2)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A", "ACé" + "A" * 17), (1, "B", "CTT" + "C" * 17)]
+    assert "LeftSemi" not in plan(out) and "lambda codons" not in plan(out)
