@@ -56,14 +56,25 @@ def overlap_join(features: DataFrame, size: int = BIN) -> DataFrame:
     return joined.groupBy("track_i", "track_j").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2") + 1).alias("shared"))
 
 
+def _covered(df: DataFrame, by: list[str], within: list[str], span: int = SPAN) -> DataFrame:
+    """by, covered: bases that intervals of the same ``by`` and ``within`` cover, each once.
+
+    Islands are not needed: of the intervals cut at multiples of ``span``, in order, each adds what lies behind those before it.
+    """
+    rows = binned(df.select(*by, *within, "start", "stop"), span)
+    reach = F.max("stop").over(W.partitionBy(*by, *within, "bin").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    added = F.greatest(F.lit(0).cast("long"), F.col("stop") - F.greatest(F.col("start") - 1, reach))
+    return rows.select(*by, added.alias("covered")).groupBy(*by).agg(F.sum("covered").alias("covered"))
+
+
 def covered(features: DataFrame, by: list[str]) -> DataFrame:
     """by, covered: bases that intervals cover, each once."""
-    return merge(features, [*by, "seqname"]).groupBy(*by).agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+    return _covered(features, by, ["seqname"])
 
 
 def track_coverage(features: DataFrame, lengths: DataFrame) -> DataFrame:
     """track, seqname, fraction: share of each sequence that a track covers."""
-    got = merge(features, ["track", "seqname"]).groupBy("track", "seqname").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+    got = _covered(features, ["track", "seqname"], [])
     return got.join(lengths, "seqname").select("track", "seqname", "covered", F.round(F.try_divide("covered", "length"), 6).alias("fraction"))
 
 
@@ -165,7 +176,7 @@ def find_gaps(seqs: DataFrame, min_len: int = 100, gap: str = "N", compat: bool
 def best_target_coverage(blocks: DataFrame) -> DataFrame:
     """query, target, covered, ratio: of each query's targets, the one whose blocks cover most of the query's bases."""
     spans = blocks.select("query", "qlen", "target", F.col("qstart").alias("start"), (F.col("qstart") + F.col("size") - 1).alias("stop"))
-    got = merge(spans, ["query", "qlen", "target"], span=QUERY_SPAN).groupBy("query", "qlen", "target").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("covered"))
+    got = _covered(spans, ["query", "qlen", "target"], [], QUERY_SPAN)
     top = F.max_by(F.struct("target", "covered"), F.struct("covered", "target"))
     return got.groupBy("query", "qlen").agg(top.alias("t")).select("query", "t.target", "t.covered", F.round(F.try_divide("t.covered", "qlen"), 6).alias("ratio"))
 

@@ -1,6 +1,7 @@
 """What a step must not do as tables grow, and rules on the edges."""
 
 import math
+import random
 import time
 
 import duckdb
@@ -11,6 +12,7 @@ from seqframe.functions import seq as S
 from seqframe.functions import stats as N
 from seqframe.operators import align as A
 from seqframe.operators import groups as G
+from seqframe.operators import intervals as I
 from seqframe.plans import queries as P
 from seqframe.sources import models as M
 from seqframe.sources import reports as R
@@ -123,3 +125,16 @@ def test_fourfold_sites_of_stretches_without_a_second_count(spark, monkeypatch,
     out = A.fourfold_sites(spark.createDataFrame(rows, "group_id long, species string, aln string"), 2)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "A", "ACé" + "A" * 17), (1, "B", "CTT" + "C" * 17)]
     assert "LeftSemi" not in plan(out) and "lambda codons" not in plan(out)
+
+
+def test_covered_bases_are_counted_with_one_sort(spark):
+    rng = random.Random(5)
+    blocks = [(f"q{rng.randrange(3)}", 9000, f"t{rng.randrange(2)}", rng.randrange(8600), rng.choice((0, 1, 50, 400))) for _ in range(120)] + [("q9", 0, "t", 4096, 0)]
+    df = spark.createDataFrame(blocks, "query string, qlen long, target string, qstart long, size long")
+    out = I.best_target_coverage(df)
+    held = {}
+    for query, _, target, start, size in blocks:
+        held.setdefault((query, target), set()).update(range(start, start + size))
+    want = {q: max((len(v), t) for (p, t), v in held.items() if p == q) for q, *_ in blocks}
+    assert {r.query: (r.covered, r.target) for r in out.collect()} == want
+    assert plan(out).split("Initial Plan")[0].count("Window [") == 1
