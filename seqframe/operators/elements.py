@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..functions.seq import revcomp
 from .intervals import chunks
 from .locate import first_places
@@ -69,6 +70,9 @@ def locate_elements(elements: DataFrame, seqs: DataFrame, size: int = 1 << 20, l
     Elements of at most ``longest`` bases, an error beyond, are looked up by a seed and compared where that stands (``first_places``).
     A null element is nowhere. Elements of sequences that are not there have no row.
     """
+    # written once: both are read several times, and what gives them may be much work
+    seqs = settled(seqs.select("seq_id", *(["chunk_start", "chunk"] if "chunk" in seqs.columns else ["seq"])))
+    elements = settled(elements)
     too_long = F.raise_error(F.concat(F.lit("element longer than the overlap: "), F.col("element"))).cast("string")
     wanted = elements.withColumn("seq", F.when(F.length("seq") > longest, too_long).otherwise(F.col("seq")))
     first = first_places(wanted, seqs, size, longest)

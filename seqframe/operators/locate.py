@@ -81,7 +81,8 @@ def first_places(elements: DataFrame, seqs: DataFrame, size: int = 1 << 20, long
     scanned = chunks(seqs, size, LONGEST_CLASS - 1).select(F.col("seq_id").alias("seqname"), "chunk", F.col("chunk_start").cast("long").alias("begin"))
     names = scanned.where("begin = 1").select("seqname").distinct()
     wanted = elements.select(*KEY).where("seq is not null").distinct().join(names, "seqname", "left_semi").withColumn("class", _class(F.length("seq")))
-    wanted = settled(wanted)
+    # few bytes, but much work: dealt out
+    wanted = settled(wanted.repartition(2 * seqs.sparkSession.sparkContext.defaultParallelism, *KEY))
     classes = sorted(r["class"] for r in wanted.where("seq <> ''").select("class").distinct().collect())
     index = _seeds(wanted.where("seq <> ''").select("seqname", "seq", "class"))
     of = ["seqname", "class", "code"]

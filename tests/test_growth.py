@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqframe.functions import seq as S
 from seqframe.functions import stats as N
 from seqframe.operators import align as A
+from seqframe.operators import elements as E
 from seqframe.operators import groups as G
 from seqframe.operators import intervals as I
 from seqframe.plans import queries as P
@@ -138,3 +139,17 @@ def test_covered_bases_are_counted_with_one_sort(spark):
     want = {q: max((len(v), t) for (p, t), v in held.items() if p == q) for q, *_ in blocks}
     assert {r.query: (r.covered, r.target) for r in out.collect()} == want
     assert plan(out).split("Initial Plan")[0].count("Window [") == 1
+
+
+def test_sequences_that_elements_are_looked_up_in_are_computed_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        runs.add(1)
+        return x
+
+    seqs = spark.createDataFrame([(f"s{k}", "ACGGTCATTGCAAGTC" * (k + 2)) for k in range(6)], "seq_id string, seq string").select("seq_id", costly("seq").alias("seq"))
+    elements = spark.createDataFrame([("e", "s1", "GGTCATTG", 2, 2), ("f", "s2", "TTTTTTTT", 2, 2), ("g", "s9", "GGTC", 2, 2)], "element string, seqname string, seq string, ltr5 int, ltr3 int")
+    got = sorted((r.element, r.start, r.stop) for r in E.locate_elements(elements, seqs, 16, 12).collect())
+    assert got == [("e", 3, 10), ("f", 0, None)] and runs.value == 6
