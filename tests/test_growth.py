@@ -3,8 +3,10 @@
 import math
 import random
 import time
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from seqframe.operators import align as A
 from seqframe.operators import elements as E
 from seqframe.operators import groups as G
 from seqframe.operators import intervals as I
+from seqframe.operators import kmers as C
 from seqframe.plans import queries as P
 from seqframe.sources import models as M
 from seqframe.sources import reports as R
@@ -153,3 +156,42 @@ def test_sequences_that_elements_are_looked_up_in_are_computed_once(spark):
     elements = spark.createDataFrame([("e", "s1", "GGTCATTG", 2, 2), ("f", "s2", "TTTTTTTT", 2, 2), ("g", "s9", "GGTC", 2, 2)], "element string, seqname string, seq string, ltr5 int, ltr3 int")
     got = sorted((r.element, r.start, r.stop) for r in E.locate_elements(elements, seqs, 16, 12).collect())
     assert got == [("e", 3, 10), ("f", 0, None)] and runs.value == 6
+
+
+def test_kmers_of_one_minimizer_are_dealt_out_anew(spark, monkeypatch):
+    """K-mers that differ but have one minimizer do not go the way of those that are everywhere."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("ACGT") for _ in range(C.MINIMIZER)) for _ in range(3000)]
+    hashes = C._minimizers(C.DIGIT[np.frombuffer("".join(words).encode(), np.uint8)], C.MINIMIZER, C.MINIMIZER)[:: C.MINIMIZER]
+    least = words[int(hashes.argmin())]
+    texts = ["".join(least + "".join(rng.choice("ACGT") for _ in range(11)) for _ in range(30)) for _ in range(12)]
+    texts += [texts[0], texts[1][:200]]
+    monkeypatch.setattr(C, "TASK", 600)
+    monkeypatch.setattr(C, "counted_apart", None)
+    seqs = spark.createDataFrame([(f"s{j}", t) for j, t in enumerate(texts)], "seq_id string, seq string").repartition(3)
+    n = Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+    got = [tuple(r) for r in A.kmer_counts(seqs, seqs, 20).collect()]
+    assert sorted(got) == sorted((f"s{j}", i + 1, n[t[i : i + 20]]) for j, t in enumerate(texts) for i in range(len(t) - 19))
+
+
+def test_sequences_whose_kmers_are_counted_are_computed_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        runs.add(1)
+        return x
+
+    seqs = spark.createDataFrame([(f"s{k}", "ACGGTCATTGCAAGTC" * (k + 2)) for k in range(6)], "seq_id string, seq string").select("seq_id", costly("seq").alias("seq"))
+    assert A.kmer_counts(seqs, seqs, 20).count() == sum(16 * (k + 2) - 19 for k in range(6)) and runs.value == 6
+
+
+@pytest.mark.parametrize("k", [20, 40])
+def test_kmers_that_share_a_hash_stay_apart(monkeypatch, k):
+    monkeypatch.setattr(C, "MIX", np.uint64(1 << 40))
+    rng = np.random.default_rng(5)
+    first, rest = rng.integers(0, 60, 4000) << 20, rng.integers(0, 5, 4000)
+    order, new = C._equals(first, rest, k)
+    keys = [(first[j], rest[j] if k > C.FIT else 0) for j in order]
+    assert sorted(order.tolist()) == list(range(4000)) and int(new.sum()) == len(set(keys))
+    assert all(bool(new[j]) == (j == 0 or keys[j] != keys[j - 1]) for j in range(4000))
