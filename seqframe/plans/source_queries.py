@@ -37,6 +37,11 @@ def reports(df, path, order, block, head: str = "", foot: str = ""):
     return L.numbered_lines(whole.select(F.col("_path").alias("source_file"), F.concat(F.lit(head), body, F.lit(foot)).alias("text")))
 
 
+def whole_reports(df, path, block, head: str = ""):
+    """(source_file, text) where every row is a report of its own: nothing is gathered. Paths must differ."""
+    return df.select(path.alias("source_file"), F.concat(F.lit(head), F.coalesce(block, F.lit(""))).alias("text"))
+
+
 @query("SELECT seq_id, md5(seq) AS seq FROM {seq_v} WHERE length(seq) > 0")
 def s1_fasta(get):
     rows = get("seq_v").where("length(seq) > 0")
@@ -239,7 +244,7 @@ def s24_eugene(get):
 def s25_codeml_branch(get):
     f = get("fits_v")
     block = F.concat(text("lnL(ntime: 11  np: %d):  %.6f      +0.000000\n", "np", "lnl"), F.when(F.col("model") == 1, "omega (dN/dS) =  0.5000").otherwise("w (dN/dS) for branches:  0.25000 1.75000"))
-    rows = reports(f, text("d/%d_m%d.mlc", "cluster", "model"), ["model"], block, head="seed used = 1\n\n")
+    rows = whole_reports(f, text("d/%d_m%d.mlc", "cluster", "model"), block, head="seed used = 1\n\n")
     return M.codeml_branch(rows).withColumn("lnl", F.round("lnl", 6))
 
 
@@ -271,14 +276,14 @@ def s28_codeml_branchsite(get):
     lnl = F.when(F.col("cluster") % 5 == 0, "no result").otherwise("lnL(ntime: 11  np: 16):  -1234.500000  +0.0")
     beb = F.when(F.col("cluster") % 2 == 0, "Bayes Empirical Bayes (BEB) analysis\nPositive sites for foreground lineages Prob(w>1):\n    10 K 0.987*\n    22 A 0.612\n\nThe grid (see ternary graph)\n").otherwise("")
     block = F.concat(lnl, F.lit("\nforeground w     0.1  1.0  2.5  1.5\n"), beb)
-    return M.codeml_branchsite(reports(k, text("d/%d/%s/nofix.mlc", "cluster", "species"), ["species"], block)).select("cluster", "species", "kind", "lnl", "w", F.when(F.col("sites").isNotNull(), F.size("sites")).alias("n_sites"))
+    return M.codeml_branchsite(L.numbered_lines(whole_reports(k, text("d/%d/%s/nofix.mlc", "cluster", "species"), block))).select("cluster", "species", "kind", "lnl", "w", F.when(F.col("sites").isNotNull(), F.size("sites")).alias("n_sites"))
 
 
 @query("SELECT DISTINCT CAST(cluster AS STRING) AS cluster FROM {kaks_v} WHERE cluster % 5 = 0")
 def s28_missing_fits(get):
     k = get("kaks_v").select("cluster").distinct()
     block = F.when(F.col("cluster") % 5 == 0, "no result").otherwise("lnL(ntime: 11  np: 16):  -1234.500000  +0.0")
-    return M.missing_fits(reports(k, F.col("cluster").cast("string"), ["cluster"], block)).select(F.col("source_file").alias("cluster"))
+    return M.missing_fits(L.numbered_lines(whole_reports(k, F.col("cluster").cast("string"), block))).select(F.col("source_file").alias("cluster"))
 
 
 @query("SELECT 'u' || CAST(user_id % 50 AS STRING) AS sample, event_id AS round, round(value, 3) AS fit, 0.01::DOUBLE AS theta, 0.5::DOUBLE AS dt, k::BIGINT AS k, round(value * k, 3) AS lam FROM events CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)")
@@ -382,7 +387,7 @@ def k1_fasta(get):
 def t3_max_w(get):
     rows = get("lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("a"), F.max("l_tax").alias("b"))
     block = text("lnL(ntime: 11  np: 16):  -1234.500000  +0.0\nforeground w     0.1  1.0  %.2f  %.2f", "a", "b")
-    fits = M.codeml_branchsite(reports(rows, text("d/%d/S1/nofix.mlc", "l_orderkey"), ["l_orderkey"], block))
+    fits = M.codeml_branchsite(L.numbered_lines(whole_reports(rows, text("d/%d/S1/nofix.mlc", "l_orderkey"), block)))
     return fits.select("cluster", "w")
 
 

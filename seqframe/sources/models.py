@@ -13,10 +13,19 @@ LNL = r"^lnL\(.*np:\s*(\d+)\):\s*(-?[\d.]+)"
 
 
 def codeml_branch(lines: DataFrame) -> DataFrame:
-    """cluster, model, np, lnl, w1, w2: one ratio gives both w, and the model name ``All``; else the file's name after ``_``."""
-    c = F.col("line")
+    """cluster, model, np, lnl, w1, w2: one ratio gives both w, and the model name ``All``; else the file's name after ``_``.
+
+    ``lines`` may also be whole reports (source_file, text), one row for each: these are read where they are, without a shuffle.
+    """
     one, two = rf"^omega \(dN/dS\) =\s*{NUMBER}", rf"^w \(dN/dS\) for branches:\s*{NUMBER}\s+{NUMBER}"
-    found = lines.groupBy("source_file").agg(F.max(number(pick(c, LNL, 1))).alias("np"), F.max(number(pick(c, LNL, 2), "double")).alias("lnl"), F.max(number(pick(c, one), "double")).alias("w"), F.max(number(pick(c, two, 1), "double")).alias("w1"), F.max(number(pick(c, two, 2), "double")).alias("w2"))
+    kinds = {"np": (LNL, 1, "bigint"), "lnl": (LNL, 2, "double"), "w": (one, 1, "double"), "w1": (two, 1, "double"), "w2": (two, 2, "double")}
+    if "text" in lines.columns:
+        told = lines.select("source_file", F.split("text", "\r?\n").alias("told"))
+        most = lambda pattern, group, kind: F.array_max(F.transform("told", lambda c: number(F.nullif(F.regexp_extract(c, pattern, group), F.lit("")), kind)))
+        # a list of one, so that the numbers are taken out once and not again for each use of them
+        found = told.select("source_file", F.explode(F.array(F.struct(*[most(*k).alias(name) for name, k in kinds.items()]))).alias("x")).select("source_file", "x.*")
+    else:
+        found = lines.groupBy("source_file").agg(*[F.max(number(pick(F.col("line"), pattern, group), kind)).alias(name) for name, (pattern, group, kind) in kinds.items()])
     name = file_name(F.col("source_file"))
     model = F.when(F.col("w").isNotNull(), "All").otherwise(F.regexp_extract(name, r"_([^_]*)$", 1))
     return found.where("lnl is not null").select(F.regexp_replace(name, r"_[^_]*$", "").alias("cluster"), model.alias("model"), "np", "lnl", F.coalesce("w", "w1").alias("w1"), F.coalesce("w", "w2").alias("w2"))

@@ -22,6 +22,7 @@ from seqframe.sources import models as M
 from seqframe.sources import reports as R
 from seqframe.sources import sinks as K
 from seqframe.sources import trees as X
+from seqframe.sources.lines import numbered_lines
 
 
 def plan(df):
@@ -195,3 +196,12 @@ def test_kmers_that_share_a_hash_stay_apart(monkeypatch, k):
     keys = [(first[j], rest[j] if k > C.FIT else 0) for j in order]
     assert sorted(order.tolist()) == list(range(4000)) and int(new.sum()) == len(set(keys))
     assert all(bool(new[j]) == (j == 0 or keys[j] != keys[j - 1]) for j in range(4000))
+
+
+def test_whole_reports_of_fits_are_read_where_they_are(spark):
+    texts = ["seed\r\nlnL(ntime: 11  np: 14):  -9.5  +0.0\r\nlnL(ntime: 11  np: 13):  -1.5e\r\nomega (dN/dS) =  0.5000\r\n", "lnL(ntime: 1  np: 15):  -3.25\nw (dN/dS) for branches:  0.25000 1.75000\nw (dN/dS) for branches:  0.5\n 9", "lnL(np: 2): -1.2.3\nlnL(np: 7):\n-8", " lnL(np: 2): -1\nomega (dN/dS) =  1", "lnL(np: 99999999999999999999): -4", "", None]
+    reports = spark.createDataFrame([(f"d/c{k}_m{k}.mlc", t) for k, t in enumerate(texts)], "source_file string, text string")
+    out = M.codeml_branch(reports)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, M.codeml_branch(numbered_lines(reports)).collect()), key=str) and out.count() == 3
+    assert "Exchange" not in plan(out)
+    assert plan(P.QUERIES["s25_codeml_branch"](spark, "/root/testdata/sf0.001")).count("Exchange") == 1
