@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,9 +94,17 @@ def _species(gene: str) -> Column:
     return F.split_part(gene, F.lit("|"), F.lit(1))
 
 
+def _good(e: Column, pct: Column, exponent: float, percent: float) -> Column:
+    return (F.log10(e) <= exponent) & (pct >= percent)
+
+
+def _rank(e: Column, bits: Column) -> Column:
+    return F.struct(e.alias("e"), (-bits).alias("bits"))
+
+
 def good_hits(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
     """Hits between genes with an e-value exponent of at most ``exponent`` and at least ``percent`` matched."""
-    return hits.where((F.log10("e") <= exponent) & (F.col("pct") >= percent))
+    return hits.where(_good(F.col("e"), F.col("pct"), exponent, percent))
 
 
 def ortholog_pairs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
@@ -111,11 +121,62 @@ def ortholog_pairs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.
 def in_paralogs(hits: DataFrame, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
     """qry, sub: hits within a species, in both directions, that are at least as good, by e-value and then bits, as the best hit of
     each gene in another species; a gene without such a hit sets no limit."""
-    good = good_hits(hits, exponent, percent).where("qry <> sub").select("qry", "sub", F.struct("e", (-F.col("bits")).alias("bits")).alias("rank"), (_species("qry") != _species("sub")).alias("across"))
+    return _both_ways(_within_limits(hits, exponent, percent))
+
+
+def _within_limits(hits: DataFrame, exponent: float, percent: float) -> DataFrame:
+    """qry, sub: hits within a species that are at least as good as the best hit of their query in another species."""
+    good = good_hits(hits, exponent, percent).where("qry <> sub").select("qry", "sub", _rank(F.col("e"), F.col("bits")).alias("rank"), (_species("qry") != _species("sub")).alias("across"))
     # one gene's hits meet, so hits are made once, not once for the limits and once more for what they limit
     limit = F.min(F.when(F.col("across"), F.col("rank"))).over(W.partitionBy("qry"))
-    kept = good.withColumn("limit", limit).where(~F.col("across")).where(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
-    return _both_ways(kept.select("qry", "sub"))
+    kept = good.withColumn("limit", limit).where(~F.col("across")).where(_in_limit(F.col("rank")))
+    return kept.select("qry", "sub")
+
+
+#: Of two genes, structs: e, bits and pct of the first's hit on the second.
+Score = Callable[[Column, Column], tuple[Column, Column, Column]]
+
+
+def in_paralogs_of_groups(genes: DataFrame, score: Score, exponent: float = -5.0, percent: float = 50.0) -> DataFrame:
+    """qry, sub: ``in_paralogs`` of the hits of every two genes of a group, of which few need be rows.
+
+    ``genes``: group_id, species, gene and what ``score`` reads. A pair that several groups hold has their highest e, bits and pct.
+
+    From each of its groups a gene sends the best hit in another species, the hits within its own that this leaves, and hashes of all
+    partners. Where no hash comes twice, each pair is in one group and that is enough; all hits are made of the other genes only.
+    """
+    named = genes.withColumn("qry", F.concat_ws("|", "species", "gene")).where("group_id is not null and species is not null and gene is not null")
+    across = F.filter("found", lambda h: h["across"] & _good(h["e"], h["pct"], exponent, percent))
+    within = F.filter("found", lambda h: ~h["across"] & _good(h["e"], h["pct"], exponent, percent) & _in_limit(_rank(h["e"], h["bits"])))
+    told = _found_in_groups(named, score).withColumn("limit", F.array_min(F.transform(across, lambda h: _rank(h["e"], h["bits"])))).withColumn("fit", F.transform(within, lambda h: F.struct(h["sub"].alias("sub"), h["e"].alias("e"), h["bits"].alias("bits"))))
+    told = told.select("qry", "group_id", "limit.e", "limit.bits", F.when(F.size("fit") > 0, F.col("fit")).alias("fit"), F.transform("found", lambda h: F.hash(h["sub"])).alias("marks"))
+    # dealt out first: lists begun in a group's task would be sorted there too, and are longer
+    met = told.repartition("qry").groupBy("qry").agg(F.collect_list(F.struct("group_id", "e", "bits", "fit", "marks")).alias("told"))
+    met = met.withColumn("limit", F.array_min(F.transform(F.filter("told", lambda g: g["e"].isNotNull()), lambda g: F.struct(g["e"], g["bits"])))).withColumn("marks", F.flatten("told.marks"))
+    met = met.withColumn("twice", F.size("marks") > F.size(F.array_distinct("marks"))).withColumn("fit", F.flatten(F.filter("told.fit", lambda x: x.isNotNull())))
+    # one list of both, which needs all that was dealt out whichever is read, so that it is dealt out once
+    kept = F.transform(F.filter("fit", lambda h: ~F.col("twice") & _in_limit(_rank(h["e"], h["bits"]))), lambda h: h["sub"])
+    said = met.withColumn("sub", kept).withColumn("again", F.filter("told.group_id", lambda _: F.col("twice"))).select("qry", F.inline(F.arrays_zip("sub", "again")))
+    wanted = said.where("again is not null").groupBy(F.col("again").alias("group_id")).agg(F.collect_set("qry").alias("wanted"))
+    hits = _found_in_groups(named.join(wanted, "group_id"), score).where(F.array_contains("wanted", F.col("qry"))).select("qry", F.inline("found"))
+    hits = hits.repartition("qry").groupBy("qry", "sub").agg(*(F.max(c).alias(c) for c in ("e", "bits", "pct")))
+    return _both_ways(said.where("sub is not null").select("qry", "sub").unionByName(_within_limits(hits, exponent, percent)))
+
+
+def _in_limit(rank: Column) -> Column:
+    return F.col("limit").isNull() | (rank <= F.col("limit"))
+
+
+def _found_in_groups(genes: DataFrame, score: Score) -> DataFrame:
+    """Genes that are not alone in a group, and as ``found`` their hits there: sub, across, e, bits, pct."""
+    own = F.struct("qry", _species("qry").alias("_head"), *(c for c in genes.columns if c not in ("group_id", "species", "gene", "qry", "wanted")))
+    listed = genes.withColumn("_own", own).withColumn("_mates", F.collect_list("_own").over(W.partitionBy("group_id"))).where(F.size("_mates") > 1)
+
+    def hit(mate: Column) -> Column:
+        e, bits, pct = score(F.col("_own"), mate)
+        return F.struct(mate["qry"].alias("sub"), (mate["_head"] != F.col("_own._head")).alias("across"), e.alias("e"), bits.alias("bits"), pct.alias("pct"))
+
+    return listed.withColumn("found", F.transform(F.filter("_mates", lambda m: m["qry"] != F.col("qry")), hit)).drop("_own", "_mates")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:

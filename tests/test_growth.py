@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -18,6 +19,7 @@ from seqframe.operators import groups as G
 from seqframe.operators import intervals as I
 from seqframe.operators import kmers as C
 from seqframe.plans import queries as P
+from seqframe.plans.views import VIEWS
 from seqframe.sources import models as M
 from seqframe.sources import reports as R
 from seqframe.sources import sinks as K
@@ -205,3 +207,52 @@ def test_whole_reports_of_fits_are_read_where_they_are(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, M.codeml_branch(numbered_lines(reports)).collect()), key=str) and out.count() == 3
     assert "Exchange" not in plan(out)
     assert plan(P.QUERIES["s25_codeml_branch"](spark, "/root/testdata/sf0.001")).count("Exchange") == 1
+
+
+def sent(df):
+    """Rows that a plan that has run wrote into its shuffles."""
+    n, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [children.apply(k) for k in range(children.length())] if kind != "ReusedExchangeExec" else []
+    return n
+
+
+GENES = "group_id long, species string, gene string, q double, p double, d double"
+
+
+@pytest.mark.parametrize("marks", [None, 3, 1])
+@pytest.mark.parametrize("seed", range(2))
+def test_in_paralogs_of_groups_are_those_of_all_hits(spark, monkeypatch, seed, marks):
+    """Few genes in many groups, so that many pairs are in several; some rows come twice or lack a value. Equal hashes of unlike genes change nothing."""
+    rng = random.Random(seed)
+    some = lambda *x: rng.choice(x)
+    rows = [(some(None, *range(60)), f"S{rng.randrange(3)}", str(rng.randrange(12 if k % 2 else 200)), some(20.0, 24.0, 30.0, 40.0), some(1.0, 2.0, 3.0), some(0.0, 0.05, 0.2)) for k in range(400)]
+    rows += rows[:5] + [(1, None, "1", 40.0, 1.0, 0.0), (1, "S1", None, 40.0, 1.0, 0.0), (2, "S1", "1", None, 1.0, 0.0), (3, "S1", "2", 40.0, 2.0, None), (70, "S1", "900", 40.0, 2.0, 0.0), (71, "S1", "901", 40.0, 2.0, 0.0), (71, "S1", "902", 40.0, 2.0, 0.0)]
+    genes = spark.createDataFrame(rows, GENES)
+    hits = spark.sql(re.sub(r"\{genes_v\}", "{genes}", VIEWS["hits_all_v"]), genes=genes)
+    want = sorted(map(tuple, G.in_paralogs(hits).collect()))
+    if marks:
+        real = F.hash
+        monkeypatch.setattr(F, "hash", lambda c: F.abs(real(c)) % marks)
+    got = G.in_paralogs_of_groups(genes, lambda a, b: (F.exp(-(a["q"] + b["q"]) / 4), a["p"] + b["p"], 100 - F.abs(a["d"] - b["d"]) * 500))
+    assert sorted(map(tuple, got.collect())) == want and ("S1|901", "S1|902") in want and len(want) > 9
+
+
+def test_a_pair_of_several_groups_has_its_best_figures(spark):
+    """A|1 and B|1 are worse together in group 2, so A|1's limit is not the hit of group 1, and A|2 is as good."""
+    score = lambda a, b: (F.exp(-(a["q"] + b["q"]) / 4), a["p"] + b["p"], 100 - F.abs(a["d"] - b["d"]) * 500)
+    rows = [(1, "A", "1", 30.0, 1.0, 0.0), (1, "B", "1", 40.0, 1.0, 0.0), (1, "A", "2", 30.0, 1.0, 0.0)]
+    more = [(2, "A", "1", 24.0, 1.0, 0.0), (2, "B", "1", 24.0, 1.0, 0.0), (3, "A", "2", 24.0, 1.0, 0.0), (3, "B", "1", 24.0, 1.0, 0.0)]
+    pairs = lambda rows: [tuple(r) for r in G.in_paralogs_of_groups(spark.createDataFrame(rows, GENES), score).collect()]
+    assert pairs(rows) == [] and pairs(rows + more) == [("A|1", "A|2")]
+
+
+def test_hits_of_groups_do_not_travel(spark):
+    out = P.QUERIES["j9_in_paralogs"](spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert len(out.collect()) > 0 and 0 < sent(out) < 3 * rows
